@@ -102,3 +102,32 @@ def category_count(df: DataFrame, col: str) -> int:
 
 
 NAN = NAN_CLASS
+
+
+def fold_target_encodings(df: DataFrame, col: str, y: str, fold: str | None, folds, prefix: str | None = None,
+                          smoothing: float = TE_SMOOTHING, n_classes: int | None = None) -> DataFrame:
+    """Leak-safe encodings for training: column ``<prefix>__all`` fitted on
+    all rows (the deployed encoder) and ``<prefix>__f<f>`` fitted on the
+    complement of fold f (what the fold-f model trains and scores with).
+    One grouped aggregate per class with 2 + 2k sums, one lookup join."""
+    prefix = prefix or col
+    cls = null_to_sentinel(F.col(col))
+    aggs = [F.count(F.col(y)).alias("n_c"), F.sum(y).alias("s_c")]
+    gaggs = [F.count(F.col(y)).alias("n"), F.sum(y).alias("s")]
+    for f in folds:
+        inf = F.col(fold) == f
+        aggs += [F.count(F.when(inf, F.col(y))).alias(f"n_{f}"), F.sum(F.when(inf, F.col(y))).alias(f"s_{f}")]
+        gaggs += [F.count(F.when(inf, F.col(y))).alias(f"n_{f}"), F.sum(F.when(inf, F.col(y))).alias(f"s_{f}")]
+    g = df.agg(*gaggs).first()
+    stats = df.groupBy(cls.alias("__cls")).agg(*aggs).fillna(0.0)
+    n, s = float(g["n"]), float(g["s"] or 0.0)
+    g_all = s / n if n else 0.0
+    outs = [((F.col("s_c") + smoothing * g_all) / (F.col("n_c") + smoothing)).alias(f"{prefix}__all")]
+    for f in folds:
+        nf, sf = float(g[f"n_{f}"]), float(g[f"s_{f}"] or 0.0)
+        gf = (s - sf) / (n - nf) if n - nf > 0 else g_all
+        outs.append(((F.col("s_c") - F.col(f"s_{f}") + smoothing * gf)
+                     / (F.col("n_c") - F.col(f"n_{f}") + smoothing)).alias(f"{prefix}__f{f}"))
+    table = stats.select("__cls", *outs)
+    keyed = df.withColumn("__cls", cls)
+    return join_lookup(keyed, table, "__cls", n_classes).drop("__cls")

@@ -173,32 +173,46 @@ def _choose_alpha(cells: dict, train_keys: list, inner_ids: Sequence[int], phi,
     return best_a
 
 
-def fold_fill_and_scale(df: DataFrame, feats: Sequence[str], fold: str | None, folds: Sequence[int],
-                        exact: bool) -> tuple[dict, dict, dict]:
-    """Per training set (all rows, and each fold complement): medians, then
-    IQR of the median-filled columns.  Two aggregation passes in total."""
-    sets = [("all", None)] + [(f, f) for f in folds]
-
-    def tr(c: Column, f):
-        return c if f is None else F.when(F.col(fold) != f, c)
-
-    med_aggs = [quantile_expr(tr(F.col(c).cast("double"), f), 0.5, exact).alias(f"m_{s}_{i}")
-                for s, f in sets for i, c in enumerate(feats)]
+def _set_filter(fold: str | None, f):
+    return (lambda c: c) if f == "all" else (lambda c: F.when(F.col(fold) != f, c))
+
+
+def fill_and_scale(df: DataFrame, cols_by_set: dict, fold: str | None, exact: bool) -> tuple[dict, dict, dict]:
+    """Per training set (each fold complement, and "all"): medians of its
+    columns, then the IQR of the median-filled columns.  Two aggregation
+    passes in total, whatever the number of folds.  Also returns the
+    all-row median of every column as the summation shift."""
+    union = sorted({c for cols in cols_by_set.values() for c in cols})
+    med_aggs = [quantile_expr(F.col(c).cast("double"), 0.5, exact).alias(f"g_{j}") for j, c in enumerate(union)]
+    keys = list(cols_by_set)
+    for si, s in enumerate(keys):
+        tr = _set_filter(fold, s)
+        med_aggs += [quantile_expr(tr(F.col(c).cast("double")), 0.5, exact).alias(f"m_{si}_{i}")
+                     for i, c in enumerate(cols_by_set[s])]
     mr = df.agg(*med_aggs).first()
-    med = {s: np.array([mr[f"m_{s}_{i}"] if mr[f"m_{s}_{i}"] is not None else 0.0 for i in range(len(feats))])
-           for s, _ in sets}
-    q_aggs = [quantile_expr(tr(F.coalesce(F.col(c).cast("double"), F.lit(float(med[s][i]))), f),
-                            [0.25, 0.75], exact).alias(f"q_{s}_{i}")
-              for s, f in sets for i, c in enumerate(feats)]
+    shift = {c: (mr[f"g_{j}"] if mr[f"g_{j}"] is not None else 0.0) for j, c in enumerate(union)}
+    med = {s: np.array([mr[f"m_{si}_{i}"] if mr[f"m_{si}_{i}"] is not None else 0.0
+                        for i in range(len(cols_by_set[s]))]) for si, s in enumerate(keys)}
+    q_aggs = []
+    for si, s in enumerate(keys):
+        tr = _set_filter(fold, s)
+        q_aggs += [quantile_expr(tr(F.coalesce(F.col(c).cast("double"), F.lit(float(med[s][i])))),
+                                 [0.25, 0.75], exact).alias(f"q_{si}_{i}") for i, c in enumerate(cols_by_set[s])]
     qr = df.agg(*q_aggs).first()
     scale = {}
-    for s, _ in sets:
+    for si, s in enumerate(keys):
         v = []
-        for i in range(len(feats)):
-            q = qr[f"q_{s}_{i}"]
+        for i in range(len(cols_by_set[s])):
+            q = qr[f"q_{si}_{i}"]
             v.append(max((q[1] - q[0]) if q is not None else 0.0, SCALE_FLOOR))
         scale[s] = np.array(v)
-    return med, scale, {"all": mr}
+    return med, scale, shift
+
+
+def _sub(cell: dict, idx: list[int]) -> dict:
+    ix = np.ix_(idx, idx)
+    return {"n": cell["n"], "sy": cell["sy"], "yy": cell["yy"], "z1": cell["z1"][idx], "m1": cell["m1"][idx],
+            "zy": cell["zy"][idx], "my": cell["my"][idx], "G": cell["G"][ix], "H": cell["H"][ix], "Q": cell["Q"][ix]}
 
 
 @dataclass
@@ -209,38 +223,48 @@ class RidgeResult:
 
 
 def ridge_cv(df: DataFrame, feats: Sequence[str], y: str, key: str, fold: str | None = "fold",
-             alphas: Sequence[float] = ALPHAS_STD, n_rows: int | None = None) -> RidgeResult:
-    """Median impute -> robust scale -> RidgeCV for every outer fold
-    and for the final all-row model, from three aggregation passes."""
+             alphas: Sequence[float] = ALPHAS_STD, n_rows: int | None = None,
+             folds: Sequence[int] | None = None, cols_by_set: dict | None = None) -> RidgeResult:
+    """Median impute -> robust scale -> RidgeCV for every evaluated
+    fold and for the final all-row model, from three aggregation passes.
+
+    ``cols_by_set`` lets a training set read its own version of a column
+    (e.g. a target encoding fitted on that fold's complement); by default
+    every set reads ``feats``."""
     feats = list(feats)
     if n_rows is None:
         n_rows = df.count()
     exact = n_rows <= EXACT_PERCENTILE_MAX_ROWS
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if fold else []
-    med, scale, _ = fold_fill_and_scale(df, feats, fold, folds, exact)
-    shift = {c: float(med["all"][i]) for i, c in enumerate(feats)}
-    sh = np.array([shift[c] for c in feats])
+    if folds is None:
+        folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if fold else []
+    if cols_by_set is None:
+        cols_by_set = {s: feats for s in list(folds) + ["all"]}
+    med, scale, shift = fill_and_scale(df, cols_by_set, fold, exact)
+    union = sorted(shift)
+    pos = {c: j for j, c in enumerate(union)}
     cell_df = df.withColumn("__inner", inner_fold(key))
     cell_cols = ([fold] if fold else []) + ["__inner"]
-    cells = null_aware_gram(cell_df, feats, y, cell_cols, shift)
+    cells = null_aware_gram(cell_df, union, y, cell_cols, shift)
     inner_ids = list(range(INNER_FOLDS))
 
     def fit(train_keys, s):
+        cols = cols_by_set[s]
+        idx = [pos[c] for c in cols]
+        sub = {k: _sub(v, idx) for k, v in cells.items()}
+        sh = np.array([shift[c] for c in cols])
         phi = med[s] - sh
-        a = _choose_alpha(cells, train_keys, inner_ids, phi, scale[s], alphas)
-        tot = _sum_cells(cells, train_keys)
+        a = _choose_alpha(sub, train_keys, inner_ids, phi, scale[s], alphas)
+        tot = _sum_cells(sub, train_keys)
         beta, icp = ridge_solve(imputed_moments(tot, phi), scale[s], a)
         icp_raw = icp - float(beta @ sh)
-        return LinearSpec(feats, [float(b) for b in beta], icp_raw,
-                          {c: float(med[s][i]) for i, c in enumerate(feats)}, a,
-                          {c: float(scale[s][i]) for i, c in enumerate(feats)})
+        return LinearSpec(list(cols), [float(b) for b in beta], icp_raw,
+                          {c: float(med[s][i]) for i, c in enumerate(cols)}, a,
+                          {c: float(scale[s][i]) for i, c in enumerate(cols)})
 
     all_keys = list(cells)
-    per_fold = {}
-    for f in folds:
-        per_fold[f] = fit([k for k in all_keys if k[0] != f], f)
+    per_fold = {f: fit([k for k in all_keys if k[0] != f], f) for f in folds}
     final = fit(all_keys, "all")
-    return RidgeResult(final, per_fold, {f: s.alpha for f, s in per_fold.items()} | {"all": final.alpha})
+    return RidgeResult(final, per_fold, {f: sp.alpha for f, sp in per_fold.items()} | {"all": final.alpha})
 
 
 def oof_predict(df: DataFrame, res: RidgeResult, fold: str = "fold", out: str = "pred") -> DataFrame:
