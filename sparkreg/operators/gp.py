@@ -188,3 +188,19 @@ def fit_gp(df: DataFrame, feats: Sequence[str], y: str, key: str, medians_by_set
         KK, Ky = acc[s]
         sp.alpha = solve_alpha(sp, KK, Ky)
     return specs
+
+
+def kernel_sum(df: DataFrame, feats: Sequence[str], points: np.ndarray, ls: np.ndarray, sv: float = 1.0,
+               weights: np.ndarray | None = None, out: str = "ksum") -> DataFrame:
+    """sum_j w_j k(x, p_j) of every row against <= 300 broadcast points
+    (an Arrow-batched kernel block per batch; the point set is spec-sized)."""
+    P_ = np.asarray(points, dtype=float)
+    L = np.asarray(ls, dtype=float)
+    w = np.ones(len(P_)) if weights is None else np.asarray(weights, dtype=float)
+
+    @F.pandas_udf("double")
+    def _ks(*xs: pd.Series) -> pd.Series:
+        X = np.column_stack([x.to_numpy(dtype=float) for x in xs])
+        return pd.Series(rbf(X, P_, L, sv) @ w)
+
+    return df.withColumn(out, _ks(*[F.col(c).cast("double") for c in feats]))

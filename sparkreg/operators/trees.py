@@ -67,7 +67,7 @@ def _assembler(n: int, inputs: Sequence[str] | None = None) -> VectorAssembler:
 
 def fit_trees(df: DataFrame, feats: Sequence[str], y: str, kind: str = "gbt", medians: dict | None = None,
               n_rows: int | None = None, max_iter: int = GBT_ITER_QUICK, es_col: str | None = None,
-              n_trees: int = 40, seed: int = 42) -> TreeSpec:
+              n_trees: int = 40, seed: int = 42, params: dict | None = None) -> TreeSpec:
     """M03-M06.  ``es_col`` (bool) marks the early-stopping holdout."""
     feats = list(feats)
     medians = medians or {}
@@ -77,10 +77,12 @@ def fit_trees(df: DataFrame, feats: Sequence[str], y: str, kind: str = "gbt", me
                          for i, c in enumerate(feats)])
     spec = TreeSpec(kind, feats, medians)
     if kind == "gbt":
-        est = GBTRegressor(featuresCol="__v", labelCol="__y", maxDepth=GBT_DEPTH, maxIter=max_iter,
-                           stepSize=GBT_STEP, subsamplingRate=GBT_SUBSAMPLE,
-                           featureSubsetStrategy=GBT_COLSAMPLE, minInstancesPerNode=max(3, n // 30),
-                           seed=seed, maxBins=64)
+        kw = {"maxDepth": GBT_DEPTH, "stepSize": GBT_STEP, "subsamplingRate": GBT_SUBSAMPLE,
+              "featureSubsetStrategy": GBT_COLSAMPLE, "minInstancesPerNode": max(3, n // 30), "maxBins": 64}
+        for k_, v in (params or {}).items():
+            if v is not None:
+                kw[k_] = v
+        est = GBTRegressor(featuresCol="__v", labelCol="__y", maxIter=max_iter, seed=seed, **kw)
         if es_col:
             est = est.setValidationIndicatorCol(es_col)
         spec.models.append(Pipeline(stages=[_assembler(len(feats)), est]).fit(filled))

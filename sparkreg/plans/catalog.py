@@ -13,9 +13,17 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
+        import functools
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from sparkreg.session import ensure_checkpoint_dir, ship_package
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            return fn(spark, sf_dir)
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

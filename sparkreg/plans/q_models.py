@@ -1 +1,608 @@
-"""Registered queries: estimators, scoring, blending and I/O."""
+"""Registered queries: sources and sinks, estimators, search, blending,
+importance, scoring and streaming (S01-S07, P11, M01-M22, D01-D08, J05,
+A20, A22, T03, U02, X01).
+
+Model queries train on ``part`` (p_retailprice from size, name length,
+type and brand) or ``events`` and return prediction / spec tables; most are
+rows-checked (the fits are iterative), and the closed-form ones carry SQL.
+"""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sparkreg.operators import metrics as M
+from sparkreg.operators import profile as P
+from sparkreg.operators.blend import blend_weights, gram_of_members, nnls_gram, stack_members
+from sparkreg.operators.folds import sample_rows, stratified_folds
+from sparkreg.operators.gp import fit_gp, kernel_sum
+from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
+from sparkreg.operators.mlp import fit_mlp
+from sparkreg.operators.trees import fit_trees, screen_features, split_importance
+from sparkreg.plans.catalog import query
+from sparkreg.plans.q_folds import R2_SQL, _candidates, _cand_sql, _oof_events, folds_cte, oof_te_sql
+from sparkreg.session import scratch_path
+from sparkreg.sources.tables import table
+
+R = 6
+_MEMO: dict = {}
+
+
+def rnd(c, n=R):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def part_frame(spark, sf):
+    """part with plain features: size, name length, one-hot type, brand."""
+    pt = table(spark, sf, "part")
+    return pt.select("p_partkey", F.col("p_size").cast("double").alias("p_size"),
+                     F.length("p_name").cast("double").alias("name_len"), "p_type", "p_brand",
+                     F.col("p_retailprice").alias("y"))
+
+
+def part_numeric(spark, sf):
+    """part with folds and numeric features only (one-hot type inline)."""
+    key = ("part_numeric", id(spark), sf)
+    if key not in _MEMO:
+        pf = part_frame(spark, sf)
+        from sparkreg.operators.encode import onehot_classes, onehot_columns
+        classes = onehot_classes(pf, "p_type")
+        d = pf.select("p_partkey", "p_size", "name_len", *onehot_columns("p_type", classes), "y")
+        d = stratified_folds(d, "p_partkey", "y")
+        feats = ["p_size", "name_len"] + [f"p_type=={k}" for k in classes]
+        _MEMO[key] = (d.cache(), feats)
+    return _MEMO[key]
+
+
+def trained(spark, sf, strategy="quick", families=None, table_name="part"):
+    from sparkreg.plans.train import train
+    key = ("trained", id(spark), sf, strategy, families, table_name)
+    if key not in _MEMO:
+        if table_name == "part":
+            df = part_frame(spark, sf)
+            _MEMO[key] = train(df, "y", key="p_partkey", strategy=strategy, families=families)
+        else:
+            ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"),
+                                                   "event_type", "value")
+            _MEMO[key] = train(ev, "value", key="event_id", strategy=strategy, families=families)
+    return _MEMO[key]
+
+
+def bundle_of(spark, sf, strategy="quick", families=None):
+    from sparkreg.plans.train import save
+    from sparkreg.sources.model_io import load_bundle
+    key = ("bundle", id(spark), sf, strategy, families)
+    if key not in _MEMO:
+        res = trained(spark, sf, strategy, families)
+        root = scratch_path(spark, "bundle")
+        save(res, root)
+        _MEMO[key] = (load_bundle(spark, root), root)
+    return _MEMO[key]
+
+
+# ---------------------------------------------------------------- S01 / S02 / S04
+@query("src_csv_fallback", """
+SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS DOUBLE) AS p_size,
+       p_retailprice FROM part
+""")
+def q_src_csv_fallback(spark, sf):
+    from sparkreg.sources.csv import read_csv
+    path = scratch_path(spark, "csv")
+    table(spark, sf, "part").write.mode("overwrite").option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@query("src_header_check")
+def q_src_header_check(spark, sf):
+    from sparkreg.sources.csv import header_report
+    path = scratch_path(spark, "csv")
+    pt = table(spark, sf, "part")
+    pt.select(*[F.col(c).alias(f" {c} ") for c in pt.columns]).write.mode("overwrite").option("header", True).csv(path)
+    return header_report(spark, path)
+
+
+@query("sink_scored_csv")
+def q_sink_scored_csv(spark, sf):
+    from sparkreg.plans.score import score
+    from sparkreg.sources.csv import read_csv, write_scored_csv
+    b, _ = bundle_of(spark, sf, families=("linear",))
+    path = scratch_path(spark, "scored")
+    write_scored_csv(score(part_frame(spark, sf), b), path)
+    return read_csv(spark, path)
+
+
+# ---------------------------------------------------------------- S05 / S06 / S07
+@query("sink_model_bundle")
+def q_sink_model_bundle(spark, sf):
+    _, root = bundle_of(spark, sf, families=("linear", "gbt"))
+    files = []
+    for d, _, fs in os.walk(root):
+        files += [(os.path.relpath(os.path.join(d, f), root), os.path.getsize(os.path.join(d, f))) for f in fs]
+    return spark.createDataFrame(sorted(files), "file string, bytes long")
+
+
+@query("src_model_bundle")
+def q_src_model_bundle(spark, sf):
+    b, _ = bundle_of(spark, sf, families=("linear", "gbt"))
+    m = b.meta
+    rows = [(k, v.get("type"), len(v.get("feats", []))) for k, v in m["members"].items()]
+    return spark.createDataFrame(rows, "member string, type string, n_features int").withColumn(
+        "best", F.lit(m["best"]))
+
+
+@query("model_tables")
+def q_model_tables(spark, sf):
+    from sparkreg.sources.model_io import model_tables
+    b, _ = bundle_of(spark, sf, families=("linear", "gbt"))
+    tabs = model_tables(spark, b)
+    rows = [(k, v.count()) for k, v in tabs.items()]
+    return spark.createDataFrame(rows, "table string, rows long")
+
+
+# ---------------------------------------------------------------- P11 / M13 / M17
+IMP_EXPR = {
+    "qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "tax": "l_tax",
+    "line": "CAST(l_linenumber AS DOUBLE)", "qty_sq": "l_quantity * l_quantity", "disc_tax": "l_discount * l_tax",
+    "net": "l_extendedprice * (1 - l_discount)", "gross": "l_extendedprice * (1 + l_tax)",
+    "qty_disc": "l_quantity * l_discount", "tax_sq": "l_tax * l_tax", "ship_day": "CAST(dayofmonth(l_shipdate) AS DOUBLE)",
+}
+IMP_Y = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
+
+
+@query("screen_features")
+def q_screen_features(spark, sf):
+    li = table(spark, sf, "lineitem")
+    df = li.select(*[F.expr(v).alias(k) for k, v in IMP_EXPR.items()], F.expr(IMP_Y).alias("y"))
+    kept = set(screen_features(df, list(IMP_EXPR), "y"))
+    return spark.createDataFrame([(i, c, c in kept) for i, c in enumerate(IMP_EXPR)],
+                                 "pos int, feature string, kept boolean")
+
+
+@query("split_importance")
+def q_split_importance(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    spec = fit_trees(d, feats, "y", "gbt")
+    return split_importance(spec, spark).select("feature", "importance", rnd("pct", 4).alias("pct"))
+
+
+@query("derived_recipe_fit")
+def q_derived_recipe_fit(spark, sf):
+    from sparkreg.operators.search import fit_recipe
+
+    d, _ = part_numeric(spark, sf)
+
+    def probe(cand, names):
+        spec = fit_trees(cand, names, "y", "gbt")
+        return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
+
+    recipe = fit_recipe(d, ["p_size", "name_len"], "y", probe)
+    return spark.createDataFrame([(i, r["name"], r["op"], ",".join(r["cols"])) for i, r in enumerate(recipe)],
+                                 "pos int, name string, op string, cols string")
+
+
+# ---------------------------------------------------------------- M01 / M02 / M14 / D02 / D03
+@query("ridge_cv")
+def q_ridge_cv(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    res = ridge_cv(d, feats, "y", "p_partkey", "fold", ALPHAS_STD)
+    e = None
+    for f, sp in res.per_fold.items():
+        e = F.when(F.col("fold") == f, sp.predict()) if e is None else e.when(F.col("fold") == f, sp.predict())
+    return d.select("p_partkey", "fold", rnd(e).alias("pred"))
+
+
+@query("poly_ridge_cv")
+def q_poly_ridge_cv(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    top = [r["column"] for r in P.top_by_corr(d, feats, "y", 8).collect()]
+    from sparkreg.operators.transform import robust_fit
+    rob = {r["column"]: r for r in robust_fit(d, top).collect()}
+    pcols = poly_columns(top, {c: rob[c]["center"] for c in top}, {c: rob[c]["scale"] for c in top})
+    src = d.select("p_partkey", "fold", "y", *pcols)
+    pf = [c for c in src.columns if c not in ("p_partkey", "fold", "y")]
+    res = ridge_cv(src, pf, "y", "p_partkey", "fold", ALPHAS_POLY)
+    e = None
+    for f, sp in res.per_fold.items():
+        pred = F.lit(sp.intercept)
+        for c, w in zip(sp.feats, sp.coef):
+            pred = pred + F.lit(w) * F.col(f"`{c}`")
+        e = F.when(F.col("fold") == f, pred) if e is None else e.when(F.col("fold") == f, pred)
+    return src.select("p_partkey", "fold", rnd(e).alias("pred"))
+
+
+@query("coef_importance")
+def q_coef_importance(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    res = ridge_cv(d, feats, "y", "p_partkey", None, ALPHAS_STD)
+    imp = M.coef_importance(res.final.feats, res.final.coef, spark)
+    return M.top_importance(imp)
+
+
+@query("score_linear", """
+WITH b AS (SELECT p_partkey, CAST(nullif(p_size, 1) AS DOUBLE) AS x, p_retailprice AS y FROM part),
+m AS (SELECT quantile_cont(x, 0.5) AS med FROM b),
+f AS (SELECT p_partkey, coalesce(x, med) AS xf, y FROM b, m),
+s AS (SELECT greatest(quantile_cont(xf, 0.75) - quantile_cont(xf, 0.25), 1e-8) AS sc,
+             covar_pop(xf, y) * count(*) AS sxy, var_pop(xf) * count(*) AS sxx, avg(xf) AS mx, avg(y) AS my FROM f),
+c AS (SELECT sxy / (sxx + 1.0 * sc * sc) AS beta, my - sxy / (sxx + 1.0 * sc * sc) * mx AS icp FROM s)
+SELECT p_partkey, round(icp + beta * xf, 6) AS pred FROM f, c
+""")
+def q_score_linear(spark, sf):
+    pt = table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("x"),
+                                         F.col("p_retailprice").alias("y"))
+    res = ridge_cv(pt, ["x"], "y", "p_partkey", None, [1.0])
+    return pt.select("p_partkey", rnd(res.final.predict()).alias("pred"))
+
+
+@query("score_linear_poly")
+def q_score_linear_poly(spark, sf):
+    from sparkreg.plans.score import score
+    b, _ = bundle_of(spark, sf, "thorough", ("poly",))
+    return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+# ---------------------------------------------------------------- M03 - M06 / D04
+def _tree_oof(spark, sf, kind, es=False):
+    from sparkreg.operators.folds import es_holdout
+    d, feats = part_numeric(spark, sf)
+    parts = []
+    for f in range(5):
+        tr = d.filter(F.col("fold") != f)
+        if es:
+            tr = es_holdout(tr, "p_partkey")
+        spec = fit_trees(tr, feats, "y", kind, es_col="is_es" if es else None)
+        parts.append(spec.transform(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("gbt_fit")
+def q_gbt_fit(spark, sf):
+    return _tree_oof(spark, sf, "gbt")
+
+
+@query("gbt_early_stop")
+def q_gbt_early_stop(spark, sf):
+    from sparkreg.operators.folds import es_holdout
+    d, feats = part_numeric(spark, sf)
+    tr = es_holdout(d.filter(F.col("fold") != 0), "p_partkey")
+    spec = fit_trees(tr, feats, "y", "gbt", es_col="is_es", max_iter=50)
+    gbt = spec.models[0].stages[-1]
+    n_es = tr.filter("is_es").count()
+    return spark.createDataFrame([(int(gbt.getNumTrees), 50, int(n_es))],
+                                 "trees_used int, max_trees int, es_rows long")
+
+
+@query("rf_bag_fit")
+def q_rf_bag_fit(spark, sf):
+    return _tree_oof(spark, sf, "rf")
+
+
+@query("xt_bag_fit")
+def q_xt_bag_fit(spark, sf):
+    return _tree_oof(spark, sf, "xt")
+
+
+@query("score_trees")
+def q_score_trees(spark, sf):
+    from sparkreg.plans.score import score
+    b, _ = bundle_of(spark, sf, "quick", ("gbt",))
+    return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+# ---------------------------------------------------------------- M07 / M15 / J05 / D05
+def _gp_specs(spark, sf):
+    key = ("gp", id(spark), sf)
+    if key not in _MEMO:
+        d, feats = part_numeric(spark, sf)
+        meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
+                for s in [0, 1, 2, 3, 4, "all"]}
+        _MEMO[key] = fit_gp(d, feats, "y", "p_partkey", meds, "fold", [0, 1, 2, 3, 4])
+    return _MEMO[key]
+
+
+@query("gp_fit")
+def q_gp_fit(spark, sf):
+    d, _ = part_numeric(spark, sf)
+    specs = _gp_specs(spark, sf)
+    parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred"))
+             for f in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("ard_importance")
+def q_ard_importance(spark, sf):
+    spec = _gp_specs(spark, sf)["all"]
+    imp = spark.createDataFrame(list(spec.importance().items()), "feature string, importance double")
+    return M.top_importance(imp)
+
+
+@query("rbf_cross", """
+WITH pts AS (SELECT p_size AS a, p_retailprice AS b FROM part
+             ORDER BY md5(concat('42|', CAST(p_partkey AS VARCHAR))) LIMIT 300),
+l AS (SELECT stddev_pop(p_size) AS la, stddev_pop(p_retailprice) AS lb FROM part)
+SELECT p_partkey, round(sum(exp(-0.5 * (power((p_size - a) / la, 2) + power((p_retailprice - b) / lb, 2)))), 6) AS ksum
+FROM part, pts, l GROUP BY p_partkey
+""")
+def q_rbf_cross(spark, sf):
+    pt = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    pts = sample_rows(pt, "p_partkey", 300).select("p_size", "p_retailprice").toPandas().to_numpy(dtype=float)
+    ls = pt.agg(F.stddev_pop("p_size"), F.stddev_pop("p_retailprice")).first()
+    out = kernel_sum(pt, ["p_size", "p_retailprice"], pts, np.array([ls[0], ls[1]]))
+    return out.select("p_partkey", rnd("ksum").alias("ksum"))
+
+
+@query("score_gp")
+def q_score_gp(spark, sf):
+    from sparkreg.plans.score import score
+    b, _ = bundle_of(spark, sf, "quick", ("gp",))
+    return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+# ---------------------------------------------------------------- M08 / M11 / M16 / D06
+def _mlp_specs(spark, sf):
+    key = ("mlp", id(spark), sf)
+    if key not in _MEMO:
+        d, feats = part_numeric(spark, sf)
+        meds = {s: P.fit_medians(d, feats) for s in [0, 1, 2, 3, 4, "all"]}
+        _MEMO[key] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4])
+    return _MEMO[key]
+
+
+@query("mlp_fit")
+def q_mlp_fit(spark, sf):
+    d, _ = part_numeric(spark, sf)
+    specs = _mlp_specs(spark, sf)
+    parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred"))
+             for f in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("score_mlp")
+def q_score_mlp(spark, sf):
+    from sparkreg.plans.score import score
+    b, _ = bundle_of(spark, sf, "quick", ("mlp",))
+    return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf):
+    from sparkreg.operators.search import permutation_importance
+    d, feats = part_numeric(spark, sf)
+    spec = _mlp_specs(spark, sf)["all"]
+    imp = permutation_importance(d.select("p_partkey", "y", *feats), "p_partkey", "y", ["p_size", "name_len"],
+                                 lambda x: spec.predict_column(x, "pred"))
+    return imp.select("feature", rnd("mean_drop").alias("mean_drop"), rnd("importance").alias("importance"))
+
+
+@query("gbt_search")
+def q_gbt_search(spark, sf):
+    from sparkreg.operators.search import GBT_FINALISTS, gbt_candidates, halving_search, r2_of
+    d, feats = part_numeric(spark, sf)
+    n = d.count()
+    cands = gbt_candidates(n)[:6]          # first six of the seeded list (documented budget)
+
+    def evaluate(c, folds):
+        parts = []
+        for f in folds:
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=10)
+            parts.append(spec.transform(d.filter(F.col("fold") == f), "pred"))
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        return r2_of(u, "y", "pred")
+
+    return halving_search(spark, cands, [0, 1, 2, 3, 4], evaluate, GBT_FINALISTS).select(
+        "trial", "params", "stage", rnd("r2").alias("r2"))
+
+
+@query("mlp_search")
+def q_mlp_search(spark, sf):
+    from sparkreg.operators.search import MLP_FINALISTS, halving_search, mlp_candidates, r2_of
+    d, feats = part_numeric(spark, sf)
+    meds = {s: P.fit_medians(d, feats) for s in [0, 1, 2, 3, 4, "all"]}
+    cache = {}
+
+    def evaluate(c, folds):
+        k = str(c)
+        if k not in cache:
+            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], rounds=4,
+                               **{kk: v for kk, v in c.items()})
+        specs = cache[k]
+        parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred") for f in folds]
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        return r2_of(u, "y", "pred")
+
+    return halving_search(spark, mlp_candidates(), [0, 1, 2, 3, 4], evaluate, MLP_FINALISTS).select(
+        "trial", "params", "stage", rnd("r2").alias("r2"))
+
+
+# ---------------------------------------------------------------- M09 / D07 / T03 / A20
+TE2 = f"""WITH {folds_cte('events', 'event_id', 'value')}, {oof_te_sql('user_id', 20.0, 'a')}, {oof_te_sql('event_type', 20.0, 'b')},
+j AS (SELECT a_t.event_id, a_t.__y AS y, a_t.a, b_t.b FROM a_t JOIN b_t USING (event_id)),
+s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS say, sum(b * y) AS sby FROM j),
+u AS (SELECT *, (bb * say - ab * sby) / (aa * bb - ab * ab) AS w1u, (aa * sby - ab * say) / (aa * bb - ab * ab) AS w2u,
+             greatest(say / aa, 0) AS wa, greatest(sby / bb, 0) AS wb FROM s),
+w AS (SELECT CASE WHEN w1u > 0 AND w2u > 0 THEN w1u
+                  WHEN -2 * wa * say + wa * wa * aa <= -2 * wb * sby + wb * wb * bb THEN wa ELSE 0.0 END AS w_user,
+             CASE WHEN w1u > 0 AND w2u > 0 THEN w2u
+                  WHEN -2 * wa * say + wa * wa * aa <= -2 * wb * sby + wb * wb * bb THEN 0.0 ELSE wb END AS w_type FROM u)"""
+
+
+def _two_members(spark, sf):
+    a = _oof_events(spark, sf, "user_id").select("event_id", F.col("value").alias("y"), F.col("te").alias("te_user"))
+    b = _oof_events(spark, sf, "event_type").select("event_id", F.col("te").alias("te_type"))
+    return a.join(b, "event_id")
+
+
+@query("nnls_blend", f"{TE2} SELECT 'te_user' AS member, round(w_user, 6) AS weight FROM w "
+       "UNION ALL SELECT 'te_type', round(w_type, 6) FROM w")
+def q_nnls_blend(spark, sf):
+    j = _two_members(spark, sf)
+    A, b, _, _ = gram_of_members(j, ["te_user", "te_type"], "y")
+    w = nnls_gram(A, b)
+    return spark.createDataFrame([("te_user", float(w[0])), ("te_type", float(w[1]))],
+                                 "member string, weight double").select("member", rnd("weight").alias("weight"))
+
+
+@query("score_blend", f"{TE2} SELECT event_id, round(a * w_user + b * w_type, 6) AS pred FROM j, w")
+def q_score_blend(spark, sf):
+    from sparkreg.operators.blend import blend_column
+    j = _two_members(spark, sf)
+    A, b, _, _ = gram_of_members(j, ["te_user", "te_type"], "y")
+    w = nnls_gram(A, b)
+    return j.select("event_id", rnd(blend_column({"te_user": float(w[0]), "te_type": float(w[1])})).alias("pred"))
+
+
+@query("pick_best", f"""
+WITH {_cand_sql()}, u AS (SELECT * FROM te_user_c UNION ALL SELECT * FROM te_type_c UNION ALL SELECT * FROM te_user_s5_c),
+b AS (SELECT name, r2 FROM u ORDER BY r2 DESC, name LIMIT 1)
+SELECT name AS chosen, round(r2, 6) AS chosen_r2, name AS best_single, round(r2, 6) AS best_single_r2,
+       CAST(NULL AS DOUBLE) AS blend_r2 FROM b
+""")
+def q_pick_best(spark, sf):
+    c = M.pick_best(_candidates(spark, sf))
+    return c.select("chosen", rnd("chosen_r2").alias("chosen_r2"), "best_single",
+                    rnd("best_single_r2").alias("best_single_r2"), "blend_r2")
+
+
+@query("importance_merge")
+def q_importance_merge(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    lin = ridge_cv(d, feats, "y", "p_partkey", None, ALPHAS_STD).final
+    tree = fit_trees(d, feats, "y", "gbt")
+    tot = sum(abs(c) for c in lin.coef) or 1.0
+    li = spark.createDataFrame([("linear", f, abs(c) / tot * 100.0) for f, c in zip(lin.feats, lin.coef)],
+                               "member string, feature string, pct double")
+    tr = split_importance(tree, spark).select(F.lit("gbt").alias("member"), "feature", "pct")
+    wide = d.select("p_partkey", "y", lin.predict().alias("linear"))
+    wide = tree.transform(wide.join(d.select("p_partkey", *feats), "p_partkey"), "gbt")
+    w = blend_weights(wide, ["linear", "gbt"], "y", {"linear": 0.5, "gbt": 0.5})
+    weights = spark.createDataFrame(list(w.items()), "member string, weight double")
+    return M.importance_merge(li.unionByName(tr), weights).select("feature", rnd("pct", 4).alias("pct"))
+
+
+# ---------------------------------------------------------------- M12
+@query("y_transform_select", f"""
+WITH {folds_cte('events', 'event_id', 'value')},
+tr AS (SELECT value FROM folded WHERE fold <> 0),
+s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM tr),
+k AS (SELECT CASE WHEN sd < 1e-12 THEN 0.0 ELSE (SELECT avg(power(value - mu, 3)) FROM tr) / power(sd, 3) END AS skew FROM s)
+SELECT round(skew, 6) AS skew, CASE WHEN skew > 0.75 AND (SELECT min(value) FROM events) >= 0 THEN 'log1p'
+       WHEN abs(skew) > 0.75 THEN 'yeo_johnson' ELSE 'none' END AS transform FROM k
+""")
+def q_y_transform_select(spark, sf):
+    from sparkreg.operators.transform import quick_transform_rule
+    ev = table(spark, sf, "events")
+    f = stratified_folds(ev, "event_id", "value")
+    ymin = ev.agg(F.min("value")).first()[0]
+    r = quick_transform_rule(f.filter(F.col("fold") != 0), "value", ymin)
+    return r.select(rnd("skew").alias("skew"), "transform")
+
+
+# ---------------------------------------------------------------- M18 / M20 / M21 / M22 / A22
+@query("oof_evaluate")
+def q_oof_evaluate(spark, sf):
+    res = trained(spark, sf, "thorough", ("linear", "gbt"))
+    cols = [c for c in res.oof.columns if c in ("linear", "gbt")]
+    return res.oof.select("p_partkey", "fold", *[rnd(c).alias(c) for c in cols])
+
+
+@query("overfit_gap")
+def q_overfit_gap(spark, sf):
+    d, feats = part_numeric(spark, sf)
+    res = ridge_cv(d, feats, "y", "p_partkey", "fold", ALPHAS_STD)
+    e = None
+    for f, sp in res.per_fold.items():
+        e = F.when(F.col("fold") == f, sp.predict()) if e is None else e.when(F.col("fold") == f, sp.predict())
+    scored = d.select("y", e.alias("oof"), res.final.predict().alias("fit"))
+    a = scored.agg(*M.r2_aggs("y", "oof", "o_"), *M.r2_aggs("y", "fit", "t_"))
+    return a.select(rnd(M.r2_from(F.col("o_sse"), F.col("o_sst"))).alias("oof_r2"),
+                    rnd(M.r2_from(F.col("t_sse"), F.col("t_sst"))).alias("train_r2")).withColumn(
+        "gap", rnd(F.col("train_r2") - F.col("oof_r2")))
+
+
+@query("train")
+def q_train(spark, sf):
+    return trained(spark, sf).report
+
+
+@query("choose_deployed")
+def q_choose_deployed(spark, sf):
+    """Best first, then R2 order until one saves; flags a substitution."""
+    from sparkreg.plans.train import save
+    res = trained(spark, sf)
+    order = [r["name"] for r in res.leaderboard.orderBy(F.desc("r2")).collect()]
+    deployed, tried = None, []
+    chosen = res.bundle["best"]
+    for name in order:
+        try:
+            res.bundle["best"] = name
+            save(res, scratch_path(spark, "deploy"))
+            deployed = name
+            break
+        except Exception as e:  # noqa: BLE001 -- a member that cannot be saved is skipped
+            tried.append(f"{name}:{type(e).__name__}")
+    res.bundle["best"] = chosen
+    return spark.createDataFrame([(order[0], deployed, deployed != order[0], ";".join(tried))],
+                                 "best string, deployed string, deploy_substituted boolean, failures string")
+
+
+@query("quality_warnings")
+def q_quality_warnings(spark, sf):
+    res = trained(spark, sf)
+    st = res.bundle["prep"]
+    return M.quality_warnings(spark, st["n_rows"], st["eval_on"], 0, st["n_target_na"], st["n_outliers"],
+                              st["fence"][2], st["n_dup_rows"], st["dropped_cats"])
+
+
+# ---------------------------------------------------------------- D01 / D08 / U02 / X01
+@query("score")
+def q_score(spark, sf):
+    from sparkreg.plans.score import score
+    b, _ = bundle_of(spark, sf)
+    return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+@query("score_dispatch")
+def q_score_dispatch(spark, sf):
+    from sparkreg.plans.score import score
+    rows = None
+    for fam in (("linear",), ("gbt",), ("gp",), ("mlp",)):
+        b, _ = bundle_of(spark, sf, "quick", fam)
+        s = score(part_frame(spark, sf), b).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("y")).alias("mean_pred"))
+        s = s.select(F.lit(fam[0]).alias("type"), "n", "mean_pred")
+        rows = s if rows is None else rows.unionByName(s)
+    return rows
+
+
+@query("required_columns")
+def q_required_columns(spark, sf):
+    from sparkreg.plans.score import required_columns
+    b, _ = bundle_of(spark, sf)
+    return spark.createDataFrame(list(enumerate(required_columns(b.meta))), "pos int, column string")
+
+
+@query("score_stream")
+def q_score_stream(spark, sf):
+    from sparkreg.streaming.score_stream import score_stream
+    b, _ = bundle_of(spark, sf)
+    src = scratch_path(spark, "stream-src")
+    # the stream source: the part table re-expressed as the model's input frame
+    part_frame(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    score_stream(spark, src, part_frame(spark, sf).schema, b, out, ck)
+    return spark.read.parquet(out).select("p_partkey", rnd("y").alias("pred"))

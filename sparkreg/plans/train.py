@@ -129,7 +129,8 @@ def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick"
     if len(num) > 1:
         kept = {r["column"] for r in P.duplicate_profile(df, num).collect() if r["kept"]}
         num = [c for c in num if c in kept]
-    st["numeric"] = num
+    oh_all = {f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks}
+    st["numeric"] = [c for c in num if c not in oh_all]
 
     n = df.count()
     st["n_rows"] = n
@@ -160,15 +161,15 @@ def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick"
     df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
 
     # leak-safe target encodings (deployed + one per evaluated fold)
-    st["te_maps"] = {}
+    st["te_frames"] = {}
     for c in st["target_cols"]:
         ncls = E.category_count(df, c)
+        m, g = E.target_encoder_fit(df, c, "__y_t")          # deployed encoder (lazy table)
+        st["te_frames"][c] = (m, g, ncls)
         df = E.fold_target_encodings(df, c, "__y_t", "fold", st["folds"], n_classes=ncls)
-        m, g = E.target_encoder_fit(df, c, "__y_t")
-        st["te_maps"][c] = ({r["class"]: r["value"] for r in m.collect()} if ncls <= 100_000 else None, g)
     df = df.drop(*st["target_cols"])
-    st["onehot_cols"] = [f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks]
-    st["base_feats"] = num + st["onehot_cols"]
+    st["onehot_cols"] = [c for c in num if c in oh_all]
+    st["base_feats"] = list(num)
     st["n_outliers"] = int(df.agg(F.count_if("__clipped")).first()[0])
     prepared = cut_lineage(df)
     return prepared, st
@@ -208,6 +209,9 @@ def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: st
                 "intercept": res.final.intercept}
         if kind == "poly":
             info.update(poly_feats=top, center=center, scale=scl)
+            fin = {"type": "poly", "top": top, "center": center, "scale": scl, "medians": med_sets["all"],
+                   "feats": res.final.feats, "coef": res.final.coef, "intercept": res.final.intercept}
+            return pred, fin, info
         return pred, res.final, info
     if kind in ("gbt", "rf", "xt"):
         parts, final = [], None
@@ -371,3 +375,18 @@ def _importance(spark, best: str, finals: dict, infos: dict, weights: dict) -> D
     rows = [(f, float(v)) for f, v in acc.items()]
     imp = spark.createDataFrame(rows, "feature string, importance double")
     return M.top_importance(imp)
+
+
+def save(result: TrainResult, root: str) -> str:
+    """S05 for a training result: the chosen model (or the blend members)."""
+    from sparkreg.sources.model_io import save_bundle
+    b = result.bundle
+    st = b["prep"]
+    best = b["best"]
+    members = {m: result.models[m] for m in (b["weights"] if best == "blend" else [best])}
+    prep = {k: st[k] for k in ("target", "key", "strategy", "onehot", "target_cols", "dropped_cats", "numeric",
+                               "clip", "transform", "lambda", "base_feats", "n_rows", "eval_on")}
+    meta = {"best": best, "post": b["post"], "weights": b["weights"], "feats": b["feats"], "prep": prep}
+    enc = {c: (frame, g, n) for c, (frame, g, n) in st["te_frames"].items()}
+    spark = result.report.sparkSession
+    return save_bundle(spark, root, meta, members, enc)

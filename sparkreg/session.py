@@ -23,6 +23,32 @@ LOCAL_CONF = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkreg`` importable on executors (pandas UDFs and
+    mapInPandas closures reference its functions): zip the package into
+    the shared scratch folder once per application and ``addPyFile`` it."""
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    dest = scratch_path(spark, "pyfiles")
+    os.makedirs(dest, exist_ok=True)
+    zpath = os.path.join(dest, "sparkreg.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def local_session(cores: str = "*", driver_memory: str = "8g", app: str = "sparkreg") -> SparkSession:
     """A local session for tests and the bench; clusters pass their own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -32,6 +58,7 @@ def local_session(cores: str = "*", driver_memory: str = "8g", app: str = "spark
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
