@@ -79,9 +79,18 @@ def _forward(col, transform: str, lam: float | None):
     return col
 
 
-def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick") -> tuple[DataFrame, dict]:
+def attach_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Row identity for tables without a unique key: a generated id, made
+    stable by a reliable checkpoint (re-evaluation could renumber rows)."""
+    return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
+
+
+def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick") -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
     the prepared (checkpointed) frame and the spec-sized preparation state."""
+    if key is None:
+        key = "row_id"
+        df = attach_row_id(df, key)
     rep = P.target_report(df, target).first()
     if rep["status"] not in ("ok",):
         raise ValueError(rep["status"])
@@ -132,6 +141,7 @@ def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick"
     oh_all = {f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks}
     st["numeric"] = [c for c in num if c not in oh_all]
 
+    df = cut_lineage(df)                                   # cleaned table, read by every later pass
     n = df.count()
     st["n_rows"] = n
     oof = strategy == "thorough" or n < 50
@@ -140,24 +150,33 @@ def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick"
         df = df.withColumn("fold", F.lit(-1))
         st["folds"] = []
     else:
-        df = W.stratified_folds(df, key, y, oof=oof)
+        df = cut_lineage(W.stratified_folds(df, key, y, oof=oof))
         k = df.agg(F.max("fold")).first()[0] + 1
         st["folds"] = list(range(k)) if oof else [0]
     tr0 = df.filter(F.col("fold") != 0) if st["folds"] else df
 
-    # y fences and transform from fold-0 training rows; x clip likewise
+    # y fences, transform rule and x clip from fold-0 training rows: one pass
     mult = OUTLIER_IQR_MULT if strategy == "thorough" else OUTLIER_IQR_QUICK
-    fence = P.y_fence_profile(tr0, y, mult).first()
-    st["fence"] = (fence["lo"], fence["hi"], mult)
+    exact = n <= P.EXACT_PERCENTILE_MAX_ROWS
+    aggs = [F.count(F.col(y)).alias("n_tr"), P.quantile_expr(F.col(y), [0.25, 0.75], exact).alias("q")]
+    aggs += [P.quantile_expr(F.col(c).cast("double"), [0.01, 0.99], exact).alias(f"c{i}") for i, c in enumerate(num)]
+    one = tr0.agg(*aggs).first()
+    lo = hi = None
+    if one["n_tr"] >= P.MIN_ROWS_FOR_FENCE and one["q"] is not None:
+        iqr = one["q"][1] - one["q"][0]
+        lo, hi = one["q"][0] - mult * iqr, one["q"][1] + mult * iqr
+    st["fence"] = (lo, hi, mult)
+    st["clip"] = {c: (one[f"c{i}"][0], one[f"c{i}"][1]) for i, c in enumerate(num)
+                  if one[f"c{i}"] is not None and one[f"c{i}"][0] < one[f"c{i}"][1]}
     df = df.withColumn("__y_raw", F.col(y))
-    df = TR.winsorize(df, y, fence["lo"], fence["hi"], flag="__clipped")
+    df = TR.winsorize(df, y, lo, hi, flag="__clipped")
+    tr_w = df.filter(F.col("fold") != 0) if st["folds"] else df
     y_min_all = df.agg(F.min(y)).first()[0]
-    rule = TR.quick_transform_rule(df.filter(F.col("fold") != 0) if st["folds"] else df, y, y_min_all).first()
+    rule = TR.quick_transform_rule(tr_w, y, y_min_all).first()
     st["transform"], st["lambda"] = rule["transform"], None
     if st["transform"] == "yeo_johnson":
-        st["lambda"] = TR.fit_yj_lambda(tr0, y)
+        st["lambda"] = TR.fit_yj_lambda(tr_w, y)
     df = df.withColumn("__y_t", _forward(F.col(y), st["transform"], st["lambda"]))
-    st["clip"] = P.fit_x_clip(tr0, num) if num else {}
     df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
 
     # leak-safe target encodings (deployed + one per evaluated fold)
@@ -175,14 +194,32 @@ def prepare(df: DataFrame, target: str | None, key: str, strategy: str = "quick"
     return prepared, st
 
 
+def medians_by_set(df: DataFrame, cols_by_set: dict, fold: str) -> dict:
+    """Training medians of every set's columns in ONE pass (FILTERed
+    percentiles: a fold complement is ``fold <> f``)."""
+    aggs, names = [], []
+    n = df.count()
+    exact = n <= P.EXACT_PERCENTILE_MAX_ROWS
+    for si, (s, cols) in enumerate(cols_by_set.items()):
+        for i, c in enumerate(cols):
+            v = F.col(c).cast("double")
+            if s != "all":
+                v = F.when(F.col(fold) != s, v)
+            aggs.append(P.quantile_expr(v, 0.5, exact).alias(f"m{si}_{i}"))
+    r = df.agg(*aggs).first() if aggs else None
+    out = {}
+    for si, (s, cols) in enumerate(cols_by_set.items()):
+        out[s] = {c: (r[f"m{si}_{i}"] if r[f"m{si}_{i}"] is not None else 0.0) for i, c in enumerate(cols)}
+    return out
+
+
 def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: str, rows_eval: DataFrame):
     """Fit one family on every evaluated fold's complement and on all rows;
     return (OOF prediction frame on the transformed scale, final spec, info)."""
     y = "__y_t"
     folds = st["folds"]
     feats = cols_by_set["all"]
-    med_sets = {s: P.fit_medians(df if s == "all" else df.filter(F.col("fold") != s), cols_by_set[s])
-                for s in sets}
+    med_sets = medians_by_set(df, cols_by_set, "fold")
     if kind in ("linear", "poly"):
         if kind == "poly":
             feats = st["base_feats"]            # label-free columns only
@@ -250,12 +287,14 @@ def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: st
     raise ValueError(kind)
 
 
-def train(df: DataFrame, target: str | None = None, key: str = "row_id", strategy: str = "quick",
+def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
           families=None) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
-    OOF with more families and a non-negative blend."""
+    OOF with more families and a non-negative blend.  Without ``key`` a
+    stable row id is attached."""
     spark = df.sparkSession
     prepared, st = prepare(df, target, key, strategy)
+    key = st["key"]
     y = st["target"]
     folds = st["folds"]
     sets = list(folds) + ["all"]

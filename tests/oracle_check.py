@@ -12,7 +12,7 @@ import sys
 import time
 import traceback
 
-import duckdb
+import duckdb  # noqa: I001
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
