@@ -104,6 +104,12 @@ def stratified_folds(df: DataFrame, key: str, y: str, k: int | None = None, seed
                      exact: bool = True, out: str = "fold", oof: bool = True) -> DataFrame:
     """Round-robin inside each target bin in md5 order.  The fold count
     is capped by the smallest bin; below 2 it falls back to plain k-fold."""
+    return stratified_folds_k(df, key, y, k, seed, exact, out, oof)[0]
+
+
+def stratified_folds_k(df: DataFrame, key: str, y: str, k: int | None = None, seed: int = DEFAULT_SEED,
+                       exact: bool = True, out: str = "fold", oof: bool = True) -> tuple[DataFrame, int]:
+    """``stratified_folds`` plus the effective fold count."""
     n = df.count()
     kk, n_bins = fold_plan(n, oof)
     if k is not None:
@@ -113,9 +119,10 @@ def stratified_folds(df: DataFrame, key: str, y: str, k: int | None = None, seed
     smallest = binned.groupBy("__bin").count().agg(F.min("count")).first()[0] or 0
     eff = min(kk, smallest)
     if eff < 2:
-        return kfold(df, key, max(2, min(kk, n)), seed, out=out, n_rows=n)
+        kf = max(2, min(kk, n))
+        return kfold(df, key, kf, seed, out=out, n_rows=n), kf
     ranked = md5_rank(binned, key, seed, groups=["__bin"], out="__rk", n_rows=n, n_groups=n_bins)
-    return ranked.withColumn(out, (F.col("__rk") % eff).cast("int")).drop("__rk", "__bin")
+    return ranked.withColumn(out, (F.col("__rk") % eff).cast("int")).drop("__rk", "__bin"), eff
 
 
 def kfold_of_rank(rank: Column, n: int, k: int) -> Column:

@@ -56,10 +56,15 @@ def inner_fold(key: str, k: int = INNER_FOLDS, seed: int = INNER_SEED) -> Column
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
 
 
+WIDE_GRAM_MIN_FEATURES = 9      # from here on, Arrow batches instead of SQL sums
+
+
 def null_aware_gram(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequence[str],
                     shift: dict[str, float]) -> dict[tuple, dict[str, np.ndarray]]:
     """One aggregation pass: the null-aware Gram system per cell."""
     d = len(feats)
+    if d >= WIDE_GRAM_MIN_FEATURES:
+        return null_aware_gram_arrow(df, feats, y, cell_cols, shift)
     z = [F.coalesce(F.col(c).cast("double") - F.lit(shift[c]), F.lit(0.0)) for c in feats]
     m = [F.col(c).isNull().cast("double") for c in feats]
     yy = F.col(y)
@@ -91,6 +96,64 @@ def null_aware_gram(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequ
     return out
 
 
+def null_aware_gram_arrow(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequence[str],
+                          shift: dict[str, float]) -> dict[tuple, dict[str, np.ndarray]]:
+    """The same statistics for wide inputs: each task folds its Arrow
+    batches into one (n, sy, yy, z1, m1, zy, my, G, H, Q) vector per cell,
+    and Spark's vector aggregate sums the task vectors (map-side partial
+    aggregation, so a hot cell costs nothing extra)."""
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    d = len(feats)
+    sh = np.array([shift[c] for c in feats])
+    ncell = len(cell_cols)
+
+    def part(it):
+        acc: dict = {}
+        for pdf in it:
+            X = np.column_stack([pdf[f"__x{i}"].to_numpy(dtype=float, na_value=np.nan) for i in range(d)]) - sh
+            yv = pdf["__y"].to_numpy(dtype=float)
+            keys = list(zip(*[pdf[f"__c{j}"].to_numpy() for j in range(ncell)]))
+            codes, uniq = pd.factorize(pd.Series(keys))
+            for ci, key in enumerate(uniq):
+                m = codes == ci
+                Xm, ym = X[m], yv[m]
+                M_ = np.isnan(Xm).astype(float)
+                Z = np.where(np.isnan(Xm), 0.0, Xm)
+                v = np.concatenate([[m.sum(), ym.sum(), ym @ ym], Z.sum(0), M_.sum(0), Z.T @ ym, M_.T @ ym,
+                                    (Z.T @ Z).ravel(), (Z.T @ M_).ravel(), (M_.T @ M_).ravel()])
+                acc[key] = v if key not in acc else acc[key] + v
+        if acc:
+            yield pd.DataFrame({**{f"__c{j}": [k[j] for k in acc] for j in range(ncell)},
+                                "v": [v.tolist() for v in acc.values()]})
+
+    base = df.select(*[F.col(c).alias(f"__c{j}") for j, c in enumerate(cell_cols)], F.col(y).alias("__y"),
+                     *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feats)])
+    schema = ", ".join(f"__c{j} {t}" for j, (_, t) in enumerate(base.select(*[f"__c{j}" for j in range(ncell)]).dtypes))
+    parts = base.mapInPandas(part, f"{schema}, v array<double>")
+    rows = parts.groupBy(*[f"__c{j}" for j in range(ncell)]).agg(
+        Summarizer.sum(array_to_vector("v")).alias("s")).collect()        # cells x O(d^2)
+    out = {}
+    for r in rows:
+        v = r["s"].toArray()
+        p = 0
+
+        def take(k):
+            nonlocal p
+            seg = v[p:p + k]
+            p += k
+            return seg
+        n_, sy_, yy_ = take(3)
+        z1, m1, zy, my = take(d), take(d), take(d), take(d)
+        G, H, Q = take(d * d).reshape(d, d), take(d * d).reshape(d, d), take(d * d).reshape(d, d)
+        out[tuple(r[f"__c{j}"] for j in range(ncell))] = {"n": float(n_), "sy": float(sy_), "yy": float(yy_),
+                                                          "z1": z1, "m1": m1, "zy": zy, "my": my,
+                                                          "G": G, "H": H, "Q": Q}
+    return out
+
+
 def _sum_cells(cells: dict, keys) -> dict | None:
     acc = None
     for k in keys:
@@ -224,7 +287,8 @@ class RidgeResult:
 
 def ridge_cv(df: DataFrame, feats: Sequence[str], y: str, key: str, fold: str | None = "fold",
              alphas: Sequence[float] = ALPHAS_STD, n_rows: int | None = None,
-             folds: Sequence[int] | None = None, cols_by_set: dict | None = None) -> RidgeResult:
+             folds: Sequence[int] | None = None, cols_by_set: dict | None = None,
+             robust: bool = True) -> RidgeResult:
     """Median impute -> robust scale -> RidgeCV for every evaluated
     fold and for the final all-row model, from three aggregation passes.
 
@@ -239,7 +303,12 @@ def ridge_cv(df: DataFrame, feats: Sequence[str], y: str, key: str, fold: str |
         folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if fold else []
     if cols_by_set is None:
         cols_by_set = {s: feats for s in list(folds) + ["all"]}
-    med, scale, shift = fill_and_scale(df, cols_by_set, fold, exact)
+    if robust:
+        med, scale, shift = fill_and_scale(df, cols_by_set, fold, exact)
+    else:   # inputs already complete and scaled (poly terms): no fill, unit scale
+        med = {s: np.zeros(len(c)) for s, c in cols_by_set.items()}
+        scale = {s: np.ones(len(c)) for s, c in cols_by_set.items()}
+        shift = {c: 0.0 for cols in cols_by_set.values() for c in cols}
     union = sorted(shift)
     pos = {c: j for j, c in enumerate(union)}
     cell_df = df.withColumn("__inner", inner_fold(key))

@@ -88,6 +88,15 @@ def attach_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
 def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick") -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
     the prepared (checkpointed) frame and the spec-sized preparation state."""
+    import time
+    laps: dict = {}
+    t_last = [time.time()]
+
+    def lap(name):
+        now = time.time()
+        laps[name] = now - t_last[0]
+        t_last[0] = now
+
     if key is None:
         key = "row_id"
         df = attach_row_id(df, key)
@@ -103,43 +112,71 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     df = df.select(*[S.finite_or_null(c).alias(c) if c in dbl else F.col(c) for c in df.columns])
     df = P.drop_null_target(df, y)
     st["n_dup_rows"] = int(P.count_duplicate_rows(df.drop(key)).first()[0])
+    lap("target_dups")
 
-    # categoricals: numeric-like coercion, then drop / one-hot / target encoding
-    cats = [c for c in P.category_columns(df, exclude=[y, key])]
+    # ONE pass profiles every column: string columns both as categories and
+    # as coerced numbers, numeric columns for missing / distinct / std.
+    df = df.drop(*[c for c, t in df.dtypes if t in ("timestamp", "date", "timestamp_ntz") and c != key])
+    cats = P.category_columns(df, exclude=[y, key])
     bools = [c for c, t in df.dtypes if t == "boolean" and c in cats]
     if bools:
         df = df.select(*[S.bool_label(c).alias(c) if c in bools else F.col(c) for c in df.columns])
     strs = [c for c in cats if c not in bools]
-    if strs:
-        prof = {r["column"]: r["to_numeric"] for r in P.numeric_like_profile(df, strs).collect()}
-        to_num = [c for c in strs if prof[c]]
+    nums0 = P.numeric_columns(df, exclude=[y, key])
+
+    def num_stats(c, e):
+        # constant = at most one distinct non-null value, i.e. min == max (exact, no distinct shuffle)
+        return [F.avg(e.isNull().cast("double")).alias(f"miss_{c}"),
+                F.coalesce((F.min(e) == F.max(e)) | F.max(e).isNull(), F.lit(True)).alias(f"one_{c}"),
+                F.coalesce(F.stddev_samp(e), F.lit(0.0)).alias(f"sd_{c}")]
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for c in strs:
+        e = S.coerce_numeric(F.col(c))
+        aggs += [F.avg(e.isNotNull().cast("double")).alias(f"parse_{c}")] + num_stats(c, e)
+    for c in cats:   # HyperLogLog first; exact counts only near a decision threshold
+        aggs.append(F.approx_count_distinct(S.null_to_sentinel(F.col(c)), 0.01).alias(f"k_{c}"))
+    for c in nums0:
+        aggs += num_stats(c, F.col(c).cast("double"))
+    one = df.agg(*aggs).first()
+    n_all = one["__n"]
+    to_num = [c for c in strs if one[f"parse_{c}"] >= P.NUMERIC_COERCE_MIN]
+    if to_num:
         df = P.apply_numeric_like(df, to_num)
-        cats = [c for c in cats if c not in to_num]
+    cats = [c for c in cats if c not in to_num]
     st["onehot"], st["target_cols"], st["dropped_cats"] = {}, [], []
-    if cats:
-        for r in P.high_card_profile(df, cats).collect():
-            if r["method"] == "drop":
-                st["dropped_cats"].append(r["column"])
-            elif r["method"] == "onehot":
-                st["onehot"][r["column"]] = E.onehot_classes(df, r["column"])
-            else:
-                st["target_cols"].append(r["column"])
+    limit = max(1, int(n_all * P.DROP_CARD_FRAC))
+    kcount = {c: one[f"k_{c}"] for c in cats}
+    near = [c for c in cats if kcount[c] <= 2 * P.ONEHOT_MAX_CARD or 0.9 * limit <= kcount[c] <= 1.1 * limit]
+    if near:
+        ex = df.agg(*[F.count_distinct(S.null_to_sentinel(F.col(c))).alias(c) for c in near]).first()
+        kcount.update({c: ex[c] for c in near})
+    oh_cols = []
+    for c in cats:
+        k = kcount[c]
+        if k > limit:
+            st["dropped_cats"].append(c)
+        elif k <= P.ONEHOT_MAX_CARD:
+            oh_cols.append(c)
+        else:
+            st["target_cols"].append(c)
+    if oh_cols:   # class lists of every one-hot column from one grouped job
+        for r in P.category_profile(df, oh_cols).collect():
+            st["onehot"].setdefault(r["column"], []).append(r["class"])
+        st["onehot"] = {c: sorted(st["onehot"][c]) for c in oh_cols}
     for c, classes in st["onehot"].items():
         df = df.select("*", *E.onehot_columns(c, classes)).drop(c)
     df = df.drop(*st["dropped_cats"])
-    # timestamps / dates are not features (documented rule)
-    df = df.drop(*[c for c, t in df.dtypes if t in ("timestamp", "date", "timestamp_ntz") and c != key])
 
-    num = [c for c in P.numeric_columns(df, exclude=[y, key])]
-    num = [r["column"] for r in P.missing_profile(df.select(y, *num), y).collect() if r["selected"]] if num else []
-    if num:
-        const = {r["column"] for r in P.constant_profile(df, num).collect() if r["is_constant"]}
-        num = [c for c in num if c not in const]
+    num = [c for c in df.columns if c in set(nums0) | set(to_num)
+           and one[f"miss_{c}"] < P.MAX_MISS_RATE
+           and not (one[f"one_{c}"] or one[f"sd_{c}"] < P.CONST_STD_EPS)]
+    num += [f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks if len(ks) > 1]
     if len(num) > 1:
         kept = {r["column"] for r in P.duplicate_profile(df, num).collect() if r["kept"]}
         num = [c for c in num if c in kept]
     oh_all = {f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks}
     st["numeric"] = [c for c in num if c not in oh_all]
+    lap("columns")
 
     df = cut_lineage(df)                                   # cleaned table, read by every later pass
     n = df.count()
@@ -150,10 +187,11 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
         df = df.withColumn("fold", F.lit(-1))
         st["folds"] = []
     else:
-        df = cut_lineage(W.stratified_folds(df, key, y, oof=oof))
-        k = df.agg(F.max("fold")).first()[0] + 1
+        folded, k = W.stratified_folds_k(df, key, y, oof=oof)
+        df = cut_lineage(folded)
         st["folds"] = list(range(k)) if oof else [0]
     tr0 = df.filter(F.col("fold") != 0) if st["folds"] else df
+    lap("folds")
 
     # y fences, transform rule and x clip from fold-0 training rows: one pass
     mult = OUTLIER_IQR_MULT if strategy == "thorough" else OUTLIER_IQR_QUICK
@@ -179,6 +217,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     df = df.withColumn("__y_t", _forward(F.col(y), st["transform"], st["lambda"]))
     df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
 
+    lap("fences_transform_clip")
     # leak-safe target encodings (deployed + one per evaluated fold)
     st["te_frames"] = {}
     for c in st["target_cols"]:
@@ -190,7 +229,10 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["onehot_cols"] = [c for c in num if c in oh_all]
     st["base_feats"] = list(num)
     st["n_outliers"] = int(df.agg(F.count_if("__clipped")).first()[0])
+    lap("encoders")
     prepared = cut_lineage(df)
+    lap("checkpoint")
+    st["prepare_laps"] = laps
     return prepared, st
 
 
@@ -231,7 +273,7 @@ def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: st
             src = df.select(key, "fold", y, *[F.coalesce(F.col(c), F.lit(med_sets["all"][c])).alias(c) for c in top])
             src = src.select(key, "fold", y, *poly_columns(top, center, scl))
             pf = [c for c in src.columns if c not in (key, "fold", y)]
-            res = ridge_cv(src, pf, y, key, "fold" if folds else None, ALPHAS_POLY, folds=folds)
+            res = ridge_cv(src, pf, y, key, "fold" if folds else None, ALPHAS_POLY, folds=folds, robust=False)
             scored = src
         else:
             res = ridge_cv(df, feats, y, key, "fold" if folds else None, ALPHAS_STD, folds=folds,
@@ -293,7 +335,11 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached."""
     spark = df.sparkSession
+    import time
+    t0 = time.time()
+    timings: dict = {}
     prepared, st = prepare(df, target, key, strategy)
+    timings["prepare"] = time.time() - t0
     key = st["key"]
     y = st["target"]
     folds = st["folds"]
@@ -314,7 +360,9 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
             continue
         if not cols_by_set["all"]:
             break
+        t1 = time.time()
         pred_t, final, info = _family_preds(kind, prepared, st, sets, cols_by_set, key, rows_eval)
+        timings[f"fit_{kind}"] = time.time() - t1
         pred = pred_t.select(key, _invert(F.col("pred"), st["transform"], st["lambda"]).alias(kind))
         oof_cols[kind] = pred
         finals[kind], infos[kind] = final, info
@@ -323,7 +371,10 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     oof = truth
     for kind, p in oof_cols.items():
         oof = oof.join(p, key, "left")
+    t1 = time.time()
     oof = cut_lineage(oof)
+    timings["oof_assemble"] = time.time() - t1
+    t1 = time.time()
     metric_aggs = []
     for kind in oof_cols:
         metric_aggs += M.r2_aggs("y_w", kind, f"{kind}_")
@@ -373,6 +424,7 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
                 F.avg(F.abs(F.col("y_raw") - F.col("final"))).alias("mae")).first()
     r2_raw = (1 - mt["sse"] / mt["sst"]) if mt["sst"] else 0.0
 
+    timings["evaluate"] = time.time() - t1
     lb = M.leaderboard(cand_df)
     imp = _importance(spark, best, finals, infos, weights)
     warn = M.quality_warnings(spark, n, st["eval_on"], int(rows_eval.count()) if st["eval_on"] == "val" else 0,
@@ -386,6 +438,8 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         "target string, n_rows bigint, eval_on string, best_model string, r2 double, r2_raw double, "
         "rmse double, mae double, y_transform string, n_features int, n_outliers bigint, n_duplicate_rows bigint")
     report = report.withColumn("r2_bucket", S.r2_bucket("r2_raw"))
+    timings["total"] = time.time() - t0
+    st["timings"] = timings
     bundle = {"prep": st, "best": best, "post": post, "weights": weights,
               "feats": cols_by_set["all"], "infos": infos}
     return TrainResult(report, lb, imp, oof, bundle, finals)
