@@ -7,9 +7,6 @@ Every column is read as a string; numeric inference is the P03 rule.
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +27,9 @@ def detect_charset(spark: SparkSession, path: str) -> str:
 
 def header_columns(spark: SparkSession, path: str, charset: str = "UTF-8") -> list[str]:
     """The raw header line (first line only), names trimmed, BOM removed."""
-    opts = {"encoding": charset} if charset != "UTF-8" else {}
-    first = spark.read.options(**opts).text(path).first()
-    line = first["value"] if first else ""
-    names = next(csv.reader(io.StringIO(line))) if line else []
+    first = (spark.read.option("encoding", charset).option("header", False).option("inferSchema", False)
+             .csv(path).first())
+    names = [v if v is not None else "" for v in first] if first else []
     if names:
         names[0] = names[0].lstrip(BOM)
     return [n.strip() for n in names]
