@@ -52,8 +52,10 @@ def gram_by_fold(df: DataFrame, feats: Sequence[str], y: str, fold: str = "fold"
 
 
 def inner_fold(key: str, k: int = INNER_FOLDS, seed: int = INNER_SEED) -> Column:
-    """Inner CV assignment of a row: a seeded hash bucket of its key."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
+    """Inner CV assignment of a row: the first 32 bits of md5('<seed>i|key')
+    modulo k -- the same value in any SQL engine."""
+    h = F.md5(F.concat(F.lit(f"{seed}i|"), F.col(key).cast("string")))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int")
 
 
 WIDE_GRAM_MIN_FEATURES = 9      # from here on, Arrow batches instead of SQL sums

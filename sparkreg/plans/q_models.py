@@ -184,8 +184,50 @@ def q_derived_recipe_fit(spark, sf):
 
 
 # ---------------------------------------------------------------- M01 / M02 / M14 / D02 / D03
-@query("ridge_cv")
+ALPHA_VALUES = ", ".join(f"({i}, {a})" for i, a in enumerate(ALPHAS_STD))
+
+
+@query("ridge_cv", f"""
+WITH {folds_cte('part', 'p_partkey', 'p_retailprice')},
+b AS (SELECT p_partkey, fold, CAST(nullif(p_size, 1) AS DOUBLE) AS x, __y AS y,
+             CAST(('0x' || substr(md5(concat('42i|', CAST(p_partkey AS VARCHAR))), 1, 8))::BIGINT % 5 AS INTEGER) AS inn
+      FROM folded),
+fs AS (SELECT DISTINCT fold AS f FROM b),
+med AS (SELECT f, quantile_cont(x, 0.5) AS m FROM b, fs WHERE b.fold <> fs.f GROUP BY f),
+tr AS (SELECT med.f, b.inn, coalesce(b.x, med.m) AS xf, b.y FROM b JOIN med ON b.fold <> med.f),
+sc AS (SELECT f, greatest(quantile_cont(xf, 0.75) - quantile_cont(xf, 0.25), 1e-8) AS s FROM tr GROUP BY f),
+al AS (SELECT * FROM (VALUES {ALPHA_VALUES}) v(ai, a)),
+ins AS (SELECT DISTINCT inn AS i FROM b),
+fit AS (SELECT t.f, al.ai, al.a, ins.i, avg(t.xf) AS mx, avg(t.y) AS my,
+               var_pop(t.xf) * count(*) AS sxx, covar_pop(t.xf, t.y) * count(*) AS sxy
+        FROM tr t, al, ins WHERE t.inn <> ins.i GROUP BY t.f, al.ai, al.a, ins.i),
+coef AS (SELECT fit.*, sxy / (sxx + a * s * s) AS beta FROM fit JOIN sc USING (f)),
+sse AS (SELECT c.f, c.ai, c.a, sum(power(t.y - (c.my - c.beta * c.mx) - c.beta * t.xf, 2)) AS e
+        FROM coef c JOIN tr t ON t.f = c.f AND t.inn = c.i GROUP BY c.f, c.ai, c.a),
+best AS (SELECT f, a FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY e, ai) AS r FROM sse) WHERE r = 1),
+fin AS (SELECT t.f, avg(t.xf) AS mx, avg(t.y) AS my, var_pop(t.xf) * count(*) AS sxx,
+               covar_pop(t.xf, t.y) * count(*) AS sxy FROM tr t GROUP BY t.f),
+cf AS (SELECT fin.f, fin.sxy / (fin.sxx + best.a * sc.s * sc.s) AS beta, fin.my, fin.mx, med.m
+       FROM fin JOIN best USING (f) JOIN sc USING (f) JOIN med USING (f))
+SELECT b.p_partkey, b.fold, round(cf.my - cf.beta * cf.mx + cf.beta * coalesce(b.x, cf.m), 6) AS pred
+FROM b JOIN cf ON cf.f = b.fold
+""")
 def q_ridge_cv(spark, sf):
+    """M01 with one nullable feature: per-fold median fill, robust scale,
+    alpha by inner 5-fold SSE, OOF prediction per row."""
+    pt = table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("x"),
+                                         "p_retailprice")
+    d = stratified_folds(pt, "p_partkey", "p_retailprice")
+    res = ridge_cv(d, ["x"], "p_retailprice", "p_partkey", "fold", ALPHAS_STD)
+    e = None
+    for f, sp in res.per_fold.items():
+        e = F.when(F.col("fold") == f, sp.predict()) if e is None else e.when(F.col("fold") == f, sp.predict())
+    return d.select("p_partkey", "fold", rnd(e).alias("pred"))
+
+
+@query("ridge_cv_wide")
+def q_ridge_cv_wide(spark, sf):
+    """M01 on eight features (size, name length, one-hot type)."""
     d, feats = part_numeric(spark, sf)
     res = ridge_cv(d, feats, "y", "p_partkey", "fold", ALPHAS_STD)
     e = None
@@ -563,10 +605,7 @@ def q_choose_deployed(spark, sf):
 
 @query("quality_warnings")
 def q_quality_warnings(spark, sf):
-    res = trained(spark, sf)
-    st = res.bundle["prep"]
-    return M.quality_warnings(spark, st["n_rows"], st["eval_on"], 0, st["n_target_na"], st["n_outliers"],
-                              st["fence"][2], st["n_dup_rows"], st["dropped_cats"])
+    return trained(spark, sf).warnings
 
 
 # ---------------------------------------------------------------- D01 / D08 / U02 / X01

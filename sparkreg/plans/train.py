@@ -53,6 +53,7 @@ class TrainResult:
     oof: DataFrame
     bundle: dict
     models: dict = field(default_factory=dict)
+    warnings: DataFrame | None = None
 
 
 def _cols_by_set(base: list[str], te_cols: list[str], sets) -> dict:
@@ -427,9 +428,9 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     timings["evaluate"] = time.time() - t1
     lb = M.leaderboard(cand_df)
     imp = _importance(spark, best, finals, infos, weights)
-    warn = M.quality_warnings(spark, n, st["eval_on"], int(rows_eval.count()) if st["eval_on"] == "val" else 0,
-                              st["n_target_na"], st["n_outliers"], st["fence"][2], st["n_dup_rows"],
-                              st["dropped_cats"])
+    st["n_val"] = int(rows_eval.count()) if st["eval_on"] == "val" else 0
+    warn = M.quality_warnings(spark, n, st["eval_on"], st["n_val"], st["n_target_na"], st["n_outliers"],
+                              st["fence"][2], st["n_dup_rows"], st["dropped_cats"])
     report = spark.createDataFrame([(
         y, n, st["eval_on"], best, float(choice["chosen_r2"]) if choice["chosen_r2"] is not None else None,
         float(r2_raw), float(mt["rmse"]) if mt["rmse"] is not None else None,
@@ -442,7 +443,7 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     st["timings"] = timings
     bundle = {"prep": st, "best": best, "post": post, "weights": weights,
               "feats": cols_by_set["all"], "infos": infos}
-    return TrainResult(report, lb, imp, oof, bundle, finals)
+    return TrainResult(report, lb, imp, oof, bundle, finals, warnings=warn)
 
 
 def _importance(spark, best: str, finals: dict, infos: dict, weights: dict) -> DataFrame:
