@@ -141,24 +141,33 @@ def constant_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- P07
 def correlation_pairs(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Pearson correlation of every column pair after median fill, from one
-    pass of medians and one pass of ``corr`` aggregates (p*(p-1)/2 of them)."""
-    med = df.agg(*[quantile_expr(F.col(c).cast("double"), 0.5, exact).alias(f"q{i}")
+    """Pearson correlation of every column pair after median fill.  One
+    pass of medians, then ONE pass of plain sums of the median-centred
+    columns (p + p(p+1)/2 SUMs, cheap to codegen -- p*(p-1)/2 ``corr``
+    aggregates are not); the p x p matrix is formed on the driver."""
+    import math
+    cols = list(cols)
+    med = df.agg(*[quantile_expr(F.col(f"`{c}`").cast("double"), 0.5, exact).alias(f"q{i}")
                    for i, c in enumerate(cols)]).first()
-    fill = {c: (med[f"q{i}"] if med[f"q{i}"] is not None else 0.0) for i, c in enumerate(cols)}
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c]))).alias(c) for c in cols])
-    aggs, rows = [], []
+    fill = [(med[f"q{i}"] if med[f"q{i}"] is not None else 0.0) for i in range(len(cols))]
+    z = [F.coalesce(F.col(f"`{c}`").cast("double") - F.lit(float(fill[i])), F.lit(0.0)) for i, c in enumerate(cols)]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(z[i]).alias(f"s{i}") for i in range(len(cols))]
+    aggs += [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
+    r = df.agg(*aggs).first()
+    n = float(r["n"] or 0)
+    rows = []
     for i in range(len(cols)):
         for j in range(i):
-            k = f"c{i}_{j}"
-            aggs.append(F.corr(cols[i], cols[j]).alias(k))
-            rows.append(F.struct(F.lit(cols[i]).alias("column"), F.lit(i).alias("pos"),
-                                 F.lit(cols[j]).alias("other"), F.lit(j).alias("other_pos"),
-                                 F.col(k).alias("corr")))
-    if not aggs:
-        return df.sparkSession.createDataFrame(
-            [], "column string, pos int, other string, other_pos int, corr double")
-    return _long(filled.agg(*aggs), rows)
+            corr = None
+            if n > 1:
+                si, sj = r[f"s{i}"] or 0.0, r[f"s{j}"] or 0.0
+                vi = (r[f"p{i}_{i}"] or 0.0) - si * si / n
+                vj = (r[f"p{j}_{j}"] or 0.0) - sj * sj / n
+                cij = (r[f"p{i}_{j}"] or 0.0) - si * sj / n
+                if vi > 0 and vj > 0:
+                    corr = cij / math.sqrt(vi * vj)
+            rows.append((cols[i], i, cols[j], j, corr))
+    return df.sparkSession.createDataFrame(rows, "column string, pos int, other string, other_pos int, corr double")
 
 
 def duplicate_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:

@@ -41,6 +41,7 @@ OUTLIER_IQR_QUICK = 4.5        # quick
 POLY_MAX_ROWS = 200
 POLY_MAX_FEATS = 8
 GP_MIN_ROWS = 10
+EXACT_DISTINCT_MAX_ROWS = 10_000_000
 QUICK_FAMILIES = ("linear", "gbt", "gp", "mlp")
 THOROUGH_FAMILIES = ("linear", "poly", "gbt", "gp", "mlp", "rf", "xt")
 
@@ -80,6 +81,10 @@ def _forward(col, transform: str, lam: float | None):
     return col
 
 
+def spark_parallelism(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def attach_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     """Row identity for tables without a unique key: a generated id, made
     stable by a reliable checkpoint (re-evaluation could renumber rows)."""
@@ -134,11 +139,15 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     for c in strs:
         e = S.coerce_numeric(F.col(c))
         aggs += [F.avg(e.isNotNull().cast("double")).alias(f"parse_{c}")] + num_stats(c, e)
-    for c in cats:   # HyperLogLog first; exact counts only near a decision threshold
-        aggs.append(F.approx_count_distinct(S.null_to_sentinel(F.col(c)), 0.01).alias(f"k_{c}"))
+    exact_card = rep["n_rows"] <= EXACT_DISTINCT_MAX_ROWS
+    for c in cats:   # exact on modest tables; HyperLogLog first on big ones (exact near a threshold)
+        e = S.null_to_sentinel(F.col(c))
+        aggs.append((F.count_distinct(e) if exact_card else F.approx_count_distinct(e, 0.05)).alias(f"k_{c}"))
     for c in nums0:
         aggs += num_stats(c, F.col(c).cast("double"))
+    lap("pre_profile")
     one = df.agg(*aggs).first()
+    lap("profile_pass")
     n_all = one["__n"]
     to_num = [c for c in strs if one[f"parse_{c}"] >= P.NUMERIC_COERCE_MIN]
     if to_num:
@@ -147,7 +156,8 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["onehot"], st["target_cols"], st["dropped_cats"] = {}, [], []
     limit = max(1, int(n_all * P.DROP_CARD_FRAC))
     kcount = {c: one[f"k_{c}"] for c in cats}
-    near = [c for c in cats if kcount[c] <= 2 * P.ONEHOT_MAX_CARD or 0.9 * limit <= kcount[c] <= 1.1 * limit]
+    near = [] if exact_card else [c for c in cats if kcount[c] <= 2 * P.ONEHOT_MAX_CARD
+                                  or 0.75 * limit <= kcount[c] <= 1.3 * limit]
     if near:
         ex = df.agg(*[F.count_distinct(S.null_to_sentinel(F.col(c))).alias(c) for c in near]).first()
         kcount.update({c: ex[c] for c in near})
@@ -167,13 +177,16 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     for c, classes in st["onehot"].items():
         df = df.select("*", *E.onehot_columns(c, classes)).drop(c)
     df = df.drop(*st["dropped_cats"])
+    lap("classes")
 
     num = [c for c in df.columns if c in set(nums0) | set(to_num)
            and one[f"miss_{c}"] < P.MAX_MISS_RATE
            and not (one[f"one_{c}"] or one[f"sd_{c}"] < P.CONST_STD_EPS)]
     num += [f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks if len(ks) > 1]
     if len(num) > 1:
-        kept = {r["column"] for r in P.duplicate_profile(df, num).collect() if r["kept"]}
+        # the fill medians only place the NULL rows before |corr| > 0.999 is tested
+        kept = {r["column"] for r in P.duplicate_profile(df, num, exact=n_all <= P.EXACT_PERCENTILE_MAX_ROWS)
+                .collect() if r["kept"]}
         num = [c for c in num if c in kept]
     oh_all = {f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks}
     st["numeric"] = [c for c in num if c not in oh_all]
@@ -232,6 +245,9 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["n_outliers"] = int(df.agg(F.count_if("__clipped")).first()[0])
     lap("encoders")
     prepared = cut_lineage(df)
+    dp = spark_parallelism(df)
+    if prepared.rdd.getNumPartitions() < dp:      # small inputs only: keep every core busy
+        prepared = cut_lineage(prepared.repartition(dp, key))
     lap("checkpoint")
     st["prepare_laps"] = laps
     return prepared, st
