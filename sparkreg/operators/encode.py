@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions.scalar import NAN_CLASS, null_to_sentinel
 
 TE_SMOOTHING = 20.0            # fixed: pseudo-count of the smoothed mean
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 500_000     # encoder rows we accept to ship to every task
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on, n_lookup: int | None, how: str = "left") -> DataFrame:

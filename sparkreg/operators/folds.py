@@ -41,8 +41,9 @@ def _prefix_len(n_rows: int, n_groups: int) -> int:
 
 
 def md5_rank(df: DataFrame, key: str, seed, groups: Sequence[str] = (), out: str = "rank",
-             n_rows: int | None = None, n_groups: int = 1) -> DataFrame:
-    """0-based rank of each row inside ``groups`` in md5(seed|key) order."""
+             n_rows: int | None = None, n_groups: int = 1, counts: DataFrame | None = None) -> DataFrame:
+    """0-based rank of each row inside ``groups`` in md5(seed|key) order.
+    ``counts`` may pass the (groups, __b, __n) table if already computed."""
     if n_rows is None:
         n_rows = df.count()
     p = _prefix_len(n_rows, n_groups)
@@ -50,7 +51,8 @@ def md5_rank(df: DataFrame, key: str, seed, groups: Sequence[str] = (), out: str
     b = "__b"
     d = df.withColumn(h, row_hash(key, seed)).withColumn(b, F.substring(F.col(h), 1, p))
     part = list(groups) + [b]
-    counts = d.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = d.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
     wo = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if groups \
         else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, F.coalesce(F.sum("__n").over(wo), F.lit(0)).alias("__off"))
@@ -109,19 +111,36 @@ def stratified_folds(df: DataFrame, key: str, y: str, k: int | None = None, seed
 
 def stratified_folds_k(df: DataFrame, key: str, y: str, k: int | None = None, seed: int = DEFAULT_SEED,
                        exact: bool = True, out: str = "fold", oof: bool = True) -> tuple[DataFrame, int]:
-    """``stratified_folds`` plus the effective fold count."""
-    n = df.count()
+    """``stratified_folds`` plus the effective fold count.  Two passes over
+    the rows before the ranking itself: (count + quantile edges), then the
+    (bin, hash prefix) counts, which also give the smallest bin."""
+    guess_bins = 5
+    probs = [i / guess_bins for i in range(guess_bins + 1)]
+    first = df.agg(F.count(F.lit(1)).alias("n"), quantile_expr(F.col(y), probs, exact).alias("e")).first()
+    n = first["n"]
     kk, n_bins = fold_plan(n, oof)
     if k is not None:
         kk = max(2, min(k, n // 2))
         n_bins = min(kk, max(2, n // 10))
-    binned = quantile_bins(df, y, n_bins, exact, out="__bin")
-    smallest = binned.groupBy("__bin").count().agg(F.min("count")).first()[0] or 0
+    if n_bins == guess_bins and first["e"] is not None:
+        edges = sorted(set(float(v) for v in first["e"]))
+    else:
+        edges = quantile_edges(df, y, n_bins, exact)
+    if len(edges) < 2:
+        binned = quantile_bins(df, y, n_bins, exact, out="__bin")
+    else:
+        binned = df.withColumn("__bin", bin_expr(y, edges))
+    p = _prefix_len(n, n_bins)
+    counts = (binned.withColumn("__b", F.substring(row_hash(key, seed), 1, p))
+              .groupBy("__bin", "__b").agg(F.count(F.lit(1)).alias("__n")))
+    counts = counts.persist()
+    smallest = counts.groupBy("__bin").agg(F.sum("__n").alias("c")).agg(F.min("c")).first()[0] or 0
     eff = min(kk, smallest)
     if eff < 2:
+        counts.unpersist()
         kf = max(2, min(kk, n))
         return kfold(df, key, kf, seed, out=out, n_rows=n), kf
-    ranked = md5_rank(binned, key, seed, groups=["__bin"], out="__rk", n_rows=n, n_groups=n_bins)
+    ranked = md5_rank(binned, key, seed, groups=["__bin"], out="__rk", n_rows=n, n_groups=n_bins, counts=counts)
     return ranked.withColumn(out, (F.col("__rk") % eff).cast("int")).drop("__rk", "__bin"), eff
 
 

@@ -48,6 +48,9 @@ def attach_prediction(df: DataFrame, target: str, pred: str) -> DataFrame:
 
 def _raw_sources(feat: str, prep: dict) -> list[str]:
     """Source column(s) of a model feature name."""
+    for r in prep.get("recipe", []):
+        if r["name"] == feat:
+            return list(r["cols"])
     if feat.endswith("__all"):
         return [feat[: -len("__all")]]
     if "==" in feat:
@@ -116,6 +119,8 @@ def encode_features(df: DataFrame, bundle) -> tuple[DataFrame, list[str]]:
         if c in clip:
             v = S.clip(v, *clip[c])
         out = out.withColumn(f"__m_{c}", v)
+    for r in prep.get("recipe", []):        # F10 on the clipped sources
+        out = out.withColumn(f"__m_{r['name']}", S.derived(r["op"], [F.col(f"`__m_{c}`") for c in r["cols"]]))
     return out, missing
 
 

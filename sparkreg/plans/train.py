@@ -28,11 +28,12 @@ from sparkreg.operators import folds as W
 from sparkreg.operators import metrics as M
 from sparkreg.operators import profile as P
 from sparkreg.operators import transform as TR
-from sparkreg.operators.blend import blend_weights, eligible_members
+from sparkreg.operators.blend import blend_weights, eligible_members, stack_members
 from sparkreg.operators.gp import fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
 from sparkreg.operators.mlp import MLP_MIN_ROWS, fit_mlp
-from sparkreg.operators.trees import GBT_ITER_QUICK, GBT_ITER_THOROUGH, fit_trees, split_importance
+from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, SCREEN_MIN_FEATURES, fit_trees,
+                                     screen_features, split_importance)
 from sparkreg.session import cut_lineage
 
 # Fixed values of the reference's training rules.
@@ -91,6 +92,64 @@ def attach_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
 
 
+def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds) -> tuple:
+    """M12 (thorough): none / log1p (only when every y >= 0) / Yeo-Johnson
+    (lambda from fold-0 training rows), scored by a boosted model on two
+    folds, R2 measured on the original scale."""
+    cands = ["none"] + (["log1p"] if y_min_all is not None and y_min_all >= 0 else []) + ["yeo_johnson"]
+    lam = TR.fit_yj_lambda(df.filter(F.col("fold") != folds[0]), y)
+    scores = {}
+    for t in cands:
+        lt = lam if t == "yeo_johnson" else None
+        d = df.withColumn("__t", _forward(F.col(y), t, lt))
+        parts = []
+        for f in folds:
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt")
+            pr = spec.transform(d.filter(F.col("fold") == f).select(y, *feats), "__p")
+            parts.append(pr.select(F.col(y).alias("__y"), _invert(F.col("__p"), t, lt).alias("__p")))
+        u = parts[0]
+        for p_ in parts[1:]:
+            u = u.unionByName(p_)
+        r = u.agg(*M.r2_aggs("__y", "__p")).first()
+        scores[t] = (1 - r["sse"] / r["sst"]) if r["sst"] else 0.0
+    best = max(cands, key=lambda t: (scores[t], -cands.index(t)))
+    return best, (lam if best == "yeo_johnson" else None), scores
+
+
+def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict) -> tuple[DataFrame, dict]:
+    """M17 + P11 per training set (thorough): each set proposes derived
+    features from its own rows, keeps those a boosted probe splits on, then
+    screens when more than 10 features remain.  Derived values are row-local,
+    so the union of all sets' recipes is added once as a projection."""
+    from sparkreg.operators.search import apply_recipe, fit_recipe
+    y = "__y_t"
+    spark = prepared.sparkSession
+    base = [c for c in st["numeric"]]
+    recipes = {}
+    for s in sets:
+        tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
+
+        def probe(cand, names, tr=tr):
+            spec = fit_trees(cand, names, y, "gbt")
+            return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
+        recipes[s] = fit_recipe(tr, base, y, probe) if len(base) >= 2 else []
+    union = {}
+    for rs in recipes.values():
+        for r in rs:
+            union.setdefault(r["name"], r)
+    if union:
+        prepared = apply_recipe(prepared, list(union.values()))
+    out = {}
+    for s in sets:
+        cols = list(cols_by_set[s]) + [r["name"] for r in recipes[s]]
+        if len(cols) > SCREEN_MIN_FEATURES:
+            tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
+            cols = screen_features(tr, cols, y)
+        out[s] = cols
+    st["recipes"] = {str(k): v for k, v in recipes.items()}
+    return prepared, out
+
+
 def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick") -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
     the prepared (checkpointed) frame and the spec-sized preparation state."""
@@ -224,12 +283,15 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     df = TR.winsorize(df, y, lo, hi, flag="__clipped")
     tr_w = df.filter(F.col("fold") != 0) if st["folds"] else df
     y_min_all = df.agg(F.min(y)).first()[0]
+    df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
     rule = TR.quick_transform_rule(tr_w, y, y_min_all).first()
     st["transform"], st["lambda"] = rule["transform"], None
-    if st["transform"] == "yeo_johnson":
+    if strategy == "thorough" and len(st["folds"]) >= 2 and num:
+        st["transform"], st["lambda"], st["transform_scores"] = select_transform_cv(
+            df, y, num, y_min_all, st["folds"][:2])
+    elif st["transform"] == "yeo_johnson":
         st["lambda"] = TR.fit_yj_lambda(tr_w, y)
     df = df.withColumn("__y_t", _forward(F.col(y), st["transform"], st["lambda"]))
-    df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
 
     lap("fences_transform_clip")
     # leak-safe target encodings (deployed + one per evaluated fold)
@@ -347,7 +409,7 @@ def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: st
 
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
-          families=None) -> TrainResult:
+          families=None, derive: bool | None = None) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached."""
@@ -362,6 +424,12 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     folds = st["folds"]
     sets = list(folds) + ["all"]
     cols_by_set = _cols_by_set(st["base_feats"], st["target_cols"], sets)
+    if derive is None:
+        derive = strategy == "thorough"
+    if derive and st["n_rows"] >= 50 and folds:
+        t1 = time.time()
+        prepared, cols_by_set = recipes_and_screening(prepared, st, sets, cols_by_set)
+        timings["recipes_screening"] = time.time() - t1
     families = families or (THOROUGH_FAMILIES if strategy == "thorough" else QUICK_FAMILIES)
     n = st["n_rows"]
     rows_eval = prepared.filter(F.col("fold").isin(folds)) if folds else prepared
@@ -385,11 +453,16 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         finals[kind], infos[kind] = final, info
 
     # align member predictions (J02/J03): one frame, one column per family
-    oof = truth
-    for kind, p in oof_cols.items():
-        oof = oof.join(p, key, "left")
+    # J02 + J03 in ONE shuffle: truth and every member's OOF column go long
+    # as (key, model, value) and pivot back on the key with a fixed list.
     t1 = time.time()
-    oof = cut_lineage(oof)
+    long = truth.select(key, F.lit("y_w").alias("model"), F.col("y_w").alias("pred"))
+    long = long.unionByName(truth.select(key, F.lit("y_raw").alias("model"), F.col("y_raw").alias("pred")))
+    long = long.unionByName(truth.select(key, F.lit("fold").alias("model"), F.col("fold").cast("double").alias("pred")))
+    for kind, p in oof_cols.items():
+        long = long.unionByName(p.select(key, F.lit(kind).alias("model"), F.col(kind).alias("pred")))
+    oof = stack_members(long, key, ["y_w", "y_raw", "fold", *oof_cols])
+    oof = cut_lineage(oof.withColumn("fold", F.col("fold").cast("int")))
     timings["oof_assemble"] = time.time() - t1
     t1 = time.time()
     metric_aggs = []
@@ -496,6 +569,7 @@ def save(result: TrainResult, root: str) -> str:
     members = {m: result.models[m] for m in (b["weights"] if best == "blend" else [best])}
     prep = {k: st[k] for k in ("target", "key", "strategy", "onehot", "target_cols", "dropped_cats", "numeric",
                                "clip", "transform", "lambda", "base_feats", "n_rows", "eval_on")}
+    prep["recipe"] = st.get("recipes", {}).get("all", [])
     meta = {"best": best, "post": b["post"], "weights": b["weights"], "feats": b["feats"], "prep": prep}
     enc = {c: (frame, g, n) for c, (frame, g, n) in st["te_frames"].items()}
     spark = result.report.sparkSession

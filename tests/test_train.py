@@ -68,3 +68,23 @@ def test_small_table_trains_on_all(spark):
     df = spark.createDataFrame([(i, float(i), float(2 * i + 1)) for i in range(8)], "id long, x double, y double")
     res = train(df, "y", key="id", families=("linear",))
     assert res.report.first()["eval_on"] == "train"
+
+
+def test_thorough_finds_derived_product(spark):
+    """poly_derived: y = round(x1 x2 + x3 + noise); the recipe must propose
+    and keep x1*x2, and the linear model on it must fit well.  Scoring the
+    saved bundle rebuilds the derived column."""
+    rng = np.random.RandomState(7)
+    n = 100
+    x = rng.uniform(0, 4, (n, 3))
+    y = np.round(x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(0, 0.2, n))
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(n)],
+                               "id long, x1 double, x2 double, x3 double, y double")
+    res = train(df, "y", key="id", strategy="thorough", families=("linear",))
+    names = [r["name"] for r in res.bundle["prep"]["recipes"]["all"]]
+    assert "x1*x2" in names
+    assert res.report.first()["r2"] > 0.9
+    root = scratch_path(spark, "t-derived")
+    save(res, root)
+    sc = score(df.drop("y"), load_bundle(spark, root))
+    assert sc.filter(F.col("y") != F.round("y")).count() == 0      # integral target -> rounded output
