@@ -104,22 +104,33 @@ class GPSpec:
 
 def prepare_specs(df: DataFrame, y: str, key: str, medians_by_set: dict, fold: str | None,
                   cols_by_set: dict) -> dict:
-    """Per training set (fold complement or all): standardisation, the seeded
-    300-row subset, and hyper-parameters fitted on that subset."""
+    """Per training set (fold complement or all): standardisation (all sets
+    from ONE FILTERed aggregate), the seeded 300-row subset, and
+    hyper-parameters fitted on that subset."""
+    sets = list(cols_by_set)
+    aggs = []
+    for si, s in enumerate(sets):
+        med = medians_by_set[s]
+
+        def tr(c, s=s):
+            return c if s == "all" else F.when(F.col(fold) != s, c)
+        xs_ = [F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c, 0.0)))) for c in cols_by_set[s]]
+        aggs += [F.avg(tr(x)).alias(f"m{si}_{i}") for i, x in enumerate(xs_)]
+        aggs += [F.stddev_pop(tr(x)).alias(f"s{si}_{i}") for i, x in enumerate(xs_)]
+        aggs += [F.avg(tr(F.col(y))).alias(f"my{si}"), F.stddev_pop(tr(F.col(y))).alias(f"sy{si}")]
+    st = df.agg(*aggs).first()
     specs = {}
-    for s, cols in cols_by_set.items():
+    for si, s in enumerate(sets):
+        cols = cols_by_set[s]
         med = medians_by_set[s]
-        tr = df if s == "all" else df.filter(F.col(fold) != s)
-        xs_ = [F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c, 0.0)))).alias(f"__x{i}")
-               for i, c in enumerate(cols)]
-        base = tr.select(key, F.col(y).alias("__y"), *xs_)
         d = len(cols)
-        st = base.agg(*[F.avg(f"__x{i}").alias(f"m{i}") for i in range(d)],
-                      *[F.stddev_pop(f"__x{i}").alias(f"s{i}") for i in range(d)],
-                      F.avg("__y").alias("my"), F.stddev_pop("__y").alias("sy")).first()
-        xm = np.array([st[f"m{i}"] or 0.0 for i in range(d)])
-        xsd = np.array([max(st[f"s{i}"] or 0.0, 1e-8) for i in range(d)])
-        ym, ysd = float(st["my"] or 0.0), max(float(st["sy"] or 0.0), 1e-8)
+        xm = np.array([st[f"m{si}_{i}"] or 0.0 for i in range(d)])
+        xsd = np.array([max(st[f"s{si}_{i}"] or 0.0, 1e-8) for i in range(d)])
+        ym, ysd = float(st[f"my{si}"] or 0.0), max(float(st[f"sy{si}"] or 0.0), 1e-8)
+        tr_rows = df if s == "all" else df.filter(F.col(fold) != s)
+        base = tr_rows.select(key, F.col(y).alias("__y"),
+                              *[F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c, 0.0)))).alias(f"__x{i}")
+                                for i, c in enumerate(cols)])
         sub = sample_rows(base, key, GP_MAX_POINTS).toPandas()     # <= 300 rows: spec-sized
         Z = (sub[[f"__x{i}" for i in range(d)]].to_numpy(dtype=float) - xm) / xsd
         yz = (sub["__y"].to_numpy(dtype=float) - ym) / ysd
