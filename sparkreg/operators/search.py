@@ -24,6 +24,7 @@ GBT_FINALISTS = 3
 MLP_FINALISTS = 2
 MLP_CANDIDATES = 8
 PRELIM_FOLDS = 2
+SEARCH_THREADS = 4
 RECIPE_MAX_BASE = 12
 RECIPE_MAX_KEEP = 15
 RECIPE_MIN_ROWS = 50
@@ -62,14 +63,15 @@ def halving_search(spark, candidates: Sequence[dict], folds: Sequence[int],
                    evaluate: Callable[[dict, Sequence[int]], float], keep: int) -> DataFrame:
     """Trial table (trial, params, stage, r2): every candidate on the first
     two folds, the ``keep`` best (T06) on all folds."""
-    rows = []
+    from concurrent.futures import ThreadPoolExecutor
     prelim = list(folds)[:PRELIM_FOLDS]
-    for i, c in enumerate(candidates):
-        rows.append((i, str(c), "prelim", float(evaluate(c, prelim))))
-    trials = spark.createDataFrame(rows, "trial int, params string, stage string, r2 double")
-    finalists = [r["trial"] for r in M.halving_select(trials, keep).collect()]
-    for i in finalists:
-        rows.append((i, str(candidates[i]), "final", float(evaluate(candidates[i], folds))))
+    with ThreadPoolExecutor(max_workers=SEARCH_THREADS) as pool:   # bounded pool submitting Spark fits
+        scores = list(pool.map(lambda c: float(evaluate(c, prelim)), candidates))
+        rows = [(i, str(c), "prelim", scores[i]) for i, c in enumerate(candidates)]
+        trials = spark.createDataFrame(rows, "trial int, params string, stage string, r2 double")
+        finalists = [r["trial"] for r in M.halving_select(trials, keep).collect()]
+        final = list(pool.map(lambda i: float(evaluate(candidates[i], folds)), finalists))
+    rows += [(i, str(candidates[i]), "final", r) for i, r in zip(finalists, final)]
     return spark.createDataFrame(rows, "trial int, params string, stage string, r2 double")
 
 
