@@ -95,7 +95,10 @@ def q_src_csv_fallback(spark, sf):
     return read_csv(spark, path)
 
 
-@query("src_header_check")
+@query("src_header_check", """
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column", FALSE AS duplicate
+FROM (DESCRIBE part)
+""")
 def q_src_header_check(spark, sf):
     from sparkreg.sources.csv import header_report
     path = scratch_path(spark, "csv")

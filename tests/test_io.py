@@ -53,3 +53,29 @@ def test_scored_csv_has_bom(spark):
     f = [x for x in os.listdir(p) if x.endswith(".csv")][0]
     with open(os.path.join(p, f), "rb") as fh:
         assert fh.read(3) == b"\xef\xbb\xbf"
+
+
+def test_stream_scoring_equals_batch(spark):
+    """The scoring plan on a file stream gives the batch result."""
+    import numpy as np
+
+    from sparkreg.plans.score import score
+    from sparkreg.plans.train import save, train
+    from sparkreg.sources.model_io import load_bundle
+    from sparkreg.streaming.score_stream import score_stream
+
+    rng = np.random.RandomState(2)
+    rows = [(i, float(rng.uniform(-2, 2)), ["A", "B", "C"][i % 3], float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y double")
+    res = train(df, "y", key="id", families=("linear",))
+    root = scratch_path(spark, "s-bundle")
+    save(res, root)
+    b = load_bundle(spark, root)
+    src = scratch_path(spark, "s-src")
+    df.drop("y").repartition(3).write.parquet(src)
+    out, ck = scratch_path(spark, "s-out"), scratch_path(spark, "s-ck")
+    score_stream(spark, src, df.drop("y").schema, b, out, ck)
+    streamed = spark.read.parquet(out).select("id", F.round("y", 9).alias("p"))
+    batch = score(df.drop("y"), b).select("id", F.round("y", 9).alias("p"))
+    assert streamed.count() == 120
+    assert streamed.exceptAll(batch).count() == 0
