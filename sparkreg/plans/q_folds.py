@@ -65,7 +65,7 @@ def oof_te_sql(col: str, s: float = 20.0, out: str = "te") -> str:
 
 # ---------------------------------------------------------------- W01 / W02 / W03
 @query("quantile_bins", f"WITH {folds_cte('part', 'p_partkey', 'p_retailprice')} "
-       "SELECT p_partkey, __bin AS bin FROM binned")
+       "SELECT p_partkey, CAST(__bin AS INTEGER) AS bin FROM binned")
 def q_quantile_bins(spark, sf):
     pt = table(spark, sf, "part")
     _, nb = W.fold_plan(pt.count())

@@ -44,7 +44,7 @@ def q_src_nonfinite_to_null(spark, sf):
 
 # ---------------------------------------------------------------- P01 / P02
 @query("target_resolve", """
-SELECT 'value' AS target, count(*) AS n_rows, count_if(value IS NULL) AS n_null,
+SELECT 'value' AS target, count(*) AS n_rows, CAST(count_if(value IS NULL) AS BIGINT) AS n_null,
        CAST(0 AS BIGINT) AS n_not_numeric, CAST(NULL AS VARCHAR) AS example,
        CASE WHEN count_if(value IS NULL) = count(*) THEN 'target_all_na' ELSE 'ok' END AS status
 FROM events
@@ -311,7 +311,7 @@ def q_y_winsorize(spark, sf):
 SELECT m AS mult, count(value) AS n,
        round(quantile_cont(value, 0.25) - m * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 6) AS lo,
        round(quantile_cont(value, 0.75) + m * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 6) AS hi
-FROM events, (SELECT 3.0 AS m UNION ALL SELECT 4.5) GROUP BY m
+FROM events, (SELECT CAST(3.0 AS DOUBLE) AS m UNION ALL SELECT CAST(4.5 AS DOUBLE)) GROUP BY m
 """)
 def q_y_fence_fit(spark, sf):
     ev = table(spark, sf, "events")
@@ -505,7 +505,7 @@ WITH b AS (SELECT quantile_cont({DER_A}, 0.01) AS alo, quantile_cont({DER_A}, 0.
                   quantile_cont({DER_B}, 0.01) AS blo, quantile_cont({DER_B}, 0.99) AS bhi FROM lineitem),
 c AS (SELECT l_orderkey, l_linenumber, least(greatest({DER_A}, alo), ahi) AS a,
              least(greatest({DER_B}, blo), bhi) AS b FROM lineitem, b)
-SELECT l_orderkey, l_linenumber, round(a * b, 6) AS "a*b", round(a * a, 6) AS "a^2", sign(a) AS "sign(a)" FROM c
+SELECT l_orderkey, l_linenumber, round(a * b, 6) AS "a*b", round(a * a, 6) AS "a^2", CAST(sign(a) AS DOUBLE) AS "sign(a)" FROM c
 """)
 def q_derived_features(spark, sf):
     li = table(spark, sf, "lineitem").select(*LI_KEY, F.expr(DER_A).alias("a"), F.expr(DER_B).alias("b"))
@@ -560,9 +560,9 @@ def q_postprocess(spark, sf):
 
 
 @query("report_json", """
-SELECT l_returnflag, to_json({'flag': l_returnflag, 'n': count(*), 'mean_qty': round(avg(l_quantity), 2),
+SELECT l_returnflag, CAST(to_json({'flag': l_returnflag, 'n': count(*), 'mean_qty': round(avg(l_quantity), 2),
   'ratio': CASE WHEN isnan(sum(l_discount) / count(*)) THEN NULL ELSE round(sum(l_discount) / count(*), 4) END,
-  'bad': CAST(NULL AS DOUBLE)}) AS report
+  'bad': CAST(NULL AS DOUBLE)}) AS VARCHAR) AS report
 FROM lineitem GROUP BY l_returnflag
 """)
 def q_report_json(spark, sf):
@@ -606,7 +606,7 @@ def _yj_llf_sql():
     parts = []
     for lam in YJ_GRID:
         t = _yj_sql("value", lam)
-        parts.append(f"SELECT {lam} AS lam, round(-0.5 * count(*) * ln(var_pop({t})) + ({lam} - 1.0) * "
+        parts.append(f"SELECT CAST({lam} AS DOUBLE) AS lam, round(-0.5 * count(*) * ln(var_pop({t})) + ({lam} - 1.0) * "
                      f"sum(sign(value) * ln(1 + abs(value))), 4) AS loglik FROM events")
     return " UNION ALL ".join(parts)
 
