@@ -26,7 +26,8 @@ SKEW_THRESH = 0.75
 Y_CLIP_MARGIN_FRAC = 0.05
 SMEAR_RANGE = (0.5, 2.0)
 MIN_ROWS_FOR_FENCE = 20
-EXACT_PERCENTILE_MAX_ROWS = 50_000_000   # above this, percentile_approx
+EXACT_PERCENTILE_MAX_ROWS = 5_000_000    # above this, percentile_approx (exact keeps a value map
+                                          # per column; its final merge is one task)
 APPROX_ACCURACY = 100_000
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")

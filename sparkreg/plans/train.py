@@ -261,7 +261,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
         df = df.withColumn("fold", F.lit(-1))
         st["folds"] = []
     else:
-        folded, k = W.stratified_folds_k(df, key, y, oof=oof)
+        folded, k = W.stratified_folds_k(df, key, y, oof=oof, exact=n <= P.EXACT_PERCENTILE_MAX_ROWS)
         df = cut_lineage(folded)
         st["folds"] = list(range(k)) if oof else [0]
     tr0 = df.filter(F.col("fold") != 0) if st["folds"] else df
