@@ -63,7 +63,9 @@ def trained(spark, sf, strategy="quick", families=None, table_name="part"):
     if key not in _MEMO:
         if table_name == "part":
             df = part_frame(spark, sf)
-            _MEMO[key] = train(df, "y", key="p_partkey", strategy=strategy, families=families)
+            # derived recipes only feed the non-poly members; a poly-only run skips them
+            derive = None if families != ("poly",) else False
+            _MEMO[key] = train(df, "y", key="p_partkey", strategy=strategy, families=families, derive=derive)
         else:
             ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"),
                                                    "event_type", "value")
