@@ -31,6 +31,7 @@ XT_PARAMS = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "minInstanc
 XT_FORESTS = 4                 # random cut sets, each with its own small forest
 XT_CUTS = 32
 SCREEN_MIN_FEATURES = 10
+PROBE_ITER = 10                # boosting rounds of a probe model (screening, recipes, transform choice)
 
 
 @dataclass
@@ -159,7 +160,7 @@ def screen_features(df: DataFrame, feats: Sequence[str], y: str, medians: dict |
     probe; skipped at <= 10 features; keep all when fewer than 2 survive."""
     if len(feats) <= SCREEN_MIN_FEATURES:
         return list(feats)
-    spec = fit_trees(df, feats, y, "gbt", medians, max_iter=GBT_ITER_QUICK)
+    spec = fit_trees(df, feats, y, "gbt", medians, max_iter=PROBE_ITER)
     imp = split_importance(spec, df.sparkSession).collect()
     kept = [r["feature"] for r in imp if r["importance"] > 0]
     keep_set = set(kept)

@@ -32,8 +32,8 @@ from sparkreg.operators.blend import blend_weights, eligible_members, stack_memb
 from sparkreg.operators.gp import fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
 from sparkreg.operators.mlp import MLP_MIN_ROWS, fit_mlp
-from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, SCREEN_MIN_FEATURES, fit_trees,
-                                     screen_features, split_importance)
+from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, PROBE_ITER, SCREEN_MIN_FEATURES,
+                                     fit_trees, screen_features, split_importance)
 from sparkreg.session import cut_lineage
 
 # Fixed values of the reference's training rules.
@@ -99,20 +99,23 @@ def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: floa
     folds, R2 measured on the original scale."""
     cands = ["none"] + (["log1p"] if y_min_all is not None and y_min_all >= 0 else []) + ["yeo_johnson"]
     lam = TR.fit_yj_lambda(df.filter(F.col("fold") != folds[0]), y)
-    scores = {}
-    for t in cands:
+    def score_one(t):
         lt = lam if t == "yeo_johnson" else None
         d = df.withColumn("__t", _forward(F.col(y), t, lt))
         parts = []
         for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt")
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt", max_iter=PROBE_ITER)
             pr = spec.transform(d.filter(F.col("fold") == f).select(y, *feats), "__p")
             parts.append(pr.select(F.col(y).alias("__y"), _invert(F.col("__p"), t, lt).alias("__p")))
         u = parts[0]
         for p_ in parts[1:]:
             u = u.unionByName(p_)
         r = u.agg(*M.r2_aggs("__y", "__p")).first()
-        scores[t] = (1 - r["sse"] / r["sst"]) if r["sst"] else 0.0
+        return t, ((1 - r["sse"] / r["sst"]) if r["sst"] else 0.0)
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(cands)) as pool:      # candidates are independent jobs
+        scores = dict(pool.map(score_one, cands))
     best = max(cands, key=lambda t: (scores[t], -cands.index(t)))
     return best, (lam if best == "yeo_johnson" else None), scores
 
@@ -126,27 +129,32 @@ def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict
     y = "__y_t"
     spark = prepared.sparkSession
     base = [c for c in st["numeric"]]
-    recipes = {}
-    for s in sets:
+    def probe(cand, names):
+        spec = fit_trees(cand, names, y, "gbt", max_iter=PROBE_ITER)
+        return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
+
+    def one_set(s):
         tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
+        return s, (fit_recipe(tr, base, y, probe) if len(base) >= 2 else [])
 
-        def probe(cand, names, tr=tr):
-            spec = fit_trees(cand, names, y, "gbt")
-            return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
-        recipes[s] = fit_recipe(tr, base, y, probe) if len(base) >= 2 else []
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:      # one probe per training set
+        recipes = dict(pool.map(one_set, sets))
     union = {}
     for rs in recipes.values():
         for r in rs:
             union.setdefault(r["name"], r)
     if union:
         prepared = apply_recipe(prepared, list(union.values()))
-    out = {}
-    for s in sets:
+    def screen(s):
         cols = list(cols_by_set[s]) + [r["name"] for r in recipes[s]]
         if len(cols) > SCREEN_MIN_FEATURES:
             tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
             cols = screen_features(tr, cols, y)
-        out[s] = cols
+        return s, cols
+
+    with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:
+        out = dict(pool.map(screen, sets))
     st["recipes"] = {str(k): v for k, v in recipes.items()}
     return prepared, out
 
