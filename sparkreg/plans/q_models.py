@@ -122,11 +122,9 @@ def q_sink_scored_csv(spark, sf):
 # ---------------------------------------------------------------- S05 / S06 / S07
 @query("sink_model_bundle")
 def q_sink_model_bundle(spark, sf):
+    from sparkreg.session import list_files
     _, root = bundle_of(spark, sf, families=("linear", "gbt"))
-    files = []
-    for d, _, fs in os.walk(root):
-        files += [(os.path.relpath(os.path.join(d, f), root), os.path.getsize(os.path.join(d, f))) for f in fs]
-    return spark.createDataFrame(sorted(files), "file string, bytes long")
+    return spark.createDataFrame(list_files(spark, root), "file string, bytes long")
 
 
 @query("src_model_bundle")

@@ -36,8 +36,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    dest = scratch_path(spark, "pyfiles")
-    os.makedirs(dest, exist_ok=True)
+    # the archive only has to exist on the driver: addPyFile serves it to
+    # every executor through Spark's own file server
+    dest = tempfile.mkdtemp(prefix="sparkreg-pyfiles-")
     zpath = os.path.join(dest, "sparkreg.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
@@ -89,6 +90,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file through the Hadoop FileSystem of ``path``
+    (works for local, HDFS or object-store paths alike)."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        jvm = spark.sparkContext._jvm
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, src: str, dst: str) -> None:
+    """Replace ``dst`` by ``src`` (the last step of a pointer swap)."""
+    fs, d = _fs(spark, dst)
+    _, s_ = _fs(spark, src)
+    if fs.exists(d):
+        fs.delete(d, False)
+    fs.rename(s_, d)
+
+
+def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(relative path, bytes) of every file under ``root``, any file system."""
+    fs, p = _fs(spark, root)
+    it = fs.listFiles(p, True)
+    base = str(fs.makeQualified(p).toString()).rstrip("/") + "/"
+    out = []
+    while it.hasNext():
+        st = it.next()
+        full = str(st.getPath().toString())
+        out.append((full[len(base):] if full.startswith(base) else full, int(st.getLen())))
+    return sorted(out)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -100,11 +100,12 @@ class Bundle:
 
 
 def save_bundle(spark: SparkSession, root: str, meta: dict, members: dict, encoders: dict) -> str:
-    """Write a new version folder, then swap the CURRENT pointer."""
+    """Write a new version folder, then swap the CURRENT pointer.  All
+    writes go through Spark / the Hadoop FileSystem of ``root``."""
+    from sparkreg.session import rename, write_text
     version = f"v-{uuid.uuid4().hex[:12]}"
     vdir = os.path.join(root, version)
     mdir = os.path.join(vdir, "models")
-    os.makedirs(_local(mdir), exist_ok=True)
     meta = dict(meta)
     meta["format_version"] = FORMAT_VERSION
     meta["members"] = {k: spec_to_json(k, s, mdir) for k, s in members.items()}
@@ -113,21 +114,18 @@ def save_bundle(spark: SparkSession, root: str, meta: dict, members: dict, encod
         p = os.path.join(vdir, "encoders", c)
         frame.write.mode("overwrite").parquet(p)
         meta["encoders"][c] = {"path": os.path.relpath(p, vdir), "default": default, "n_classes": n_classes}
-    with open(_local(os.path.join(vdir, "meta.json")), "w", encoding="utf-8") as fh:
-        json.dump(_jsonable(meta), fh)
-    tmp = _local(os.path.join(root, f".CURRENT-{uuid.uuid4().hex[:6]}"))
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, _local(os.path.join(root, "CURRENT")))
+    write_text(spark, os.path.join(vdir, "meta.json"), json.dumps(_jsonable(meta)))
+    tmp = os.path.join(root, f".CURRENT-{uuid.uuid4().hex[:6]}")
+    write_text(spark, tmp, version)
+    rename(spark, tmp, os.path.join(root, "CURRENT"))
     return vdir
 
 
 def load_bundle(spark: SparkSession, root: str) -> Bundle:
     """Read the bundle the CURRENT pointer names."""
-    with open(_local(os.path.join(root, "CURRENT"))) as fh:
-        vdir = os.path.join(root, fh.read().strip())
-    with open(_local(os.path.join(vdir, "meta.json")), encoding="utf-8") as fh:
-        meta = json.load(fh)
+    from sparkreg.session import read_text
+    vdir = os.path.join(root, read_text(spark, os.path.join(root, "CURRENT")).strip())
+    meta = json.loads(read_text(spark, os.path.join(vdir, "meta.json")))
     mdir = os.path.join(vdir, "models")
     members = {k: spec_from_json(d, mdir) for k, d in meta["members"].items()}
     enc = {c: spark.read.parquet(os.path.join(vdir, e["path"])) for c, e in meta.get("encoders", {}).items()}
