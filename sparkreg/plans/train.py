@@ -423,6 +423,8 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached."""
     spark = df.sparkSession
+    from sparkreg.session import tune_session
+    tune_session(spark)
     import time
     t0 = time.time()
     timings: dict = {}

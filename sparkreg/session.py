@@ -63,6 +63,24 @@ def local_session(cores: str = "*", driver_memory: str = "8g", app: str = "spark
     return spark
 
 
+RUNTIME_CONF = {                      # applied only where the session left them unset
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+
+def tune_session(spark: SparkSession) -> None:
+    """AQE with skew-join splitting on (a hot class on the big side of a
+    lookup join is split across tasks); never overrides an explicit choice."""
+    for k, v in RUNTIME_CONF.items():
+        try:
+            if spark.conf.get(k, None) is None:
+                spark.conf.set(k, v)
+        except Exception:  # noqa: BLE001 -- static confs cannot change at runtime
+            pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
