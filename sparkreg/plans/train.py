@@ -383,18 +383,24 @@ def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: st
     if kind in ("gbt", "rf", "xt"):
         parts, final = [], None
         it = GBT_ITER_THOROUGH if st["strategy"] == "thorough" else GBT_ITER_QUICK
-        for s in sets:
+
+        def fit_set(s):
             tr = df if s == "all" else df.filter(F.col("fold") != s)
             if kind == "gbt" and s != "all":
                 tr = W.es_holdout(tr, key)
-            spec = fit_trees(tr.select(*cols_by_set[s], y, *(["is_es"] if "is_es" in tr.columns else [])),
-                             cols_by_set[s], y, kind, med_sets[s], max_iter=it,
-                             es_col="is_es" if "is_es" in tr.columns else None)
-            if s == "all":
-                final = spec
-            else:
+            es = "is_es" if "is_es" in tr.columns else None
+            return s, fit_trees(tr.select(*cols_by_set[s], y, *([es] if es else [])), cols_by_set[s], y, kind,
+                                med_sets[s], max_iter=it, es_col=es)
+
+        # one MLlib fit per training set; independent, so submitted concurrently
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, min(FAMILY_THREADS, len(sets)))) as pool:
+            specs = dict(pool.map(fit_set, sets))
+        final = specs.get("all")
+        for s in sets:
+            if s != "all":
                 va = df.filter(F.col("fold") == s)
-                parts.append(spec.transform(va.select(key, *cols_by_set[s]), "pred").select(key, "pred"))
+                parts.append(specs[s].transform(va.select(key, *cols_by_set[s]), "pred").select(key, "pred"))
         pred = parts[0] if parts else final.transform(df.select(key, *feats), "pred").select(key, "pred")
         for p in parts[1:]:
             pred = pred.unionByName(p)
