@@ -76,3 +76,16 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FRO
 def op5(spark, sf_dir):
     from sparkreg.llm.exact_dedup import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_near_dedup")
+def op1(spark, sf_dir):
+    from sparkreg.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from sparkreg.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")) \
+        .select("doc_id", "held_out", "score", "predicted")
