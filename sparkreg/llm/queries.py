@@ -89,3 +89,15 @@ def op7(spark, sf_dir):
     from sparkreg.llm.toxicity import score_toxicity
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")) \
         .select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    from sparkreg.llm.license_scan import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, sf_dir):
+    from sparkreg.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
