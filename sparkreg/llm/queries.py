@@ -101,3 +101,10 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     from sparkreg.llm.ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_html_extract")
+def op2(spark, sf_dir):
+    from sparkreg.llm.html_extract import extract
+    out = extract(table(spark, sf_dir, "pages"))
+    return out.select("row.page_id", "row.url", "text", "n_chars")
