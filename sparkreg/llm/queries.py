@@ -108,3 +108,16 @@ def op2(spark, sf_dir):
     from sparkreg.llm.html_extract import extract
     out = extract(table(spark, sf_dir, "pages"))
     return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
+#: The vocabulary that op6 and the pipeline encode with.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op6_byte_bpe")
+def op6(spark, sf_dir):
+    import public_tokenizers
+
+    from sparkreg.llm.bpe import digests, encode_decode
+    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
+                                 public_tokenizers.PATTERN))
