@@ -121,3 +121,9 @@ def op6(spark, sf_dir):
     from sparkreg.llm.bpe import digests, encode_decode
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                                  public_tokenizers.PATTERN))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    from sparkreg.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
