@@ -127,3 +127,9 @@ def op6(spark, sf_dir):
 def op3(spark, sf_dir):
     from sparkreg.llm.suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op10_line_dedup")
+def op10(spark, sf_dir):
+    from sparkreg.llm.line_dedup import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents"))
