@@ -46,7 +46,8 @@ BUCKET_BYTES = 32 << 20
 SEGMENT = 2 << 20
 #: Suffixes that are sorted at once.
 SORT_ROWS = 150_000
-NO_ID = np.iinfo(np.int64).max
+#: Stands for a null doc_id.
+NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 28) - 1)
 RUN = np.dtype([("kh", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("at", "u1"), ("more", "u1")])
@@ -124,8 +125,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, min_len: int, k: int) ->
 
 def _group(docs: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     """A group's rows in a fixed order, with ids, bytes and offsets."""
-    docs = docs.sort_values(["doc_id", "body"], na_position="last", kind="stable").reset_index(drop=True)
-    ids = docs["doc_id"].fillna(NO_ID).astype(np.int64).to_numpy()
+    docs = docs.sort_values(["doc_id", "body"]).reset_index(drop=True)
+    ids = docs["doc_id"].to_numpy()
     sizes = np.fromiter(map(len, docs["body"]), np.int64, len(docs))
     data = np.frombuffer(b"".join(docs["body"]), dtype=np.uint8)
     return docs, ids, data, np.concatenate([[0], np.cumsum(sizes)])
@@ -422,7 +423,7 @@ def cut_spans(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         removed.append(int((e - s).sum()))
         runs.append(len(s))
         kept.append(b"".join(body[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(body)])))
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_bytes": [len(b) for b in docs["body"]],
+    return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": [len(b) for b in docs["body"]],
                          "n_removed": removed, "n_spans": runs, "kept": kept})
 
 
@@ -444,7 +445,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     body = text_or_empty(F.col(f"`{text_col}`"))
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     groups, buckets = max(8, math.ceil(total / GROUP_BYTES)), max(8, math.ceil(total / BUCKET_BYTES))
-    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), body.cast("binary").alias("body"))
+    t = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), body.cast("binary").alias("body"))
     t = t.select(F.pmod(F.xxhash64("doc_id", F.octet_length("body"), F.substring("body", 1, 32)), F.lit(groups))
                  .cast("int").alias("q"), "doc_id", "body")
     to_bucket, to_group = "bucket int, src int, blob binary", "q int, src int, blob binary"
@@ -462,4 +463,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = t.groupBy("q").cogroup(spans.groupBy("q")).applyInPandas(
         finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
+    out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
