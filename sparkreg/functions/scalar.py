@@ -199,3 +199,20 @@ def report_json(cols: dict) -> Column:
     for name, c in cols.items():
         parts.append(c.alias(name))
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+
+# ---------------------------------------------------------------- names
+# Column names with dots or backticks would be read as paths; inside the
+# library look-alike characters stand for them.
+_SAFE = {".": "\u2024", "`": "\u2035"}
+
+
+def safe_name(name: str) -> str:
+    return "".join(_SAFE.get(ch, ch) for ch in name)
+
+
+def shown_name(name: str) -> str:
+    """The name as the caller wrote it."""
+    for raw, safe in _SAFE.items():
+        name = name.replace(safe, raw)
+    return name

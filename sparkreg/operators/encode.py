@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreg.functions.scalar import NAN_CLASS, null_to_sentinel
+from sparkreg.functions.scalar import NAN_CLASS, null_to_sentinel, safe_name
 
 TE_SMOOTHING = 20.0            # fixed: pseudo-count of the smoothed mean
 BROADCAST_MAX_ROWS = 500_000     # encoder rows we accept to ship to every task
@@ -31,9 +31,13 @@ def onehot_classes(df: DataFrame, col: str) -> list[str]:
     return sorted(r["c"] for r in rows)
 
 
+def onehot_name(col: str, cls: str) -> str:
+    return safe_name(f"{col}=={cls}")
+
+
 def onehot_columns(col: str, classes: Sequence[str]):
-    s = null_to_sentinel(F.col(col))
-    return [(s == F.lit(k)).cast("double").alias(f"{col}=={k}") for k in classes]
+    s = null_to_sentinel(F.col(f"`{col}`"))
+    return [(s == F.lit(k)).cast("double").alias(onehot_name(col, k)) for k in classes]
 
 
 # ---------------------------------------------------------------- A07 / J01

@@ -121,7 +121,8 @@ def importance_merge(member_imp: DataFrame, weights: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A22
 def quality_warnings(spark, n_rows: int, eval_on: str, n_val: int, n_target_na: int, n_outliers: int,
-                     iqr_mult: float, n_dup_rows: int, dropped_cols: Sequence[str]) -> DataFrame:
+                     iqr_mult: float, n_dup_rows: int, dropped_cols: Sequence[str],
+                     dropped_dates: Sequence[str] = ()) -> DataFrame:
     """Keyed warnings (key, param) in a fixed order; inputs are the
     counts produced by A01, P02, F02 and P08."""
     rows = []
@@ -139,4 +140,6 @@ def quality_warnings(spark, n_rows: int, eval_on: str, n_val: int, n_target_na:
         rows.append(("duplicate_rows", f"n={n_dup_rows}"))
     if dropped_cols:
         rows.append(("cat_cols_dropped", "cols=" + ",".join(dropped_cols)))
+    if dropped_dates:
+        rows.append(("date_cols_dropped", "cols=" + ",".join(dropped_dates)))
     return spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(rows)], "pos int, key string, params string")

@@ -220,9 +220,11 @@ def high_card_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def count_duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical group (warning only).
     Rows are grouped by a 96-bit fingerprint (xxhash64 + murmur3 of every
-    column) so the shuffle moves 12 bytes per distinct row, not whole rows;
-    map-side partial counts collapse repeated rows before the shuffle."""
+    column and of which columns are NULL, since a hash skips NULLs) so the
+    shuffle moves 12 bytes per distinct row, not whole rows; map-side partial
+    counts collapse repeated rows before the shuffle."""
     cols = [F.col(f"`{c}`") for c in df.columns]
+    cols += [c.isNull() for c in cols]
     g = df.groupBy(F.xxhash64(*cols).alias("__h1"), F.hash(*cols).alias("__h2")).agg(
         F.count(F.lit(1)).alias("n"))
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_duplicate_rows"))

@@ -8,7 +8,7 @@ keeps the best few (T06) and evaluates the finalists on every fold.
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -30,33 +30,50 @@ RECIPE_MAX_KEEP = 15
 RECIPE_MIN_ROWS = 50
 
 
-def gbt_candidates(n_rows: int, seed: int = 42) -> list[dict]:
-    """24 / 14 / 8 candidates by data size; the first is the default.
-    Leaf counts map to depths (2^depth leaves)."""
-    n = 24 if n_rows <= 5000 else (14 if n_rows <= 20000 else 8)
-    rng = random.Random(seed)
-    out = [{"maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": None, "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "0.8", "maxBins": 64}]
-    depth_of = {7: 3, 15: 4, 31: 5, 63: 6, 127: 7}
-    while len(out) < n:
-        out.append({"maxDepth": depth_of[rng.choice([7, 15, 31, 63, 127])],
-                    "stepSize": rng.choice([0.01, 0.02, 0.03, 0.05, 0.1]),
-                    "minInstancesPerNode": rng.choice([5, 10, 20, 40]),
-                    "subsamplingRate": round(rng.uniform(0.6, 1.0), 2),
-                    "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 2)),
-                    "maxBins": rng.choice([63, 127, 255, 511])})
-    return out
+#: The settings a search may try.  A tuple is a list of choices,
+#: a pair under RANGES a closed interval.
+GBT_CHOICES = {"maxDepth": (3, 4, 5, 6, 7), "stepSize": (0.01, 0.02, 0.03, 0.05, 0.1),
+               "minInstancesPerNode": (5, 10, 20, 40), "maxBins": (63, 127, 255, 511)}
+GBT_RANGES = {"subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.5, 1.0)}
+GBT_DEFAULT = {"maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": None, "subsamplingRate": 0.8,
+               "featureSubsetStrategy": "0.8", "maxBins": 64}
+#: (rows up to, candidates): the default size of a boosted search.
+GBT_SEARCH_SIZES = ((5_000, 24), (20_000, 14), (None, 8))
+MLP_WIDTHS = (0.5, 1.0, 2.0)
+MLP_LAYERS = ({"single": True, "extra": False}, {"single": False, "extra": False}, {"single": False, "extra": True})
+MLP_LOG10_L2 = (-6.0, -1.0)
+MLP_FIXED = ({"alpha_l2": 1e-4}, {"alpha_l2": 1e-2, "single": True}, {"alpha_l2": 1e-5, "extra": True})
 
 
-def mlp_candidates(seed: int = 42) -> list[dict]:
-    """8 candidates, the first three fixed."""
-    rng = random.Random(seed)
-    out = [{"alpha_l2": 1e-4}, {"alpha_l2": 1e-2, "single": True}, {"alpha_l2": 1e-5, "extra": True}]
-    while len(out) < MLP_CANDIDATES:
-        layout = rng.choice(["single", "double", "triple"])
-        out.append({"alpha_l2": 10 ** rng.uniform(-6, -1), "single": layout == "single",
-                    "extra": layout == "triple", "width": rng.choice([0.5, 1.0, 2.0])})
-    return out
+def _unit(*what) -> float:
+    """A number in [0, 1) that depends on its arguments only."""
+    return int(hashlib.md5("|".join(map(str, what)).encode()).hexdigest()[:12], 16) / 16.0 ** 12
+
+
+def _choice(options, *what):
+    return options[int(_unit(*what) * len(options))]
+
+
+def _between(bounds, *what) -> float:
+    return bounds[0] + (bounds[1] - bounds[0]) * _unit(*what)
+
+
+def gbt_candidates(n_rows: int, seed: int = 42, size: int | None = None) -> list[dict]:
+    """The default settings and ``size - 1`` drawn ones (by default 24,
+    14 or 8 in all, by table size).  Trial t draws each setting by itself from
+    a hash, so more trials only append to the list."""
+    if size is None:
+        size = next(k for limit, k in GBT_SEARCH_SIZES if limit is None or n_rows <= limit)
+    drawn = [{**{k: _choice(v, seed, t, k) for k, v in GBT_CHOICES.items()},
+              **{k: round(_between(v, seed, t, k), 2) for k, v in GBT_RANGES.items()}} for t in range(1, size)]
+    return [dict(GBT_DEFAULT)] + [c | {"featureSubsetStrategy": str(c["featureSubsetStrategy"])} for c in drawn]
+
+
+def mlp_candidates(seed: int = 42, size: int = MLP_CANDIDATES) -> list[dict]:
+    """Three fixed networks, the others drawn."""
+    drawn = [{"alpha_l2": 10 ** _between(MLP_LOG10_L2, seed, t, "l2"), "width": _choice(MLP_WIDTHS, seed, t, "width"),
+              **_choice(MLP_LAYERS, seed, t, "layers")} for t in range(len(MLP_FIXED), size)]
+    return [dict(c) for c in MLP_FIXED[:size]] + drawn
 
 
 def halving_search(spark, candidates: Sequence[dict], folds: Sequence[int],
@@ -79,35 +96,42 @@ def halving_search(spark, candidates: Sequence[dict], folds: Sequence[int],
 def permutation_importance(df: DataFrame, key: str, y: str, feats: Sequence[str],
                            predict: Callable[[DataFrame], DataFrame], repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean R2 drop over ``repeats`` seeded permutations per feature.
-    All permuted copies are unioned into ONE scored job and reduced with one
-    ``groupBy(feature, repeat)``; negatives shown as 0, share of positive total."""
+    A repeat permutes the rows once (two ranks and one join) and brings all
+    permuted values next to the true ones; a feature is then tried by a
+    projection that swaps its column alone.  Negative drops show as 0."""
     n = df.count()
     base = predict(df).agg(*M.r2_aggs(y, "pred")).first()
     r2_base = 1 - base["sse"] / base["sst"] if base["sst"] else 0.0
+    feats = list(feats)
+    q = [f"`{c}`" for c in feats]
     parts = []
-    for j, c in enumerate(feats):
-        for r in range(repeats):
-            p = permute_column(df, key, c, seed * 1000 + j * repeats + r, n_rows=n)
-            parts.append(p.withColumn("__feature", F.lit(c)).withColumn("__repeat", F.lit(r)))
-    allp = parts[0]
+    for r in range(repeats):
+        packed = df.withColumn("__other", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(q)]))
+        moved = permute_column(packed, key, "__other", seed * 1000 + r, n_rows=n)
+        tries = F.array(*[F.struct(F.lit(c).alias("f"), *[
+            (F.col(f"__other.c{i}") if i == j else F.col(q[i])).alias(f"c{i}") for i in range(len(feats))])
+            for j, c in enumerate(feats)])
+        parts.append(moved.select(F.col(y), F.lit(r).alias("__repeat"), F.explode(tries).alias("__t")))
+    tried = parts[0]
     for p in parts[1:]:
-        allp = allp.unionByName(p)
-    scored = predict(allp)
-    g = scored.groupBy("__feature", "__repeat").agg(*M.r2_aggs(y, "pred"))
+        tried = tried.unionByName(p)
+    tried = tried.select(y, "__repeat", F.col("__t.f").alias("__feature"),
+                         *[F.col(f"__t.c{i}").alias(c) for i, c in enumerate(feats)])
+    g = predict(tried).groupBy("__feature", "__repeat").agg(*M.r2_aggs(y, "pred"))
     drops = g.select(F.col("__feature").alias("feature"),
                      (F.lit(r2_base) - M.r2_from(F.col("sse"), F.col("sst"))).alias("drop"))
-    imp = drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop"))
-    imp = imp.withColumn("importance", F.greatest(F.col("mean_drop"), F.lit(0.0)))
-    return imp
+    return drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop")) \
+        .withColumn("importance", F.greatest(F.col("mean_drop"), F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- M17
-def propose_recipe(df: DataFrame, feats: Sequence[str]) -> list[dict]:
+def propose_recipe(df: DataFrame, feats: Sequence[str], max_base: int = RECIPE_MAX_BASE) -> list[dict]:
     """Products of pairs, squares, and sign (only for columns with both
-    signs) of up to 12 base features, in proposal order."""
-    base = list(feats)[:RECIPE_MAX_BASE]
-    mm = df.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(base)],
-                *[F.max(c).alias(f"b{i}") for i, c in enumerate(base)]).first()
+    signs) of the first ``max_base`` features (the caller orders them by
+    importance), in proposal order."""
+    base = list(feats)[:max_base]
+    mm = df.agg(*[F.min(f"`{c}`").alias(f"a{i}") for i, c in enumerate(base)],
+                *[F.max(f"`{c}`").alias(f"b{i}") for i, c in enumerate(base)]).first()
     out = []
     for i, a in enumerate(base):
         for b in base[i + 1:]:
@@ -120,20 +144,28 @@ def propose_recipe(df: DataFrame, feats: Sequence[str]) -> list[dict]:
     return out
 
 
-def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[DataFrame, list[str]], dict]) -> list[dict]:
-    """Candidates that are finite with std >= 1e-12 (one aggregate),
-    probed by a boosted model; keep <= 15 with importance > 0, in proposal
-    order.  Needs >= 2 features and >= 50 rows."""
+def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[DataFrame, list[str]], dict],
+               max_base: int = RECIPE_MAX_BASE, max_keep: int = RECIPE_MAX_KEEP) -> list[dict]:
+    """Base features by the importance a boosted probe gives them; their
+    derived candidates that are finite with std >= 1e-12 (one aggregate) are
+    probed beside the base features, and the ``max_keep`` most important with
+    importance > 0 stay.  Needs >= 2 features and >= 50 rows."""
+    feats = list(feats)
     if len(feats) < 2 or df.count() < RECIPE_MIN_ROWS:
         return []
-    props = propose_recipe(df, feats)
-    cand = df.select(y, *feats, *[derived(p["op"], p["cols"]).alias(p["name"]) for p in props])
+    ranked = feats
+    if len(feats) > max_base:
+        first = probe(df.select(y, *[f"`{c}`" for c in feats]), feats)
+        ranked = sorted(feats, key=lambda c: (-first.get(c, 0.0), feats.index(c)))
+    props = propose_recipe(df, ranked, max_base)
+    cand = df.select(y, *[f"`{c}`" for c in feats], *[derived(p["op"], p["cols"]).alias(p["name"]) for p in props])
     st = cand.agg(*[F.stddev_samp(F.col(f"`{p['name']}`")).alias(f"s{i}") for i, p in enumerate(props)]).first()
     ok = [p for i, p in enumerate(props) if st[f"s{i}"] is not None and st[f"s{i}"] >= CONST_STD_EPS]
     if not ok:
         return []
-    imp = probe(cand, [p["name"] for p in ok])
-    return [p for p in ok if imp.get(p["name"], 0.0) > 0][:RECIPE_MAX_KEEP]
+    imp = probe(cand, feats + [p["name"] for p in ok])
+    best = sorted((p for p in ok if imp.get(p["name"], 0.0) > 0), key=lambda p: (-imp[p["name"]], ok.index(p)))
+    return best[:max_keep]
 
 
 def apply_recipe(df: DataFrame, recipe: Sequence[dict]) -> DataFrame:

@@ -19,7 +19,7 @@ from sparkreg.operators import profile as P
 from sparkreg.operators.blend import blend_weights, gram_of_members, nnls_gram, stack_members
 from sparkreg.operators.folds import sample_rows, stratified_folds
 from sparkreg.operators.gp import fit_gp, kernel_sum
-from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
+from sparkreg.operators.linear import ALPHAS_STD, ridge_cv
 from sparkreg.operators.mlp import fit_mlp
 from sparkreg.operators.trees import fit_trees, screen_features, split_importance
 from sparkreg.plans.catalog import query
@@ -28,6 +28,8 @@ from sparkreg.session import scratch_path
 from sparkreg.sources.tables import table
 
 R = 6
+MLP_SEARCH_PASSES = 20          # gradient passes of a search trial
+GBT_SEARCH_ROUNDS = 5           # boosting rounds of a search trial
 _MEMO: dict = {}
 
 
@@ -241,21 +243,17 @@ def q_ridge_cv_wide(spark, sf):
 
 @query("poly_ridge_cv")
 def q_poly_ridge_cv(spark, sf):
+    """Every fold is scored by a model whose columns, fills, scales and
+    coefficients come from the other folds."""
+    from sparkreg.plans.score import add_poly
+    from sparkreg.plans.train import fit_poly
     d, feats = part_numeric(spark, sf)
-    top = [r["column"] for r in P.top_by_corr(d, feats, "y", 8).collect()]
-    from sparkreg.operators.transform import robust_fit
-    rob = {r["column"]: r for r in robust_fit(d, top).collect()}
-    pcols = poly_columns(top, {c: rob[c]["center"] for c in top}, {c: rob[c]["scale"] for c in top})
-    src = d.select("p_partkey", "fold", "y", *pcols)
-    pf = [c for c in src.columns if c not in ("p_partkey", "fold", "y")]
-    res = ridge_cv(src, pf, "y", "p_partkey", "fold", ALPHAS_POLY, robust=False)
-    e = None
-    for f, sp in res.per_fold.items():
-        pred = F.lit(sp.intercept)
-        for c, w in zip(sp.feats, sp.coef):
-            pred = pred + F.lit(w) * F.col(f"`{c}`")
-        e = F.when(F.col("fold") == f, pred) if e is None else e.when(F.col("fold") == f, pred)
-    return src.select("p_partkey", "fold", rnd(e).alias("pred"))
+    out = None
+    for f in range(5):
+        spec = fit_poly(d.filter(F.col("fold") != f), feats, "y", "p_partkey")
+        part = add_poly(d.filter(F.col("fold") == f), spec, "pred").select("p_partkey", "fold", rnd("pred").alias("pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("coef_importance")
@@ -397,7 +395,8 @@ def _mlp_specs(spark, sf):
     key = ("mlp", id(spark), sf)
     if key not in _MEMO:
         d, feats = part_numeric(spark, sf)
-        meds = {s: P.fit_medians(d, feats) for s in [0, 1, 2, 3, 4, "all"]}
+        meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
+                for s in [0, 1, 2, 3, 4, "all"]}
         _MEMO[key] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4])
     return _MEMO[key]
 
@@ -426,7 +425,7 @@ def q_permutation_importance(spark, sf):
     from sparkreg.operators.search import permutation_importance
     d, feats = part_numeric(spark, sf)
     spec = _mlp_specs(spark, sf)["all"]
-    imp = permutation_importance(d.select("p_partkey", "y", *feats), "p_partkey", "y", ["p_size", "name_len"],
+    imp = permutation_importance(d.select("p_partkey", "y", *feats), "p_partkey", "y", feats,
                                  lambda x: spec.predict_column(x, "pred"))
     return imp.select("feature", rnd("mean_drop").alias("mean_drop"), rnd("importance").alias("importance"))
 
@@ -436,12 +435,12 @@ def q_gbt_search(spark, sf):
     from sparkreg.operators.search import GBT_FINALISTS, gbt_candidates, halving_search, r2_of
     d, feats = part_numeric(spark, sf)
     n = d.count()
-    cands = gbt_candidates(n)[:4]          # first four of the seeded list (documented budget)
+    cands = gbt_candidates(n)
 
     def evaluate(c, folds):
         parts = []
         for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=5)
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=GBT_SEARCH_ROUNDS)
             parts.append(spec.transform(d.filter(F.col("fold") == f), "pred"))
         u = parts[0]
         for p in parts[1:]:
@@ -456,13 +455,14 @@ def q_gbt_search(spark, sf):
 def q_mlp_search(spark, sf):
     from sparkreg.operators.search import MLP_FINALISTS, halving_search, mlp_candidates, r2_of
     d, feats = part_numeric(spark, sf)
-    meds = {s: P.fit_medians(d, feats) for s in [0, 1, 2, 3, 4, "all"]}
+    meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
+            for s in [0, 1, 2, 3, 4, "all"]}
     cache = {}
 
     def evaluate(c, folds):
         k = str(c)
         if k not in cache:
-            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], rounds=4,
+            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], passes=MLP_SEARCH_PASSES,
                                **{kk: v for kk, v in c.items()})
         specs = cache[k]
         parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred") for f in folds]
@@ -587,22 +587,10 @@ def q_train(spark, sf):
 
 @query("choose_deployed")
 def q_choose_deployed(spark, sf):
-    """Best first, then R2 order until one saves; flags a substitution."""
-    from sparkreg.plans.train import save
-    res = trained(spark, sf)
-    order = [r["name"] for r in res.leaderboard.orderBy(F.desc("r2")).collect()]
-    deployed, tried = None, []
-    chosen = res.bundle["best"]
-    for name in order:
-        try:
-            res.bundle["best"] = name
-            save(res, scratch_path(spark, "deploy"))
-            deployed = name
-            break
-        except Exception as e:  # noqa: BLE001 -- a member that cannot be saved is skipped
-            tried.append(f"{name}:{type(e).__name__}")
-    res.bundle["best"] = chosen
-    return spark.createDataFrame([(order[0], deployed, deployed != order[0], ";".join(tried))],
+    """The chosen model, else the next by R2 that can be saved."""
+    from sparkreg.plans.train import deploy
+    chosen, deployed, failures = deploy(trained(spark, sf), scratch_path(spark, "deploy"))
+    return spark.createDataFrame([(chosen, deployed, deployed != chosen, ";".join(failures))],
                                  "best string, deployed string, deploy_substituted boolean, failures string")
 
 

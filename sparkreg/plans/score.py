@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions import scalar as S
 from sparkreg.functions.scalar import impute
-from sparkreg.operators.encode import join_lookup
+from sparkreg.operators.encode import join_lookup, onehot_name
 from sparkreg.operators.gp import GPSpec
 from sparkreg.operators.linear import LinearSpec, poly_columns
 from sparkreg.operators.mlp import MLPSpec
@@ -72,7 +72,7 @@ def required_columns(meta: dict) -> list[str]:
             for s in _raw_sources(f, meta["prep"]):
                 if s not in out:
                     out.append(s)
-    return out
+    return [S.shown_name(c) for c in out]
 
 
 def encode_features(df: DataFrame, bundle) -> tuple[DataFrame, list[str]]:
@@ -93,9 +93,10 @@ def encode_features(df: DataFrame, bundle) -> tuple[DataFrame, list[str]]:
         cols = []
         for k in classes:
             v = (sent == F.lit(k)).cast("double")
-            if f"{c}=={k}" in clip:
-                v = S.clip(v, *clip[f"{c}=={k}"])
-            cols.append(v.alias(f"__m_{c}=={k}"))
+            name = onehot_name(c, k)
+            if name in clip:
+                v = S.clip(v, *clip[name])
+            cols.append(v.alias(f"__m_{name}"))
         out = out.select("*", *cols)
         if c not in have:
             missing.append(c)
@@ -124,20 +125,34 @@ def encode_features(df: DataFrame, bundle) -> tuple[DataFrame, list[str]]:
     return out, missing
 
 
+def add_poly(df: DataFrame, spec: dict, out: str, prefix: str = "") -> DataFrame:
+    """Fill, scale, expand and weigh the columns of a polynomial model,
+    found under their names with ``prefix``."""
+    top = [f"__pp_{i}" for i in range(len(spec["top"]))]
+    filled = df.select("*", *[F.coalesce(F.col(f"`{prefix}{c}`").cast("double"), F.lit(float(spec["medians"].get(c, 0.0))))
+                              .alias(t) for t, c in zip(top, spec["top"])])
+    terms = poly_columns(top, {t: spec["center"][c] for t, c in zip(top, spec["top"])},
+                         {t: spec["scale"][c] for t, c in zip(top, spec["top"])})
+    e = F.lit(float(spec["intercept"]))
+    for term, w in zip(terms, spec["coef"]):
+        e = e + F.lit(float(w)) * term
+    return filled.withColumn(out, e).drop(*top)
+
+
+def add_prediction(df: DataFrame, spec, out: str) -> DataFrame:
+    """The prediction of a fitted model of any family as one more column."""
+    if isinstance(spec, dict):
+        return add_poly(df, spec, out)
+    if isinstance(spec, LinearSpec):
+        return df.withColumn(out, spec.predict())
+    return spec.transform(df, out) if isinstance(spec, TreeSpec) else spec.predict_column(df, out)
+
+
 def _member_column(df: DataFrame, kind: str, spec, out: str) -> DataFrame:
     """Dispatch on the member type; features are read from ``__m_*``."""
     ren = {f: f"__m_{f}" for f in (spec["feats"] if isinstance(spec, dict) else spec.feats)}
     if isinstance(spec, dict) and spec.get("type") == "poly":
-        top = spec["top"]
-        filled = [F.coalesce(F.col(f"`__m_{c}`"), F.lit(float(spec["medians"].get(c, 0.0)))).alias(f"__pp_{c}")
-                  for c in top]
-        tmp = df.select("*", *filled)
-        pc = poly_columns([f"__pp_{c}" for c in top], {f"__pp_{c}": spec["center"][c] for c in top},
-                          {f"__pp_{c}": spec["scale"][c] for c in top})
-        e = F.lit(float(spec["intercept"]))
-        for col_, w in zip(pc, spec["coef"]):
-            e = e + F.lit(float(w)) * col_
-        return tmp.withColumn(out, e).drop(*[f"__pp_{c}" for c in top])
+        return add_poly(df, spec, out, "__m_")
     if isinstance(spec, LinearSpec):
         e = F.lit(spec.intercept)
         for c, w in zip(spec.feats, spec.coef):
@@ -179,8 +194,9 @@ def score(df: DataFrame, bundle, out: str | None = None) -> DataFrame:
     overwrites the target column if the input has one, else is appended."""
     meta = bundle.meta
     prep = meta["prep"]
-    target = out or prep["target"]
-    cur, _ = encode_features(df, bundle)
+    target = S.safe_name(out) if out else prep["target"]
+    given = {S.safe_name(c): c for c in df.columns}
+    cur, _ = encode_features(df.toDF(*given), bundle)
     best = meta["best"]
     members = list(meta["weights"]) if best == "blend" else [best]
     for k in members:
@@ -194,4 +210,5 @@ def score(df: DataFrame, bundle, out: str | None = None) -> DataFrame:
     cur = cur.withColumn("__pred", S.postprocess(raw, p["smear"], p["lo"], p["hi"], p["round"]))
     drop = [c for c in cur.columns if c.startswith("__m_") or c.startswith("__p_")]
     cur = cur.drop(*drop)
-    return attach_prediction(cur, target, "__pred")
+    cur = attach_prediction(cur, target, "__pred")
+    return cur.toDF(*[given.get(c, S.shown_name(c)) for c in cur.columns])

@@ -17,6 +17,7 @@ executor only re-reads its blocks.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from threading import Lock
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,13 +29,14 @@ from sparkreg.operators import folds as W
 from sparkreg.operators import metrics as M
 from sparkreg.operators import profile as P
 from sparkreg.operators import transform as TR
-from sparkreg.operators.blend import blend_weights, eligible_members, stack_members
+from sparkreg.operators.blend import blend_weights, eligible_members
 from sparkreg.operators.gp import fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
 from sparkreg.operators.mlp import MLP_MIN_ROWS, fit_mlp
 from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, PROBE_ITER, SCREEN_MIN_FEATURES,
                                      fit_trees, screen_features, split_importance)
-from sparkreg.session import cut_lineage
+from sparkreg.plans.score import add_prediction
+from sparkreg.session import cut_lineage, remove
 
 # Fixed values of the reference's training rules.
 OUTLIER_IQR_MULT = 3.0         # thorough
@@ -44,6 +46,9 @@ POLY_MAX_FEATS = 8
 GP_MIN_ROWS = 10
 FAMILY_THREADS = 4             # concurrent family fits (the reference runs 4 threads in quick mode)
 EXACT_DISTINCT_MAX_ROWS = 10_000_000
+FOREST_TREES = 40              # trees of a forest (a caller parameter)
+GBT_FINAL_FACTOR = 1.15        # the final booster: rounds the folds used, times this,
+GBT_FINAL_MIN = 50             # and at least so many
 QUICK_FAMILIES = ("linear", "gbt", "gp", "mlp")
 THOROUGH_FAMILIES = ("linear", "poly", "gbt", "gp", "mlp", "rf", "xt")
 
@@ -83,14 +88,10 @@ def _forward(col, transform: str, lam: float | None):
     return col
 
 
-def spark_parallelism(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
-
-
-def attach_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
+def attach_row_id(df: DataFrame, key: str = "row_id", written: list | None = None) -> DataFrame:
     """Row identity for tables without a unique key: a generated id, made
-    stable by a reliable checkpoint (re-evaluation could renumber rows)."""
-    return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
+    stable by writing the table (re-evaluation could renumber rows)."""
+    return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()), written)
 
 
 def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds) -> tuple:
@@ -159,9 +160,18 @@ def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict
     return prepared, out
 
 
+def check_key(df: DataFrame, key: str) -> None:
+    """Refuse a key that is NULL somewhere or names several rows; folds and
+    permutations are functions of it."""
+    bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).limit(1)
+    if not bad.isEmpty():
+        raise ValueError(f"key_not_unique: {S.shown_name(key)}")
+
+
 def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick") -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
-    the prepared (checkpointed) frame and the spec-sized preparation state."""
+    the prepared frame (written as Parquet) and the spec-sized preparation
+    state."""
     import time
     laps: dict = {}
     t_last = [time.time()]
@@ -171,14 +181,21 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
         laps[name] = now - t_last[0]
         t_last[0] = now
 
+    written: list = []
+    df = df.toDF(*[S.safe_name(c) for c in df.columns])
+    target = S.safe_name(target) if target is not None else None
     if key is None:
         key = "row_id"
-        df = attach_row_id(df, key)
+        df = attach_row_id(df, key, written)
+    else:
+        key = S.safe_name(key)
+        check_key(df, key)
     rep = P.target_report(df, target).first()
     if rep["status"] not in ("ok",):
         raise ValueError(rep["status"])
     y = rep["target"]
-    st: dict = {"target": y, "key": key, "strategy": strategy, "n_target_na": int(rep["n_null"])}
+    st: dict = {"target": y, "key": key, "strategy": strategy, "n_target_na": int(rep["n_null"]),
+                "written": written}
     df = df.withColumn(y, F.col(y).cast("string").try_cast("double") if dict(df.dtypes)[y] == "string"
                        else F.col(y).cast("double"))
     df = P.drop_null_target(df, y)
@@ -190,7 +207,8 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
 
     # ONE pass profiles every column: string columns both as categories and
     # as coerced numbers, numeric columns for missing / distinct / std.
-    df = df.drop(*[c for c, t in df.dtypes if t in ("timestamp", "date", "timestamp_ntz") and c != key])
+    st["dropped_dates"] = [c for c, t in df.dtypes if t in ("timestamp", "date", "timestamp_ntz") and c != key]
+    df = df.drop(*st["dropped_dates"])
     cats = P.category_columns(df, exclude=[y, key])
     bools = [c for c, t in df.dtypes if t == "boolean" and c in cats]
     if bools:
@@ -250,17 +268,17 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     num = [c for c in df.columns if c in set(nums0) | set(to_num)
            and one[f"miss_{c}"] < P.MAX_MISS_RATE
            and not (one[f"one_{c}"] or one[f"sd_{c}"] < P.CONST_STD_EPS)]
-    num += [f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks if len(ks) > 1]
+    num += [E.onehot_name(c, k) for c, ks in st["onehot"].items() for k in ks if len(ks) > 1]
     if len(num) > 1:
         # the fill medians only place the NULL rows before |corr| > 0.999 is tested
         kept = {r["column"] for r in P.duplicate_profile(df, num, exact=n_all <= P.EXACT_PERCENTILE_MAX_ROWS)
                 .collect() if r["kept"]}
         num = [c for c in num if c in kept]
-    oh_all = {f"{c}=={k}" for c, ks in st["onehot"].items() for k in ks}
+    oh_all = {E.onehot_name(c, k) for c, ks in st["onehot"].items() for k in ks}
     st["numeric"] = [c for c in num if c not in oh_all]
     lap("columns")
 
-    df = cut_lineage(df)                                   # cleaned table, read by every later pass
+    df = cut_lineage(df, written)                          # cleaned table, read by every later pass
     n = df.count()
     st["n_rows"] = n
     oof = strategy == "thorough" or n < 50
@@ -270,7 +288,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
         st["folds"] = []
     else:
         folded, k = W.stratified_folds_k(df, key, y, oof=oof, exact=n <= P.EXACT_PERCENTILE_MAX_ROWS)
-        df = cut_lineage(folded)
+        df = cut_lineage(folded, written)
         st["folds"] = list(range(k)) if oof else [0]
     tr0 = df.filter(F.col("fold") != 0) if st["folds"] else df
     lap("folds")
@@ -315,11 +333,8 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["base_feats"] = list(num)
     st["n_outliers"] = int(df.agg(F.count_if("__clipped")).first()[0])
     lap("encoders")
-    prepared = cut_lineage(df)
-    dp = spark_parallelism(df)
-    if prepared.rdd.getNumPartitions() < dp:      # small inputs only: keep every core busy
-        prepared = cut_lineage(prepared.repartition(dp, key))
-    lap("checkpoint")
+    prepared = cut_lineage(df, written)
+    lap("write")
     st["prepare_laps"] = laps
     return prepared, st
 
@@ -343,91 +358,109 @@ def medians_by_set(df: DataFrame, cols_by_set: dict, fold: str) -> dict:
     return out
 
 
-def _family_preds(kind: str, df: DataFrame, st: dict, sets, cols_by_set, key: str, rows_eval: DataFrame):
-    """Fit one family on every evaluated fold's complement and on all rows;
-    return (OOF prediction frame on the transformed scale, final spec, info)."""
-    y = "__y_t"
-    folds = st["folds"]
-    feats = cols_by_set["all"]
-    med_sets = medians_by_set(df, cols_by_set, "fold")
-    if kind in ("linear", "poly"):
-        if kind == "poly":
-            feats = st["base_feats"]            # label-free columns only
-            med_sets["all"] = P.fit_medians(df, feats)
-            rob = {r["column"]: r for r in TR.robust_fit(df, feats).collect()}
-            center = {c: rob[c]["center"] for c in feats}
-            scl = {c: rob[c]["scale"] for c in feats}
-            top = [r["column"] for r in P.top_by_corr(df, feats, y, POLY_MAX_FEATS).collect()]
-            src = df.select(key, "fold", y, *[F.coalesce(F.col(c), F.lit(med_sets["all"][c])).alias(c) for c in top])
-            src = src.select(key, "fold", y, *poly_columns(top, center, scl))
-            pf = [c for c in src.columns if c not in (key, "fold", y)]
-            res = ridge_cv(src, pf, y, key, "fold" if folds else None, ALPHAS_POLY, folds=folds, robust=False)
-            scored = src
-        else:
-            res = ridge_cv(df, feats, y, key, "fold" if folds else None, ALPHAS_STD, folds=folds,
-                           cols_by_set=cols_by_set)
-            scored = df
-        e = None
-        for f, sp in res.per_fold.items():
-            e = F.when(F.col("fold") == f, sp.predict()) if e is None else e.when(F.col("fold") == f, sp.predict())
-        ev = scored.join(rows_eval.select(key), key, "left_semi") if folds else scored
-        pred = ev.select(key, (e if e is not None else res.final.predict()).alias("pred"))
-        info = {"alpha": res.final.alpha, "coef": dict(zip(res.final.feats, res.final.coef)),
-                "intercept": res.final.intercept}
-        if kind == "poly":
-            info.update(poly_feats=top, center=center, scale=scl)
-            fin = {"type": "poly", "top": top, "center": center, "scale": scl, "medians": med_sets["all"],
-                   "feats": res.final.feats, "coef": res.final.coef, "intercept": res.final.intercept}
-            return pred, fin, info
-        return pred, res.final, info
-    if kind in ("gbt", "rf", "xt"):
-        parts, final = [], None
-        it = GBT_ITER_THOROUGH if st["strategy"] == "thorough" else GBT_ITER_QUICK
-
-        def fit_set(s):
-            tr = df if s == "all" else df.filter(F.col("fold") != s)
-            if kind == "gbt" and s != "all":
-                tr = W.es_holdout(tr, key)
-            es = "is_es" if "is_es" in tr.columns else None
-            return s, fit_trees(tr.select(*cols_by_set[s], y, *([es] if es else [])), cols_by_set[s], y, kind,
-                                med_sets[s], max_iter=it, es_col=es)
-
-        # one MLlib fit per training set; independent, so submitted concurrently
-        from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=max(1, min(FAMILY_THREADS, len(sets)))) as pool:
-            specs = dict(pool.map(fit_set, sets))
-        final = specs.get("all")
-        for s in sets:
-            if s != "all":
-                va = df.filter(F.col("fold") == s)
-                parts.append(specs[s].transform(va.select(key, *cols_by_set[s]), "pred").select(key, "pred"))
-        pred = parts[0] if parts else final.transform(df.select(key, *feats), "pred").select(key, "pred")
-        for p in parts[1:]:
-            pred = pred.unionByName(p)
-        return pred, final, {}
-    if kind in ("gp", "mlp"):
-        if kind == "gp":
-            specs = fit_gp(df, feats, y, key, med_sets, "fold" if folds else None, folds, cols_by_set)
-        else:
-            specs = fit_mlp(df, feats, y, med_sets, "fold" if folds else None, folds, cols_by_set=cols_by_set)
-        parts = []
-        for f in folds:
-            va = df.filter(F.col("fold") == f).select(key, *cols_by_set[f])
-            parts.append(specs[f].predict_column(va, "pred").select(key, "pred"))
-        if not parts:
-            parts = [specs["all"].predict_column(df.select(key, *feats), "pred").select(key, "pred")]
-        pred = parts[0]
+def _training_rows(df: DataFrame, s) -> DataFrame:
+    return df if s == "all" else df.filter(F.col("fold") != s)
+
+
+def _each(fn, items, threads: int = FAMILY_THREADS) -> dict:
+    """{item: fn(item)}; independent Spark jobs, submitted from a bounded pool
+    so that the scheduler can overlap them."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(items)))) as pool:
+        return dict(zip(items, pool.map(fn, items)))
+
+
+def fit_poly(df: DataFrame, feats: list[str], y: str, key: str, max_feats: int = POLY_MAX_FEATS) -> dict:
+    """M02 on one training set: its own medians, robust scales and most
+    correlated columns, then ridge on their squares and products."""
+    med = P.fit_medians(df, feats)
+    rob = {r["column"]: r for r in TR.robust_fit(df, feats).collect()}
+    top = [r["column"] for r in P.top_by_corr(df, feats, y, max_feats).collect()]
+    center, scl = {c: rob[c]["center"] or 0.0 for c in top}, {c: rob[c]["scale"] or 1.0 for c in top}
+    src = df.select(key, y, *[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in top])
+    src = src.select(key, y, *poly_columns(top, center, scl))
+    res = ridge_cv(src, [c for c in src.columns if c not in (key, y)], y, key, None, ALPHAS_POLY, robust=False)
+    return {"type": "poly", "top": top, "center": center, "scale": scl, "medians": {c: med[c] for c in top},
+            "feats": res.final.feats, "coef": res.final.coef, "intercept": res.final.intercept,
+            "alpha": res.final.alpha}
+
+
+def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key: str, medians,
+               rounds: int, trees: int, settings: dict) -> dict:
+    """{training set: fitted model} of one family; every set (the complement of
+    an evaluated fold, or all rows) is fitted on its own rows only."""
+    y, folds = "__y_t", st["folds"]
+    if kind == "linear":
+        res = ridge_cv(df, cols_by_set["all"], y, key, "fold" if folds else None, ALPHAS_STD, folds=folds,
+                       cols_by_set=cols_by_set)
+        return {**res.per_fold, "all": res.final}
+    if kind == "poly":
+        return _each(lambda s: fit_poly(_training_rows(df, s), st["base_feats"], y, key), sets)
+    if kind == "gp":
+        return fit_gp(df, cols_by_set["all"], y, key, medians(), "fold" if folds else None, folds, cols_by_set)
+    if kind == "mlp":
+        return fit_mlp(df, cols_by_set["all"], y, medians(), "fold" if folds else None, folds,
+                       cols_by_set=cols_by_set, **settings.get("mlp", {}))
+
+    def fit_set(s, n_rounds=rounds):
+        tr = _training_rows(df, s)
+        if kind == "gbt" and s != "all":
+            tr = W.es_holdout(tr, key)
+        es = "is_es" if "is_es" in tr.columns else None
+        return fit_trees(tr.select(*cols_by_set[s], y, *([es] if es else [])), cols_by_set[s], y, kind, medians()[s],
+                         max_iter=n_rounds, es_col=es, n_trees=trees,
+                         params=settings.get("gbt") if kind == "gbt" else None)
+
+    specs = _each(fit_set, [s for s in sets if s != "all"])
+    last = rounds
+    if kind == "gbt" and specs:       # all rows: a little longer than the folds needed before they stopped
+        used = [m.models[0].stages[-1].getNumTrees for m in specs.values()]
+        last = max(GBT_FINAL_MIN, int(round(GBT_FINAL_FACTOR * sum(used) / len(used))))
+    return {**specs, "all": fit_set("all", last)}
+
+
+def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, rounds: int, size: int,
+                    kinds) -> dict:
+    """The best settings of a halving search per family."""
+    from sparkreg.operators.search import (GBT_FINALISTS, MLP_FINALISTS, gbt_candidates, halving_search,
+                                           mlp_candidates, r2_of)
+    y, folds, out = "__y_t", st["folds"], {}
+
+    def scored(specs):
+        parts = [add_prediction(df.filter(F.col("fold") == f), m, "pred").select(y, "pred") for f, m in specs.items()]
+        u = parts[0]
         for p in parts[1:]:
-            pred = pred.unionByName(p)
-        return pred, specs["all"], {}
-    raise ValueError(kind)
+            u = u.unionByName(p)
+        return r2_of(u, y, "pred")
+
+    def gbt(c, some):
+        return scored({f: fit_trees(_training_rows(df, f), cols_by_set[f], y, "gbt", medians()[f], max_iter=rounds,
+                                    params=c) for f in some})
+
+    def mlp(c, some):
+        sets = {f: cols_by_set[f] for f in some}
+        return scored(fit_mlp(df, cols_by_set["all"], y, medians(), "fold", list(some), cols_by_set=sets, **c))
+
+    for kind, cands, fit, keep in (("gbt", gbt_candidates(st["n_rows"], size=size), gbt, GBT_FINALISTS),
+                                   ("mlp", mlp_candidates(size=size), mlp, MLP_FINALISTS)):
+        if kind in kinds:
+            trials = halving_search(df.sparkSession, cands, folds, fit, keep).filter("stage = 'final'")
+            best = trials.orderBy(F.desc("r2"), "trial").first()
+            out[kind] = cands[best["trial"]]
+    return out
 
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
-          families=None, derive: bool | None = None) -> TrainResult:
+          families=None, derive: bool | None = None, rounds: int | None = None, trees: int = FOREST_TREES,
+          search: int = 0) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
-    stable row id is attached."""
+    stable row id is attached; a key that is not unique is refused.
+
+    ``rounds`` bounds the boosting rounds, ``trees`` sizes the forests, and
+    ``search`` > 0 lets a thorough run choose the settings of the boosted
+    trees and the network among that many candidates each."""
     spark = df.sparkSession
     from sparkreg.session import tune_session
     tune_session(spark)
@@ -449,10 +482,6 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         timings["recipes_screening"] = time.time() - t1
     families = families or (THOROUGH_FAMILIES if strategy == "thorough" else QUICK_FAMILIES)
     n = st["n_rows"]
-    rows_eval = prepared.filter(F.col("fold").isin(folds)) if folds else prepared
-    truth = rows_eval.select(key, F.col(y).alias("y_w"), F.col("__y_raw").alias("y_raw"), "fold")
-
-    cands, finals, infos, oof_cols = [], {}, {}, {}
     runnable = []
     for kind in families:
         if kind == "gp" and n < GP_MIN_ROWS:
@@ -464,50 +493,59 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         if cols_by_set["all"]:
             runnable.append(kind)
 
-    def fit_family(kind):
-        t1 = time.time()
-        pred_t, final, info = _family_preds(kind, prepared, st, sets, cols_by_set, key, rows_eval)
-        return kind, pred_t, final, info, time.time() - t1
-
-    # families are independent Spark jobs: submit them from a small thread
-    # pool so the scheduler can overlap them (idle cores during small fits)
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(FAMILY_THREADS, len(runnable)))) as pool:
-        fitted = list(pool.map(fit_family, runnable))
-    for kind, pred_t, final, info, dt in fitted:
-        timings[f"fit_{kind}"] = dt
-        pred = pred_t.select(key, _invert(F.col("pred"), st["transform"], st["lambda"]).alias(kind))
-        oof_cols[kind] = pred
-        finals[kind], infos[kind] = final, info
+    shared: dict = {}
+    guard = Lock()
+
+    def medians():                    # one pass for all families that fill by median
+        with guard:
+            if not shared:
+                shared.update(medians_by_set(prepared, cols_by_set, "fold"))
+        return shared
+
+    rounds = rounds or (GBT_ITER_THOROUGH if strategy == "thorough" else GBT_ITER_QUICK)
+    settings = {}
+    if search > 0 and strategy == "thorough" and folds:
+        settings = search_settings(prepared, st, cols_by_set, medians, rounds, search, runnable)
+    models = _each(lambda k: fit_family(k, prepared, st, sets, cols_by_set, key, medians, rounds, trees, settings),
+                   runnable)
+    finals = {k: m["all"] for k, m in models.items()}
     timings["fit_all_families"] = time.time() - t0 - timings["prepare"] - timings.get("recipes_screening", 0.0)
 
-    # align member predictions (J02/J03): one frame, one column per family
-    # J02 + J03 in ONE shuffle: truth and every member's OOF column go long
-    # as (key, model, value) and pivot back on the key with a fixed list.
+    # A fold's rows get the prediction of every family's model for
+    # that fold as columns, so the members are aligned without a shuffle
     t1 = time.time()
-    long = truth.select(key, F.lit("y_w").alias("model"), F.col("y_w").alias("pred"))
-    long = long.unionByName(truth.select(key, F.lit("y_raw").alias("model"), F.col("y_raw").alias("pred")))
-    long = long.unionByName(truth.select(key, F.lit("fold").alias("model"), F.col("fold").cast("double").alias("pred")))
-    for kind, p in oof_cols.items():
-        long = long.unionByName(p.select(key, F.lit(kind).alias("model"), F.col(kind).alias("pred")))
-    oof = stack_members(long, key, ["y_w", "y_raw", "fold", *oof_cols])
-    oof = cut_lineage(oof.withColumn("fold", F.col("fold").cast("int")))
+
+    def with_members(rows: DataFrame, s) -> DataFrame:
+        for k in runnable:
+            rows = add_prediction(rows, models[k][s], "__p")
+            rows = rows.withColumn(k, _invert(F.col("__p"), st["transform"], st["lambda"])).drop("__p")
+        return rows.select(key, F.col(y).alias("y_w"), F.col("__y_raw").alias("y_raw"), "fold", *runnable)
+
+    parts = [with_members(prepared.filter(F.col("fold") == f), f) for f in folds] or [with_members(prepared, "all")]
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    oof = cut_lineage(oof)
+    fitted = with_members(prepared, "all")                # the final models on their own rows
     timings["oof_assemble"] = time.time() - t1
     t1 = time.time()
-    metric_aggs = []
-    for kind in oof_cols:
-        metric_aggs += M.r2_aggs("y_w", kind, f"{kind}_")
-    m1 = oof.agg(*metric_aggs).first() if metric_aggs else None
-    r2 = {}
-    for kind in oof_cols:
-        sse, sst = m1[f"{kind}_sse"], m1[f"{kind}_sst"]
-        r2[kind] = (1 - sse / sst) if (sse is not None and sst and sst > 0) else (1.0 if sse == 0 else 0.0)
-        if sse is None or not np.isfinite(sse):
-            r2[kind] = float("nan")
-    std = {}
-    if st["eval_on"] == "oof":
-        for r in oof.groupBy("fold").agg(*[a for k in oof_cols for a in M.r2_aggs("y_w", k, f"{k}_")]).collect():
-            for k in oof_cols:
+
+    def r2_row(frame: DataFrame, names) -> dict:
+        one = frame.agg(*[a for k in names for a in M.r2_aggs("y_w", k, f"{k}_")]).first()
+        out = {}
+        for k in names:
+            sse, sst = one[f"{k}_sse"], one[f"{k}_sst"]
+            if sse is None or not np.isfinite(sse):
+                out[k] = float("nan")
+            else:
+                out[k] = (1 - sse / sst) if sst and sst > 0 else (1.0 if sse == 0 else 0.0)
+        return out
+
+    r2 = r2_row(oof, runnable) if runnable else {}
+    std: dict = {}
+    if st["eval_on"] == "oof" and runnable:
+        for r in oof.groupBy("fold").agg(*[a for k in runnable for a in M.r2_aggs("y_w", k, f"{k}_")]).collect():
+            for k in runnable:
                 std.setdefault(k, [])
                 if r[f"{k}_n"] >= 2 and r[f"{k}_sst"]:
                     std[k].append(1 - r[f"{k}_sse"] / r[f"{k}_sst"])
@@ -519,38 +557,43 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     if members:
         weights = blend_weights(oof.dropna(subset=members), members, "y_w", r2)
         expr = sum((F.col(m) * F.lit(w) for m, w in weights.items()), F.lit(0.0))
-        oof = oof.withColumn("blend", expr)
-        bl = oof.agg(*M.r2_aggs("y_w", "blend")).first()
-        r2["blend"] = 1 - bl["sse"] / bl["sst"] if bl["sst"] else 0.0
+        oof, fitted = oof.withColumn("blend", expr), fitted.withColumn("blend", expr)
+        r2["blend"] = r2_row(oof, ["blend"])["blend"]
+    train_r2 = r2_row(fitted, list(r2)) if r2 else {}
     cand_df = spark.createDataFrame(
-        [(k, float(v), float(r2_std.get(k, 0.0)), None) for k, v in r2.items()],
+        [(k, float(v), float(r2_std.get(k, 0.0)), float(train_r2[k])) for k, v in r2.items()],
         "name string, r2 double, r2_std double, train_r2 double")
     choice = M.pick_best(cand_df).first()
     best = choice["chosen"]
 
-    # post-process (A14, A15, F14) and report metrics on raw y
+    # post-process (A14, A15, F14) of every candidate, report metrics on raw y
     yr = prepared.agg(F.min("__y_raw").alias("a"), F.max("__y_raw").alias("b"),
                       P.is_integer_expr("__y_raw").alias("isint")).first()
     span = yr["b"] - yr["a"]
     margin = span * P.Y_CLIP_MARGIN_FRAC if span > 0 else max(abs(yr["b"]), 1.0)
-    smear = 1.0
-    if st["transform"] == "log1p" and best in oof.columns:
-        smear = P.smear_profile(oof.dropna(subset=[best]), "y_w", best).first()["smear"]
-    post = {"smear": float(smear), "lo": yr["a"] - margin, "hi": yr["b"] + margin, "round": bool(yr["isint"])}
+    posts = {}
+    for k in r2:
+        smear = 1.0
+        if st["transform"] == "log1p":
+            smear = P.smear_profile(oof.dropna(subset=[k]), "y_w", k).first()["smear"]
+        posts[k] = {"smear": float(smear), "lo": yr["a"] - margin, "hi": yr["b"] + margin, "round": bool(yr["isint"])}
+    post = posts[best]
     final_pred = S.postprocess(best, post["smear"], post["lo"], post["hi"], post["round"])
     ev = oof.withColumn("final", final_pred)
     mt = ev.agg(*M.r2_aggs("y_raw", "final"), F.sqrt(F.avg((F.col("y_raw") - F.col("final")) ** 2)).alias("rmse"),
-                F.avg(F.abs(F.col("y_raw") - F.col("final"))).alias("mae")).first()
+                F.avg(F.abs(F.col("y_raw") - F.col("final"))).alias("mae"), F.count(F.lit(1)).alias("rows")).first()
     r2_raw = (1 - mt["sse"] / mt["sst"]) if mt["sst"] else 0.0
 
     timings["evaluate"] = time.time() - t1
     lb = M.leaderboard(cand_df)
-    imp = _importance(spark, best, finals, infos, weights)
-    st["n_val"] = int(rows_eval.count()) if st["eval_on"] == "val" else 0
+    imp = _importance(spark, best, finals, weights, prepared, key)
+    st["n_val"] = int(mt["rows"]) if st["eval_on"] == "val" else 0
     warn = M.quality_warnings(spark, n, st["eval_on"], st["n_val"], st["n_target_na"], st["n_outliers"],
-                              st["fence"][2], st["n_dup_rows"], st["dropped_cats"])
+                              st["fence"][2], st["n_dup_rows"], [S.shown_name(c) for c in st["dropped_cats"]],
+                              [S.shown_name(c) for c in st["dropped_dates"]])
     report = spark.createDataFrame([(
-        y, n, st["eval_on"], best, float(choice["chosen_r2"]) if choice["chosen_r2"] is not None else None,
+        S.shown_name(y), n, st["eval_on"], best,
+        float(choice["chosen_r2"]) if choice["chosen_r2"] is not None else None,
         float(r2_raw), float(mt["rmse"]) if mt["rmse"] is not None else None,
         float(mt["mae"]) if mt["mae"] is not None else None, st["transform"], len(cols_by_set["all"]),
         st["n_outliers"], st["n_dup_rows"])],
@@ -559,47 +602,78 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     report = report.withColumn("r2_bucket", S.r2_bucket("r2_raw"))
     timings["total"] = time.time() - t0
     st["timings"] = timings
-    bundle = {"prep": st, "best": best, "post": post, "weights": weights,
-              "feats": cols_by_set["all"], "infos": infos}
+    bundle = {"prep": st, "best": best, "post": post, "posts": posts, "weights": weights,
+              "feats": cols_by_set["all"], "settings": settings}
+    oof = oof.withColumnRenamed(key, S.shown_name(key))
     return TrainResult(report, lb, imp, oof, bundle, finals, warnings=warn)
 
 
-def _importance(spark, best: str, finals: dict, infos: dict, weights: dict) -> DataFrame:
-    """M13 / M14 / M15 importances of the chosen model (A20 for a blend)."""
+def _importance(spark, best: str, finals: dict, weights: dict, prepared: DataFrame, key: str) -> DataFrame:
+    """M13 - M16 importances of the chosen model (A20 for a blend): split
+    counts, coefficients, length scales, or for a network the drop of R2 when
+    a column is permuted."""
+    def shares(values: dict) -> dict:
+        total = sum(values.values())
+        return {S.shown_name(c.removesuffix("__all")): v / total if total else 1.0 / len(values)
+                for c, v in values.items()}
+
     def one(kind):
-        if kind in ("linear",):
-            coef = infos[kind]["coef"]
-            tot = sum(abs(v) for v in coef.values()) or 1.0
-            return {k.removesuffix("__all"): abs(v) / tot for k, v in coef.items()}
+        m = finals[kind]
+        if kind in ("linear", "poly"):
+            feats, coef = (m["feats"], m["coef"]) if kind == "poly" else (m.feats, m.coef)
+            return shares({c: abs(v) for c, v in zip(feats, coef)})
         if kind in ("gbt", "rf", "xt"):
-            return {r["feature"].removesuffix("__all"): r["pct"] / 100.0
-                    for r in split_importance(finals[kind], spark).collect()}
+            return shares({r["feature"]: r["pct"] for r in split_importance(m, spark).collect()})
         if kind == "gp":
-            return {k.removesuffix("__all"): v for k, v in finals[kind].importance().items()}
-        return {}
-    if best == "blend":
-        acc: dict = {}
-        for m, w in weights.items():
-            for f, v in one(m).items():
-                acc[f] = acc.get(f, 0.0) + w * v
-    else:
-        acc = one(best)
+            return shares(m.importance())
+        from sparkreg.operators.search import permutation_importance
+        rows = prepared.select(key, F.col("__y_t").alias("__y"), *m.feats)
+        drop = permutation_importance(rows, key, "__y", m.feats, lambda d: m.predict_column(d, "pred"))
+        return shares({r["feature"]: r["importance"] for r in drop.collect()})
+    acc: dict = {}
+    for m, w in (weights if best == "blend" else {best: 1.0}).items():
+        for f, v in one(m).items() if w else ():
+            acc[f] = acc.get(f, 0.0) + w * v
     rows = [(f, float(v)) for f, v in acc.items()]
     imp = spark.createDataFrame(rows, "feature string, importance double")
     return M.top_importance(imp)
 
 
-def save(result: TrainResult, root: str) -> str:
-    """S05 for a training result: the chosen model (or the blend members)."""
+def deploy(result: TrainResult, root: str, save_as=None) -> tuple[str, str, list[str]]:
+    """(chosen, deployed, failures).  The chosen model is saved first;
+    if that fails, the other candidates follow by R2, each with its own
+    post-processing.  The result is left as it was."""
+    chosen = result.bundle["best"]
+    others = [r["name"] for r in result.leaderboard.orderBy(F.desc_nulls_last("r2"), "name").collect()]
+    failures = []
+    for name in [chosen, *[k for k in others if k != chosen]]:
+        try:
+            (save_as or save)(result, root, name)
+        except Exception as e:  # noqa: BLE001 -- a model that cannot be saved is skipped
+            failures.append(f"{name}: {type(e).__name__}")
+            continue
+        return chosen, name, failures
+    raise RuntimeError(f"no model could be saved: {failures}")
+
+
+def clean(result: TrainResult) -> None:
+    """Delete the tables of the training run; the report, the out-of-fold
+    predictions and saved bundles stay."""
+    remove(result.report.sparkSession, result.bundle["prep"]["written"])
+
+
+def save(result: TrainResult, root: str, best: str | None = None) -> str:
+    """S05 for a training result: the chosen model (or the blend members), or
+    the candidate ``best``."""
     from sparkreg.sources.model_io import save_bundle
     b = result.bundle
     st = b["prep"]
-    best = b["best"]
+    best = best or b["best"]
     members = {m: result.models[m] for m in (b["weights"] if best == "blend" else [best])}
     prep = {k: st[k] for k in ("target", "key", "strategy", "onehot", "target_cols", "dropped_cats", "numeric",
                                "clip", "transform", "lambda", "base_feats", "n_rows", "eval_on")}
     prep["recipe"] = st.get("recipes", {}).get("all", [])
-    meta = {"best": best, "post": b["post"], "weights": b["weights"], "feats": b["feats"], "prep": prep}
+    meta = {"best": best, "post": b["posts"][best], "weights": b["weights"], "feats": b["feats"], "prep": prep}
     enc = {c: (frame, g, n) for c, (frame, g, n) in st["te_frames"].items()}
     spark = result.report.sparkSession
     return save_bundle(spark, root, meta, members, enc)

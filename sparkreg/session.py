@@ -136,12 +136,16 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def rename(spark: SparkSession, src: str, dst: str) -> None:
-    """Replace ``dst`` by ``src`` (the last step of a pointer swap)."""
+    """Replace ``dst`` by ``src`` in one step (the last of a pointer swap):
+    a reader finds the old file or the new one, never none."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     fs, d = _fs(spark, dst)
     _, s_ = _fs(spark, src)
-    if fs.exists(d):
-        fs.delete(d, False)
-    fs.rename(s_, d)
+    ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = next(x for x in kind.getEnumConstants() if x.name() == "OVERWRITE")
+    ctx.rename(fs.makeQualified(s_), fs.makeQualified(d), how)
 
 
 def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
@@ -157,7 +161,20 @@ def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, written: list | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: later
+    passes read only the columns and rows they need, and nothing is lost with
+    an executor.  The folder is added to ``written`` for ``remove``."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    if written is not None:
+        written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list) -> None:
+    """Delete intermediate folders that nothing reads any more."""
+    for path in paths:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    paths.clear()

@@ -17,6 +17,8 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 BOM = "\ufeff"
 CP932 = "windows-31j"
+#: Quotes inside a quoted field are doubled, on reading and on writing.
+QUOTING = {"quote": '"', "escape": '"'}
 
 
 def detect_charset(spark: SparkSession, path: str) -> str:
@@ -25,10 +27,10 @@ def detect_charset(spark: SparkSession, path: str) -> str:
     return "UTF-8" if ok else CP932
 
 
-def header_columns(spark: SparkSession, path: str, charset: str = "UTF-8") -> list[str]:
+def header_columns(spark: SparkSession, path: str, charset: str = "UTF-8", multi_line: bool = True) -> list[str]:
     """The raw header line (first line only), names trimmed, BOM removed."""
-    first = (spark.read.option("encoding", charset).option("header", False).option("inferSchema", False)
-             .csv(path).first())
+    first = (spark.read.options(**QUOTING).option("encoding", charset).option("header", False)
+             .option("inferSchema", False).option("multiLine", multi_line).csv(path).first())
     names = [v if v is not None else "" for v in first] if first else []
     if names:
         names[0] = names[0].lstrip(BOM)
@@ -46,18 +48,21 @@ def header_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "position int, column string, duplicate boolean")
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Charset fallback, header trimmed (duplicates refused), pandas NA
-    tokens -> NULL, then the >= 90 % numeric rule per column."""
+    tokens -> NULL, then the >= 90 % numeric rule per column.  With
+    ``multi_line`` a quoted field may hold line breaks; a file is then read
+    by one task, so a few huge files without such fields should be read with
+    ``multi_line=False``, which splits them."""
     charset = detect_charset(spark, path)
     if charset == CP932:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    names = header_columns(spark, path, charset)
+    names = header_columns(spark, path, charset, multi_line)
     if len(set(names)) != len(names):
         dup = sorted({n for n in names if names.count(n) > 1})
         raise ValueError(f"duplicate_columns: {dup}")
-    raw = (spark.read.option("header", True).option("encoding", charset).option("inferSchema", False)
-           .option("multiLine", False).csv(path))
+    raw = (spark.read.options(**QUOTING).option("header", True).option("encoding", charset)
+           .option("inferSchema", False).option("multiLine", multi_line).csv(path))
     df = raw.toDF(*names)
     df = df.select(*[F.when(F.col(f"`{c}`").isin(NA_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c)
                      for c in names])
@@ -72,4 +77,4 @@ def write_scored_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     header name carries U+FEFF, so the file starts EF BB BF)."""
     cols = df.columns
     out = df.select(*[F.col(f"`{c}`").alias(BOM + c if (bom and i == 0) else c) for i, c in enumerate(cols)])
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    out.write.mode("overwrite").options(**QUOTING).option("header", True).option("encoding", "UTF-8").csv(path)

@@ -79,3 +79,31 @@ def test_stream_scoring_equals_batch(spark):
     batch = score(df.drop("y"), b).select("id", F.round("y", 9).alias("p"))
     assert streamed.count() == 120
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_quotes_and_line_breaks_round_trip(spark):
+    from sparkreg.session import write_text
+    from sparkreg.sources.csv import read_csv, write_scored_csv
+    path = scratch_path(spark, "quotes.csv")
+    write_text(spark, path, 'k,s,y\n1,"he said ""hi"", ok",2\n2,"two\nlines",3\n')
+    df = read_csv(spark, path)
+    assert [tuple(r) for r in df.collect()] == [(1.0, 'he said "hi", ok', 2.0), (2.0, "two\nlines", 3.0)]
+    out = scratch_path(spark, "quotes-out")
+    write_scored_csv(df, out)
+    assert read_csv(spark, out).collect() == df.collect()
+    assert any('""hi""' in r["value"] for r in spark.read.text(out).collect())
+
+
+def test_duplicate_rows_with_nulls(spark):
+    from sparkreg.operators.profile import count_duplicate_rows
+    df = spark.createDataFrame([(1, None), (None, 1), (None, 1), (1, 1)], "a int, b int")
+    assert count_duplicate_rows(df).first()[0] == 1
+
+
+def test_pointer_swap_replaces(spark):
+    from sparkreg.session import read_text, rename, write_text
+    root = scratch_path(spark, "swap")
+    for v in ("1", "2"):
+        write_text(spark, f"{root}/new", v)
+        rename(spark, f"{root}/new", f"{root}/CURRENT")
+        assert read_text(spark, f"{root}/CURRENT") == v

@@ -11,27 +11,26 @@ from sparkreg.session import scratch_path
 from sparkreg.sources.model_io import load_bundle
 
 
-def _onehot_fixture(spark, n=260, seed=3):
-    rng = np.random.RandomState(seed)
-    x1 = rng.uniform(-3, 3, n)
-    cat = rng.choice(["A", "B", "C"], n)
-    eff = {"A": 1.0, "B": -2.0, "C": 4.0}
-    y = 2 * x1 + np.array([eff[c] for c in cat]) + rng.normal(0, 0.3, n)
-    return spark.createDataFrame([(i, float(x1[i]), str(cat[i]), float(y[i])) for i in range(n)],
-                                 "id long, x1 double, cat1 string, y double")
+def _parcels(spark, n=240):
+    """Parcels: a fee by weight and by service, with a small regular error."""
+    fee = {"van": 3.5, "bike": 0.0, "air": 11.0}
+    rows = []
+    for i in range(n):
+        service = list(fee)[(i * 7 + i // 11) % 3]
+        weight = ((i * 37) % 101) / 10.0
+        rows.append((i, weight, service, 1.2 * weight + fee[service] + ((i * 53) % 17 - 8) / 40.0))
+    return spark.createDataFrame(rows, "id long, weight double, service string, y double")
 
 
-def _target_enc_fixture(spark, n=300, seed=5):
-    rng = np.random.RandomState(seed)
-    x2 = rng.uniform(-3, 3, n)
-    idx = rng.randint(0, 12, n)
-    y = x2 + (idx - 6) * 1.5 + rng.normal(0, 0.2, n)
-    return spark.createDataFrame([(i, float(x2[i]), f"R{idx[i] + 1:02d}", float(y[i])) for i in range(n)],
-                                 "id long, x2 double, cat2 string, y double")
+def _depots(spark, n=330):
+    """Fifteen depots with a level each, plus a slope."""
+    rows = [(i, (i * 29 % 83) / 9.0, f"D{i * 4 % 15}", (i * 4 % 15) ** 1.3 + 0.7 * (i * 29 % 83) / 9.0
+             + (i * 31 % 13 - 6) / 20.0) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, km double, depot string, y double")
 
 
 def test_onehot_linear_quality_and_parity(spark):
-    df = _onehot_fixture(spark)
+    df = _parcels(spark)
     res = train(df, "y", key="id", strategy="quick", families=("linear",))
     rep = res.report.first()
     assert rep["best_model"] == "linear" and rep["r2"] > 0.95
@@ -49,7 +48,7 @@ def test_onehot_linear_quality_and_parity(spark):
 
 
 def test_target_encoding_family_quality(spark):
-    res = train(_target_enc_fixture(spark), "y", key="id", strategy="thorough", families=("linear", "gbt"))
+    res = train(_depots(spark), "y", key="id", strategy="thorough", families=("linear", "gbt"))
     rep = res.report.first()
     assert rep["eval_on"] == "oof" and rep["r2"] > 0.9
 
@@ -88,3 +87,78 @@ def test_thorough_finds_derived_product(spark):
     save(res, root)
     sc = score(df.drop("y"), load_bundle(spark, root))
     assert sc.filter(F.col("y") != F.round("y")).count() == 0      # integral target -> rounded output
+
+
+def _noise(spark, n, d, seed):
+    rng = np.random.RandomState(seed)
+    rows = [(i, *map(float, rng.normal(size=d)), float(rng.normal())) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, " + ", ".join(f"x{j} double" for j in range(d)) + ", y double")
+
+
+def test_poly_finds_nothing_in_noise(spark):
+    """Columns chosen on held-out labels would show R2 above 0."""
+    got = [train(_noise(spark, 120, 40, s), "y", key="id", strategy="thorough", families=("poly",), derive=False)
+           .report.first()["r2"] for s in (1, 2, 3)]
+    assert np.mean(got) < 0.0
+
+
+@pytest.mark.parametrize("family", ["poly", "gp", "mlp", "rf", "xt"])
+def test_every_family_reports(spark, family):
+    res = train(_parcels(spark, 120), "y", key="id", strategy="thorough", families=(family,), derive=False, trees=8)
+    lb = res.leaderboard.filter(F.col("name") == family).first()
+    assert lb["train_r2"] is not None and lb["r2"] > 0.5 and lb["train_r2"] > 0.5
+    assert res.importance.count() > 0
+
+
+def test_mlp_with_different_columns_and_partitions(spark):
+    from sparkreg.operators.mlp import fit_mlp
+    df = _noise(spark, 200, 3, 4).withColumn("y", F.col("x0") * 2 + F.sin("x1")).withColumn("fold", F.col("id") % 5)
+    cols = {0: ["x0", "x1"], "all": ["x0", "x1", "x2"]}
+    w = [fit_mlp(df.repartition(p, "id"), cols["all"], "y", {0: {}, "all": {}}, "fold", [0], cols_by_set=cols, passes=8)
+         for p in (1, 4)]
+    for s in cols:
+        assert np.allclose(w[0][s].w, w[1][s].w, atol=1e-7)
+    assert len(w[0][0].w) < len(w[0]["all"].w)
+
+
+def test_names_with_dots(spark):
+    df = _parcels(spark, 90).select("id", F.col("weight").alias("weight.kg"),
+                                    F.when(F.col("service") == "air", "U.S. AIR").otherwise(F.col("service"))
+                                    .alias("service"), F.col("y").alias("fee.total"))
+    res = train(df, "fee.total", key="id", families=("linear",))
+    assert res.report.first()["target"] == "fee.total" and res.report.first()["r2"] > 0.9
+    assert "weight.kg" in {r["feature"] for r in res.importance.collect()}
+    root = scratch_path(spark, "t-dots")
+    save(res, root)
+    sc = score(df, load_bundle(spark, root))
+    assert sc.columns == df.columns and sc.filter(F.col("`fee.total`").isNull()).count() == 0
+
+
+def test_repeated_key_is_refused(spark):
+    df = _parcels(spark, 60).withColumn("id", F.col("id") % 20)
+    with pytest.raises(ValueError, match="key_not_unique"):
+        train(df, "y", key="id", families=("linear",))
+
+
+def test_deploy_order(spark):
+    from sparkreg.plans.train import clean, deploy
+    res = train(_parcels(spark, 90), "y", key="id", families=("linear", "gp"))
+    root = scratch_path(spark, "t-deploy")
+    assert deploy(res, root)[:2] == (res.bundle["best"], res.bundle["best"])
+
+    def refuses(result, path, name):
+        if name == res.bundle["best"]:
+            raise OSError("no space")
+        return save(result, path, name)
+
+    chosen, deployed, failures = deploy(res, root, refuses)
+    assert deployed != chosen == res.bundle["best"] and failures == [f"{chosen}: OSError"]
+    assert load_bundle(spark, root).meta["best"] == deployed
+    assert res.oof.count() > 0
+    clean(res)
+    assert res.oof.count() > 0 and res.report.count() == 1
+
+
+def test_search_chooses_settings(spark):
+    res = train(_parcels(spark, 80), "y", key="id", strategy="thorough", families=("mlp",), derive=False, search=2)
+    assert res.bundle["settings"]["mlp"]["alpha_l2"] in (1e-4, 1e-2)
