@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreg.operators.profile import quantile_expr
+from sparkreg.operators.profile import quantiles
 
 DEFAULT_SEED = 42
 ES_SEED = 7                  # seed of the early-stopping holdout order
@@ -67,10 +67,9 @@ def md5_rank(df: DataFrame, key: str, seed, groups: Sequence[str] = (), out: str
 
 
 # ---------------------------------------------------------------- W01
-def quantile_edges(df: DataFrame, y: str, n_bins: int, exact: bool = True) -> list[float]:
+def quantile_edges(df: DataFrame, y: str, n_bins: int) -> list[float]:
     probs = [i / n_bins for i in range(n_bins + 1)]
-    e = df.agg(quantile_expr(F.col(y), probs, exact).alias("e")).first()["e"]
-    return sorted(set(float(v) for v in e))
+    return sorted({v for v in quantiles(df, {y: (F.col(f"`{y}`"), probs)})[y] if v is not None})
 
 
 def bin_expr(y: str, edges: Sequence[float]) -> Column:
@@ -81,9 +80,9 @@ def bin_expr(y: str, edges: Sequence[float]) -> Column:
     return F.greatest(cnt - 1, F.lit(0)) if len(edges) > 1 else F.lit(0)
 
 
-def quantile_bins(df: DataFrame, y: str, n_bins: int, exact: bool = True, out: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, y: str, n_bins: int, out: str = "bin") -> DataFrame:
     """``qcut`` with duplicate edges merged."""
-    edges = quantile_edges(df, y, n_bins, exact)
+    edges = quantile_edges(df, y, n_bins)
     if len(edges) < 2:
         lo_hi = df.agg(F.min(y).alias("a"), F.max(y).alias("b")).first()
         a, b = float(lo_hi["a"]), float(lo_hi["b"])
@@ -103,41 +102,33 @@ def fold_plan(n: int, oof: bool = True) -> tuple[int, int]:
 
 # ---------------------------------------------------------------- W02 / W03
 def stratified_folds(df: DataFrame, key: str, y: str, k: int | None = None, seed: int = DEFAULT_SEED,
-                     exact: bool = True, out: str = "fold", oof: bool = True) -> DataFrame:
+                     out: str = "fold", oof: bool = True) -> DataFrame:
     """Round-robin inside each target bin in md5 order.  The fold count
     is capped by the smallest bin; below 2 it falls back to plain k-fold."""
-    return stratified_folds_k(df, key, y, k, seed, exact, out, oof)[0]
+    return stratified_folds_k(df, key, y, k, seed, out, oof)[0]
 
 
 def stratified_folds_k(df: DataFrame, key: str, y: str, k: int | None = None, seed: int = DEFAULT_SEED,
-                       exact: bool = True, out: str = "fold", oof: bool = True) -> tuple[DataFrame, int]:
-    """``stratified_folds`` plus the effective fold count.  Two passes over
-    the rows before the ranking itself: (count + quantile edges), then the
-    (bin, hash prefix) counts, which also give the smallest bin."""
-    guess_bins = 5
-    probs = [i / guess_bins for i in range(guess_bins + 1)]
-    first = df.agg(F.count(F.lit(1)).alias("n"), quantile_expr(F.col(y), probs, exact).alias("e")).first()
-    n = first["n"]
+                       out: str = "fold", oof: bool = True) -> tuple[DataFrame, int]:
+    """``stratified_folds`` plus the effective fold count.  Before the ranking
+    itself come the quantile edges and the (bin, hash prefix) counts, which
+    also give the smallest bin."""
+    n = df.count()
     kk, n_bins = fold_plan(n, oof)
     if k is not None:
         kk = max(2, min(k, n // 2))
         n_bins = min(kk, max(2, n // 10))
-    if n_bins == guess_bins and first["e"] is not None:
-        edges = sorted(set(float(v) for v in first["e"]))
-    else:
-        edges = quantile_edges(df, y, n_bins, exact)
+    edges = quantile_edges(df, y, n_bins)
     if len(edges) < 2:
-        binned = quantile_bins(df, y, n_bins, exact, out="__bin")
+        binned = quantile_bins(df, y, n_bins, out="__bin")
     else:
         binned = df.withColumn("__bin", bin_expr(y, edges))
     p = _prefix_len(n, n_bins)
     counts = (binned.withColumn("__b", F.substring(row_hash(key, seed), 1, p))
               .groupBy("__bin", "__b").agg(F.count(F.lit(1)).alias("__n")))
-    counts = counts.persist()
     smallest = counts.groupBy("__bin").agg(F.sum("__n").alias("c")).agg(F.min("c")).first()[0] or 0
     eff = min(kk, smallest)
     if eff < 2:
-        counts.unpersist()
         kf = max(2, min(kk, n))
         return kfold(df, key, kf, seed, out=out, n_rows=n), kf
     ranked = md5_rank(binned, key, seed, groups=["__bin"], out="__rk", n_rows=n, n_groups=n_bins, counts=counts)

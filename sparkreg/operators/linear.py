@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.scalar import SCALE_FLOOR
-from sparkreg.operators.profile import EXACT_PERCENTILE_MAX_ROWS, quantile_expr
+from sparkreg.operators.profile import quantiles
 
 # Fixed alpha grids of the reference.
 ALPHAS_STD = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
@@ -242,35 +242,23 @@ def _set_filter(fold: str | None, f):
     return (lambda c: c) if f == "all" else (lambda c: F.when(F.col(fold) != f, c))
 
 
-def fill_and_scale(df: DataFrame, cols_by_set: dict, fold: str | None, exact: bool) -> tuple[dict, dict, dict]:
+def fill_and_scale(df: DataFrame, cols_by_set: dict, fold: str | None) -> tuple[dict, dict, dict]:
     """Per training set (each fold complement, and "all"): medians of its
-    columns, then the IQR of the median-filled columns.  Two aggregation
-    passes in total, whatever the number of folds.  Also returns the
-    all-row median of every column as the summation shift."""
+    columns, then the IQR of the median-filled columns, by exact quantiles of
+    all sets at once.  Also returns the all-row median of every column as the
+    summation shift."""
     union = sorted({c for cols in cols_by_set.values() for c in cols})
-    med_aggs = [quantile_expr(F.col(c).cast("double"), 0.5, exact).alias(f"g_{j}") for j, c in enumerate(union)]
-    keys = list(cols_by_set)
-    for si, s in enumerate(keys):
-        tr = _set_filter(fold, s)
-        med_aggs += [quantile_expr(tr(F.col(c).cast("double")), 0.5, exact).alias(f"m_{si}_{i}")
-                     for i, c in enumerate(cols_by_set[s])]
-    mr = df.agg(*med_aggs).first()
-    shift = {c: (mr[f"g_{j}"] if mr[f"g_{j}"] is not None else 0.0) for j, c in enumerate(union)}
-    med = {s: np.array([mr[f"m_{si}_{i}"] if mr[f"m_{si}_{i}"] is not None else 0.0
-                        for i in range(len(cols_by_set[s]))]) for si, s in enumerate(keys)}
-    q_aggs = []
-    for si, s in enumerate(keys):
-        tr = _set_filter(fold, s)
-        q_aggs += [quantile_expr(tr(F.coalesce(F.col(c).cast("double"), F.lit(float(med[s][i])))),
-                                 [0.25, 0.75], exact).alias(f"q_{si}_{i}") for i, c in enumerate(cols_by_set[s])]
-    qr = df.agg(*q_aggs).first()
-    scale = {}
-    for si, s in enumerate(keys):
-        v = []
-        for i in range(len(cols_by_set[s])):
-            q = qr[f"q_{si}_{i}"]
-            v.append(max((q[1] - q[0]) if q is not None else 0.0, SCALE_FLOOR))
-        scale[s] = np.array(v)
+    val = {c: F.col(f"`{c}`").cast("double") for c in union}
+    sets = list(cols_by_set)
+    want = {("g", c): (val[c], [0.5]) for c in union}
+    want |= {(si, c): (_set_filter(fold, s)(val[c]), [0.5]) for si, s in enumerate(sets) for c in cols_by_set[s]}
+    got = {k: v[0] if v[0] is not None else 0.0 for k, v in quantiles(df, want).items()}
+    shift = {c: got["g", c] for c in union}
+    med = {s: np.array([got[si, c] for c in cols_by_set[s]]) for si, s in enumerate(sets)}
+    iqr = quantiles(df, {(si, c): (_set_filter(fold, s)(F.coalesce(val[c], F.lit(got[si, c]))), [0.25, 0.75])
+                         for si, s in enumerate(sets) for c in cols_by_set[s]})
+    scale = {s: np.array([max((iqr[si, c][1] - iqr[si, c][0]) if iqr[si, c][0] is not None else 0.0, SCALE_FLOOR)
+                          for c in cols_by_set[s]]) for si, s in enumerate(sets)}
     return med, scale, shift
 
 
@@ -288,9 +276,8 @@ class RidgeResult:
 
 
 def ridge_cv(df: DataFrame, feats: Sequence[str], y: str, key: str, fold: str | None = "fold",
-             alphas: Sequence[float] = ALPHAS_STD, n_rows: int | None = None,
-             folds: Sequence[int] | None = None, cols_by_set: dict | None = None,
-             robust: bool = True) -> RidgeResult:
+             alphas: Sequence[float] = ALPHAS_STD, folds: Sequence[int] | None = None,
+             cols_by_set: dict | None = None, robust: bool = True) -> RidgeResult:
     """Median impute -> robust scale -> RidgeCV for every evaluated
     fold and for the final all-row model, from three aggregation passes.
 
@@ -298,15 +285,12 @@ def ridge_cv(df: DataFrame, feats: Sequence[str], y: str, key: str, fold: str |
     (e.g. a target encoding fitted on that fold's complement); by default
     every set reads ``feats``."""
     feats = list(feats)
-    if n_rows is None:
-        n_rows = df.count()
-    exact = n_rows <= EXACT_PERCENTILE_MAX_ROWS
     if folds is None:
         folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if fold else []
     if cols_by_set is None:
         cols_by_set = {s: feats for s in list(folds) + ["all"]}
     if robust:
-        med, scale, shift = fill_and_scale(df, cols_by_set, fold, exact)
+        med, scale, shift = fill_and_scale(df, cols_by_set, fold)
     else:   # inputs already complete and scaled (poly terms): no fill, unit scale
         med = {s: np.zeros(len(c)) for s, c in cols_by_set.items()}
         scale = {s: np.ones(len(c)) for s, c in cols_by_set.items()}

@@ -8,9 +8,10 @@ values per column, then unpivoted into a small long-format DataFrame with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.scalar import NAN_CLASS, coerce_numeric, null_to_sentinel
@@ -26,9 +27,7 @@ SKEW_THRESH = 0.75
 Y_CLIP_MARGIN_FRAC = 0.05
 SMEAR_RANGE = (0.5, 2.0)
 MIN_ROWS_FOR_FENCE = 20
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000    # above this, percentile_approx (exact keeps a value map
-                                          # per column; its final merge is one task)
-APPROX_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000       # rank error of the bracketing sketch: rows / 10,000
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
@@ -52,12 +51,85 @@ def _long(one_row: DataFrame, rows: list[Column]) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
-def quantile_expr(c: Column, probs, exact: bool = True) -> Column:
-    """Linear-interpolated quantile(s) (``percentile`` = DuckDB
-    ``quantile_cont``), or the approximate sketch for very large inputs."""
-    if exact:
-        return F.percentile(c, probs)
-    return F.percentile_approx(c, probs, APPROX_ACCURACY)
+def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[float]]]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (``quantile_cont``), exact for any number
+    of rows and all columns at once.
+
+    A sketch of every column brackets each quantile; the rows below each
+    bracket are counted and only the values inside it (a few in 10,000) are
+    grouped and ranked, so no task ever holds a column.  A bracket that the
+    counts prove wrong is widened to the whole column.  All-null columns give
+    None.
+    """
+    spots = [(name, c.cast("double"), float(p)) for name, (c, probs) in wanted.items() for p in probs]
+    if not spots:
+        return {name: [] for name in wanted}
+    eps = 2.0 / SKETCH_ACCURACY
+    aggs = []
+    for i, (name, (c, probs)) in enumerate(wanted.items()):
+        c = c.cast("double")
+        around = [q for p in probs for q in (max(0.0, p - eps), min(1.0, p + eps))]
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"),
+                 F.percentile_approx(c, around, SKETCH_ACCURACY).alias(f"q{i}")]
+    one = df.agg(*aggs).first()
+    state = []                                    # per quantile: column, low rank, high rank, place, bracket
+    for i, (name, (c, probs)) in enumerate(wanted.items()):
+        n = one[f"n{i}"]
+        for j, p in enumerate(probs):
+            if not n:
+                state.append(None)
+                continue
+            h = p * (n - 1)
+            lo, hi = one[f"q{i}"][2 * j], one[f"q{i}"][2 * j + 1]
+            state.append({"c": c.cast("double"), "r0": math.floor(h), "r1": math.ceil(h), "h": h, "lo": lo, "hi": hi,
+                          "ends": (one[f"a{i}"], one[f"b{i}"])})
+    out: list[float | None] = [None] * len(state)
+    todo = [i for i, s in enumerate(state) if s]
+    while todo:
+        row = df.agg(*[a for i in todo for a in (
+            F.count_if(state[i]["c"] < F.lit(state[i]["lo"])).alias(f"u{i}"),
+            F.count_if((state[i]["c"] >= F.lit(state[i]["lo"])) & (state[i]["c"] <= F.lit(state[i]["hi"])))
+            .alias(f"v{i}"))]).first()
+        again, rank = [], []
+        for i in todo:
+            s = state[i]
+            s["below"] = row[f"u{i}"]
+            if not (s["below"] <= s["r0"] and s["r1"] < s["below"] + row[f"v{i}"]):
+                s["lo"], s["hi"] = s["ends"]
+                again.append(i)
+            elif s["lo"] == s["hi"]:
+                out[i] = float(s["lo"])
+            else:
+                rank.append(i)
+        if rank:
+            inside = F.array(*[F.when((state[i]["c"] >= F.lit(state[i]["lo"])) & (state[i]["c"] <= F.lit(state[i]["hi"])),
+                                      F.struct(F.lit(i).alias("i"), state[i]["c"].alias("v"))) for i in rank])
+            vals = (df.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.i", "x.v")
+                    .agg(F.count(F.lit(1)).alias("n")))
+            upto = vals.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+            first = lambda r: F.min(F.when(F.col("upto") > F.element_at(r, F.col("i")), F.col("v")))
+            table = lambda k: F.create_map(*[F.lit(x) for i in rank for x in (i, state[i][k] - state[i]["below"])])
+            for r in upto.groupBy("i").agg(first(table("r0")).alias("x0"), first(table("r1")).alias("x1")).collect():
+                s = state[r["i"]]
+                out[r["i"]] = float(r["x0"]) if s["r0"] == s["r1"] else \
+                    (s["r1"] - s["h"]) * r["x0"] + (s["h"] - s["r0"]) * r["x1"]
+        todo = again
+    it = iter(out)
+    return {name: [next(it) for _ in probs] for name, (_, probs) in wanted.items()}
+
+
+def distinct_counts(df: DataFrame, cols: dict[str, Column]) -> dict[str, int]:
+    """Exact numbers of different non-null values, all columns by one grouped
+    job: (column, value) pairs collapse map-side, so a hot value costs one row
+    per task and no row is copied beyond the pairs themselves."""
+    if not cols:
+        return {}
+    names = list(cols)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), cols[c].cast("string").alias("v")) for i, c in enumerate(names)])
+    got = (df.select(F.explode(pairs).alias("x")).select("x.i", "x.v").where("v is not null").groupBy("i", "v")
+           .agg(F.lit(1).alias("one")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect())
+    found = {r["i"]: int(r["n"]) for r in got}
+    return {c: found.get(i, 0) for i, c in enumerate(names)}
 
 
 # ---------------------------------------------------------------- P01 / P02
@@ -128,29 +200,23 @@ def fit_feature_columns(df: DataFrame, target: str) -> list[str]:
 def constant_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Constant when at most one distinct non-null value or sample std
     below 1e-12 (a single row has no std, treated as 0)."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count_distinct(F.col(c)).alias(f"d{i}"),
-                 F.coalesce(F.stddev_samp(F.col(c).cast("double")), F.lit(0.0)).alias(f"s{i}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"),
-                     F.col(f"s{i}").alias("std"),
-                     ((F.col(f"d{i}") <= 1) | (F.col(f"s{i}") < CONST_STD_EPS)).alias("is_constant"))
-            for i, c in enumerate(cols)]
-    return _long(one, rows)
+    one = df.agg(*[F.coalesce(F.stddev_samp(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(f"s{i}")
+                   for i, c in enumerate(cols)]).first() if cols else None
+    plain = lambda c: F.col(f"`{c}`") + 0.0 if dict(df.dtypes)[c] in ("double", "float") else F.col(f"`{c}`")
+    nd = distinct_counts(df, {c: plain(c) for c in cols})
+    rows = [(c, nd[c], float(one[f"s{i}"]), nd[c] <= 1 or one[f"s{i}"] < CONST_STD_EPS) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint, std double, is_constant boolean")
 
 
 # ---------------------------------------------------------------- P07
-def correlation_pairs(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair after median fill.  One
     pass of medians, then ONE pass of plain sums of the median-centred
     columns (p + p(p+1)/2 SUMs, cheap to codegen -- p*(p-1)/2 ``corr``
     aggregates are not); the p x p matrix is formed on the driver."""
-    import math
     cols = list(cols)
-    med = df.agg(*[quantile_expr(F.col(f"`{c}`").cast("double"), 0.5, exact).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    fill = [(med[f"q{i}"] if med[f"q{i}"] is not None else 0.0) for i in range(len(cols))]
+    med = fit_medians(df, cols)
+    fill = [med[c] for c in cols]
     z = [F.coalesce(F.col(f"`{c}`").cast("double") - F.lit(float(fill[i])), F.lit(0.0)) for i, c in enumerate(cols)]
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(z[i]).alias(f"s{i}") for i in range(len(cols))]
     aggs += [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
@@ -171,10 +237,10 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], exact: bool = True) ->
     return df.sparkSession.createDataFrame(rows, "column string, pos int, other string, other_pos int, corr double")
 
 
-def duplicate_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def duplicate_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Greedy left-to-right; a column is dropped when |corr| > 0.999
     with an already kept column.  The p x p matrix is spec-sized."""
-    pairs = correlation_pairs(df, cols, exact).collect()
+    pairs = correlation_pairs(df, cols).collect()
     dup = {(r["pos"], r["other_pos"]) for r in pairs
            if r["corr"] is not None and abs(r["corr"]) > DUP_CORR_THRESH}
     kept: list[int] = []
@@ -202,18 +268,13 @@ def category_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def high_card_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop a category column when classes > max(1, int(0.5 * rows));
     one-hot when <= 10 classes; otherwise target encoding."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    aggs += [F.count_distinct(null_to_sentinel(F.col(c))).alias(f"k{i}") for i, c in enumerate(cols)]
-    one = df.agg(*aggs)
-    limit = F.greatest(F.lit(1), F.floor(F.col("n_rows") * DROP_CARD_FRAC).cast("bigint"))
-    rows = []
-    for i, c in enumerate(cols):
-        k = F.col(f"k{i}")
-        method = (F.when(k > limit, F.lit("drop")).when(k <= ONEHOT_MAX_CARD, F.lit("onehot"))
-                  .otherwise(F.lit("target")))
-        rows.append(F.struct(F.lit(c).alias("column"), k.alias("n_classes"), F.col("n_rows").alias("n_rows"),
-                             (k > limit).alias("dropped"), method.alias("method")))
-    return _long(one, rows)
+    k = distinct_counts(df, {c: null_to_sentinel(F.col(f"`{c}`")) for c in cols})
+    n = df.count()
+    limit = max(1, math.floor(n * DROP_CARD_FRAC))
+    rows = [(c, k[c], n, k[c] > limit, "drop" if k[c] > limit else "onehot" if k[c] <= ONEHOT_MAX_CARD else "target")
+            for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, n_classes bigint, n_rows bigint, dropped boolean, method string")
 
 
 # ---------------------------------------------------------------- A01
@@ -231,45 +292,38 @@ def count_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A02 / A03
-def median_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Per-column median, all-null column -> 0.0."""
-    one = df.agg(*[quantile_expr(F.col(c).cast("double"), 0.5, exact).alias(f"q{i}") for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"q{i}"), F.lit(0.0)).alias("median"))
-            for i, c in enumerate(cols)]
-    return _long(one, rows)
+def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    got = quantiles(df, {c: (F.col(f"`{c}`"), [0.5]) for c in cols})
+    return {c: v if v is not None else 0.0 for c, (v,) in got.items()}
 
 
-def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float]:
-    if not cols:
-        return {}
-    return {r["column"]: float(r["median"]) for r in median_profile(df, cols, exact).collect()}
+def median_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per-column median, all-null column -> 0.0."""
+    return df.sparkSession.createDataFrame(list(fit_medians(df, cols).items()), "column string, median double")
 
 
-def x_clip_profile(df: DataFrame, cols: Sequence[str], exact: bool = True,
-                   lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
+def x_clip_profile(df: DataFrame, cols: Sequence[str], lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
     """1 % / 99 % quantiles per column, kept only when lo < hi."""
-    one = df.agg(*[quantile_expr(F.col(c).cast("double"), [lo_q, hi_q], exact).alias(f"q{i}")
-                   for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"q{i}")[0].alias("lo"), F.col(f"q{i}")[1].alias("hi"),
-                     F.coalesce(F.col(f"q{i}")[0] < F.col(f"q{i}")[1], F.lit(False)).alias("kept"))
-            for i, c in enumerate(cols)]
-    return _long(one, rows)
+    got = quantiles(df, {c: (F.col(f"`{c}`"), [lo_q, hi_q]) for c in cols})
+    rows = [(c, lo, hi, lo is not None and lo < hi) for c, (lo, hi) in got.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, lo double, hi double, kept boolean")
 
 
-def fit_x_clip(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float]]:
+def fit_x_clip(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     if not cols:
         return {}
-    return {r["column"]: (r["lo"], r["hi"]) for r in x_clip_profile(df, cols, exact).collect() if r["kept"]}
+    return {r["column"]: (r["lo"], r["hi"]) for r in x_clip_profile(df, cols).collect() if r["kept"]}
 
 
 # ---------------------------------------------------------------- A04 / A05
-def y_fence_profile(df: DataFrame, y: str, mult: float, exact: bool = True) -> DataFrame:
+def y_fence_profile(df: DataFrame, y: str, mult: float) -> DataFrame:
     """[q1 - m*IQR, q3 + m*IQR]; only fitted from >= 20 rows."""
-    one = df.agg(F.count(F.col(y)).alias("n"), quantile_expr(F.col(y), [0.25, 0.75], exact).alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    ok = F.col("n") >= MIN_ROWS_FOR_FENCE
-    return one.select(F.col("n"), F.when(ok, F.col("q")[0] - iqr * mult).alias("lo"),
-                      F.when(ok, F.col("q")[1] + iqr * mult).alias("hi"))
+    n = df.agg(F.count(F.col(f"`{y}`"))).first()[0]
+    lo = hi = None
+    if n >= MIN_ROWS_FOR_FENCE:
+        q1, q3 = quantiles(df, {y: (F.col(f"`{y}`"), [0.25, 0.75])})[y]
+        lo, hi = q1 - (q3 - q1) * mult, q3 + (q3 - q1) * mult
+    return df.sparkSession.createDataFrame([(n, lo, hi)], "n bigint, lo double, hi double")
 
 
 def skew_profile(df: DataFrame, y: str) -> DataFrame:
@@ -298,12 +352,11 @@ def y_range_profile(df: DataFrame, y: str) -> DataFrame:
     return one.select("y_min", "y_max", (F.col("y_min") - margin).alias("lo"), (F.col("y_max") + margin).alias("hi"))
 
 
-def smear_profile(df: DataFrame, y: str, pred: str, exact: bool = True) -> DataFrame:
+def smear_profile(df: DataFrame, y: str, pred: str) -> DataFrame:
     """median(y / max(pred, 1e-6)) limited to [0.5, 2] (log1p only)."""
-    ratio = F.col(y) / F.greatest(F.col(pred), F.lit(1e-6))
-    one = df.agg(quantile_expr(ratio, 0.5, exact).alias("m"))
-    return one.select(F.coalesce(F.least(F.greatest(F.col("m"), F.lit(SMEAR_RANGE[0])), F.lit(SMEAR_RANGE[1])),
-                                 F.lit(1.0)).alias("smear"))
+    m = quantiles(df, {"m": (F.col(y) / F.greatest(F.col(pred), F.lit(1e-6)), [0.5])})["m"][0]
+    smear = 1.0 if m is None else min(max(m, SMEAR_RANGE[0]), SMEAR_RANGE[1])
+    return df.sparkSession.createDataFrame([(smear,)], "smear double")
 
 
 # ---------------------------------------------------------------- A16 / T02

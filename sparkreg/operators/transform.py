@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.scalar import SCALE_FLOOR, clip, yeo_johnson
-from sparkreg.operators.profile import CONST_STD_EPS, SKEW_THRESH, _long, quantile_expr
+from sparkreg.operators.profile import CONST_STD_EPS, SKEW_THRESH, _long, quantiles
 
 YJ_SEARCH = (-5.0, 5.0)        # fixed: lambda search interval
 YJ_GRID_POINTS = 21
@@ -32,16 +32,12 @@ def standard_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long(one, rows)
 
 
-def robust_fit(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def robust_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Median, IQR, scale = max(IQR, 1e-8) (exact linear quantiles)."""
-    one = df.agg(*[quantile_expr(F.col(c).cast("double"), [0.25, 0.5, 0.75], exact).alias(f"q{i}")
-                   for i, c in enumerate(cols)])
-    rows = []
-    for i, c in enumerate(cols):
-        q = F.col(f"q{i}")
-        rows.append(F.struct(F.lit(c).alias("column"), q[1].alias("center"), (q[2] - q[0]).alias("iqr"),
-                             F.greatest(q[2] - q[0], F.lit(SCALE_FLOOR)).alias("scale")))
-    return _long(one, rows)
+    got = quantiles(df, {c: (F.col(f"`{c}`"), [0.25, 0.5, 0.75]) for c in cols})
+    rows = [(c, m, None if m is None else b - a, None if m is None else max(b - a, SCALE_FLOOR))
+            for c, (a, m, b) in got.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, center double, iqr double, scale double")
 
 
 def winsorize(df: DataFrame, y: str, lo: float | None, hi: float | None, flag: str | None = None) -> DataFrame:

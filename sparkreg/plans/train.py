@@ -45,7 +45,6 @@ POLY_MAX_ROWS = 200
 POLY_MAX_FEATS = 8
 GP_MIN_ROWS = 10
 FAMILY_THREADS = 4             # concurrent family fits (the reference runs 4 threads in quick mode)
-EXACT_DISTINCT_MAX_ROWS = 10_000_000
 FOREST_TREES = 40              # trees of a forest (a caller parameter)
 GBT_FINAL_FACTOR = 1.15        # the final booster: rounds the folds used, times this,
 GBT_FINAL_MIN = 50             # and at least so many
@@ -225,10 +224,6 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     for c in strs:
         e = S.coerce_numeric(F.col(c))
         aggs += [F.avg(e.isNotNull().cast("double")).alias(f"parse_{c}")] + num_stats(c, e)
-    exact_card = rep["n_rows"] <= EXACT_DISTINCT_MAX_ROWS
-    for c in cats:   # exact on modest tables; HyperLogLog first on big ones (exact near a threshold)
-        e = S.null_to_sentinel(F.col(c))
-        aggs.append((F.count_distinct(e) if exact_card else F.approx_count_distinct(e, 0.05)).alias(f"k_{c}"))
     for c in nums0:
         aggs += num_stats(c, F.col(c).cast("double"))
     lap("pre_profile")
@@ -241,12 +236,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     cats = [c for c in cats if c not in to_num]
     st["onehot"], st["target_cols"], st["dropped_cats"] = {}, [], []
     limit = max(1, int(n_all * P.DROP_CARD_FRAC))
-    kcount = {c: one[f"k_{c}"] for c in cats}
-    near = [] if exact_card else [c for c in cats if kcount[c] <= 2 * P.ONEHOT_MAX_CARD
-                                  or 0.75 * limit <= kcount[c] <= 1.3 * limit]
-    if near:
-        ex = df.agg(*[F.count_distinct(S.null_to_sentinel(F.col(c))).alias(c) for c in near]).first()
-        kcount.update({c: ex[c] for c in near})
+    kcount = P.distinct_counts(df, {c: S.null_to_sentinel(F.col(f"`{c}`")) for c in cats})
     oh_cols = []
     for c in cats:
         k = kcount[c]
@@ -271,8 +261,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     num += [E.onehot_name(c, k) for c, ks in st["onehot"].items() for k in ks if len(ks) > 1]
     if len(num) > 1:
         # the fill medians only place the NULL rows before |corr| > 0.999 is tested
-        kept = {r["column"] for r in P.duplicate_profile(df, num, exact=n_all <= P.EXACT_PERCENTILE_MAX_ROWS)
-                .collect() if r["kept"]}
+        kept = {r["column"] for r in P.duplicate_profile(df, num).collect() if r["kept"]}
         num = [c for c in num if c in kept]
     oh_all = {E.onehot_name(c, k) for c, ks in st["onehot"].items() for k in ks}
     st["numeric"] = [c for c in num if c not in oh_all]
@@ -287,7 +276,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
         df = df.withColumn("fold", F.lit(-1))
         st["folds"] = []
     else:
-        folded, k = W.stratified_folds_k(df, key, y, oof=oof, exact=n <= P.EXACT_PERCENTILE_MAX_ROWS)
+        folded, k = W.stratified_folds_k(df, key, y, oof=oof)
         df = cut_lineage(folded, written)
         st["folds"] = list(range(k)) if oof else [0]
     tr0 = df.filter(F.col("fold") != 0) if st["folds"] else df
@@ -295,17 +284,14 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
 
     # y fences, transform rule and x clip from fold-0 training rows: one pass
     mult = OUTLIER_IQR_MULT if strategy == "thorough" else OUTLIER_IQR_QUICK
-    exact = n <= P.EXACT_PERCENTILE_MAX_ROWS
-    aggs = [F.count(F.col(y)).alias("n_tr"), P.quantile_expr(F.col(y), [0.25, 0.75], exact).alias("q")]
-    aggs += [P.quantile_expr(F.col(c).cast("double"), [0.01, 0.99], exact).alias(f"c{i}") for i, c in enumerate(num)]
-    one = tr0.agg(*aggs).first()
+    n_tr = tr0.agg(F.count(F.col(y))).first()[0]
+    got = P.quantiles(tr0, {("y",): (F.col(y), [0.25, 0.75])} | {c: (F.col(c), [0.01, 0.99]) for c in num})
+    q1, q3 = got.pop(("y",))
     lo = hi = None
-    if one["n_tr"] >= P.MIN_ROWS_FOR_FENCE and one["q"] is not None:
-        iqr = one["q"][1] - one["q"][0]
-        lo, hi = one["q"][0] - mult * iqr, one["q"][1] + mult * iqr
+    if n_tr >= P.MIN_ROWS_FOR_FENCE:
+        lo, hi = q1 - mult * (q3 - q1), q3 + mult * (q3 - q1)
     st["fence"] = (lo, hi, mult)
-    st["clip"] = {c: (one[f"c{i}"][0], one[f"c{i}"][1]) for i, c in enumerate(num)
-                  if one[f"c{i}"] is not None and one[f"c{i}"][0] < one[f"c{i}"][1]}
+    st["clip"] = {c: (a, b) for c, (a, b) in got.items() if a is not None and a < b}
     df = df.withColumn("__y_raw", F.col(y))
     df = TR.winsorize(df, y, lo, hi, flag="__clipped")
     tr_w = df.filter(F.col("fold") != 0) if st["folds"] else df
@@ -340,22 +326,14 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
 
 
 def medians_by_set(df: DataFrame, cols_by_set: dict, fold: str) -> dict:
-    """Training medians of every set's columns in ONE pass (FILTERed
-    percentiles: a fold complement is ``fold <> f``)."""
-    aggs, names = [], []
-    n = df.count()
-    exact = n <= P.EXACT_PERCENTILE_MAX_ROWS
-    for si, (s, cols) in enumerate(cols_by_set.items()):
-        for i, c in enumerate(cols):
-            v = F.col(c).cast("double")
-            if s != "all":
-                v = F.when(F.col(fold) != s, v)
-            aggs.append(P.quantile_expr(v, 0.5, exact).alias(f"m{si}_{i}"))
-    r = df.agg(*aggs).first() if aggs else None
-    out = {}
-    for si, (s, cols) in enumerate(cols_by_set.items()):
-        out[s] = {c: (r[f"m{si}_{i}"] if r[f"m{si}_{i}"] is not None else 0.0) for i, c in enumerate(cols)}
-    return out
+    """Training medians of every set's columns, all sets at once."""
+    want = {}
+    for s, cols in cols_by_set.items():
+        for c in cols:
+            v = F.col(f"`{c}`").cast("double")
+            want[s, c] = (v if s == "all" else F.when(F.col(fold) != s, v), [0.5])
+    got = P.quantiles(df, want)
+    return {s: {c: got[s, c][0] if got[s, c][0] is not None else 0.0 for c in cols} for s, cols in cols_by_set.items()}
 
 
 def _training_rows(df: DataFrame, s) -> DataFrame:
