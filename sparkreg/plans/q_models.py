@@ -566,18 +566,56 @@ def q_oof_evaluate(spark, sf):
     return res.oof.select("p_partkey", "fold", *[rnd(c).alias(c) for c in cols])
 
 
-@query("overfit_gap")
-def q_overfit_gap(spark, sf):
-    d, feats = part_numeric(spark, sf)
-    res = ridge_cv(d, feats, "y", "p_partkey", "fold", ALPHAS_STD)
+RIDGE_ONE = f"""
+{folds_cte('part', 'p_partkey', 'p_retailprice')},
+b AS (SELECT p_partkey, fold, CAST(nullif(p_size, 1) AS DOUBLE) AS x, __y AS y,
+             CAST(('0x' || substr(md5(concat('42i|', CAST(p_partkey AS VARCHAR))), 1, 8))::BIGINT % 5 AS INTEGER) AS inn
+      FROM folded),
+fs AS (SELECT DISTINCT fold AS f FROM b UNION ALL SELECT -1),
+med AS (SELECT f, quantile_cont(x, 0.5) AS m FROM b, fs WHERE b.fold <> fs.f GROUP BY f),
+tr AS (SELECT med.f, b.inn, coalesce(b.x, med.m) AS xf, b.y FROM b JOIN med ON b.fold <> med.f),
+sc AS (SELECT f, greatest(quantile_cont(xf, 0.75) - quantile_cont(xf, 0.25), 1e-8) AS s FROM tr GROUP BY f),
+al AS (SELECT * FROM (VALUES {ALPHA_VALUES}) v(ai, a)),
+ins AS (SELECT DISTINCT inn AS i FROM b),
+fit AS (SELECT t.f, al.ai, al.a, ins.i, avg(t.xf) AS mx, avg(t.y) AS my,
+               var_pop(t.xf) * count(*) AS sxx, covar_pop(t.xf, t.y) * count(*) AS sxy
+        FROM tr t, al, ins WHERE t.inn <> ins.i GROUP BY t.f, al.ai, al.a, ins.i),
+coef AS (SELECT fit.*, sxy / (sxx + a * s * s) AS beta FROM fit JOIN sc USING (f)),
+sse AS (SELECT c.f, c.ai, c.a, sum(power(t.y - (c.my - c.beta * c.mx) - c.beta * t.xf, 2)) AS e
+        FROM coef c JOIN tr t ON t.f = c.f AND t.inn = c.i GROUP BY c.f, c.ai, c.a),
+best AS (SELECT f, a FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY e, ai) AS r FROM sse) WHERE r = 1),
+fin AS (SELECT t.f, avg(t.xf) AS mx, avg(t.y) AS my, var_pop(t.xf) * count(*) AS sxx,
+               covar_pop(t.xf, t.y) * count(*) AS sxy FROM tr t GROUP BY t.f),
+cf AS (SELECT fin.f, fin.sxy / (fin.sxx + best.a * sc.s * sc.s) AS beta, fin.my, fin.mx, med.m
+       FROM fin JOIN best USING (f) JOIN sc USING (f) JOIN med USING (f)),
+pr AS (SELECT b.y, o.my - o.beta * o.mx + o.beta * coalesce(b.x, o.m) AS oof,
+              a.my - a.beta * a.mx + a.beta * coalesce(b.x, a.m) AS ins
+       FROM b JOIN cf o ON o.f = b.fold JOIN cf a ON a.f = -1)"""
+
+
+def _ridge_one(spark, sf):
+    """Ridge on one nullable feature of part: out-of-fold and in-sample
+    predictions per row."""
+    pt = table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("x"),
+                                         "p_retailprice")
+    d = stratified_folds(pt, "p_partkey", "p_retailprice")
+    res = ridge_cv(d, ["x"], "p_retailprice", "p_partkey", "fold", ALPHAS_STD)
     e = None
     for f, sp in res.per_fold.items():
         e = F.when(F.col("fold") == f, sp.predict()) if e is None else e.when(F.col("fold") == f, sp.predict())
-    scored = d.select("y", e.alias("oof"), res.final.predict().alias("fit"))
-    a = scored.agg(*M.r2_aggs("y", "oof", "o_"), *M.r2_aggs("y", "fit", "t_"))
-    return a.select(rnd(M.r2_from(F.col("o_sse"), F.col("o_sst"))).alias("oof_r2"),
-                    rnd(M.r2_from(F.col("t_sse"), F.col("t_sst"))).alias("train_r2")).withColumn(
-        "gap", rnd(F.col("train_r2") - F.col("oof_r2")))
+    return d.select(F.col("p_retailprice").alias("y"), e.alias("oof"), res.final.predict().alias("fit"))
+
+
+@query("overfit_gap", f"""
+WITH {RIDGE_ONE},
+m AS (SELECT 1 - sum(power(y - oof, 2)) / (var_pop(y) * count(*)) AS o,
+             1 - sum(power(y - ins, 2)) / (var_pop(y) * count(*)) AS t FROM pr)
+SELECT round(o, 6) AS oof_r2, round(t, 6) AS train_r2, round(t - o, 6) AS gap FROM m
+""")
+def q_overfit_gap(spark, sf):
+    a = _ridge_one(spark, sf).agg(*M.r2_aggs("y", "oof", "o_"), *M.r2_aggs("y", "fit", "t_"))
+    o, t = M.r2_from(F.col("o_sse"), F.col("o_sst")), M.r2_from(F.col("t_sse"), F.col("t_sst"))
+    return a.select(rnd(o).alias("oof_r2"), rnd(t).alias("train_r2"), rnd(t - o).alias("gap"))
 
 
 @query("train")
@@ -594,9 +632,20 @@ def q_choose_deployed(spark, sf):
                                  "best string, deployed string, deploy_substituted boolean, failures string")
 
 
-@query("quality_warnings")
+@query("quality_warnings", f"""
+WITH {folds_cte('events', 'event_id', 'value')},
+q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM folded WHERE fold <> 0),
+o AS (SELECT count(*) AS n FROM events, q WHERE value < a - 4.5 * (b - a) OR value > b + 4.5 * (b - a)),
+w AS (SELECT 1 AS p, 'outliers_corrected' AS key, 'n=' || n || ';iqr_mult=4.5' AS params FROM o WHERE n > 0
+      UNION ALL SELECT 2, 'date_cols_dropped', 'cols=ts')
+SELECT row_number() OVER (ORDER BY p) - 1 AS pos, key, params FROM w
+""")
 def q_quality_warnings(spark, sf):
-    return trained(spark, sf).warnings
+    """A22 of a training run on events, time column included."""
+    from sparkreg.plans.train import train
+    ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"), "ts", "value")
+    return train(ev, "value", key="event_id", families=("linear",)).warnings.select(
+        F.col("pos").cast("bigint").alias("pos"), "key", "params")
 
 
 # ---------------------------------------------------------------- D01 / D08 / U02 / X01
@@ -619,11 +668,14 @@ def q_score_dispatch(spark, sf):
     return rows
 
 
-@query("required_columns")
+@query("required_columns", """
+SELECT * FROM (VALUES (0::BIGINT, 'p_size'), (1::BIGINT, 'name_len'), (2::BIGINT, 'p_type'), (3::BIGINT, 'p_brand'))
+v(pos, "column")
+""")
 def q_required_columns(spark, sf):
     from sparkreg.plans.score import required_columns
-    b, _ = bundle_of(spark, sf)
-    return spark.createDataFrame(list(enumerate(required_columns(b.meta))), "pos int, column string")
+    b, _ = bundle_of(spark, sf, families=("linear",))
+    return spark.createDataFrame(list(enumerate(required_columns(b.meta))), "pos bigint, column string")
 
 
 @query("score_stream")
