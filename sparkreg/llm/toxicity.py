@@ -31,6 +31,7 @@ MIN_RATIO = 0.3
 L2 = 0.5
 ROUNDS = 80
 _CHUNK = 1 << 20
+_BLOCK = 1000
 
 
 def held_out(id_col: Column) -> Column:
@@ -63,24 +64,28 @@ def fit_weights(texts: list[str], y: np.ndarray, l2: float = L2, rounds: int = R
     base = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5 + 9.0 * (n == 0))))
     if n == 0 or y.min() == y.max():
         return np.zeros(d, dtype=np.float32), base
-    ids = [ngram_ids(t) for t in texts]
-    sizes = np.array([len(i) for i in ids])
-    idx, doc = np.concatenate(ids), np.repeat(np.arange(n), sizes)
-    del ids
-    pos = np.bincount(idx, weights=y[doc], minlength=d)
-    neg = np.bincount(idx, minlength=d) - pos
-    seen = pos + neg >= 3
-    r = np.where(seen, np.log((pos + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log(
+    pos, neg = np.zeros(d), np.zeros(d)
+    for t, label in zip(texts, y):
+        (pos if label else neg)[ngram_ids(t)] += 1
+    r = np.where(pos + neg >= 3, np.log((pos + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log(
         (neg + SMOOTH) / (n - y.sum() + 2 * SMOOTH)), 0).astype(np.float32)
     r[np.abs(r) < MIN_RATIO] = 0
-    keep = r[idx] != 0
-    idx, doc = idx[keep], doc[keep]
+    blocks = []                                             # some documents at a time: labels, sizes, indices
+    for lo in range(0, n, _BLOCK):
+        ids = [i[r[i] != 0] for i in map(ngram_ids, texts[lo:lo + _BLOCK])]
+        blocks.append((y[lo:lo + _BLOCK], np.array([len(i) for i in ids]), np.concatenate(ids)))
     w, b = np.zeros(d, dtype=np.float32), base
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, rounds + 1):                          # full-batch steps with moment scaling
-        z = np.bincount(doc, weights=(r * w)[idx], minlength=n) + b
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(r * np.bincount(idx, weights=err[doc], minlength=d) + l2 * w, err.sum()) / n
+        rw, g = r * w, np.zeros(d + 1)
+        for label, size, ids in blocks:
+            doc = np.repeat(np.arange(len(size)), size)
+            z = np.bincount(doc, weights=rw[ids], minlength=len(size)) + b
+            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
+            g[:-1] += np.bincount(ids, weights=np.repeat(err, size), minlength=d)
+            g[-1] += err.sum()
+        g[:-1] = r * g[:-1] + l2 * w
+        g /= n
         m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
         step = 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.98 ** t)) + 1e-7)
         w, b = (w - step[:-1] * (r != 0)).astype(np.float32), b - float(step[-1])
