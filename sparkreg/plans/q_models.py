@@ -138,13 +138,25 @@ def q_src_model_bundle(spark, sf):
         "best", F.lit(m["best"]))
 
 
-@query("model_tables")
+@query("model_tables", f"""
+WITH {folds_cte('part', 'p_partkey', 'p_retailprice')},
+t AS (SELECT CAST(p_size AS DOUBLE) AS p_size, CAST(length(p_name) AS DOUBLE) AS name_len, p_type
+      FROM folded WHERE fold <> 0),
+v AS (SELECT 'p_size' AS item, p_size AS x FROM t UNION ALL SELECT 'name_len', name_len FROM t
+      UNION ALL SELECT 'p_type==' || c, CAST(p_type = c AS DOUBLE) FROM t, (SELECT DISTINCT p_type AS c FROM part)),
+c AS (SELECT item, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM v GROUP BY item),
+r AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part)
+SELECT 'clip_bounds' AS "table", item, round(lo, 6) AS lo, round(hi, 6) AS hi FROM c WHERE lo < hi
+UNION ALL SELECT 'postprocess', 'linear', round(a - (b - a) * 0.05, 6), round(b + (b - a) * 0.05, 6) FROM r
+""")
 def q_model_tables(spark, sf):
+    """The bounds that the saved model holds, read back as tables."""
     from sparkreg.sources.model_io import model_tables
-    b, _ = bundle_of(spark, sf, families=("linear", "gbt"))
+    b, _ = bundle_of(spark, sf, families=("linear",))
     tabs = model_tables(spark, b)
-    rows = [(k, v.count()) for k, v in tabs.items()]
-    return spark.createDataFrame(rows, "table string, rows long")
+    clip = tabs["clip_bounds"].select(F.lit("clip_bounds").alias("table"), F.col("feature").alias("item"), "lo", "hi")
+    post = tabs["postprocess"].select(F.lit("postprocess").alias("table"), F.col("model").alias("item"), "lo", "hi")
+    return clip.unionByName(post).select("table", "item", rnd("lo").alias("lo"), rnd("hi").alias("hi"))
 
 
 # ---------------------------------------------------------------- P11 / M13 / M17

@@ -136,15 +136,32 @@ def model_tables(spark: SparkSession, b: Bundle) -> dict[str, DataFrame]:
     """The portable model as tables."""
     m = b.meta
     out = {}
-    coef_rows = []
+    coef_rows, point_rows, kernel_rows, layer_rows = [], [], [], []
     for kind, spec in b.members.items():
-        if isinstance(spec, LinearSpec):
-            coef_rows += [(kind, f, float(c)) for f, c in zip(spec.feats, spec.coef)]
-            coef_rows.append((kind, "(intercept)", float(spec.intercept)))
+        linear = spec if isinstance(spec, dict) else vars(spec) if isinstance(spec, LinearSpec) else None
+        if linear:
+            coef_rows += [(kind, f, float(c)) for f, c in zip(linear["feats"], linear["coef"])]
+            coef_rows.append((kind, "(intercept)", float(linear["intercept"])))
+        if isinstance(spec, GPSpec):
+            point_rows += [(kind, i, f, float(z), float(spec.alpha[i])) for i, row in enumerate(spec.Z)
+                           for f, z in zip(spec.feats, row)]
+            kernel_rows += [(kind, f, float(v)) for f, v in zip(spec.feats, spec.ls)]
+            kernel_rows += [(kind, "(signal)", float(spec.sv)), (kind, "(noise)", float(spec.nv))]
+        if isinstance(spec, MLPSpec):
+            at = 0
+            for layer, (n_in, n_out) in enumerate(zip(spec.sizes, spec.sizes[1:])):
+                block = np.asarray(spec.w[at:at + n_in * n_out + n_out], dtype=float).reshape(n_in + 1, n_out)
+                layer_rows += [(kind, layer, i if i < n_in else -1, j, float(block[i, j]))
+                               for i in range(n_in + 1) for j in range(n_out)]
+                at += n_in * n_out + n_out
+    out["kernel_points"] = spark.createDataFrame(
+        point_rows, "model string, point int, feature string, value double, weight double")
+    out["kernel_scales"] = spark.createDataFrame(kernel_rows, "model string, feature string, value double")
+    out["layers"] = spark.createDataFrame(      # input -1 is the bias
+        layer_rows, "model string, layer int, input int, output int, value double")
     out["coefficients"] = spark.createDataFrame(coef_rows, "model string, feature string, value double")
     med_rows = [(kind, f, float(v)) for kind, spec in b.members.items()
-                if hasattr(spec, "medians") and isinstance(spec.medians, dict)
-                for f, v in spec.medians.items()]
+                for f, v in (spec["medians"] if isinstance(spec, dict) else spec.medians).items()]
     out["medians"] = spark.createDataFrame(med_rows, "model string, feature string, median double")
     clip = m["prep"].get("clip", {})
     out["clip_bounds"] = spark.createDataFrame([(c, float(lo), float(hi)) for c, (lo, hi) in clip.items()],

@@ -105,6 +105,12 @@ def test_poly_finds_nothing_in_noise(spark):
 @pytest.mark.parametrize("family", ["poly", "gp", "mlp", "rf", "xt"])
 def test_every_family_reports(spark, family):
     res = train(_parcels(spark, 120), "y", key="id", strategy="thorough", families=(family,), derive=False, trees=8)
+    root = scratch_path(spark, f"t-{family}")
+    save(res, root)
+    from sparkreg.sources.model_io import model_tables
+    tabs = model_tables(spark, load_bundle(spark, root))
+    own = {"poly": "coefficients", "gp": "kernel_points", "mlp": "layers"}.get(family, "tree_nodes")
+    assert tabs[own].count() > 0 and tabs["medians"].count() > 0
     lb = res.leaderboard.filter(F.col("name") == family).first()
     assert lb["train_r2"] is not None and lb["r2"] > 0.5 and lb["train_r2"] > 0.5
     assert res.importance.count() > 0
