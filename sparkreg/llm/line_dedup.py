@@ -183,7 +183,8 @@ def line_links(docs: DataFrame, lines: DataFrame, text_col: str, edits: int, min
     named = lines.where(F.char_length("text") >= min_chars).withColumn("line", F.xxhash64("text"))
     named = named.withColumn("word", word).join(F.broadcast(sieve), "word") \
         .where(F.col("bits").bitwiseAND(mask) != 0).select("line", "text")
-    texts = write_table(named.join(wanted, "line", "left_semi").dropDuplicates(["line", "text"]), "line-texts")
+    # an inner join with the distinct names: a semi join would be moved below the filter
+    texts = write_table(named.join(wanted, "line").dropDuplicates(["line", "text"]), "line-texts")
 
     masked = masked_keys(texts.join(many, "line", "left_semi"))
     low = masked.groupBy("key", "star").agg(F.when(F.col("star"), F.min("line")).otherwise(
