@@ -20,7 +20,9 @@ anchor's k-gram, as runs of neighbouring windows with the same anchor.
    above it, reaches into a document with a smaller id.
 3. The removed stretches return to the documents.
 
-Runs travel packed, some thousand in a binary value.  A group of documents
+Runs travel packed, some thousand in a binary value, at first only as the
+hash of their k-gram and their number in the group, which finds its runs anew
+in the next step.  A group of documents
 collapses its own repeats first, so a passage that a third of all documents
 share reaches its bucket once per group of documents.  The documents are
 shuffled once; the three steps use the same exchange.
@@ -33,6 +35,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +44,16 @@ from sparkreg.llm.common import text_or_empty
 MIN_LEN = 50
 K = 16
 GROUP_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes that are hashed at once; longer documents are cut with an overlap.
 SEGMENT = 2 << 20
-#: Suffixes that are sorted at once.
-SORT_ROWS = 150_000
+#: Runs, and about as many suffixes, that are sorted at once.
+SORT_ROWS = 64_000
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 28) - 1)
 RUN = np.dtype([("kh", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("at", "u1"), ("more", "u1")])
-PLACE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("at", "u1"), ("more", "u1")])
 SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -144,12 +146,14 @@ def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[a.nbytes for a in arrays]], dtype="<i8")
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns in one compressed value, each with its type's bytes together."""
+    head = np.array([len(columns), *[c.nbytes for c in columns]], dtype="<i8")
+    return zstandard.ZstdCompressor(1).compress(head.tobytes() + b"".join(c.tobytes() for c in columns))
 
 
 def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     sizes = np.frombuffer(blob, "<i8", n, 8)
     out, at = [], 8 * (n + 1)
@@ -160,76 +164,94 @@ def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
+def _steps(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising integers as steps of one byte, with the large steps apart."""
+    step = np.diff(rising, prepend=0)
+    return np.minimum(step, 255).astype(np.uint8), step[step >= 255].astype("<i8")
+
+
+def _from_steps(step: np.ndarray, large: np.ndarray) -> np.ndarray:
+    step = step.astype(np.int64)
+    step[step == 255] = large
+    return np.cumsum(step)
+
+
+def _short(kh: np.ndarray, buckets: int) -> np.ndarray:
+    """Five bytes of a k-gram's hash; with the bucket they tell its k-grams
+    apart but for a few, which later steps compare byte by byte."""
+    return np.ascontiguousarray((kh // np.uint64(buckets)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(short) // 5, 8), dtype=np.uint8)
+    out[:, :5] = short.reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _rows(pairs, name: str) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=[name, "src", "blob"]).astype({name: "int32", "src": "int32"})
 
 
+def _own_repeats(runs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k-gram hashes that several documents of a group hold, which runs have
+    one of them)."""
+    if not len(runs):
+        return runs["kh"], np.zeros(0, dtype=bool)
+    o = np.argsort(runs["kh"], kind="stable")
+    g = _bounds(runs["kh"][o])
+    who = ids[runs["doc"][o]]
+    several = np.minimum.reduceat(who, g) < np.maximum.reduceat(who, g)
+    mine = np.zeros(len(runs), dtype=bool)
+    mine[o] = np.repeat(several, np.diff(np.append(g, len(runs))))
+    return runs["kh"][o][g[several]], mine
+
+
 def tell_anchors(docs: pd.DataFrame, min_len: int, k: int, buckets: int) -> pd.DataFrame:
-    """Step 1, documents: to each bucket the runs of its k-grams, the k-grams
-    that several documents of the group hold (once), and some runs of such
-    k-grams, which only pass through."""
+    """Step 1, documents: to each bucket its k-grams, with the number of the
+    run and the document, and once those that several documents of the group
+    hold, which are known to be shared."""
     q = int(docs["q"].iloc[0])
     _, ids, data, offsets = _group(docs)
     runs = window_runs(data, offsets, min_len, k)
-    if not len(runs):
-        return _rows([], "bucket")
-    runs = runs[np.argsort(runs["kh"], kind="stable")]
-    g = _bounds(runs["kh"])
-    who = ids[runs["doc"]]
-    several = np.minimum.reduceat(who, g) < np.maximum.reduceat(who, g)
-    local = np.repeat(several, np.diff(np.append(g, len(runs))))
-    marked, known, open_ = runs["kh"][g[several]], runs[local], runs[~local]
-    of = {b: [open_[p], marked[:0], known[:0]] for b, p in _split((open_["kh"] % np.uint64(buckets)).astype(np.int64))}
+    marked, mine = _own_repeats(runs, ids)
+    open_ = np.flatnonzero(~mine)
+    of = {b: [open_[p], marked[:0]] for b, p in _split((runs["kh"][open_] % np.uint64(buckets)).astype(np.int64))}
     for b, p in _split((marked % np.uint64(buckets)).astype(np.int64)):
-        of.setdefault(b, [open_[:0], marked[:0], known[:0]])[1] = marked[p]
-    for b, p in _split((known["doc"].astype(np.int64) + q) % buckets):
-        of.setdefault(b, [open_[:0], marked[:0], known[:0]])[2] = known[p]
+        of.setdefault(b, [open_[:0], marked[:0]])[1] = marked[p]
     out = []
-    for b, (o, m, n) in of.items():
-        place = np.zeros(len(n), dtype=PLACE)
-        for f in PLACE.names:
-            place[f] = n[f]
-        d, back = np.unique(o["doc"], return_inverse=True)
-        o = o.copy()
-        o["doc"] = back
-        out.append((b, q, _pack(d.astype("<u4"), ids[d], o, m, place)))
+    for b, (nr, m) in of.items():
+        d, n = np.unique(runs["doc"][nr], return_counts=True)     # runs are in the order of the documents
+        out.append((b, q, _pack(ids[d], n.astype("<u4"), *_steps(nr), _short(runs["kh"][nr], buckets),
+                                _short(m, buckets))))
     return _rows(out, "bucket")
 
 
 def shared_runs(parts: pd.DataFrame) -> pd.DataFrame:
-    """Step 1, buckets: the places of the runs whose k-gram stands in several
+    """Step 1, buckets: the numbers of the runs whose k-gram stands in several
     documents, back to their groups."""
-    runs, who, src, doc, marked, out = [], [], [], [], [], []
+    cols, marked, out = [[], [], [], []], [], []
     for q, blob in zip(parts["src"], parts["blob"]):
-        d, i, o, m, place = _unpack(blob, "<u4", "<i8", RUN, "<u8", PLACE)
-        runs.append(o)
-        who.append(i[o["doc"]])
-        doc.append(d[o["doc"]])
-        src.append(np.full(len(o), q, dtype=np.int32))
-        marked.append(m)
-        if len(place):
-            out.append((q, 0, place.tobytes()))
-    runs, who, src, doc = map(np.concatenate, (runs, who, src, doc))
-    if len(runs):
-        o = np.argsort(runs["kh"], kind="stable")
-        g = _bounds(runs["kh"][o])
+        i, n, step, large, kh, m = _unpack(blob, "<i8", "<u4", "u1", "<i8", "u1", "u1")
+        marked.append(_long(m))
+        for c, v in zip(cols, (_from_steps(step, large), np.repeat(i, n), _long(kh),
+                               np.full(len(step), q, dtype=np.int32))):
+            c.append(v)
+    nr, who, kh, src = map(np.concatenate, cols)
+    if len(nr):
+        o = np.argsort(kh, kind="stable")
+        g = _bounds(kh[o])
         low, high = np.minimum.reduceat(who[o], g), np.maximum.reduceat(who[o], g)
-        shared = (low < high) | np.isin(runs["kh"][o][g], np.concatenate(marked))
+        shared = (low < high) | np.isin(kh[o][g], np.concatenate(marked))
         keep = o[np.repeat(shared, np.diff(np.append(g, len(o))))]
-        for q, p in _split(src[keep]):
-            p = keep[p]
-            place = np.zeros(len(p), dtype=PLACE)
-            for f in PLACE.names:
-                place[f] = doc[p] if f == "doc" else runs[f][p]
-            out.append((q, 0, place.tobytes()))
+        out = [(q, 0, _pack(*_steps(np.sort(nr[keep[p]])))) for q, p in _split(src[keep])]
     return _rows(out, "q")
 
 
 def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """(n, width) bytes from each start, zero after its size."""
-    cols = np.arange(width)
-    m = data[np.minimum(start[:, None] + cols, len(data) - 1)]
-    m[cols >= size[:, None]] = 0
+    tail = np.zeros(width, dtype=np.uint8)
+    m = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, tail]), width)[start]
+    m[np.arange(width) >= size[:, None]] = 0
     return m
 
 
@@ -241,14 +263,25 @@ def _classes(m: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return first, back.ravel()
 
 
-def send_runs(docs: pd.DataFrame, places: pd.DataFrame, min_len: int, k: int, buckets: int) -> pd.DataFrame:
+def _hashes_at(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k bytes at each start."""
+    return gram_hashes(data[start[:, None] + np.arange(k)].ravel(), k)[::k] if len(start) else np.zeros(0, np.uint64)
+
+
+def send_runs(docs: pd.DataFrame, numbers: pd.DataFrame, min_len: int, k: int, buckets: int) -> pd.DataFrame:
     """Step 2, documents: the text of the shared runs to their buckets, equal
     runs of the group collapsed to their smallest document."""
-    if not len(docs) or not len(places):
+    if not len(docs):
         return _rows([], "bucket")
     q = int(docs["q"].iloc[0])
     _, ids, data, offsets = _group(docs)
-    pl = np.concatenate([np.frombuffer(b, PLACE) for b in places["blob"]])
+    runs = window_runs(data, offsets, min_len, k)
+    _, shared = _own_repeats(runs, ids)
+    for blob in numbers["blob"]:
+        shared[_from_steps(*_unpack(blob, "u1", "<i8"))] = True
+    pl = runs[shared]
+    if not len(pl):
+        return _rows([], "bucket")
     start, size = offsets[pl["doc"]] + pl["start"], pl["more"].astype(np.int64) + min_len
     m = _matrix(data, start, size, 2 * min_len)
     first, cls = _classes(m, size, pl["at"])
@@ -260,16 +293,14 @@ def send_runs(docs: pd.DataFrame, places: pd.DataFrame, min_len: int, k: int, bu
     span["doc"], span["start"] = pl["doc"][hit], pl["start"][hit]
     span["end"] = pl["start"][hit] + size[hit]
     rest = np.flatnonzero(~hit)
-    cols = start[rest][:, None] + pl["at"][rest].astype(np.int64)[:, None] + np.arange(k)
-    kh = gram_hashes(data[cols].ravel(), k)[::k] if len(rest) else np.zeros(0, np.uint64)
     of = {q % buckets: [rest[:0], span]}
-    for b, p in _split((kh % np.uint64(buckets)).astype(np.int64)):
-        of.setdefault(b, [rest[:0], span[:0]])[0] = p
+    for b, p in _split((pl["kh"][rest] % np.uint64(buckets)).astype(np.int64)):
+        of.setdefault(b, [rest[:0], span[:0]])[0] = rest[p]
     out = []
-    for b, (p, s) in of.items():
-        r = rest[p]
+    for b, (r, s) in of.items():
         body = m[r][np.arange(m.shape[1]) < size[r][:, None]] if len(r) else m[:0].ravel()
-        out.append((b, q, _pack(pl[r], who[r], kh[p], body, s)))
+        out.append((b, q, _pack(who[r], *[pl[f][r] for f in ("doc", "start", "at", "more")], body,
+                                *[s[f] for f in SPAN.names])))
     return _rows(out, "bucket")
 
 
@@ -309,9 +340,7 @@ def _window_hits(m: np.ndarray, size: np.ndarray, low: np.ndarray, min_len: int)
     more = size - min_len + 1
     row = np.repeat(np.arange(len(m)), more)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
-    cols = np.arange(m.shape[1])
-    at = pos[:, None] + cols
-    suffix = np.where(at < size[row][:, None], m[row[:, None], np.minimum(at, m.shape[1] - 1)], 0)
+    suffix = _matrix(m.ravel(), row * m.shape[1] + pos, size[row] - pos, m.shape[1])
     key = np.ascontiguousarray(suffix).view(f"S{m.shape[1]}").ravel()
     o = np.argsort(key, kind="stable")                     # the suffix array
     s = suffix[o]
@@ -340,20 +369,21 @@ def _window_hits(m: np.ndarray, size: np.ndarray, low: np.ndarray, min_len: int)
     return np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
 
 
-def resolve_runs(parts: pd.DataFrame, min_len: int) -> pd.DataFrame:
+def resolve_runs(parts: pd.DataFrame, min_len: int, k: int) -> pd.DataFrame:
     """Step 2, buckets: removed stretches, back to their groups."""
-    cols = [[], [], [], [], []]
+    cols = [[], [], [], [], [], [], []]
     out = []
     for q, blob in zip(parts["src"], parts["blob"]):
-        place, who, kh, body, span = _unpack(blob, PLACE, "<i8", "<u8", "u1", SPAN)
-        for c, v in zip(cols, (place, who, kh, body, np.full(len(place), q, dtype=np.int32))):
+        *run, d, s, e = _unpack(blob, "<i8", "<u4", "<u4", "u1", "u1", "u1", "<u4", "<u4", "<u4")
+        for c, v in zip(cols, (*run, np.full(len(run[0]), q, dtype=np.int32))):
             c.append(v)
-        if len(span):
-            out.append((q, 0, span.tobytes()))
-    pl, who, kh, body, src = map(np.concatenate, cols)
-    if len(pl):
-        size = pl["more"].astype(np.int64) + min_len
+        if len(d):
+            out.append((q, 0, _pack(d, s, e)))
+    who, doc, begin_at, at_, more, body, src = map(np.concatenate, cols)
+    if len(who):
+        size = more.astype(np.int64) + min_len
         start = np.cumsum(size) - size
+        kh = _hashes_at(body, start + at_, k)
         o = np.argsort(kh, kind="stable")
         g = np.append(_bounds(kh[o]), len(o))
         found_i, found_s, found_e = [], [], []
@@ -362,7 +392,7 @@ def resolve_runs(parts: pd.DataFrame, min_len: int) -> pd.DataFrame:
             b = max(a + 1, int(np.searchsorted(g, g[a] + SORT_ROWS, side="right")) - 1)
             at = o[g[a]:g[b]]
             m = _matrix(body, start[at], size[at], 2 * min_len)
-            first, cls = _classes(m, size[at], pl["at"][at])
+            first, cls = _classes(m, size[at], at_[at])
             low = np.full(len(first), NO_ID, dtype=np.int64)
             np.minimum.at(low, cls, who[at])
             whole = who[at] > low[cls]
@@ -382,19 +412,20 @@ def resolve_runs(parts: pd.DataFrame, min_len: int) -> pd.DataFrame:
                 d = max(c + 1, int(np.searchsorted(cut, cut[c] + SORT_ROWS // 16, side="right")) - 1)
                 some = many[cut[c]:cut[d]]
                 r, s, e = _window_hits(m[first[some]], size[at][first[some]], low[some], min_len)
-                k = some[r]                                # class of each stretch; its members in the smallest document
-                reps = begin[k + 1] - begin[k]
-                mem = members[np.repeat(begin[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
-                mine = who[at][mem] == np.repeat(low[k], reps)
+                j = some[r]                                # class of each stretch; its members in the smallest document
+                reps = begin[j + 1] - begin[j]
+                mem = members[np.repeat(begin[j], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+                mine = who[at][mem] == np.repeat(low[j], reps)
                 found_i.append(at[mem[mine]])
                 found_s.append(np.repeat(s, reps)[mine])
                 found_e.append(np.repeat(e, reps)[mine])
                 c = d
             a = b
         i, s, e = map(np.concatenate, (found_i, found_s, found_e))
-        span = np.zeros(len(i), dtype=SPAN)
-        span["doc"], span["start"], span["end"] = pl["doc"][i], pl["start"][i] + s, pl["start"][i] + e
-        out += [(q, 0, span[p].tobytes()) for q, p in _split(src[i])]
+        for q, p in _split(src[i]):
+            p = p[np.lexsort((s[p], i[p]))]
+            lo = begin_at[i[p]]
+            out.append((q, 0, _pack(doc[i[p]], (lo + s[p]).astype("<u4"), (lo + e[p]).astype("<u4"))))
     return _rows(out, "q")
 
 
@@ -403,10 +434,11 @@ def cut_spans(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
     docs, _, _, offsets = _group(docs)
-    sp = np.concatenate([np.frombuffer(b, SPAN) for b in spans["blob"]] or [np.zeros(0, SPAN)])
-    lo, hi = offsets[sp["doc"]] + sp["start"], offsets[sp["doc"]] + sp["end"]
+    none = np.zeros(0, dtype="<u4")
+    of, lo, hi = map(np.concatenate, zip(*[_unpack(b, "<u4", "<u4", "<u4") for b in spans["blob"]], (none,) * 3))
+    lo, hi = offsets[of] + lo, offsets[of] + hi
     o = np.argsort(lo, kind="stable")
-    lo, hi, of = lo[o], hi[o], sp["doc"][o]
+    lo, hi, of = lo[o], hi[o], of[o]
     removed, runs, kept = [], [], []
     begin = np.searchsorted(of, np.arange(len(docs) + 1))
     for i, body in enumerate(docs["body"]):
@@ -453,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = told.groupBy("bucket").applyInPandas(shared_runs, to_group)
     sent = t.groupBy("q").cogroup(shared.groupBy("q")).applyInPandas(
         lambda d, p: send_runs(d, p, min_len, k, buckets), to_bucket)
-    spans = sent.groupBy("bucket").applyInPandas(lambda p: resolve_runs(p, min_len), to_group)
+    spans = sent.groupBy("bucket").applyInPandas(lambda p: resolve_runs(p, min_len, k), to_group)
 
     def finish(d: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = cut_spans(d, s)
