@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkreg.llm.common import as_row, text_or_empty
 
 #: Distinct words that a task remembers before it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 #: Longer words (in bytes) are merged with a heap instead of scans.
 LONG_WORD = 96
 
@@ -115,25 +115,42 @@ def splitter(pattern: str):
 
 
 class Codec:
-    """Column functions of one vocabulary: ``encode`` (text to packed ids)
-    and ``decode`` (packed ids to bytes)."""
+    """Column functions of one vocabulary: ``encode`` (text to packed ids),
+    ``decode`` (packed ids to bytes), and ``both`` (a struct of the two)."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         shared = spark.sparkContext.broadcast(load_ranks(path))
 
+        def encoder():
+            find, words = splitter(pattern), _Words(shared.value)
+            return lambda t: b"".join([words[w] for w in find(t)])
+
+        def decoder():
+            piece = [b""] * (max(shared.value.values()) + 1)
+            for b, i in shared.value.items():
+                piece[i] = b
+            return lambda x: b"".join([piece[i] for i in np.frombuffer(x, dtype="<u4").tolist()])
+
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            find, words = splitter(pattern), _Words(shared.value)
+            one = encoder()
             for batch in batches:
-                yield pd.Series([b"".join([words[w] for w in find(t)]) for t in batch])
+                yield batch.map(one)
 
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            piece = {i: b for b, i in shared.value.items()}
+            one = decoder()
             for batch in batches:
-                yield pd.Series([b"".join([piece[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) for x in batch])
+                yield batch.map(one)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded binary")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            there, back = encoder(), decoder()
+            for batch in batches:
+                ids = batch.map(there)
+                yield pd.DataFrame({"ids": ids, "decoded": ids.map(back)})
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, col: Column) -> Column:
         return self._encode(text_or_empty(col))
@@ -141,6 +158,10 @@ class Codec:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def both(self, col: Column) -> Column:
+        """Encoded and decoded in the same task, in one exchange with Python."""
+        return self._both(text_or_empty(col))
+
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
@@ -154,9 +175,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
     codec = Codec(docs.sparkSession, path, pattern)
     out = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
-                      codec.encode(F.col(f"`{text_col}`")).alias("ids"))
-    return out.select("row", "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                      codec.decode(F.col("ids")).alias("decoded"))
+                      codec.both(F.col(f"`{text_col}`")).alias("x"))
+    return out.select("row", "doc_id", "x.ids", (F.octet_length("x.ids") / 4).cast("long").alias("n_tokens"),
+                      "x.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

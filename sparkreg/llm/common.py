@@ -25,10 +25,17 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch: rows that hold whole documents are large.
+BATCH_ROWS = "1000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared folder known, package importable by the executors' Python."""
+    """Shared folder known, package importable by the executors' Python, and
+    smaller Arrow batches where the session has Spark's default."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

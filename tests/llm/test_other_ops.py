@@ -86,6 +86,9 @@ def test_bpe_equals_the_library(spark):
         ids = enc.encode_ordinary(r.row.text or "")
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == (r.row.text or "").encode()
+    codec = bpe.Codec(spark, VOCAB, public_tokenizers.PATTERN)
+    trip = docs.select("text", codec.encode(docs["text"]).alias("ids"))
+    assert trip.where(codec.decode(trip["ids"]) != trip["text"].cast("binary")).count() == 0
     assert bpe.digests(bpe.encode_decode(empty(spark), VOCAB, public_tokenizers.PATTERN)).count() == 0
 
 
