@@ -87,6 +87,60 @@ def bundle_of(spark, sf, strategy="quick", families=None):
     return _MEMO[key]
 
 
+ALPHA_VALUES = ", ".join(f"({i}, {a})" for i, a in enumerate(ALPHAS_STD))
+
+# The whole chain of a quick linear training on one nullable feature of part, in SQL: folds, y fences and
+# x clip from the rows outside fold 0, median fill, robust scale, alpha by the inner folds, ridge, and the
+# post-processing bounds.  f = -1 is the final model on all rows, f = 0 the one that fold 0 is judged by.
+LINEAR_ONE = f"""
+{folds_cte('part', 'p_partkey', 'p_retailprice')},
+qt AS (SELECT quantile_cont(CAST(nullif(p_size, 1) AS DOUBLE), 0.01) AS xl,
+              quantile_cont(CAST(nullif(p_size, 1) AS DOUBLE), 0.99) AS xh,
+              quantile_cont(__y, 0.25) AS q1, quantile_cont(__y, 0.75) AS q3 FROM folded WHERE fold <> 0),
+b AS (SELECT p_partkey, fold, CASE WHEN p_size <> 1 THEN least(greatest(CAST(p_size AS DOUBLE), xl), xh) END AS x,
+             __y AS y_raw,
+             least(greatest(__y, q1 - 4.5 * (q3 - q1)), q3 + 4.5 * (q3 - q1)) AS y,
+             CAST(('0x' || substr(md5(concat('42i|', CAST(p_partkey AS VARCHAR))), 1, 8))::BIGINT % 5 AS INTEGER) AS inn
+      FROM folded, qt),
+fs AS (SELECT 0 AS f UNION ALL SELECT -1),
+med AS (SELECT f, quantile_cont(x, 0.5) AS m FROM b, fs WHERE b.fold <> fs.f GROUP BY f),
+tr AS (SELECT med.f, b.inn, coalesce(b.x, med.m) AS xf, b.y FROM b JOIN med ON b.fold <> med.f),
+sc AS (SELECT f, greatest(quantile_cont(xf, 0.75) - quantile_cont(xf, 0.25), 1e-8) AS s FROM tr GROUP BY f),
+al AS (SELECT * FROM (VALUES {ALPHA_VALUES}) v(ai, a)),
+ins AS (SELECT DISTINCT inn AS i FROM b),
+fit AS (SELECT t.f, al.ai, al.a, ins.i, avg(t.xf) AS mx, avg(t.y) AS my,
+               var_pop(t.xf) * count(*) AS sxx, covar_pop(t.xf, t.y) * count(*) AS sxy
+        FROM tr t, al, ins WHERE t.inn <> ins.i GROUP BY t.f, al.ai, al.a, ins.i),
+coef AS (SELECT fit.*, sxy / (sxx + a * s * s) AS beta FROM fit JOIN sc USING (f)),
+sse AS (SELECT c.f, c.ai, c.a, sum(power(t.y - (c.my - c.beta * c.mx) - c.beta * t.xf, 2)) AS e
+        FROM coef c JOIN tr t ON t.f = c.f AND t.inn = c.i GROUP BY c.f, c.ai, c.a),
+best AS (SELECT f, a FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY e, ai) AS r FROM sse) WHERE r = 1),
+fin AS (SELECT t.f, avg(t.xf) AS mx, avg(t.y) AS my, var_pop(t.xf) * count(*) AS sxx,
+               covar_pop(t.xf, t.y) * count(*) AS sxy FROM tr t GROUP BY t.f),
+cf AS (SELECT fin.f, fin.sxy / (fin.sxx + best.a * sc.s * sc.s) AS beta, fin.my, fin.mx, med.m
+       FROM fin JOIN best USING (f) JOIN sc USING (f) JOIN med USING (f)),
+rg AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
+pr AS (SELECT cf.f, b.p_partkey, b.fold, b.x, b.y, b.y_raw, cf.my - cf.beta * cf.mx + cf.beta * coalesce(b.x, cf.m) AS lin,
+              least(greatest(cf.my - cf.beta * cf.mx + cf.beta * coalesce(b.x, cf.m), rg.lo - (rg.hi - rg.lo) * 0.05),
+                    rg.hi + (rg.hi - rg.lo) * 0.05) AS pred
+       FROM b, cf, rg)"""
+
+
+def one_feature(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("x"),
+                                           F.col("p_retailprice").alias("y"))
+
+
+def linear_one(spark, sf):
+    """The trained result and the saved bundle of the one-feature model."""
+    from sparkreg.plans.train import save, train
+    from sparkreg.sources.model_io import load_bundle
+    res = train(one_feature(spark, sf), "y", key="p_partkey", families=("linear",))
+    root = scratch_path(spark, "bundle")
+    save(res, root)
+    return res, load_bundle(spark, root)
+
+
 # ---------------------------------------------------------------- S01 / S02 / S04
 @query("src_csv_fallback", """
 SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS DOUBLE) AS p_size,
@@ -111,14 +165,19 @@ def q_src_header_check(spark, sf):
     return header_report(spark, path)
 
 
-@query("sink_scored_csv")
+@query("sink_scored_csv", f"""
+WITH {LINEAR_ONE}
+SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(nullif(p_size, 1) AS DOUBLE) AS x, round(pred, 6) AS y
+FROM pr JOIN part USING (p_partkey) WHERE f = -1
+""")
 def q_sink_scored_csv(spark, sf):
+    """Scored rows written as CSV and read back."""
     from sparkreg.plans.score import score
     from sparkreg.sources.csv import read_csv, write_scored_csv
-    b, _ = bundle_of(spark, sf, families=("linear",))
+    _, b = linear_one(spark, sf)
     path = scratch_path(spark, "scored")
-    write_scored_csv(score(part_frame(spark, sf), b), path)
-    return read_csv(spark, path)
+    write_scored_csv(score(one_feature(spark, sf), b), path)
+    return read_csv(spark, path).withColumn("y", rnd("y"))
 
 
 # ---------------------------------------------------------------- S05 / S06 / S07
@@ -201,9 +260,6 @@ def q_derived_recipe_fit(spark, sf):
 
 
 # ---------------------------------------------------------------- M01 / M02 / M14 / D02 / D03
-ALPHA_VALUES = ", ".join(f"({i}, {a})" for i, a in enumerate(ALPHAS_STD))
-
-
 @query("ridge_cv", f"""
 WITH {folds_cte('part', 'p_partkey', 'p_retailprice')},
 b AS (SELECT p_partkey, fold, CAST(nullif(p_size, 1) AS DOUBLE) AS x, __y AS y,
@@ -571,13 +627,6 @@ def q_y_transform_select(spark, sf):
 
 
 # ---------------------------------------------------------------- M18 / M20 / M21 / M22 / A22
-@query("oof_evaluate")
-def q_oof_evaluate(spark, sf):
-    res = trained(spark, sf, "thorough", ("linear", "gbt"))
-    cols = [c for c in res.oof.columns if c in ("linear", "gbt")]
-    return res.oof.select("p_partkey", "fold", *[rnd(c).alias(c) for c in cols])
-
-
 RIDGE_ONE = f"""
 {folds_cte('part', 'p_partkey', 'p_retailprice')},
 b AS (SELECT p_partkey, fold, CAST(nullif(p_size, 1) AS DOUBLE) AS x, __y AS y,
@@ -661,8 +710,52 @@ def q_quality_warnings(spark, sf):
 
 
 # ---------------------------------------------------------------- D01 / D08 / U02 / X01
-@query("score")
+@query("train_linear", f"""
+WITH {LINEAR_ONE}, v AS (SELECT * FROM pr WHERE f = 0 AND fold = 0),
+t AS (SELECT 1 - sum(power(y - lin, 2)) / (var_pop(y) * count(*)) AS r FROM pr WHERE f = -1)
+SELECT 'y' AS target, (SELECT count(*) FROM part) AS n_rows, 'val' AS eval_on, 'linear' AS best_model,
+       round(1 - sum(power(y - lin, 2)) / (var_pop(y) * count(*)), 6) AS r2,
+       round(1 - sum(power(y_raw - pred, 2)) / (var_pop(y_raw) * count(*)), 6) AS r2_raw,
+       round(sqrt(avg(power(y_raw - pred, 2))), 6) AS rmse, round(avg(abs(y_raw - pred)), 6) AS mae,
+       round(any_value(t.r), 6) AS train_r2 FROM v, t
+""")
+def q_train_linear(spark, sf):
+    """M21 with one family and one feature: the report, checked in SQL."""
+    res, _ = linear_one(spark, sf)
+    lb = res.leaderboard.select(F.col("name").alias("best_model"), "train_r2")
+    return res.report.join(F.broadcast(lb), "best_model").select(
+        "target", "n_rows", "eval_on", "best_model", rnd("r2").alias("r2"), rnd("r2_raw").alias("r2_raw"),
+        rnd("rmse").alias("rmse"), rnd("mae").alias("mae"), rnd("train_r2").alias("train_r2"))
+
+
+@query("oof_evaluate", f"WITH {LINEAR_ONE} SELECT p_partkey, fold, round(lin, 6) AS linear FROM pr WHERE f = 0 AND fold = 0")
+def q_oof_evaluate(spark, sf):
+    """The rows of the evaluated fold, predicted by the model that has
+    not seen them."""
+    res, _ = linear_one(spark, sf)
+    return res.oof.select("p_partkey", "fold", rnd("linear").alias("linear"))
+
+
+@query("oof_evaluate_all_folds")
+def q_oof_evaluate_all_folds(spark, sf):
+    res = trained(spark, sf, "thorough", ("linear", "gbt"))
+    cols = [c for c in res.oof.columns if c in ("linear", "gbt")]
+    return res.oof.select("p_partkey", "fold", *[rnd(c).alias(c) for c in cols])
+
+
+SCORED_SQL = f"WITH {LINEAR_ONE} SELECT p_partkey, round(pred, 6) AS pred FROM pr WHERE f = -1"
+
+
+@query("score", SCORED_SQL)
 def q_score(spark, sf):
+    """The saved bundle applied to the raw columns."""
+    from sparkreg.plans.score import score
+    _, b = linear_one(spark, sf)
+    return score(one_feature(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
+
+
+@query("score_best")
+def q_score_best(spark, sf):
     from sparkreg.plans.score import score
     b, _ = bundle_of(spark, sf)
     return score(part_frame(spark, sf), b).select("p_partkey", rnd("y").alias("pred"))
@@ -690,13 +783,14 @@ def q_required_columns(spark, sf):
     return spark.createDataFrame(list(enumerate(required_columns(b.meta))), "pos bigint, column string")
 
 
-@query("score_stream")
+@query("score_stream", SCORED_SQL)
 def q_score_stream(spark, sf):
+    """The scoring plan over a file stream."""
     from sparkreg.streaming.score_stream import score_stream
-    b, _ = bundle_of(spark, sf)
+    _, b = linear_one(spark, sf)
     src = scratch_path(spark, "stream-src")
-    # the stream source: the part table re-expressed as the model's input frame
-    part_frame(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
+    rows = one_feature(spark, sf)
+    rows.repartition(4).write.mode("overwrite").parquet(src)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    score_stream(spark, src, part_frame(spark, sf).schema, b, out, ck)
+    score_stream(spark, src, rows.schema, b, out, ck)
     return spark.read.parquet(out).select("p_partkey", rnd("y").alias("pred"))
