@@ -34,6 +34,8 @@ EDITS = 1
 MIN_CHARS = 12
 #: Index entries with more lines than this are linked through masked lines.
 BUCKET = 64
+#: What str.strip() takes off.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Bits of the fixed-size filter by which candidate lines are fetched.
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1
@@ -153,8 +155,7 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, text): the stripped lines of every document."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                     F.posexplode(F.split(text_or_empty(F.col(f"`{text_col}`")), "\n", -1)).alias("line_no", "x"))
-    space = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"                          # what str.strip() takes off
-    return d.select("doc_id", "line_no", F.regexp_replace("x", f"^[{space}]+|[{space}]+$", "").alias("text"))
+    return d.select("doc_id", "line_no", F.btrim("x", F.lit(SPACES)).alias("text"))
 
 
 def line_links(docs: DataFrame, lines: DataFrame, text_col: str, edits: int, min_chars: int,
