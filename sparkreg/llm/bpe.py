@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from sparkreg.llm.common import as_row, text_or_empty
 
 #: Distinct words that a task remembers before it starts anew.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
 #: Longer words (in bytes) are merged with a heap instead of scans.
 LONG_WORD = 96
 
@@ -43,21 +44,20 @@ def merge_word(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
         return [ranks[word]]
     if len(word) > LONG_WORD:
         return _merge_long(word, ranks)
-    parts = [word[i:i + 1] for i in range(len(word))]
-    none = len(ranks) + 1
-    pair = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    get, none = ranks.get, len(ranks) + 1
+    cut = list(range(len(word) + 1))                # piece i is word[cut[i]:cut[i + 1]]
+    pair = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
     while pair:
         low = min(pair)
         if low == none:
             break
         i = pair.index(low)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pair[i]
+        del cut[i + 1], pair[i]
         if i < len(pair):
-            pair[i] = ranks.get(parts[i] + parts[i + 1], none)
+            pair[i] = get(word[cut[i]:cut[i + 2]], none)
         if i:
-            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+            pair[i - 1] = get(word[cut[i - 1]:cut[i + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(cut, cut[1:])]
 
 
 def _merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
@@ -103,9 +103,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = np.array(merge_word(word.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
-        self[word] = ids
-        return ids
+        ids = merge_word(word.encode("utf-8", "surrogatepass"), self.ranks)
+        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
 
 def splitter(pattern: str):
@@ -123,13 +123,13 @@ class Codec:
 
         def encoder():
             find, words = splitter(pattern), _Words(shared.value)
-            return lambda t: b"".join([words[w] for w in find(t)])
+            return lambda t: b"".join(map(words.__getitem__, find(t)))
 
         def decoder():
             piece = [b""] * (max(shared.value.values()) + 1)
             for b, i in shared.value.items():
                 piece[i] = b
-            return lambda x: b"".join([piece[i] for i in np.frombuffer(x, dtype="<u4").tolist()])
+            return lambda x: b"".join(map(piece.__getitem__, np.frombuffer(x, dtype="<u4").tolist()))
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
