@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from sparkreg.functions.scalar import NAN_CLASS, null_to_sentinel, safe_name
 
 TE_SMOOTHING = 20.0            # fixed: pseudo-count of the smoothed mean
-BROADCAST_MAX_ROWS = 500_000     # encoder rows we accept to ship to every task
+BROADCAST_MAX_BYTES = 64 << 20 # estimated size of a lookup that is shipped to every task
+CLASS_BYTES = 64               # of that, for the class of a row (see category_count)
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on, n_lookup: int | None, how: str = "left") -> DataFrame:
-    """Equi-join a small lookup; broadcast only behind a size check."""
-    if n_lookup is not None and n_lookup <= BROADCAST_MAX_ROWS:
+    """Equi-join a small lookup; broadcast only behind a check of its size in
+    bytes: rows times the class and eight bytes for every other column."""
+    if n_lookup is not None and n_lookup * (CLASS_BYTES + 8 * len(lookup.columns)) <= BROADCAST_MAX_BYTES:
         lookup = F.broadcast(lookup)
     return df.join(lookup, on=on, how=how)
 
@@ -102,7 +104,11 @@ def oof_target_encode(df: DataFrame, col: str, y: str, fold: str = "fold", out:
 
 
 def category_count(df: DataFrame, col: str) -> int:
-    return df.agg(F.count_distinct(null_to_sentinel(F.col(col)))).first()[0]
+    """Classes of a column, counted as several when they are long, so that
+    the count times ``CLASS_BYTES`` bounds their bytes."""
+    c = df.select(null_to_sentinel(F.col(f"`{col}`")).alias("c")).groupBy("c").agg(F.lit(1).alias("one"))
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("c")).alias("b")).first()
+    return max(int(r["n"]), -(-int(r["b"] or 0) // CLASS_BYTES))
 
 
 NAN = NAN_CLASS

@@ -25,6 +25,7 @@ ES_SEED = 7                  # seed of the early-stopping holdout order
 ES_VAL_FRAC = 0.10
 ES_MIN_TRAIN_ROWS = 20
 MAX_ROWS_PER_RANK_TASK = 2_000_000
+MAX_PREFIX = 4               # hex digits: at most 65,536 sub-bucket counts per group are ever ordered together
 BROADCAST_MAX_ROWS = 1_000_000
 
 
@@ -37,7 +38,7 @@ def _prefix_len(n_rows: int, n_groups: int) -> int:
     per = max(1, n_rows) / max(1, n_groups)
     if per <= MAX_ROWS_PER_RANK_TASK:
         return 1
-    return min(6, 1 + math.ceil(math.log(per / MAX_ROWS_PER_RANK_TASK, 16)))
+    return min(MAX_PREFIX, 1 + math.ceil(math.log(per / MAX_ROWS_PER_RANK_TASK, 16)))
 
 
 def md5_rank(df: DataFrame, key: str, seed, groups: Sequence[str] = (), out: str = "rank",
