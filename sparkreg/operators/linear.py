@@ -58,52 +58,12 @@ def inner_fold(key: str, k: int = INNER_FOLDS, seed: int = INNER_SEED) -> Column
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int")
 
 
-WIDE_GRAM_MIN_FEATURES = 9      # from here on, Arrow batches instead of SQL sums
-
-
 def null_aware_gram(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequence[str],
                     shift: dict[str, float]) -> dict[tuple, dict[str, np.ndarray]]:
-    """One aggregation pass: the null-aware Gram system per cell."""
-    d = len(feats)
-    if d >= WIDE_GRAM_MIN_FEATURES:
-        return null_aware_gram_arrow(df, feats, y, cell_cols, shift)
-    z = [F.coalesce(F.col(c).cast("double") - F.lit(shift[c]), F.lit(0.0)) for c in feats]
-    m = [F.col(c).isNull().cast("double") for c in feats]
-    yy = F.col(y)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("yy")]
-    for i in range(d):
-        aggs += [F.sum(z[i]).alias(f"z1_{i}"), F.sum(m[i]).alias(f"m1_{i}"),
-                 F.sum(z[i] * yy).alias(f"zy_{i}"), F.sum(m[i] * yy).alias(f"my_{i}")]
-        for j in range(d):
-            if j >= i:
-                aggs.append(F.sum(z[i] * z[j]).alias(f"G_{i}_{j}"))
-                aggs.append(F.sum(m[i] * m[j]).alias(f"Q_{i}_{j}"))
-            aggs.append(F.sum(z[i] * m[j]).alias(f"H_{i}_{j}"))
-    rows = df.groupBy(*cell_cols).agg(*aggs).collect()   # cells x O(d^2): spec-sized
-    out = {}
-    for r in rows:
-        G = np.zeros((d, d)); Q = np.zeros((d, d)); H = np.zeros((d, d))
-        for i in range(d):
-            for j in range(d):
-                if j >= i:
-                    G[i, j] = G[j, i] = r[f"G_{i}_{j}"] or 0.0
-                    Q[i, j] = Q[j, i] = r[f"Q_{i}_{j}"] or 0.0
-                H[i, j] = r[f"H_{i}_{j}"] or 0.0
-        out[tuple(r[c] for c in cell_cols)] = {
-            "n": float(r["n"]), "sy": float(r["sy"] or 0.0), "yy": float(r["yy"] or 0.0),
-            "z1": np.array([r[f"z1_{i}"] or 0.0 for i in range(d)]),
-            "m1": np.array([r[f"m1_{i}"] or 0.0 for i in range(d)]),
-            "zy": np.array([r[f"zy_{i}"] or 0.0 for i in range(d)]),
-            "my": np.array([r[f"my_{i}"] or 0.0 for i in range(d)]), "G": G, "H": H, "Q": Q}
-    return out
-
-
-def null_aware_gram_arrow(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequence[str],
-                          shift: dict[str, float]) -> dict[tuple, dict[str, np.ndarray]]:
-    """The same statistics for wide inputs: each task folds its Arrow
-    batches into one (n, sy, yy, z1, m1, zy, my, G, H, Q) vector per cell,
-    and Spark's vector aggregate sums the task vectors (map-side partial
-    aggregation, so a hot cell costs nothing extra)."""
+    """One aggregation pass: the null-aware Gram system per cell.  Each task
+    folds its Arrow batches into one (n, sy, yy, z1, m1, zy, my, G, H, Q)
+    vector per cell, and Spark's vector aggregate sums the task vectors
+    (map-side partial aggregation, so a hot cell costs nothing extra)."""
     import pandas as pd
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer

@@ -210,31 +210,22 @@ def constant_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- P07
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair after median fill.  One
-    pass of medians, then ONE pass of plain sums of the median-centred
-    columns (p + p(p+1)/2 SUMs, cheap to codegen -- p*(p-1)/2 ``corr``
-    aggregates are not); the p x p matrix is formed on the driver."""
+    """Pearson correlation of every column pair after median fill: medians,
+    then one pass that adds up the outer products of the median-centred rows
+    (a p x p matrix per task, not p * p expressions)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
     cols = list(cols)
+    schema = "column string, pos int, other string, other_pos int, corr double"
+    if len(cols) < 2 or df.isEmpty():
+        return df.sparkSession.createDataFrame(
+            [(a, i, b, j, None) for i, a in enumerate(cols) for j, b in enumerate(cols[:i])], schema)
     med = fit_medians(df, cols)
-    fill = [med[c] for c in cols]
-    z = [F.coalesce(F.col(f"`{c}`").cast("double") - F.lit(float(fill[i])), F.lit(0.0)) for i, c in enumerate(cols)]
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(z[i]).alias(f"s{i}") for i in range(len(cols))]
-    aggs += [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
-    r = df.agg(*aggs).first()
-    n = float(r["n"] or 0)
-    rows = []
-    for i in range(len(cols)):
-        for j in range(i):
-            corr = None
-            if n > 1:
-                si, sj = r[f"s{i}"] or 0.0, r[f"s{j}"] or 0.0
-                vi = (r[f"p{i}_{i}"] or 0.0) - si * si / n
-                vj = (r[f"p{j}_{j}"] or 0.0) - sj * sj / n
-                cij = (r[f"p{i}_{j}"] or 0.0) - si * sj / n
-                if vi > 0 and vj > 0:
-                    corr = cij / math.sqrt(vi * vj)
-            rows.append((cols[i], i, cols[j], j, corr))
-    return df.sparkSession.createDataFrame(rows, "column string, pos int, other string, other_pos int, corr double")
+    z = [F.coalesce(F.col(f"`{c}`").cast("double") - F.lit(float(med[c])), F.lit(0.0)) for c in cols]
+    m = Correlation.corr(df.select(array_to_vector(F.array(*z)).alias("v")), "v").first()[0].toArray()
+    rows = [(a, i, b, j, float(m[i, j]) if math.isfinite(m[i, j]) else None)
+            for i, a in enumerate(cols) for j, b in enumerate(cols[:i])]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def duplicate_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
