@@ -20,6 +20,12 @@ anchor's k-gram, as runs of neighbouring windows with the same anchor.
    above it, reaches into a document with a smaller id.
 3. The removed stretches return to the documents.
 
+A k-gram with more than ``HOT_RUNS`` runs, as of a short phrase that many
+documents hold in different contexts, would make one bucket grow with the
+input.  The buckets of step 1 count the runs and tell the groups, which then
+send the windows of such runs one by one, dealt by the hash of all their
+bytes.  Equal windows still meet, and different ones need not.
+
 Runs travel packed, some thousand in a binary value, at first only as the
 hash of their k-gram and their number in the group, which finds its runs anew
 in the next step.  A group of documents
@@ -49,12 +55,13 @@ BUCKET_BYTES = 16 << 20
 SEGMENT = 2 << 20
 #: Runs, and about as many suffixes, that are sorted at once.
 SORT_ROWS = 64_000
+#: Runs of one k-gram from which its windows are dealt by all their bytes.
+HOT_RUNS = 16_000
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 28) - 1)
 RUN = np.dtype([("kh", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("at", "u1"), ("more", "u1")])
-SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -188,63 +195,112 @@ def _long(short: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of one byte, with the large ones apart."""
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype("<i8")
+
+
+def _from_counts(n: np.ndarray, large: np.ndarray) -> np.ndarray:
+    n = n.astype(np.int64)
+    n[n == 255] = large
+    return n
+
+
 def _rows(pairs, name: str) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=[name, "src", "blob"]).astype({name: "int32", "src": "int32"})
 
 
-def _own_repeats(runs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(k-gram hashes that several documents of a group hold, which runs have
-    one of them)."""
+def _own_repeats(runs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k-gram hashes that several documents of a group hold, the number of
+    runs of each, which runs have one of them)."""
     if not len(runs):
-        return runs["kh"], np.zeros(0, dtype=bool)
+        return runs["kh"], np.zeros(0, np.int64), np.zeros(0, dtype=bool)
     o = np.argsort(runs["kh"], kind="stable")
     g = _bounds(runs["kh"][o])
     who = ids[runs["doc"][o]]
     several = np.minimum.reduceat(who, g) < np.maximum.reduceat(who, g)
     mine = np.zeros(len(runs), dtype=bool)
-    mine[o] = np.repeat(several, np.diff(np.append(g, len(runs))))
-    return runs["kh"][o][g[several]], mine
+    n = np.diff(np.append(g, len(runs)))
+    mine[o] = np.repeat(several, n)
+    return runs["kh"][o][g[several]], n[several], mine
 
 
 def tell_anchors(docs: pd.DataFrame, min_len: int, k: int, buckets: int) -> pd.DataFrame:
     """Step 1, documents: to each bucket its k-grams, with the number of the
     run and the document, and once those that several documents of the group
-    hold, which are known to be shared."""
+    hold, which are known to be shared, with the number of their runs."""
     q = int(docs["q"].iloc[0])
     _, ids, data, offsets = _group(docs)
     runs = window_runs(data, offsets, min_len, k)
-    marked, mine = _own_repeats(runs, ids)
+    marked, times, mine = _own_repeats(runs, ids)
     open_ = np.flatnonzero(~mine)
-    of = {b: [open_[p], marked[:0]] for b, p in _split((runs["kh"][open_] % np.uint64(buckets)).astype(np.int64))}
+    none = np.zeros(0, np.int64)
+    of = {b: [open_[p], none] for b, p in _split((runs["kh"][open_] % np.uint64(buckets)).astype(np.int64))}
     for b, p in _split((marked % np.uint64(buckets)).astype(np.int64)):
-        of.setdefault(b, [open_[:0], marked[:0]])[1] = marked[p]
+        of.setdefault(b, [none, none])[1] = p
     out = []
     for b, (nr, m) in of.items():
         d, n = np.unique(runs["doc"][nr], return_counts=True)     # runs are in the order of the documents
         out.append((b, q, _pack(ids[d], n.astype("<u4"), *_steps(nr), _short(runs["kh"][nr], buckets),
-                                _short(m, buckets))))
+                                _short(marked[m], buckets), *_counts(times[m]))))
     return _rows(out, "bucket")
 
 
-def shared_runs(parts: pd.DataFrame) -> pd.DataFrame:
+def shared_runs(parts: pd.DataFrame, hot_runs: int = HOT_RUNS) -> pd.DataFrame:
     """Step 1, buckets: the numbers of the runs whose k-gram stands in several
-    documents, back to their groups."""
-    cols, marked, out = [[], [], [], []], [], []
+    documents, back to their groups, with those of a group's k-grams that have
+    more than ``hot_runs`` runs in all groups."""
+    cols, marked, times, told = [[], [], [], []], [], [], {}
     for q, blob in zip(parts["src"], parts["blob"]):
-        i, n, step, large, kh, m = _unpack(blob, "<i8", "<u4", "u1", "<i8", "u1", "u1")
-        marked.append(_long(m))
-        for c, v in zip(cols, (_from_steps(step, large), np.repeat(i, n), _long(kh),
+        i, n, step, large, kh, m, t, far = _unpack(blob, "<i8", "<u4", "u1", "<i8", "u1", "u1", "u1", "<i8")
+        told[q] = _long(kh), _long(m)
+        marked.append(told[q][1])
+        times.append(_from_counts(t, far))
+        for c, v in zip(cols, (_from_steps(step, large), np.repeat(i, n), told[q][0],
                                np.full(len(step), q, dtype=np.int32))):
             c.append(v)
     nr, who, kh, src = map(np.concatenate, cols)
+    o = np.argsort(kh, kind="stable")
+    g = _bounds(kh[o]) if len(o) else o
+    grams, n = kh[o][g], np.diff(np.append(g, len(o)))
+    several, back = np.unique(np.concatenate(marked), return_inverse=True)
+    total = np.zeros(len(several), np.int64)
+    np.add.at(total, back.ravel(), np.concatenate(times))
+    both = np.isin(several, grams)
+    total[both] += n[np.searchsorted(grams, several[both])]
+    hot = np.union1d(several[total > hot_runs], grams[n > hot_runs])
+    of = {}
     if len(nr):
-        o = np.argsort(kh, kind="stable")
-        g = _bounds(kh[o])
         low, high = np.minimum.reduceat(who[o], g), np.maximum.reduceat(who[o], g)
-        shared = (low < high) | np.isin(kh[o][g], np.concatenate(marked))
-        keep = o[np.repeat(shared, np.diff(np.append(g, len(o))))]
-        out = [(q, 0, _pack(*_steps(np.sort(nr[keep[p]])))) for q, p in _split(src[keep])]
-    return _rows(out, "q")
+        keep = o[np.repeat((low < high) | np.isin(grams, several), n)]
+        of = {q: [np.sort(nr[keep[p]]), hot[:0]] for q, p in _split(src[keep])}
+    for q, grams_of in told.items() if len(hot) else ():
+        mine = hot[np.isin(hot, np.concatenate(grams_of))]
+        if len(mine):
+            of.setdefault(q, [nr[:0], mine])[1] = mine
+    bucket = int(parts["bucket"].iloc[0])
+    return _rows([(q, bucket, _pack(*_steps(r), h)) for q, (r, h) in of.items()], "q")
+
+
+def _hot_windows(data: np.ndarray, start: np.ndarray, who: np.ndarray,
+                 min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a smaller document has the same window, the window's hash) of
+    the windows at each start."""
+    h = np.concatenate([_hashes_at(data, start[i:i + SORT_ROWS], min_len) for i in range(0, len(start), SORT_ROWS)])
+    o = np.argsort(h, kind="stable")
+    text = np.lib.stride_tricks.sliding_window_view(data, min_len)
+    hit = np.zeros(len(o), dtype=bool)
+    g = np.append(_bounds(h[o]), len(o))
+    a = 0
+    while a < len(g) - 1:                                  # equal windows are together
+        b = max(a + 1, int(np.searchsorted(g, g[a] + SORT_ROWS, side="right")) - 1)
+        p = o[g[a]:g[b]]
+        first, cls = _classes(text[start[p]], np.full(len(p), min_len), np.zeros(len(p), np.int64))
+        low = np.full(len(first), NO_ID, dtype=np.int64)
+        np.minimum.at(low, cls, who[p])
+        hit[p] = who[p] > low[cls]
+        a = b
+    return hit, h
 
 
 def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -270,15 +326,21 @@ def _hashes_at(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
 
 def send_runs(docs: pd.DataFrame, numbers: pd.DataFrame, min_len: int, k: int, buckets: int) -> pd.DataFrame:
     """Step 2, documents: the text of the shared runs to their buckets, equal
-    runs of the group collapsed to their smallest document."""
+    runs of the group collapsed to their smallest document.  Runs of the
+    k-grams that step 1 found hot go as single windows, collapsed as well, to
+    the buckets of the windows' hashes."""
     if not len(docs):
         return _rows([], "bucket")
     q = int(docs["q"].iloc[0])
     _, ids, data, offsets = _group(docs)
     runs = window_runs(data, offsets, min_len, k)
-    _, shared = _own_repeats(runs, ids)
-    for blob in numbers["blob"]:
-        shared[_from_steps(*_unpack(blob, "u1", "<i8"))] = True
+    *_, shared = _own_repeats(runs, ids)
+    hot = [np.zeros(0, "<u8")]
+    for b, blob in zip(numbers["src"], numbers["blob"]):
+        step, large, h = _unpack(blob, "u1", "<i8", "<u8")
+        shared[_from_steps(step, large)] = True
+        hot.append(h * np.uint64(buckets) + np.uint64(b))
+    hot = np.concatenate(hot)
     pl = runs[shared]
     if not len(pl):
         return _rows([], "bucket")
@@ -289,18 +351,37 @@ def send_runs(docs: pd.DataFrame, numbers: pd.DataFrame, min_len: int, k: int, b
     low = np.full(len(first), NO_ID, dtype=np.int64)
     np.minimum.at(low, cls, who)
     hit = who > low[cls]                                  # the same run in a smaller document of this group
-    span = np.zeros(int(hit.sum()), dtype=SPAN)
-    span["doc"], span["start"] = pl["doc"][hit], pl["start"][hit]
-    span["end"] = pl["start"][hit] + size[hit]
-    rest = np.flatnonzero(~hit)
-    of = {q % buckets: [rest[:0], span]}
+    gone = [np.stack([pl["doc"][hit], pl["start"][hit], pl["start"][hit] + size[hit]], axis=1).astype("<u4")]
+    rest = ~hit
+    none = np.zeros(0, np.int64)
+    of = {q % buckets: [none, none]}
+    w_run = w_start = none
+    if len(hot):
+        n = np.uint64(buckets)
+        single = np.flatnonzero(rest & np.isin(_long(_short(pl["kh"], buckets).ravel()) * n + pl["kh"] % n, hot))
+        rest[single] = False
+        w_run = np.repeat(single, pl["more"][single].astype(np.int64) + 1)
+        w_start = pl["start"][w_run].astype(np.int64) + np.arange(len(w_run))
+        w_start -= np.searchsorted(w_run, w_run)
+        if len(w_run):
+            dup, h = _hot_windows(data, offsets[pl["doc"][w_run]] + w_start, who[w_run], min_len)
+            gone.append(np.stack([pl["doc"][w_run], w_start, w_start + min_len], axis=1)[dup].astype("<u4"))
+            w_run, w_start, h = w_run[~dup], w_start[~dup], h[~dup]
+            for b, p in _split((h % n).astype(np.int64)):
+                of.setdefault(b, [none, none])[1] = p
+    rest = np.flatnonzero(rest)
     for b, p in _split((pl["kh"][rest] % np.uint64(buckets)).astype(np.int64)):
-        of.setdefault(b, [rest[:0], span[:0]])[0] = rest[p]
+        of.setdefault(b, [none, none])[0] = rest[p]
+    gone = np.concatenate(gone)
     out = []
-    for b, (r, s) in of.items():
+    for b, (r, w) in of.items():
         body = m[r][np.arange(m.shape[1]) < size[r][:, None]] if len(r) else m[:0].ravel()
+        s = gone if b == q % buckets else gone[:0]
+        at, doc = w_start[w], pl["doc"][w_run[w]]
+        text = data[(offsets[doc] + at)[:, None] + np.arange(min_len)]
         out.append((b, q, _pack(who[r], *[pl[f][r] for f in ("doc", "start", "at", "more")], body,
-                                *[s[f] for f in SPAN.names])))
+                                *[np.ascontiguousarray(c) for c in s.T],
+                                who[w_run[w]], doc, at.astype("<u4"), text)))
     return _rows(out, "bucket")
 
 
@@ -371,14 +452,24 @@ def _window_hits(m: np.ndarray, size: np.ndarray, low: np.ndarray, min_len: int)
 
 def resolve_runs(parts: pd.DataFrame, min_len: int, k: int) -> pd.DataFrame:
     """Step 2, buckets: removed stretches, back to their groups."""
-    cols = [[], [], [], [], [], [], []]
+    cols, single = [[] for _ in range(7)], [[] for _ in range(5)]
     out = []
     for q, blob in zip(parts["src"], parts["blob"]):
-        *run, d, s, e = _unpack(blob, "<i8", "<u4", "<u4", "u1", "u1", "u1", "<u4", "<u4", "<u4")
+        *run, d, s, e, w, w_doc, w_start, text = _unpack(blob, "<i8", "<u4", "<u4", "u1", "u1", "u1",
+                                                         "<u4", "<u4", "<u4", "<i8", "<u4", "<u4", "u1")
         for c, v in zip(cols, (*run, np.full(len(run[0]), q, dtype=np.int32))):
             c.append(v)
+        for c, v in zip(single, (w, w_doc, w_start, text, np.full(len(w), q, dtype=np.int32))):
+            c.append(v)
         if len(d):
             out.append((q, 0, _pack(d, s, e)))
+    who, doc, at, text, src = map(np.concatenate, single)
+    if len(who):
+        hit, _ = _hot_windows(text, np.arange(len(who)) * min_len, who, min_len)
+        hit = np.flatnonzero(hit)
+        for q, p in _split(src[hit]):
+            p = hit[p]
+            out.append((q, 0, _pack(doc[p], at[p], at[p] + np.uint32(min_len))))
     who, doc, begin_at, at_, more, body, src = map(np.concatenate, cols)
     if len(who):
         size = more.astype(np.int64) + min_len
@@ -460,7 +551,7 @@ def cut_spans(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
-                   k: int = K, digest: bool = False) -> DataFrame:
+                   k: int = K, digest: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs) and kept (binary: the remaining bytes; with ``digest``
     kept_sha256 instead).
@@ -470,7 +561,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents, overlaps count, and strings are judged on the input.  A null
     text is empty; shorter texts than ``min_len`` lose nothing.  Rows that
     repeat a doc_id do not remove from each other; a null doc_id counts as
-    larger than all others.
+    larger than all others.  ``hot_runs`` only decides how the work is dealt.
     """
     if not k <= min_len <= 127:
         raise ValueError("min_len must lie between k and 127")
@@ -482,7 +573,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  .cast("int").alias("q"), "doc_id", "body")
     to_bucket, to_group = "bucket int, src int, blob binary", "q int, src int, blob binary"
     told = t.groupBy("q").applyInPandas(lambda d: tell_anchors(d, min_len, k, buckets), to_bucket)
-    shared = told.groupBy("bucket").applyInPandas(shared_runs, to_group)
+    shared = told.groupBy("bucket").applyInPandas(lambda p: shared_runs(p, hot_runs), to_group)
     sent = t.groupBy("q").cogroup(shared.groupBy("q")).applyInPandas(
         lambda d, p: send_runs(d, p, min_len, k, buckets), to_bucket)
     spans = sent.groupBy("bucket").applyInPandas(lambda p: resolve_runs(p, min_len, k), to_group)

@@ -164,6 +164,46 @@ def test_repeated_strings(spark, seed, monkeypatch):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_hot_runs(spark):
+    """Windows of hot k-grams dealt one by one: the same result."""
+    both = documents(spark)
+    rows = [(suffix_dedup.NO_ID if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in both.collect()]
+    for hot_runs in (0, 3):
+        got = sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r)
+                      for r in suffix_dedup.remove_repeats(both, hot_runs=hot_runs).collect()), key=str)
+        assert got == removed_by_hand(rows, suffix_dedup.MIN_LEN)
+
+
+def test_one_phrase_in_many_contexts():
+    """A short phrase between different texts does not fill one bucket."""
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    n, groups, buckets, size = 24_000, 4, 8, suffix_dedup.MIN_LEN
+    letters = rng.integers(97, 123, (n, 2, 16), dtype=np.uint8)
+    letters[n // 2:n // 2 + 500] = letters[:500]                 # these share their contexts
+    phrase = b"is one of the most famous of the"
+    bodies = [a.tobytes() + phrase + b.tobytes() for a, b in letters]
+    docs = pd.DataFrame({"doc_id": np.arange(n), "body": bodies, "q": rng.integers(0, groups, n)})
+    of = dict(list(docs.groupby("q")))
+    told = pd.concat([suffix_dedup.tell_anchors(d, size, suffix_dedup.K, buckets) for d in of.values()])
+    shared = pd.concat([suffix_dedup.shared_runs(p) for _, p in told.groupby("bucket")])
+    sent = pd.concat([suffix_dedup.send_runs(d, shared[shared["q"] == q], size, suffix_dedup.K, buckets)
+                      for q, d in of.items()])
+    weight = sent["blob"].map(len).groupby(sent["bucket"]).sum()
+    assert weight.max() < 0.3 * weight.sum()
+    spans = pd.concat([suffix_dedup.resolve_runs(p, size, suffix_dedup.K) for _, p in sent.groupby("bucket")])
+    got = pd.concat([suffix_dedup.cut_spans(d, spans[spans["q"] == q]) for q, d in of.items()])
+    lost = got.set_index("doc_id")["n_removed"]
+    first, want = {}, np.zeros(n, np.int64)
+    for i, body in enumerate(bodies):
+        gone = np.zeros(len(body), dtype=bool)
+        for j in range(len(body) - size + 1):
+            if first.setdefault(body[j:j + size], i) < i:
+                gone[j:j + size] = True
+        want[i] = gone.sum()
+    assert (lost.sort_index().to_numpy() == want).all() and (want > 0).sum() >= 500
+
+
 def test_maximal_repeats():
     """All strings that occur twice and cannot be extended to the left or the
     right, with all their occurrences."""
