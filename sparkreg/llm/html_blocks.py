@@ -13,6 +13,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template iframe svg math object canvas select option optgroup datalist "
                     "textarea button title head audio video map".split())
+#: What a head may hold; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements whose start tag ends a dropped element that has no end tag.
+FLOW = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
+                 "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search "
+                 "section summary table tbody td tfoot th thead tr ul".split())
+#: Parses in which elements without end tags are told apart.
+PASSES = 8
 RAW = "script|style|textarea|title|noscript|iframe|template"
 
 TOKEN = re.compile(
@@ -43,9 +51,26 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order.  Text is decoded, white space inside a
     block becomes one space; markup, comments, scripts, styles and the
     content of controls are left out.  Tags that are cut off or never closed
-    end with the page."""
+    end with the page; a head ends at the first thing it may not hold, and a
+    control or medium that has no end tag of its own at the next start tag of
+    a flow element."""
+    lost: set[int] = set()
+    for _ in range(PASSES):
+        out, more = _parse(page, lost)
+        if more <= lost:
+            return out
+        lost |= more
+    return _parse(page, None)[0]
+
+
+def _parse(page: str, lost: set[int] | None) -> tuple[list[Block], set[int]]:
+    """(blocks, places of the dropped elements that hold a flow element and
+    have no end tag of their own).  Those at the places ``lost``, or all if
+    None, end at the next start tag of a flow element."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    filled: set[int] = set()
+    unclosed: set[int] = set()
     parts: list[str] = []
     links = dropped = in_a = at = 0
     path: tuple[str, ...] | None = ()
@@ -55,17 +80,36 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(p for _, n in stack for p in n), min(links, len(text))))
+                out.append(Block(text, tuple(p for _, n, _ in stack for p in n), min(links, len(text))))
             parts, links = [], 0
 
-    def pop_to(k: int):
+    def pop_to(k: int, own: bool = False):
         nonlocal dropped, in_a
-        for t, _ in stack[k:]:
+        for i, (t, _, place) in enumerate(stack[k:]):
             dropped -= t in DROPPED
             in_a -= t == "a"
+            if place in filled and (i or not own):
+                unclosed.add(place)
         del stack[k:]
 
+    def leave(tag: str | None):
+        """Closes what a start tag, or text, ends of the dropped elements."""
+        for k in range(len(stack) - 1, -1, -1):
+            t, _, place = stack[k]
+            if t == "head":
+                if tag not in HEAD:
+                    pop_to(k)
+            elif t in DROPPED:
+                if tag not in FLOW:
+                    break
+                filled.add(place)
+                if lost is not None and place not in lost:
+                    break
+                pop_to(k)
+
     for m in TOKEN.finditer(page):
+        if dropped and stack[-1][0] == "head" and page[at:m.start()].strip(" \t\n\f\r"):
+            leave(None)
         if m.start() > at and not dropped:
             piece = page[at:m.start()]
             parts.append(piece)
@@ -77,12 +121,14 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag not in INLINE:
             flush()
+        if dropped and not m["end"]:
+            leave(tag)
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in INLINE and any(t not in INLINE for t, _ in stack[k + 1:]):
                         break                                   # an inline end tag closes no block
-                    pop_to(k)
+                    pop_to(k, own=True)
                     break
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag not in INLINE:                               # a block ends an open paragraph
@@ -93,10 +139,14 @@ def blocks(page: str) -> list[Block]:
                         break
                     if t not in INLINE:
                         break
-            stack.append((tag, _node(tag, m["attrs"])))
+            stack.append((tag, _node(tag, m["attrs"]), m.start()))
             dropped += tag in DROPPED
             in_a += tag == "a"
-    if at < len(page) and not dropped:
-        parts.append(page[at:])
+    if at < len(page):
+        if dropped and stack[-1][0] == "head" and page[at:].strip(" \t\n\f\r"):
+            leave(None)
+        if not dropped:
+            parts.append(page[at:])
     flush()
-    return out
+    pop_to(0)
+    return out, unclosed

@@ -240,6 +240,24 @@ def test_blocks():
     html_blocks.blocks('<p class="' + "x" * 50_000 + "<" * 5000)   # stays linear on broken markup
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body><div>", "<div>", "<p>", "<main><h1>", "", "<br>", "<em>"])
+def test_page_without_head_end(start):
+    page = f"<html><head><meta charset=utf-8><title>no</title><link rel=x><style>p{{}}</style>\n{start}One<p>Two</html>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["One", "Two"]
+    assert all("head" not in b.path for b in html_blocks.blocks(page))
+
+
+@pytest.mark.parametrize("tag", "button video audio object map select svg canvas".split())
+def test_dropped_element_without_end(tag):
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+    assert texts(f"<div><p>One</p><{tag} x=1>no<p>Two</p><ul><li>Three</ul></div><p>Four") == ["One", "Two", "Three", "Four"]
+    assert texts(f"<p>One<{tag}>no</p><p>Two</p>") == ["One", "Two"]
+    assert texts(f"<p>One</p><{tag}>no<div>no<p>no</p></div>no</{tag}><p>Two") == ["One", "Two"]
+    assert texts(f"<{tag}>no<p>One</p><{tag}>no<div>no</div></{tag}><p>Two") == ["One", "Two"]
+    html_blocks.blocks(f"<{tag}><x-a><p></x-a></{tag}>" * 2000 + f"<{tag}><p>" * 2000)
+
+
 def test_extraction(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     body = ("<html><body><nav><ul><li><a>Menu</a></li></ul></nav><div class='cookie-notice'><p>We use cookies.</p></div>"
