@@ -32,7 +32,9 @@ from sparkreg.llm.html_blocks import Block, blocks
 SAMPLE_PAGES = 240
 MADE_UP = 900
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 192, 24, 5, 16
-EPOCHS, BATCH, MAX_TRAIN_BLOCKS = 9, 48, 60
+EPOCHS, BATCH = 9, 48
+#: Longer training pages are cut into windows of about equal size, at most this long.
+TRAIN_BLOCKS = 256
 #: Blocks of a padded batch when labelling.
 BATCH_BLOCKS = 20_000
 #: Elements and names that mark parts of the sample pages that are not main text.
@@ -221,7 +223,9 @@ class Labeller:
         return g
 
     def fit(self, seqs: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.02) -> None:
-        seqs = sorted([(x[:MAX_TRAIN_BLOCKS], y[:MAX_TRAIN_BLOCKS]) for x, y in seqs if len(x)], key=lambda s: len(s[0]))
+        """Every block of every page is trained on, in windows of at most
+        TRAIN_BLOCKS blocks."""
+        seqs = sorted([w for x, y in seqs if len(x) for w in windows(x, y)], key=lambda s: len(s[0]))
         batches = [pad(seqs[i:i + BATCH]) for i in range(0, len(seqs), BATCH)]
         rng = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -264,6 +268,11 @@ class Labeller:
         return cls(dict(np.load(io.BytesIO(data))))
 
 
+def windows(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    n = -(-len(x) // TRAIN_BLOCKS)
+    return list(zip(np.array_split(x, n), np.array_split(y, n)))
+
+
 def pad(seqs):
     t = max(len(x) for x, _ in seqs)
     x = np.zeros((t, len(seqs), seqs[0][0].shape[1]), np.float32)

@@ -240,6 +240,21 @@ def test_blocks():
     html_blocks.blocks('<p class="' + "x" * 50_000 + "<" * 5000)   # stays linear on broken markup
 
 
+def test_training_reads_whole_pages(monkeypatch):
+    """Blocks at the end of long pages count in the fit."""
+    seen = []
+    monkeypatch.setattr(html_extract, "pad", lambda seqs, pad=html_extract.pad: seen.extend(seqs) or pad(seqs))
+    page = html_blocks.blocks("".join(f"<p>Words of block {i}.</p>" for i in range(600)))
+    x = html_extract.vectors(page)
+    y = (np.arange(600) > 590).astype(np.float32)
+    labeller = html_extract.fit_labeller([])
+    seen.clear()
+    labeller.fit([(x, y), (x[:70], y[:70])], epochs=1)
+    assert sorted(len(a) for a, _ in seen) == [70, 200, 200, 200]
+    assert sum(b.sum() for _, b in seen) == y.sum()
+    assert (np.concatenate([a for a, _ in seen if len(a) == 200]) == x).all()
+
+
 @pytest.mark.parametrize("start", ["<body>", "<body><div>", "<div>", "<p>", "<main><h1>", "", "<br>", "<em>"])
 def test_page_without_head_end(start):
     page = f"<html><head><meta charset=utf-8><title>no</title><link rel=x><style>p{{}}</style>\n{start}One<p>Two</html>"
