@@ -21,15 +21,13 @@ from sparkreg.operators.folds import sample_rows, stratified_folds
 from sparkreg.operators.gp import fit_gp, kernel_sum
 from sparkreg.operators.linear import ALPHAS_STD, ridge_cv
 from sparkreg.operators.mlp import fit_mlp
-from sparkreg.operators.trees import fit_trees, screen_features, split_importance
+from sparkreg.operators.trees import GBT_ITER_THOROUGH, fit_trees, screen_features, split_importance
 from sparkreg.plans.catalog import query
 from sparkreg.plans.q_folds import R2_SQL, _candidates, _cand_sql, _oof_events, folds_cte, oof_te_sql
 from sparkreg.session import scratch_path
 from sparkreg.sources.tables import table
 
 R = 6
-MLP_SEARCH_PASSES = 20          # gradient passes of a search trial
-GBT_SEARCH_ROUNDS = 5           # boosting rounds of a search trial
 _MEMO: dict = {}
 
 
@@ -508,7 +506,7 @@ def q_gbt_search(spark, sf):
     def evaluate(c, folds):
         parts = []
         for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=GBT_SEARCH_ROUNDS)
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=GBT_ITER_THOROUGH)
             parts.append(spec.transform(d.filter(F.col("fold") == f), "pred"))
         u = parts[0]
         for p in parts[1:]:
@@ -530,8 +528,7 @@ def q_mlp_search(spark, sf):
     def evaluate(c, folds):
         k = str(c)
         if k not in cache:
-            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], passes=MLP_SEARCH_PASSES,
-                               **{kk: v for kk, v in c.items()})
+            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], **c)
         specs = cache[k]
         parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred") for f in folds]
         u = parts[0]

@@ -168,3 +168,40 @@ def test_deploy_order(spark):
 def test_search_chooses_settings(spark):
     res = train(_parcels(spark, 80), "y", key="id", strategy="thorough", families=("mlp",), derive=False, search=2)
     assert res.bundle["settings"]["mlp"]["alpha_l2"] in (1e-4, 1e-2)
+
+
+def test_search_trials_are_full_fits(spark, sf_small, monkeypatch):
+    """gbt_search and mlp_search judge their trials at the rounds and passes
+    of a training run."""
+    from pyspark.sql import functions as F
+
+    from sparkreg.operators.mlp import PASSES
+    from sparkreg.operators.trees import GBT_ITER_THOROUGH
+    from sparkreg.plans import q_models
+    asked = []
+
+    class Fit:
+        def transform(self, df, out):
+            return df.withColumn(out, F.lit(0.0))
+        predict_column = transform
+
+    def trees(*a, max_iter, **k):
+        asked.append(max_iter)
+        return Fit()
+
+    def network(*a, passes=PASSES, **k):
+        asked.append(passes)
+        return dict.fromkeys(range(5), Fit())
+
+    def search(spark, cands, folds, evaluate, keep):
+        evaluate(cands[0], folds)
+        return spark.createDataFrame([(0, "", "final", 0.0)], "trial int, params string, stage string, r2 double")
+
+    monkeypatch.setattr(q_models, "fit_trees", trees)
+    monkeypatch.setattr(q_models, "fit_mlp", network)
+    monkeypatch.setattr("sparkreg.operators.search.halving_search", search)
+    q_models.q_gbt_search(spark, sf_small)
+    assert set(asked) == {GBT_ITER_THOROUGH}
+    asked.clear()
+    q_models.q_mlp_search(spark, sf_small)
+    assert set(asked) == {PASSES}
