@@ -19,6 +19,7 @@ from sparkreg.functions.scalar import derived
 from sparkreg.operators import metrics as M
 from sparkreg.operators.folds import permute_column
 from sparkreg.operators.profile import CONST_STD_EPS
+from sparkreg.operators.trees import PROBE_ITER, PROBE_ITER_RANK
 
 GBT_FINALISTS = 3
 MLP_FINALISTS = 2
@@ -144,18 +145,20 @@ def propose_recipe(df: DataFrame, feats: Sequence[str], max_base: int = RECIPE_M
     return out
 
 
-def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[DataFrame, list[str]], dict],
-               max_base: int = RECIPE_MAX_BASE, max_keep: int = RECIPE_MAX_KEEP) -> list[dict]:
+def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[DataFrame, list[str], int], dict],
+               max_base: int = RECIPE_MAX_BASE, max_keep: int = RECIPE_MAX_KEEP, rounds: int = PROBE_ITER,
+               rank_rounds: int = PROBE_ITER_RANK) -> list[dict]:
     """Base features by the importance a boosted probe gives them; their
     derived candidates that are finite with std >= 1e-12 (one aggregate) are
     probed beside the base features, and the ``max_keep`` most important with
-    importance > 0 stay.  Needs >= 2 features and >= 50 rows."""
+    importance > 0 stay.  Needs >= 2 features and >= 50 rows.  The probes boost
+    for ``rank_rounds`` and ``rounds`` rounds."""
     feats = list(feats)
     if len(feats) < 2 or df.count() < RECIPE_MIN_ROWS:
         return []
     ranked = feats
     if len(feats) > max_base:
-        first = probe(df.select(y, *[f"`{c}`" for c in feats]), feats)
+        first = probe(df.select(y, *[f"`{c}`" for c in feats]), feats, rank_rounds)
         ranked = sorted(feats, key=lambda c: (-first.get(c, 0.0), feats.index(c)))
     props = propose_recipe(df, ranked, max_base)
     cand = df.select(y, *[f"`{c}`" for c in feats], *[derived(p["op"], p["cols"]).alias(p["name"]) for p in props])
@@ -163,7 +166,7 @@ def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[Dat
     ok = [p for i, p in enumerate(props) if st[f"s{i}"] is not None and st[f"s{i}"] >= CONST_STD_EPS]
     if not ok:
         return []
-    imp = probe(cand, feats + [p["name"] for p in ok])
+    imp = probe(cand, feats + [p["name"] for p in ok], rounds)
     best = sorted((p for p in ok if imp.get(p["name"], 0.0) > 0), key=lambda p: (-imp[p["name"]], ok.index(p)))
     return best[:max_keep]
 

@@ -31,7 +31,8 @@ XT_PARAMS = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "minInstanc
 XT_FORESTS = 4                 # random cut sets, each with its own small forest
 XT_CUTS = 32
 SCREEN_MIN_FEATURES = 10
-PROBE_ITER = 10                # boosting rounds of a probe model (screening, recipes, transform choice)
+PROBE_ITER = 200               # boosting rounds of a probe model (screening, recipes, transform choice)
+PROBE_ITER_RANK = 150          # of the probe that ranks a recipe's base features
 
 
 @dataclass
@@ -155,12 +156,13 @@ def split_importance(spec: TreeSpec, spark) -> DataFrame:
                     (F.col("splits") / F.lit(max(tot, 1)) * 100.0).alias("pct"))
 
 
-def screen_features(df: DataFrame, feats: Sequence[str], y: str, medians: dict | None = None) -> list[str]:
-    """Keep features with split importance > 0 from a quick boosted
-    probe; skipped at <= 10 features; keep all when fewer than 2 survive."""
+def screen_features(df: DataFrame, feats: Sequence[str], y: str, medians: dict | None = None,
+                    rounds: int = PROBE_ITER) -> list[str]:
+    """Keep features with split importance > 0 from a boosted probe
+    of ``rounds`` rounds; skipped at <= 10 features; keep all when fewer than 2 survive."""
     if len(feats) <= SCREEN_MIN_FEATURES:
         return list(feats)
-    spec = fit_trees(df, feats, y, "gbt", medians, max_iter=PROBE_ITER)
+    spec = fit_trees(df, feats, y, "gbt", medians, max_iter=rounds)
     imp = split_importance(spec, df.sparkSession).collect()
     kept = [r["feature"] for r in imp if r["importance"] > 0]
     keep_set = set(kept)

@@ -248,8 +248,8 @@ def q_derived_recipe_fit(spark, sf):
 
     d, _ = part_numeric(spark, sf)
 
-    def probe(cand, names):
-        spec = fit_trees(cand, names, "y", "gbt")
+    def probe(cand, names, rounds):
+        spec = fit_trees(cand, names, "y", "gbt", max_iter=rounds)
         return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
 
     recipe = fit_recipe(d, ["p_size", "name_len"], "y", probe)

@@ -33,7 +33,7 @@ from sparkreg.operators.blend import blend_weights, eligible_members
 from sparkreg.operators.gp import fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
 from sparkreg.operators.mlp import MLP_MIN_ROWS, fit_mlp
-from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, PROBE_ITER, SCREEN_MIN_FEATURES,
+from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, PROBE_ITER, PROBE_ITER_RANK, SCREEN_MIN_FEATURES,
                                      fit_trees, screen_features, split_importance)
 from sparkreg.plans.score import add_prediction
 from sparkreg.session import cut_lineage, remove
@@ -93,7 +93,8 @@ def attach_row_id(df: DataFrame, key: str = "row_id", written: list | None = Non
     return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()), written)
 
 
-def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds) -> tuple:
+def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds,
+                        probe_rounds: int = PROBE_ITER) -> tuple:
     """M12 (thorough): none / log1p (only when every y >= 0) / Yeo-Johnson
     (lambda from fold-0 training rows), scored by a boosted model on two
     folds, R2 measured on the original scale."""
@@ -104,7 +105,7 @@ def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: floa
         d = df.withColumn("__t", _forward(F.col(y), t, lt))
         parts = []
         for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt", max_iter=PROBE_ITER)
+            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt", max_iter=probe_rounds)
             pr = spec.transform(d.filter(F.col("fold") == f).select(y, *feats), "__p")
             parts.append(pr.select(F.col(y).alias("__y"), _invert(F.col("__p"), t, lt).alias("__p")))
         u = parts[0]
@@ -120,7 +121,8 @@ def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: floa
     return best, (lam if best == "yeo_johnson" else None), scores
 
 
-def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict) -> tuple[DataFrame, dict]:
+def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict,
+                          probe_rounds: int = PROBE_ITER) -> tuple[DataFrame, dict]:
     """M17 + P11 per training set (thorough): each set proposes derived
     features from its own rows, keeps those a boosted probe splits on, then
     screens when more than 10 features remain.  Derived values are row-local,
@@ -129,13 +131,14 @@ def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict
     y = "__y_t"
     spark = prepared.sparkSession
     base = [c for c in st["numeric"]]
-    def probe(cand, names):
-        spec = fit_trees(cand, names, y, "gbt", max_iter=PROBE_ITER)
+    def probe(cand, names, rounds):
+        spec = fit_trees(cand, names, y, "gbt", max_iter=rounds)
         return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
 
     def one_set(s):
         tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
-        return s, (fit_recipe(tr, base, y, probe) if len(base) >= 2 else [])
+        return s, (fit_recipe(tr, base, y, probe, rounds=probe_rounds, rank_rounds=min(probe_rounds, PROBE_ITER_RANK))
+                   if len(base) >= 2 else [])
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:      # one probe per training set
@@ -150,7 +153,7 @@ def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict
         cols = list(cols_by_set[s]) + [r["name"] for r in recipes[s]]
         if len(cols) > SCREEN_MIN_FEATURES:
             tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
-            cols = screen_features(tr, cols, y)
+            cols = screen_features(tr, cols, y, rounds=probe_rounds)
         return s, cols
 
     with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:
@@ -167,7 +170,8 @@ def check_key(df: DataFrame, key: str) -> None:
         raise ValueError(f"key_not_unique: {S.shown_name(key)}")
 
 
-def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick") -> tuple[DataFrame, dict]:
+def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick",
+            probe_rounds: int = PROBE_ITER) -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
     the prepared frame (written as Parquet) and the spec-sized preparation
     state."""
@@ -301,7 +305,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["transform"], st["lambda"] = rule["transform"], None
     if strategy == "thorough" and len(st["folds"]) >= 2 and num:
         st["transform"], st["lambda"], st["transform_scores"] = select_transform_cv(
-            df, y, num, y_min_all, st["folds"][:2])
+            df, y, num, y_min_all, st["folds"][:2], probe_rounds)
     elif st["transform"] == "yeo_johnson":
         st["lambda"] = TR.fit_yj_lambda(tr_w, y)
     df = df.withColumn("__y_t", _forward(F.col(y), st["transform"], st["lambda"]))
@@ -431,21 +435,23 @@ def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, rounds:
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
           families=None, derive: bool | None = None, rounds: int | None = None, trees: int = FOREST_TREES,
-          search: int = 0) -> TrainResult:
+          search: int = 0, probe_rounds: int = PROBE_ITER) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached; a key that is not unique is refused.
 
     ``rounds`` bounds the boosting rounds, ``trees`` sizes the forests, and
     ``search`` > 0 lets a thorough run choose the settings of the boosted
-    trees and the network among that many candidates each."""
+    trees and the network among that many candidates each.  ``probe_rounds``
+    bounds the boosted probes of a thorough run (screening, derived features,
+    target transform)."""
     spark = df.sparkSession
     from sparkreg.session import tune_session
     tune_session(spark)
     import time
     t0 = time.time()
     timings: dict = {}
-    prepared, st = prepare(df, target, key, strategy)
+    prepared, st = prepare(df, target, key, strategy, probe_rounds)
     timings["prepare"] = time.time() - t0
     key = st["key"]
     y = st["target"]
@@ -456,7 +462,7 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         derive = strategy == "thorough"
     if derive and st["n_rows"] >= 50 and folds:
         t1 = time.time()
-        prepared, cols_by_set = recipes_and_screening(prepared, st, sets, cols_by_set)
+        prepared, cols_by_set = recipes_and_screening(prepared, st, sets, cols_by_set, probe_rounds)
         timings["recipes_screening"] = time.time() - t1
     families = families or (THOROUGH_FAMILIES if strategy == "thorough" else QUICK_FAMILIES)
     n = st["n_rows"]

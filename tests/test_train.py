@@ -205,3 +205,40 @@ def test_search_trials_are_full_fits(spark, sf_small, monkeypatch):
     asked.clear()
     q_models.q_mlp_search(spark, sf_small)
     assert set(asked) == {PASSES}
+
+
+def test_screening_keeps_weak_columns(spark):
+    """Binary columns of small but exact effect beside strong ones survive;
+    ten rounds of a probe do not reach all of them."""
+    from sparkreg.operators.trees import screen_features
+    rng = np.random.default_rng(8)
+    strong, weak = rng.uniform(-1, 1, (600, 6)), rng.integers(0, 2, (600, 6))
+    y = strong @ [9.0, 8.0, 7.0, 6.0, 5.0, 4.0] + 0.6 * weak.sum(axis=1)
+    feats = [f"s{i}" for i in range(6)] + [f"w{i}" for i in range(6)]
+    df = spark.createDataFrame(np.column_stack([strong, weak, y]).tolist(), [*feats, "y"]).coalesce(1).cache()
+    assert screen_features(df, feats, "y") == feats
+    assert screen_features(df, feats, "y", rounds=10) != feats
+
+
+def test_probe_rounds_reach_all_probes(spark, monkeypatch):
+    from sparkreg.operators import trees
+    from sparkreg.operators.search import fit_recipe
+    from sparkreg.plans import train as plan
+    asked = []
+
+    def fit(*a, max_iter, **k):
+        asked.append(max_iter)
+        raise RuntimeError("probe")
+
+    monkeypatch.setattr(plan, "fit_trees", fit)
+    for rounds in (7, None):
+        with pytest.raises(RuntimeError, match="probe"):
+            train(_parcels(spark, 80), "y", key="id", strategy="thorough", families=("linear",),
+                  **({"probe_rounds": rounds} if rounds else {}))
+    assert set(asked) == {7, trees.PROBE_ITER} and (trees.PROBE_ITER, trees.PROBE_ITER_RANK) == (200, 150)
+    seen = []
+    feats = [f"x{i}" for i in range(13)]
+    df = spark.range(60).select(*[((F.col("id") * (i + 3)) % 11).cast("double").alias(c) for i, c in enumerate(feats)],
+                                F.col("id").cast("double").alias("y"))
+    fit_recipe(df, feats, "y", lambda d, names, rounds: seen.append(rounds) or {})
+    assert seen == [150, 200]
