@@ -133,3 +133,15 @@ def op3(spark, sf_dir):
 def op10(spark, sf_dir):
     from sparkreg.llm.line_dedup import dedup_lines
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+#: The vocabulary that op11 encodes with.
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+@query("op11_word_bpe")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    from sparkreg.llm.word_bpe import digests, encode_decode
+    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)))
