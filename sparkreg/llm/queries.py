@@ -145,3 +145,99 @@ def op11(spark, sf_dir):
 
     from sparkreg.llm.word_bpe import digests, encode_decode
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)))
+
+
+#: CRC-32 of a string in SQL: its table, and a fold over the UTF-8 bytes.
+CRC_TABLE = """tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a string expression, beside ``tab``."""
+    one = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT"
+    return (f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode({text}))), "
+            f"lambda i: {one})), lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::INT])), 4294967295::UBIGINT)")
+
+
+@query("op12_spelling_variants", rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''),
+         '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+c AS (SELECT id, w, count(*) AS k FROM r WHERE length(w) >= 5 GROUP BY id, w),
+h AS (SELECT w, k, {crc32_sql("id || ':' || w")} AS h FROM c, tab),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2)
+             ELSE w END AS w, k FROM h),
+v AS (SELECT w AS word, sum(k)::BIGINT AS n FROM d WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3),
+m AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM m a JOIN m b ON a.cut = b.cut AND a.i = b.i
+             AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM m a JOIN v b ON a.cut = b.word
+      UNION SELECT b.word, a.word, a.n FROM m a JOIN v b ON a.cut = b.word),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+      FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+             CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+      FROM v LEFT JOIN b USING (word)),
+up AS (SELECT word, word AS at FROM f
+       UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL),
+last AS (SELECT up.word, up.at FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+SELECT f.word, f.form, last.at AS root, f.n, f.n_near, f.form_n FROM f JOIN last USING (word)
+""")
+def op12(spark, sf_dir):
+    from sparkreg.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def _field_sql(col: str) -> str:
+    return f"CASE WHEN {col} IS NULL THEN '-' ELSE octet_length(encode({col}::VARCHAR)) || ':' || {col}::VARCHAR END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes (tree, lvl, pos, n, digest) above the leaves of that table."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS lvl, pos, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, any_value(lvl) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY tree, pos // 2)"""
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 7 = 0
+         THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS claimed FROM documents, tab),
+a AS (SELECT coalesce('+' || lang, '') AS tree, doc_id, leaf AS digest, claimed, count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+{_tree_sql("t", "a")},
+b AS (SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n
+      FROM t WHERE n = 1),
+{_tree_sql("u", "b")},
+whole AS (SELECT digest AS root FROM u WHERE n = 1),
+fold AS (
+  SELECT a.tree, a.pos AS leaf_pos, 0 AS phase, a.tree AS at_tree, 0 AS lvl, a.pos, a.n, claimed AS digest, '' AS proof FROM a
+  UNION ALL
+  SELECT f.tree, leaf_pos, CASE WHEN f.n = 1 THEN 1 ELSE phase END, CASE WHEN f.n = 1 THEN '' ELSE at_tree END,
+         CASE WHEN f.n = 1 THEN 0 ELSE f.lvl + 1 END, CASE WHEN f.n = 1 THEN b.pos ELSE f.pos // 2 END,
+         CASE WHEN f.n = 1 THEN b.n ELSE (f.n + 1) // 2 END,
+         CASE WHEN f.n = 1 THEN f.digest WHEN s.digest IS NULL THEN sha256(f.digest)
+              WHEN f.pos % 2 = 1 THEN sha256(s.digest || f.digest) ELSE sha256(f.digest || s.digest) END,
+         CASE WHEN f.n = 1 THEN proof ELSE proof || coalesce(s.digest, '') END
+  FROM fold f JOIN b ON b.of = f.tree
+  LEFT JOIN (SELECT tree, lvl, pos, digest FROM t UNION ALL SELECT 'all', lvl, pos, digest FROM u) s
+    ON s.tree = CASE WHEN phase = 0 THEN at_tree ELSE 'all' END AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1) AND f.n > 1
+  WHERE f.n > 1 OR phase = 0)
+SELECT a.doc_id, a.digest AS leaf, b.digest AS subroot, root, sha256(proof) AS proof_sha256, fold.digest AS folded_root,
+       fold.digest = root AS verified
+FROM a JOIN b ON b.of = a.tree JOIN fold ON fold.tree = a.tree AND fold.leaf_pos = a.pos AND phase = 1 AND fold.n = 1, whole
+""")
+def op13(spark, sf_dir):
+    from sparkreg.llm.merkle import checked
+    return checked(table(spark, sf_dir, "documents"))
