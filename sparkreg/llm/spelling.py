@@ -33,8 +33,8 @@ FORM_TIMES = 2
 #: Words a cell holds, and their letters in all; words in the sample that the
 #: upper splits are chosen from.
 CELL_WORDS, CELL_LETTERS, SAMPLE_WORDS = 4_000, 400_000, 60_000
-#: Queries searched for at once.
-QUERY_BLOCK = 8_192
+#: Queries searched for at once, and words routed at once.
+QUERY_BLOCK, ROUTED_ROWS = 8_192, 16_384
 
 
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -96,6 +96,12 @@ class _Router:
             return np.full(len(counts), -chars, dtype=np.int64)
         return self.first[chars] + self.trees[chars].leaf_of(counts)
 
+    def of_length(self, chars: int) -> range:
+        """The cells of a length."""
+        if chars not in self.trees:
+            return range(-chars, 1 - chars)
+        return range(self.first[chars], self.first[chars] + self.trees[chars].leaves)
+
     def reached(self, chars: int, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for other, down in ((chars, 1), (chars + 1, 0)):
             if other not in self.trees:
@@ -105,22 +111,46 @@ class _Router:
                 yield self.first[other] + node.leaf, rows
 
 
-def _by_length(pdf: pd.DataFrame):
-    chars = pdf["word"].str.len()
-    for length, some in pdf.groupby(chars, sort=False):
-        some = some.reset_index(drop=True)
-        yield int(length), some, letter_counts(code_points(some["word"].tolist()))
+def _batches_of(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in larger batches."""
+    waiting, n = [], 0
+    for pdf in batches:
+        waiting.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting, n = [], 0
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
+def _by_length(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places in ``words``, letter counts)."""
+    chars = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(chars, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(chars[order])) + 1):
+        if len(some):
+            yield int(chars[some[0]]), some, letter_counts(code_points(words[some].tolist()))
+
+
+#: What a routed row is: a word of the cell, a query from the same cell, or
+#: one from another cell.
+HELD, OWN, GUEST = 0, 1, 2
 
 
 def _routed(words: DataFrame, cell_words: int, sample_words: int) -> DataFrame:
-    """(cell, piece, query, word, n): each word in its cell, and as a query in
-    every piece of the cells it reaches."""
+    """(cell, piece, role, word, n): each word in its cell, as a query in all
+    pieces of it, and in those of the other cells that it reaches.  Of two
+    cells of one length only the later is searched from the earlier."""
     trees, first = _plan(words, cell_words, sample_words)
-    shared = words.sparkSession.sparkContext.broadcast(_Router(trees, first))
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast(_Router(trees, first))
+    words = words.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(1 << 30)).alias("h"))
+    words = words.repartition(max(2 * spark.sparkContext.defaultParallelism, words.count() // ROUTED_ROWS), "h")
 
     def homes(batches):
-        for pdf in batches:
-            for chars, some, counts in _by_length(pdf):
+        for pdf in _batches_of(batches, ROUTED_ROWS):
+            for chars, some, counts in _by_length(pdf["word"].to_numpy()):
                 yield pd.DataFrame({"cell": shared.value.home(chars, counts), "most": _room(chars, cell_words)})
 
     full = (words.select("word").mapInPandas(homes, "cell long, most int").groupBy("cell")
@@ -128,70 +158,73 @@ def _routed(words: DataFrame, cell_words: int, sample_words: int) -> DataFrame:
     pieces = {r["cell"]: r["pieces"] for r in full.collect()}
 
     def route(batches):
-        for pdf in batches:
-            for chars, some, counts in _by_length(pdf):
-                router, out = shared.value, []
-                home = router.home(chars, counts)
-                many = pd.Series(home).map(pieces).fillna(1).to_numpy(dtype=np.int64)
-                out.append((home, (some["h"].to_numpy() % many), False, some))
-                for cell, rows in router.reached(chars, counts):
+        for pdf in _batches_of(batches, ROUTED_ROWS):
+            word, n, h = (pdf[c].to_numpy() for c in ("word", "n", "h"))
+            for chars, some, counts in _by_length(word):
+                home = shared.value.home(chars, counts)
+                many = np.array([pieces.get(c, 1) for c in home.tolist()])
+                out = [(home, h[some] % many, HELD, np.arange(len(some)))]
+                for cell, rows in shared.value.reached(chars, counts):
+                    own = home[rows] == cell
+                    later = rows[(home[rows] < cell) & ~own] if cell in shared.value.of_length(chars) else rows
                     for piece in range(pieces.get(cell, 1)):
-                        out.append((cell, piece, True, some.iloc[rows]))
-                for cell, piece, query, rows in out:
-                    yield pd.DataFrame({"cell": cell, "piece": piece, "query": query, "word": rows["word"].to_numpy(),
-                                        "n": rows["n"].to_numpy()})
+                        out += [(cell, piece, OWN, rows[own]), (cell, piece, GUEST, later)]
+                sizes = [len(rows) for *_, rows in out]
+                at = some[np.concatenate([rows for *_, rows in out])]
+                cells, parts, roles = (np.concatenate([np.broadcast_to(o[i], k) for o, k in zip(out, sizes)])
+                                       for i in range(3))
+                for a in range(0, len(at), 4 * ROUTED_ROWS):
+                    cut = slice(a, a + 4 * ROUTED_ROWS)
+                    yield pd.DataFrame({"cell": cells[cut], "piece": parts[cut], "role": roles[cut],
+                                        "word": word[at[cut]], "n": n[at[cut]]})
 
-    hashed = words.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(1 << 30)).alias("h"))
-    return hashed.mapInPandas(route, "cell long, piece int, query boolean, word string, n long")
+    return words.mapInPandas(route, "cell long, piece int, role int, word string, n long")
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by cell and piece, its words before its queries."""
+    """Rows come sorted by cell, piece and role: a piece's words, then its
+    queries."""
     key, held, index, waiting, n_waiting = None, [], None, [], 0
 
     def answer():
         nonlocal index, waiting, n_waiting
-        if not waiting or not held:
-            waiting, n_waiting = [], 0
+        asked, waiting, n_waiting = waiting, [], 0
+        if not asked or not held:
             return
-        mine = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
         if index is None:
-            held[:] = [mine]
-            index = WordIndex(mine["word"].tolist())
-        asked = pd.concat(waiting, ignore_index=True)
-        waiting, n_waiting = [], 0
-        size = index.codes.shape[1]
-        for chars, some in asked.groupby(asked["word"].str.len(), sort=False):
+            held[:] = [pd.concat(held, ignore_index=True)]
+            index = WordIndex(held[0]["word"].tolist())
+        mine, asked = held[0], pd.concat(asked, ignore_index=True)
+        for _, some in asked.groupby(asked["word"].str.len(), sort=False):
             q, t = index.near(some["word"].tolist())
             if not len(q):
                 continue
-            qw, qn = some["word"].to_numpy()[q], some["n"].to_numpy()[q]
+            qw, qn, guest = some["word"].to_numpy()[q], some["n"].to_numpy()[q], some["role"].to_numpy()[q] == GUEST
             tw, tn = mine["word"].to_numpy()[t], mine["n"].to_numpy()[t]
             yield pd.DataFrame({"word": qw, "other": tw, "other_n": tn})
-            if chars != size:                        # a longer word is found from the shorter one alone
-                yield pd.DataFrame({"word": tw, "other": qw, "other_n": qn})
+            # words of one cell find each other both ways; a guest's pair is met only here
+            yield pd.DataFrame({"word": tw[guest], "other": qw[guest], "other_n": qn[guest]})
 
     for pdf in batches:
         for (cell, piece), run in pdf.groupby(["cell", "piece"], sort=False):
             if (cell, piece) != key:
                 yield from answer()
                 key, held, index = (cell, piece), [], None
-            for query, part in run.groupby("query", sort=True):
-                part = part[["word", "n"]].reset_index(drop=True)
-                if not query:
-                    held.append(part)
-                    continue
-                waiting.append(part)
-                n_waiting += len(part)
-                if n_waiting >= QUERY_BLOCK:
-                    yield from answer()
+            words = run["role"] == HELD
+            if words.any():
+                held.append(run.loc[words, ["word", "n"]])
+            if not words.all():
+                waiting.append(run.loc[~words, ["word", "n", "role"]])
+                n_waiting += len(waiting[-1])
+            if n_waiting >= QUERY_BLOCK:
+                yield from answer()
     yield from answer()
 
 
 def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """(word, other, other_n): every ordered pair of words of the table (word,
     n) that differ by exactly one inserted, deleted or replaced code point."""
-    rows = _routed(words, cell_words, sample_words).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "query")
+    rows = _routed(words, cell_words, sample_words).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "role")
     return rows.mapInPandas(_search, "word string, other string, other_n long")
 
 
