@@ -1,15 +1,17 @@
 """Candidate search with halving (M10, M11, T06) and feature recipes
 (M16, M17).
 
-Candidates are seeded, so a search is reproducible.  Each trial is a full
-Spark fit; the harness scores every candidate on the first two folds,
-keeps the best few (T06) and evaluates the finalists on every fold.
+Candidates are seeded, so a search is reproducible.  All fits of a stage
+share their jobs: every candidate on the first two folds, then the best few
+(T06) on the other folds too.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,25 +21,25 @@ from sparkreg.functions.scalar import derived
 from sparkreg.operators import metrics as M
 from sparkreg.operators.folds import permute_column
 from sparkreg.operators.profile import CONST_STD_EPS
-from sparkreg.operators.trees import PROBE_ITER, PROBE_ITER_RANK
+from sparkreg.operators.histogram import Params, pooled_r2
+from sparkreg.operators.trees import BOOST_THOROUGH, PROBE_ITER, PROBE_ITER_RANK, TreeTable, Want
 
 GBT_FINALISTS = 3
 MLP_FINALISTS = 2
 MLP_CANDIDATES = 8
 PRELIM_FOLDS = 2
-SEARCH_THREADS = 4
 RECIPE_MAX_BASE = 12
 RECIPE_MAX_KEEP = 15
 RECIPE_MIN_ROWS = 50
 
 
-#: The settings a search may try.  A tuple is a list of choices,
-#: a pair under RANGES a closed interval.
-GBT_CHOICES = {"maxDepth": (3, 4, 5, 6, 7), "stepSize": (0.01, 0.02, 0.03, 0.05, 0.1),
-               "minInstancesPerNode": (5, 10, 20, 40), "maxBins": (63, 127, 255, 511)}
-GBT_RANGES = {"subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.5, 1.0)}
-GBT_DEFAULT = {"maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": None, "subsamplingRate": 0.8,
-               "featureSubsetStrategy": "0.8", "maxBins": 64}
+#: The settings a search may try.  A tuple under CHOICES is a
+#: list of choices, a pair under RANGES a closed interval, under POWERS one of
+#: exponents of ten.
+GBT_CHOICES = {"leaves": (7, 15, 31, 63, 127), "rate": (0.01, 0.02, 0.03, 0.05, 0.1), "min_leaf": (5, 10, 20, 40),
+               "bins": (63, 127, 255, 511), "random_cuts": (False, True)}
+GBT_RANGES = {"rows": (0.6, 1.0), "cols": (0.5, 1.0)}
+GBT_POWERS = {"l1": (-3.0, 0.5), "l2": (-2.0, 1.5)}
 #: (rows up to, candidates): the default size of a boosted search.
 GBT_SEARCH_SIZES = ((5_000, 24), (20_000, 14), (None, 8))
 MLP_WIDTHS = (0.5, 1.0, 2.0)
@@ -65,9 +67,9 @@ def gbt_candidates(n_rows: int, seed: int = 42, size: int | None = None) -> list
     a hash, so more trials only append to the list."""
     if size is None:
         size = next(k for limit, k in GBT_SEARCH_SIZES if limit is None or n_rows <= limit)
-    drawn = [{**{k: _choice(v, seed, t, k) for k, v in GBT_CHOICES.items()},
-              **{k: round(_between(v, seed, t, k), 2) for k, v in GBT_RANGES.items()}} for t in range(1, size)]
-    return [dict(GBT_DEFAULT)] + [c | {"featureSubsetStrategy": str(c["featureSubsetStrategy"])} for c in drawn]
+    return [{}] + [{**{k: _choice(v, seed, t, k) for k, v in GBT_CHOICES.items()},
+                    **{k: round(_between(v, seed, t, k), 2) for k, v in GBT_RANGES.items()},
+                    **{k: round(10 ** _between(v, seed, t, k), 4) for k, v in GBT_POWERS.items()}} for t in range(1, size)]
 
 
 def mlp_candidates(seed: int = 42, size: int = MLP_CANDIDATES) -> list[dict]:
@@ -77,20 +79,44 @@ def mlp_candidates(seed: int = 42, size: int = MLP_CANDIDATES) -> list[dict]:
     return [dict(c) for c in MLP_FIXED[:size]] + drawn
 
 
-def halving_search(spark, candidates: Sequence[dict], folds: Sequence[int],
-                   evaluate: Callable[[dict, Sequence[int]], float], keep: int) -> DataFrame:
+def halving_search(spark, candidates: Sequence[dict], folds: Sequence[int], run: Callable, keep: int) -> DataFrame:
     """Trial table (trial, params, stage, r2): every candidate on the first
-    two folds, the ``keep`` best (T06) on all folds."""
-    from concurrent.futures import ThreadPoolExecutor
+    two folds, the ``keep`` best (T06) on all folds.
+
+    ``run`` is given all (trial, fold) pairs of a stage at once and returns
+    what each of them did on its unseen fold: (rows, mean, squares about the
+    mean, squared error).
+    """
     prelim = list(folds)[:PRELIM_FOLDS]
-    with ThreadPoolExecutor(max_workers=SEARCH_THREADS) as pool:   # bounded pool submitting Spark fits
-        scores = list(pool.map(lambda c: float(evaluate(c, prelim)), candidates))
-        rows = [(i, str(c), "prelim", scores[i]) for i, c in enumerate(candidates)]
-        trials = spark.createDataFrame(rows, "trial int, params string, stage string, r2 double")
-        finalists = [r["trial"] for r in M.halving_select(trials, keep).collect()]
-        final = list(pool.map(lambda i: float(evaluate(candidates[i], folds)), finalists))
-    rows += [(i, str(candidates[i]), "final", r) for i, r in zip(finalists, final)]
-    return spark.createDataFrame(rows, "trial int, params string, stage string, r2 double")
+    held = run([(i, f) for i in range(len(candidates)) for f in prelim])
+
+    def r2(i: int, some) -> float:
+        v = pooled_r2([held[i, f] for f in some])
+        return v if math.isfinite(v) else None
+
+    rows = [(i, str(c), "prelim", r2(i, prelim)) for i, c in enumerate(candidates)]
+    schema = "trial int, params string, stage string, r2 double"
+    finalists = [r["trial"] for r in M.halving_select(spark.createDataFrame(rows, schema), keep).collect()]
+    held |= run([(i, f) for i in finalists for f in folds if f not in prelim])
+    rows += [(i, str(candidates[i]), "final", r2(i, folds)) for i in finalists]
+    return spark.createDataFrame(rows, schema)
+
+
+def search_trees(table: TreeTable, candidates: Sequence[dict], folds: Sequence[int], feats: Mapping, medians: Mapping,
+                 base: Params = BOOST_THOROUGH, transform: str = "none", lam: float | None = None) -> DataFrame:
+    """The trial table of boosted candidates.  The fits of a stage, each
+    with its own stop, are trained together."""
+    def run(pairs):
+        got = table.fit({(i, f): Want(list(feats[f]), replace(base, **candidates[i]), medians[f], f, transform, lam)
+                         for i, f in pairs})
+        return {k: s.held for k, s in got.items()}
+
+    return halving_search(table.spark, candidates, folds, run, GBT_FINALISTS)
+
+
+def best_trial(trials: DataFrame) -> int:
+    """The finalist with the largest R2, the earliest of equals."""
+    return trials.filter("stage = 'final'").orderBy(F.desc_nulls_last("r2"), "trial").first()["trial"]
 
 
 # ---------------------------------------------------------------- M16
@@ -126,23 +152,36 @@ def permutation_importance(df: DataFrame, key: str, y: str, feats: Sequence[str]
 
 
 # ---------------------------------------------------------------- M17
-def propose_recipe(df: DataFrame, feats: Sequence[str], max_base: int = RECIPE_MAX_BASE) -> list[dict]:
+def propose(base: Sequence[str], ends: Mapping[str, tuple]) -> list[dict]:
     """Products of pairs, squares, and sign (only for columns with both
-    signs) of the first ``max_base`` features (the caller orders them by
-    importance), in proposal order."""
+    signs) of the base features, in proposal order."""
+    base = list(base)
+    out = [{"name": f"{a}*{b}", "op": "mul", "cols": [a, b]} for i, a in enumerate(base) for b in base[i + 1:]]
+    out += [{"name": f"{a}^2", "op": "sq", "cols": [a]} for a in base]
+    return out + [{"name": f"sign({a})", "op": "sign", "cols": [a]} for a in base
+                  if ends[a][0] is not None and ends[a][0] < 0 < ends[a][1]]
+
+
+def propose_recipe(df: DataFrame, feats: Sequence[str], max_base: int = RECIPE_MAX_BASE) -> list[dict]:
+    """``propose`` for the first ``max_base`` features (the caller orders them
+    by importance)."""
     base = list(feats)[:max_base]
     mm = df.agg(*[F.min(f"`{c}`").alias(f"a{i}") for i, c in enumerate(base)],
                 *[F.max(f"`{c}`").alias(f"b{i}") for i, c in enumerate(base)]).first()
-    out = []
-    for i, a in enumerate(base):
-        for b in base[i + 1:]:
-            out.append({"name": f"{a}*{b}", "op": "mul", "cols": [a, b]})
-    for a in base:
-        out.append({"name": f"{a}^2", "op": "sq", "cols": [a]})
-    for i, a in enumerate(base):
-        if mm[f"a{i}"] is not None and mm[f"a{i}"] < 0 < mm[f"b{i}"]:
-            out.append({"name": f"sign({a})", "op": "sign", "cols": [a]})
-    return out
+    return propose(base, {c: (mm[f"a{i}"], mm[f"b{i}"]) for i, c in enumerate(base)})
+
+
+def rank_base(feats: Sequence[str], counts: Mapping[str, float] | None) -> list[str]:
+    """Features by the importance of a probe, in their order where equal."""
+    feats = list(feats)
+    return feats if counts is None else sorted(feats, key=lambda c: (-counts.get(c, 0.0), feats.index(c)))
+
+
+def keep_recipe(props: Sequence[dict], counts: Mapping[str, float], max_keep: int = RECIPE_MAX_KEEP) -> list[dict]:
+    """The most important proposals that a probe splits on."""
+    props = list(props)
+    some = sorted((p for p in props if counts.get(p["name"], 0.0) > 0), key=lambda p: (-counts[p["name"]], props.index(p)))
+    return some[:max_keep]
 
 
 def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[DataFrame, list[str], int], dict],
@@ -158,17 +197,58 @@ def fit_recipe(df: DataFrame, feats: Sequence[str], y: str, probe: Callable[[Dat
         return []
     ranked = feats
     if len(feats) > max_base:
-        first = probe(df.select(y, *[f"`{c}`" for c in feats]), feats, rank_rounds)
-        ranked = sorted(feats, key=lambda c: (-first.get(c, 0.0), feats.index(c)))
+        ranked = rank_base(feats, probe(df.select(y, *[f"`{c}`" for c in feats]), feats, rank_rounds))
     props = propose_recipe(df, ranked, max_base)
     cand = df.select(y, *[f"`{c}`" for c in feats], *[derived(p["op"], p["cols"]).alias(p["name"]) for p in props])
     st = cand.agg(*[F.stddev_samp(F.col(f"`{p['name']}`")).alias(f"s{i}") for i, p in enumerate(props)]).first()
     ok = [p for i, p in enumerate(props) if st[f"s{i}"] is not None and st[f"s{i}"] >= CONST_STD_EPS]
-    if not ok:
-        return []
-    imp = probe(cand, feats + [p["name"] for p in ok], rounds)
-    best = sorted((p for p in ok if imp.get(p["name"], 0.0) > 0), key=lambda p: (-imp[p["name"]], ok.index(p)))
-    return best[:max_keep]
+    return keep_recipe(ok, probe(cand, feats + [p["name"] for p in ok], rounds), max_keep) if ok else []
+
+
+def fit_recipes(df: DataFrame, feats: Sequence[str], y: str, fold: str, sets: Sequence, key: str | None = None,
+                max_base: int = RECIPE_MAX_BASE, max_keep: int = RECIPE_MAX_KEEP, rounds: int = PROBE_ITER,
+                rank_rounds: int = PROBE_ITER_RANK, transform: str = "none", lam: float | None = None,
+                medians: Mapping | None = None, written: list | None = None) -> dict:
+    """``fit_recipe`` of every training set (a fold that it must not see, or
+    ``all``) at once: a probe job for all sets, and one aggregate for what
+    their candidates look like."""
+    from sparkreg.operators.trees import PROBE, split_counts
+    feats, meds = list(feats), medians or {}
+
+    def rows_of(s, c):
+        return c if s == "all" else F.when(F.col(fold) != s, c)
+
+    def probes(table, cols_by_set, k):
+        got = table.fit({s: Want(cols, replace(PROBE, rounds=k), meds.get(s, {}), None if s == "all" else s, transform, lam)
+                         for s, cols in cols_by_set.items()})
+        return {s: split_counts(m) for s, m in got.items()}
+
+    n = df.agg(*[F.count(rows_of(s, F.lit(1))).alias(f"n{i}") for i, s in enumerate(sets)]).first()
+    usable = [s for i, s in enumerate(sets) if n[f"n{i}"] >= RECIPE_MIN_ROWS and len(feats) >= 2]
+    out = {s: [] for s in sets}
+    if not usable:
+        return out
+    ranked = dict.fromkeys(usable, feats)
+    if len(feats) > max_base:
+        counts = probes(TreeTable(df, feats, y, fold, key, written=written), dict.fromkeys(usable, feats), rank_rounds)
+        ranked = {s: rank_base(feats, counts[s]) for s in usable}
+    base = {c for s in usable for c in ranked[s][:max_base]}
+    ends = df.agg(*[a for i, s in enumerate(usable) for j, c in enumerate(sorted(base)) for a in (
+        F.min(rows_of(s, F.col(f"`{c}`"))).alias(f"a{i}_{j}"), F.max(rows_of(s, F.col(f"`{c}`"))).alias(f"b{i}_{j}"))]).first()
+    at = {c: j for j, c in enumerate(sorted(base))}
+    props = {s: propose(ranked[s][:max_base], {c: (ends[f"a{i}_{at[c]}"], ends[f"b{i}_{at[c]}"]) for c in ranked[s][:max_base]})
+             for i, s in enumerate(usable)}
+    union = {p["name"]: p for s in usable for p in props[s]}
+    cand = df.select("*", *[derived(p["op"], p["cols"]).alias(name) for name, p in union.items()])
+    st = cand.agg(*[F.stddev_samp(rows_of(s, F.col(f"`{p['name']}`"))).alias(f"s{i}_{j}") for i, s in enumerate(usable)
+                    for j, p in enumerate(props[s])]).first()
+    ok = {s: [p for j, p in enumerate(props[s]) if (st[f"s{i}_{j}"] or 0.0) >= CONST_STD_EPS] for i, s in enumerate(usable)}
+    names = {p["name"] for s in usable for p in ok[s]}
+    if names:
+        table = TreeTable(cand, feats + sorted(names), y, fold, key, written=written)
+        counts = probes(table, {s: feats + [p["name"] for p in ok[s]] for s in usable if ok[s]}, rounds)
+        out |= {s: keep_recipe(ok[s], counts[s], max_keep) for s in counts}
+    return out
 
 
 def apply_recipe(df: DataFrame, recipe: Sequence[dict]) -> DataFrame:

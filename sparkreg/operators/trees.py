@@ -1,170 +1,515 @@
-"""Tree ensembles on MLlib.
+"""Boosted and bagged trees on binned tables.
 
-Boosting and bagging run as MLlib jobs (histogram binning, distributed
-split finding).  Split-count importance is read from the saved model's
-node table (Parquet) with a ``groupBy`` -- no tree walking on the driver.
+A table is binned once, into blocks of rows that every fit shares: all
+training sets, all parts of a forest and all candidates of a search.  Two
+ways lead from there to the same trees:
+
+* a table whose blocks are large is trained by one job a level.  A job
+  brings every fit the histograms it asks for, added up over the blocks in
+  the tasks and then over the tasks;
+* a table whose blocks together stay below ``LOCAL_BYTES`` (the size at
+  which Spark would broadcast it too) is sent whole to each fit's group, and
+  the groups are trained side by side, a job for all of them.
+
+What a task remembers of a block between jobs (scores, the leaf a row is in)
+follows from the block and the trees and is made anew where it is missing.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import math
+import pickle
+import uuid
+from collections import OrderedDict
+from collections.abc import Hashable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.session import scratch_path
-
-# Fixed learner settings (quick boosting; bagged forests).
-GBT_DEPTH = 5                  # stands in for 31 leaves
-GBT_STEP = 0.05
-GBT_SUBSAMPLE = 0.8
-GBT_COLSAMPLE = "0.8"
-GBT_ITER_QUICK = 20
-GBT_ITER_THOROUGH = 50
-RF_PARAMS = {"subsamplingRate": 0.7, "featureSubsetStrategy": "0.7", "minInstancesPerNode": 10, "maxDepth": 6}
-XT_PARAMS = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "minInstancesPerNode": 5, "maxDepth": 6}
-XT_FORESTS = 4                 # random cut sets, each with its own small forest
-XT_CUTS = 32
+from sparkreg.operators.histogram import Ask, Block, BlockWork, Ensemble, Fit, Params, Told, Tree, local_ask, run
+from sparkreg.session import cut_lineage, ship_package
+
+# The settings of each kind of model.
+BOOST_QUICK = Params(rounds=500, patience=30)
+BOOST_THOROUGH = Params(rounds=3000, patience=50)
+PROBE = Params(rounds=200, rate=0.1, rows=1.0, cols=1.0, l1=0.0, l2=0.0)
+FOREST = Params(rounds=300, leaves=63, rate=1.0, min_leaf=10, rows=0.7, cols=0.7, l1=0.0, l2=0.0, bag=True)
+EXTRA = replace(FOREST, min_leaf=5, rows=0.8, cols=0.6, random_cuts=True)
+KINDS = {"gbt": BOOST_QUICK, "rf": FOREST, "xt": EXTRA}
 SCREEN_MIN_FEATURES = 10
-PROBE_ITER = 200               # boosting rounds of a probe model (screening, recipes, transform choice)
+PROBE_ITER = PROBE.rounds      # boosting rounds of a probe model (screening, recipes, transform choice)
 PROBE_ITER_RANK = 150          # of the probe that ranks a recipe's base features
 
+#: Rows of a block; binned bytes up to which a table goes to each fit whole;
+#: trees that a forest grows in one sequence.
+BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 16 << 20, 38
+#: Bytes of histograms that one task holds for all fits it serves at once,
+#: tasks whose sums are collected without a second step, finished trees that
+#: are shipped together, and bytes that a worker remembers between jobs.
+WAVE_BYTES, DIRECT_TASKS, SHIPPED_TREES, KEPT_BYTES = 64 << 20, 32, 64, 512 << 20
+BIN_ACCURACY = 20_000
 
+
+# ---------------------------------------------------------------- models
 @dataclass
 class TreeSpec:
-    kind: str                       # gbt | rf | xt
+    """A fitted ensemble: node tables one after another, ``starts`` telling
+    where each tree begins.  A prediction is ``init`` plus the sum of the
+    leaves, or their mean."""
+    kind: str
     feats: list[str]
     medians: dict[str, float]
-    models: list[PipelineModel] = field(default_factory=list)
-    cuts: list[dict[str, list[float]]] = field(default_factory=list)
+    init: float = 0.0
+    mean: bool = False
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    feature: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    threshold: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    left: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    right: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    curve: list[float] = field(default_factory=list)     # holdout loss by round, round 0 first
+    held: tuple = (0.0, 0.0, 0.0, 0.0)                   # unseen fold: rows, mean, squares about it, squared error
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.starts) - 1
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        """Impute, assemble, predict; bagged cut-sets are averaged."""
-        filled = df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c, 0.0)))
-                                  .alias(f"__f{i}") for i, c in enumerate(self.feats)])
-        preds = []
-        cur = filled
-        for j, m in enumerate(self.models):
-            pc = f"__p{j}"
-            cur = m.transform(cur).withColumnRenamed("prediction", pc)
-            cur = cur.drop(*[c for c in cur.columns if c.startswith("__v") or c.startswith("__b")])
-            preds.append(F.col(pc))
-        avg = preds[0]
-        for p in preds[1:]:
-            avg = avg + p
-        avg = avg / float(len(preds))
-        res = cur.withColumn(out, avg)
-        return res.drop(*[f"__f{i}" for i in range(len(self.feats))], *[f"__p{j}" for j in range(len(preds))])
-
-
-def _assembler(n: int, inputs: Sequence[str] | None = None) -> VectorAssembler:
-    cols = list(inputs) if inputs is not None else [f"__f{i}" for i in range(n)]
-    return VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="keep")
+        """The prediction as one more column."""
+        spec = self
+        cols = [(F.col(f"`{c}`").cast("double"), F.lit(float(self.medians.get(c, 0.0)))) for c in self.feats]
+        cols = [F.when(c.isNull() | F.isnan(c), m).otherwise(c) for c, m in cols]          # NULL and NaN are missing
 
+        @F.pandas_udf("double")
+        def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            scorer = Scorer(spec)
+            for columns in batches:
+                yield pd.Series(scorer.predict([c.to_numpy(dtype=float) for c in columns]))
 
-def fit_trees(df: DataFrame, feats: Sequence[str], y: str, kind: str = "gbt", medians: dict | None = None,
-              n_rows: int | None = None, max_iter: int = GBT_ITER_QUICK, es_col: str | None = None,
-              n_trees: int = 40, seed: int = 42, params: dict | None = None) -> TreeSpec:
-    """M03-M06.  ``es_col`` (bool) marks the early-stopping holdout."""
-    feats = list(feats)
-    medians = medians or {}
-    n = n_rows if n_rows is not None else df.count()
-    filled = df.select(F.col(y).alias("__y"), *([F.col(es_col)] if es_col else []),
-                       *[F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))).alias(f"__f{i}")
-                         for i, c in enumerate(feats)])
-    spec = TreeSpec(kind, feats, medians)
-    if kind == "gbt":
-        kw = {"maxDepth": GBT_DEPTH, "stepSize": GBT_STEP, "subsamplingRate": GBT_SUBSAMPLE,
-              "featureSubsetStrategy": GBT_COLSAMPLE, "minInstancesPerNode": max(3, n // 30), "maxBins": 64}
-        for k_, v in (params or {}).items():
-            if v is not None:
-                kw[k_] = v
-        est = GBTRegressor(featuresCol="__v", labelCol="__y", maxIter=max_iter, seed=seed, **kw)
-        if es_col:
-            est = est.setValidationIndicatorCol(es_col)
-        spec.models.append(Pipeline(stages=[_assembler(len(feats)), est]).fit(filled))
-    elif kind == "rf":
-        est = RandomForestRegressor(featuresCol="__v", labelCol="__y", numTrees=n_trees, seed=seed, maxBins=64,
-                                    **RF_PARAMS)
-        spec.models.append(Pipeline(stages=[_assembler(len(feats)), est]).fit(filled))
-    elif kind == "xt":
-        spec = _fit_xt(filled, spec, n_trees, seed)
-    else:
-        raise ValueError(kind)
-    return spec
+        return df.withColumn(out, walk(*cols))
 
 
-def _fit_xt(filled: DataFrame, spec: TreeSpec, n_trees: int, seed: int) -> TreeSpec:
-    """MLlib has no random-threshold split, so each small forest sees
-    features cut at random thresholds (Bucketizer); forests are averaged."""
-    d = len(spec.feats)
-    mm = filled.agg(*[F.min(f"__f{i}").alias(f"a{i}") for i in range(d)],
-                    *[F.max(f"__f{i}").alias(f"b{i}") for i in range(d)]).first()
-    rng = random.Random(seed)
-    per = max(1, n_trees // XT_FORESTS)
-    for b in range(XT_FORESTS):
-        cuts = {}
-        stages = []
-        for i in range(d):
-            lo, hi = mm[f"a{i}"], mm[f"b{i}"]
-            inner = sorted({rng.uniform(lo, hi) for _ in range(XT_CUTS)}) if hi is not None and hi > lo else []
-            splits = [float("-inf")] + inner + [float("inf")]
-            cuts[spec.feats[i]] = splits
-            stages.append(Bucketizer(splits=splits, inputCol=f"__f{i}", outputCol=f"__b{i}", handleInvalid="keep"))
-        est = RandomForestRegressor(featuresCol="__v", labelCol="__y", numTrees=per, seed=seed + b,
-                                    maxBins=XT_CUTS + 2, **XT_PARAMS)
-        stages += [_assembler(d, [f"__b{i}" for i in range(d)]), est]
-        spec.models.append(Pipeline(stages=stages).fit(filled))
-        spec.cuts.append(cuts)
-    return spec
+class Scorer:
+    """Leaf masks: a tree's leaves are bits, and every split that a row fails
+    clears the leaves on its left; the lowest bit left is the row's leaf.  The
+    masks of one column's splits are tabulated by the column's bin."""
+
+    ROWS = 8_192
+    #: B(2, 6): the top six bits of a lone bit times this number name it.
+    SEQUENCE = 0x07EDD5E59A4E28C2
+
+    def __init__(self, spec: TreeSpec):
+        self.spec = spec
+        d = len(spec.feats)
+        inner = spec.feature >= 0
+        self.edges = [np.unique(spec.threshold[inner & (spec.feature == f)]) for f in range(d)]
+        self.small = [np.uint8 if len(e) < 255 else np.uint16 if len(e) < 65_535 else np.int64 for e in self.edges]
+        self.steps = [self._tabulate(t) for t in range(spec.n_trees)]
+
+    def _tabulate(self, t: int):
+        s = self.spec
+        a, b = s.starts[t], s.starts[t + 1]
+        feature, threshold, left, right, value = (x[a:b] for x in (s.feature, s.threshold, s.left, s.right, s.value))
+        below, order, open_ = {}, [], [(0, False)]
+        while open_:                                 # leaves from left to right, leaves below every node
+            i, done = open_.pop()
+            if feature[i] < 0:
+                below[i] = (len(order), len(order) + 1)
+                order.append(value[i])
+            elif done:
+                below[i] = (below[left[i]][0], below[right[i]][1])
+            else:
+                open_ += [(i, True), (right[i], False), (left[i], False)]
+        if len(order) > 64:
+            return None, (feature, threshold, left, right, value)
+        tables = {}
+        for i in np.flatnonzero(feature >= 0):
+            lo, hi = below[left[i]]
+            cleared = np.uint64(~(((1 << (hi - lo)) - 1) << lo) & (2 ** 64 - 1))
+            table = tables.setdefault(int(feature[i]), np.full(len(self.edges[feature[i]]) + 1, 2 ** 64 - 1, np.uint64))
+            table[np.searchsorted(self.edges[feature[i]], threshold[i]) + 1:] &= cleared
+        values = np.zeros(64)
+        for bit, v in enumerate(order):
+            values[(self.SEQUENCE << bit & (2 ** 64 - 1)) >> 58] = v
+        return tables, values
+
+    def predict(self, columns: list[np.ndarray]) -> np.ndarray:
+        n = len(columns[0]) if columns else 0
+        out = np.empty(n)
+        for a in range(0, n, self.ROWS):
+            out[a:a + self.ROWS] = self._some([c[a:a + self.ROWS] for c in columns])
+        return out
+
+    def _some(self, columns: list[np.ndarray]) -> np.ndarray:
+        s, n = self.spec, len(columns[0])
+        codes = [np.searchsorted(e, c, side="left").astype(k) for e, c, k in zip(self.edges, columns, self.small)]
+        total, mask, one = np.zeros(n), np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for tables, rest in self.steps:
+            if tables is None:
+                total += self._walk(rest, columns)
+                continue
+            if not tables:
+                total += rest[(self.SEQUENCE & (2 ** 64 - 1)) >> 58]
+                continue
+            for k, (f, table) in enumerate(tables.items()):
+                if k:
+                    np.bitwise_and(mask, table[codes[f]], out=mask)
+                else:
+                    np.take(table, codes[f], out=mask, mode="clip")
+            np.negative(mask, out=one)
+            np.bitwise_and(mask, one, out=mask)      # the lowest bit alone
+            np.multiply(mask, np.uint64(self.SEQUENCE), out=mask)
+            np.right_shift(mask, np.uint64(58), out=mask)
+            total += rest[mask.astype(np.intp)]
+        if s.mean:
+            return total / max(s.n_trees, 1) if s.n_trees else np.full(n, s.init)
+        return s.init + total
+
+    @staticmethod
+    def _walk(tree, columns: list[np.ndarray]) -> np.ndarray:
+        feature, threshold, left, right, value = tree
+        x, at = np.column_stack(columns), np.zeros(len(columns[0]), dtype=np.int32)
+        while True:
+            inner = np.flatnonzero(feature[at] >= 0)
+            if not len(inner):
+                return value[at]
+            here = at[inner]
+            at[inner] = np.where(x[inner, feature[here]] <= threshold[here], left[here], right[here])
+
+
+# ---------------------------------------------------------------- binned tables
+@dataclass
+class Want:
+    """What a fit is asked for, in terms of columns."""
+    feats: list[str]
+    params: Params
+    medians: Mapping[str, float] = field(default_factory=dict)
+    fold: int | None = None
+    transform: str = "none"
+    lam: float | None = None
+    seed: int = 42
+    kind: str = "gbt"
+
+
+#: What this worker remembers of the blocks it has served, oldest first.
+_WORKS: OrderedDict = OrderedDict()
+
+
+class _Done:
+    """Finished trees, the older ones in broadcast pieces that a task reads
+    only when it has to catch up with them."""
+
+    def __init__(self, pieces: list, size: int, tail: list[Tree]):
+        self.pieces, self.size, self.tail = pieces, size, tail
+
+    def __len__(self) -> int:
+        return len(self.pieces) * self.size + len(self.tail)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[j] for j in range(*i.indices(len(self)))]
+        i = i + len(self) if i < 0 else i
+        piece, at = divmod(i, self.size)
+        return self.pieces[piece].value[at] if piece < len(self.pieces) else self.tail[i - len(self.pieces) * self.size]
+
+
+class TreeTable:
+    """A binned table: blocks of codes with target, fold and row hash.
+
+    Cut points are quantiles of a column over all rows (the target has no
+    part in them), at most ``bins`` codes a column; a missing value keeps a
+    code of its own until a fit fills it with its median.
+    """
+
+    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str | None = None, key: str | None = None,
+                 bins: int = 255, written: list | None = None, local_bytes: int = LOCAL_BYTES):
+        self.spark, self.feats, self.local_bytes = df.sparkSession, list(feats), local_bytes
+        ship_package(self.spark)
+        cols = [F.col(f"`{c}`").cast("double") for c in self.feats]
+        x = [F.when(~F.isnan(c), c) for c in cols]
+        probs = [*[i / bins for i in range(1, bins)], 0.5]
+        one = df.agg(*[a for i, c in enumerate(x) for a in (F.max(c).alias(f"m{i}"), F.percentile_approx(
+            c, probs, BIN_ACCURACY).alias(f"q{i}"))]).first() if x else {}
+        self.cuts = [np.unique([v for v in (one[f"q{i}"] or [])[:-1] if v < one[f"m{i}"]]) for i in range(len(x))]
+        self.middle = {c: float(one[f"q{i}"][-1]) if one[f"q{i}"] else 0.0 for i, c in enumerate(self.feats)}
+        self.width = max([len(c) + 1 for c in self.cuts], default=1)
+        kind = np.uint8 if self.width <= 255 else np.uint16
+        missing = int(np.iinfo(kind).max)
+        cuts = self.cuts
+
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, n = [], 0
+            for batch in batches:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                code = np.empty((len(cuts), batch.num_rows), dtype=kind)
+                for i, (v, cut) in enumerate(zip(columns[3:], cuts)):
+                    v = v.astype(float)
+                    code[i] = np.where(np.isnan(v), missing, np.searchsorted(cut, v, side="left"))
+                waiting.append((code, columns[0].astype(float), columns[1].astype(np.int32), columns[2].astype(np.int64)))
+                n += batch.num_rows
+                if n >= BLOCK_ROWS:
+                    yield pack(waiting)
+                    waiting, n = [], 0
+            if waiting:
+                yield pack(waiting)
+
+        def pack(waiting) -> pa.RecordBatch:
+            code, target, folds, hashes = (np.concatenate(p, axis=-1) for p in zip(*waiting))
+            return pa.RecordBatch.from_pydict({
+                "codes": [code.tobytes()], "y": [target.tobytes()], "fold": [folds.tobytes()], "hash": [hashes.tobytes()]})
+
+        row = F.xxhash64(F.col(f"`{key}`")) if key else F.xxhash64(F.col(f"`{y}`"), *cols)
+        rows = df.where(F.col(f"`{y}`").isNotNull()).select(
+            F.col(f"`{y}`").cast("double").alias("y"), (F.col(f"`{fold}`") if fold else F.lit(-1)).cast("int").alias("f"),
+            row.alias("h"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+        blocks = rows.mapInArrow(binned, "codes binary, y binary, fold binary, hash binary")
+        self.blocks = cut_lineage(blocks.withColumn("id", F.monotonically_increasing_id()), written)
+        size = self.blocks.agg(F.sum(F.octet_length("codes") + F.octet_length("y") + F.octet_length("fold")
+                                     + F.octet_length("hash")).alias("b")).first()["b"]
+        self.bytes = int(size or 0)
+        self.kind, self.missing = kind, missing
+
+    def _fits(self, wanted: Mapping[Hashable, Want]) -> tuple[list[Fit], list[Hashable]]:
+        """Forests are cut into parts that grow by themselves."""
+        fits, names = [], []
+        for name, w in wanted.items():
+            cols = tuple(self.feats.index(c) for c in w.feats)
+            fill = tuple(int(np.searchsorted(self.cuts[i], self._fill(w, c), side="left")) for i, c in zip(cols, w.feats))
+            fit = Fit(cols, fill, w.params, w.fold, w.transform, w.lam, w.seed)
+            step = PART_TREES if w.params.bag else w.params.rounds
+            for a in range(0, max(w.params.rounds, 1), max(step, 1)):
+                fits.append(replace(fit, first=a, params=replace(w.params, rounds=min(step, w.params.rounds - a))))
+                names.append(name)
+        return fits, names
+
+    def _fill(self, w: Want, c: str) -> float:
+        """What stands for a missing value: the training set's median, or that
+        of all rows where the fit names none."""
+        v = w.medians.get(c)
+        return self.middle[c] if v is None else float(v)
+
+    def fit(self, wanted: Mapping[Hashable, Want]) -> dict[Hashable, TreeSpec]:
+        """{name: fitted ensemble} of all ``wanted``, trained together."""
+        fits, names = self._fits(wanted)
+        usable = [i for i, f in enumerate(fits) if f.cols]
+        done = (self._fit_local if self.bytes <= self.local_bytes else self._fit_spread)({i: fits[i] for i in usable})
+        out = {}
+        for name, w in wanted.items():
+            parts = [done[i] for i in usable if names[i] == name]
+            out[name] = self._spec(w, parts)
+        return out
+
+    def _spec(self, w: Want, parts: list[dict]) -> TreeSpec:
+        spec = TreeSpec(w.kind, list(w.feats), {c: self._fill(w, c) for c in w.feats}, mean=w.params.bag)
+        if not parts:
+            return spec
+        trees = [t for p in parts for t in p["trees"]]
+        cols = [self.feats.index(c) for c in w.feats]
+        spec.init, spec.curve, spec.held = parts[0]["init"], parts[0]["curve"], parts[0]["held"]
+        spec.starts = np.cumsum([0, *[len(t.value) for t in trees]]).astype(np.int64)
+        if trees:
+            spec.feature, spec.left, spec.right, spec.value, spec.rows = (
+                np.concatenate([getattr(t, k) for t in trees]) for k in ("feature", "left", "right", "value", "rows"))
+            spec.threshold = np.concatenate([np.array([self.cuts[cols[f]][c] if f >= 0 else 0.0
+                                                       for f, c in zip(t.feature, t.cut)]) for t in trees])
+        return spec
+
+    def _reader(self):
+        kind, d, missing = self.kind, len(self.feats), self.missing
+
+        def read(codes: bytes, y: bytes, fold: bytes, hash: bytes) -> Block:  # noqa: A002
+            target = np.frombuffer(y)
+            return Block(np.frombuffer(codes, dtype=kind).reshape(d, len(target)).T, target,
+                         np.frombuffer(fold, dtype=np.int32), np.frombuffer(hash, dtype=np.int64).view(np.uint64), missing)
+
+        return read
+
+    def _ensembles(self, fits: dict[int, Fit]) -> dict[int, Ensemble]:
+        counts = np.array([len(c) for c in self.cuts])
+        return {i: Ensemble(i, f, counts, self.width) for i, f in fits.items()}
+
+    @staticmethod
+    def _result(e: Ensemble) -> dict:
+        trees = [replace(t, splits=None, reached=None) for t in e.kept()]
+        return {"trees": trees, "init": e.init or 0.0, "curve": e.curve, "held": e.held_sums()}
+
+    def _fit_local(self, fits: dict[int, Fit]) -> dict[int, dict]:
+        """A group a fit, each with all blocks."""
+        if not fits:
+            return {}
+        ensembles, read, width, result = self._ensembles(fits), self._reader(), self.width, self._result
+
+        def train(group: pa.Table) -> pa.Table:
+            i = group["fit"][0].as_py()
+            rows = group.sort_by("id").select(["codes", "y", "fold", "hash"]).to_pylist()
+            e = ensembles[i]
+            run([e], local_ask({i: [BlockWork(read(**r), e.fit) for r in rows]}, width))
+            return pa.table({"fit": pa.array([i], pa.int32()), "model": [pickle.dumps(result(e))]})
+
+        each = self.blocks.withColumn("fit", F.explode(F.array(*[F.lit(i) for i in fits])))
+        got = (each.repartition(4 * len(fits), "fit").groupBy("fit")
+               .applyInArrow(train, "fit int, model binary").collect())
+        found = {r["fit"]: pickle.loads(r["model"]) for r in got}
+        empty = {"trees": [], "init": 0.0, "curve": [], "held": (0.0, 0.0, 0.0, 0.0)}
+        return {i: found.get(i, empty) for i in fits}
+
+    def _fit_spread(self, fits: dict[int, Fit]) -> dict[int, dict]:
+        """One job a level for as many fits as a task may hold histograms of."""
+        most = max(len(f.cols) * min(f.params.leaves, 64) for f in fits.values()) * self.width * 16
+        wave = max(1, WAVE_BYTES // most)
+        ids, out = list(fits), {}
+        blocks = self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for a in range(0, len(ids), wave):
+                some = self._ensembles({i: fits[i] for i in ids[a:a + wave]})
+                run(some.values(), _Jobs(blocks, self._reader(), {i: fits[i] for i in some}, self.width))
+                out |= {i: self._result(e) for i, e in some.items()}
+        finally:
+            blocks.unpersist()
+        return out
+
+
+class _Jobs:
+    """``ask`` by a Spark job over the blocks."""
+
+    def __init__(self, blocks: DataFrame, read, fits: dict[int, Fit], width: int):
+        self.blocks, self.read, self.fits, self.width = blocks, read, fits, width
+        self.run = uuid.uuid4().hex
+        self.tasks = blocks.rdd.getNumPartitions()
+        self.shipped: dict[int, list] = {i: [] for i in fits}
+
+    def _ship(self, a: Ask) -> Ask:
+        pieces = self.shipped[a.fit]
+        while (len(pieces) + 1) * SHIPPED_TREES < len(a.done):         # the last tree always travels with the job
+            some = a.done[len(pieces) * SHIPPED_TREES:(len(pieces) + 1) * SHIPPED_TREES]
+            pieces.append(self.blocks.sparkSession.sparkContext.broadcast([replace(t, splits=None, reached=None) for t in some]))
+        return replace(a, done=_Done(list(pieces), SHIPPED_TREES, list(a.done[len(pieces) * SHIPPED_TREES:])))
+
+    def __call__(self, asks: list[Ask]) -> dict[int, Told]:
+        asks = [self._ship(a) for a in asks]
+        read, fits, width, name = self.read, self.fits, self.width, self.run
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, Told] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    number, block = row.pop("id"), None
+                    for a in asks:
+                        key = (name, a.fit, number)
+                        work = _WORKS.pop(key, None)
+                        if work is None:
+                            block = block or read(**row)
+                            work = BlockWork(block, fits[a.fit])
+                        _WORKS[key] = work
+                        t = work.answer(a, width)
+                        total[a.fit] = total[a.fit] + t if a.fit in total else t
+            held = sum(40 * len(w.raw) for w in _WORKS.values())
+            while held > KEPT_BYTES:
+                held -= 40 * len(_WORKS.popitem(last=False)[1].raw)
+            yield from _packed(total)
+
+        sums = self.blocks.mapInArrow(answer, "fit int, told binary")
+        if self.tasks > DIRECT_TASKS:                # as a tree: the square root of the tasks adds up first
+            sums = sums.repartition(math.isqrt(self.tasks)).mapInArrow(_added, "fit int, told binary")
+        total: dict[int, Told] = {}
+        for r in sums.collect():
+            t = pickle.loads(r["told"])
+            total[r["fit"]] = total[r["fit"]] + t if r["fit"] in total else t
+        return {i: total.get(i, Told(None)) for i in fits}
+
+
+def _packed(total: dict[int, Told]) -> Iterator[pa.RecordBatch]:
+    if total:
+        yield pa.RecordBatch.from_pydict({"fit": pa.array(list(total), pa.int32()),
+                                          "told": [pickle.dumps(t) for t in total.values()]})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, Told] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            t = pickle.loads(row["told"])
+            total[row["fit"]] = total[row["fit"]] + t if row["fit"] in total else t
+    yield from _packed(total)
+
+
+def fit_trees(df: DataFrame, feats: Sequence[str], y: str, kind: str = "gbt", medians: dict | None = None,
+              params: Params | None = None, fold: str | None = None, folds: Sequence[int | None] = (None,),
+              key: str | None = None, seed: int = 42) -> TreeSpec | dict:
+    """M03-M06.  One ensemble over all rows, or with ``folds`` a dict of one
+    per fold that it must not see (None: all rows)."""
+    params = params or KINDS[kind]
+    table = TreeTable(df, feats, y, fold, key, bins=params.bins)
+    got = table.fit({f: Want(list(feats), params, medians or {}, f, seed=seed, kind=kind) for f in folds})
+    return got[None] if tuple(folds) == (None,) else got
 
 
 # ---------------------------------------------------------------- S07 / M13
+NODE_SCHEMA = ("tree int, node int, feature string, threshold double, `left` int, `right` int, value double, rows double")
+
+
+def node_rows(spec: TreeSpec) -> pd.DataFrame:
+    """The node table: inner nodes name a column, leaves do not."""
+    tree = np.repeat(np.arange(spec.n_trees), np.diff(spec.starts))
+    inner = spec.feature >= 0
+    names = np.array([*spec.feats, None], dtype=object)[np.where(inner, spec.feature, -1)]
+    return pd.DataFrame({"tree": tree, "node": np.arange(len(tree)) - spec.starts[tree] if len(tree) else tree,
+                         "feature": names, "threshold": np.where(inner, spec.threshold, np.nan), "left": spec.left,
+                         "right": spec.right, "value": spec.value, "rows": spec.rows})
+
+
 def node_table(spec: TreeSpec, spark) -> DataFrame:
-    """The saved MLlib tree nodes as a DataFrame (one Parquet table per
-    ensemble, written to the shared scratch folder)."""
-    parts = []
-    for j, pm in enumerate(spec.models):
-        path = scratch_path(spark, "trees")
-        pm.stages[-1].write().overwrite().save(path)
-        nodes = spark.read.parquet(f"{path}/data")
-        nd = nodes.select(F.lit(j).alias("model"), "treeID", F.col("nodeData.id").alias("node"),
-                          F.col("nodeData.prediction").alias("prediction"),
-                          F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-                          F.col("nodeData.split.featureIndex").alias("feature_index"),
-                          F.col("nodeData.split.leftCategoriesOrThreshold").alias("threshold"))
-        parts.append(nd)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The nodes as a DataFrame."""
+    nodes = node_rows(spec)
+    if not len(nodes):
+        return spark.createDataFrame([], NODE_SCHEMA)
+    rows = nodes.astype(object).where(nodes.notna(), None)
+    return spark.createDataFrame([tuple(r) for r in rows.itertuples(index=False)], NODE_SCHEMA)
+
+
+def spec_from_nodes(nodes: pd.DataFrame, **of) -> TreeSpec:
+    """The ensemble that a node table holds."""
+    nodes = nodes.sort_values(["tree", "node"])
+    spec = TreeSpec(**of)
+    at = {c: i for i, c in enumerate(spec.feats)}
+    spec.starts = np.concatenate([[0], np.cumsum(nodes.groupby("tree").size())]).astype(np.int64)
+    spec.feature = np.array([at.get(c, -1) for c in nodes["feature"]], dtype=np.int32)
+    spec.threshold = nodes["threshold"].fillna(0.0).to_numpy(dtype=float)
+    spec.left, spec.right = (nodes[c].to_numpy(dtype=np.int32) for c in ("left", "right"))
+    spec.value, spec.rows = (nodes[c].to_numpy(dtype=float) for c in ("value", "rows"))
+    return spec
+
+
+def split_counts(spec: TreeSpec) -> dict[str, float]:
+    """Number of splits by column, in column order."""
+    n = np.bincount(spec.feature[spec.feature >= 0], minlength=len(spec.feats))
+    return {c: float(k) for c, k in zip(spec.feats, n)}
 
 
 def split_importance(spec: TreeSpec, spark) -> DataFrame:
     """Number of splits per feature as a percent of all splits."""
-    nodes = node_table(spec, spark).filter(F.col("left") >= 0)
-    cnt = nodes.groupBy("feature_index").agg(F.count(F.lit(1)).alias("splits"))
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(spec.feats)], "feature_index int, feature string")
-    j = F.broadcast(names).join(cnt, "feature_index", "left").fillna(0, ["splits"])
-    tot = j.agg(F.sum("splits")).first()[0] or 0
-    return j.select("feature", F.col("splits").cast("double").alias("importance"),
-                    (F.col("splits") / F.lit(max(tot, 1)) * 100.0).alias("pct"))
+    n = split_counts(spec)
+    total = max(sum(n.values()), 1.0)
+    return spark.createDataFrame([(c, v, v / total * 100.0) for c, v in n.items()],
+                                 "feature string, importance double, pct double")
+
+
+def used_columns(feats: Sequence[str], counts: Mapping[str, float]) -> list[str]:
+    """The columns that a probe splits on; all when fewer than two."""
+    kept = [c for c in feats if counts.get(c, 0) > 0]
+    return kept if len(kept) >= 2 else list(feats)
 
 
 def screen_features(df: DataFrame, feats: Sequence[str], y: str, medians: dict | None = None,
-                    rounds: int = PROBE_ITER) -> list[str]:
+                    rounds: int = PROBE_ITER, key: str | None = None) -> list[str]:
     """Keep features with split importance > 0 from a boosted probe
     of ``rounds`` rounds; skipped at <= 10 features; keep all when fewer than 2 survive."""
     if len(feats) <= SCREEN_MIN_FEATURES:
         return list(feats)
-    spec = fit_trees(df, feats, y, "gbt", medians, max_iter=rounds)
-    imp = split_importance(spec, df.sparkSession).collect()
-    kept = [r["feature"] for r in imp if r["importance"] > 0]
-    keep_set = set(kept)
-    kept = [f for f in feats if f in keep_set]
-    return kept if len(kept) >= 2 else list(feats)
+    return used_columns(feats, split_counts(fit_trees(df, feats, y, "gbt", medians, replace(PROBE, rounds=rounds), key=key)))

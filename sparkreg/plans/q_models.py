@@ -10,6 +10,7 @@ rows-checked (the fits are iterative), and the closed-form ones carry SQL.
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,15 +21,16 @@ from sparkreg.operators.blend import blend_weights, gram_of_members, nnls_gram,
 from sparkreg.operators.folds import sample_rows, stratified_folds
 from sparkreg.operators.gp import fit_gp, kernel_sum
 from sparkreg.operators.linear import ALPHAS_STD, ridge_cv
-from sparkreg.operators.mlp import fit_mlp
-from sparkreg.operators.trees import GBT_ITER_THOROUGH, fit_trees, screen_features, split_importance
+from sparkreg.operators.mlp import NetWant, fit_mlp, fit_networks
+from sparkreg.operators.trees import (BOOST_QUICK, BOOST_THOROUGH, PROBE, TreeTable, fit_trees, screen_features,
+                                      split_counts, split_importance)
 from sparkreg.plans.catalog import query
 from sparkreg.plans.q_folds import R2_SQL, _candidates, _cand_sql, _oof_events, folds_cte, oof_te_sql
-from sparkreg.session import scratch_path
+from sparkreg.session import cut_lineage, scratch_path
 from sparkreg.sources.tables import table
 
 R = 6
-_MEMO: dict = {}
+FOLDS = [0, 1, 2, 3, 4]
 
 
 def rnd(c, n=R):
@@ -45,44 +47,37 @@ def part_frame(spark, sf):
 
 def part_numeric(spark, sf):
     """part with folds and numeric features only (one-hot type inline)."""
-    key = ("part_numeric", id(spark), sf)
-    if key not in _MEMO:
-        pf = part_frame(spark, sf)
-        from sparkreg.operators.encode import onehot_classes, onehot_columns
-        classes = onehot_classes(pf, "p_type")
-        d = pf.select("p_partkey", "p_size", "name_len", *onehot_columns("p_type", classes), "y")
-        d = stratified_folds(d, "p_partkey", "y")
-        feats = ["p_size", "name_len"] + [f"p_type=={k}" for k in classes]
-        _MEMO[key] = (d.cache(), feats)
-    return _MEMO[key]
-
-
-def trained(spark, sf, strategy="quick", families=None, table_name="part"):
+    from sparkreg.operators.encode import onehot_classes, onehot_columns
+    pf = part_frame(spark, sf)
+    classes = onehot_classes(pf, "p_type")
+    d = pf.select("p_partkey", "p_size", "name_len", *onehot_columns("p_type", classes), "y")
+    d = cut_lineage(stratified_folds(d, "p_partkey", "y"))
+    return d, ["p_size", "name_len"] + [f"p_type=={k}" for k in classes]
+
+
+def by_fold(d, specs, add):
+    """The rows of every fold with the prediction of the model that has not
+    seen them."""
+    out = None
+    for f in FOLDS:
+        part = add(d.filter(F.col("fold") == f), specs[f]).select("p_partkey", "fold", rnd("pred").alias("pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trained(spark, sf, strategy="quick", families=None):
     from sparkreg.plans.train import train
-    key = ("trained", id(spark), sf, strategy, families, table_name)
-    if key not in _MEMO:
-        if table_name == "part":
-            df = part_frame(spark, sf)
-            # derived recipes only feed the non-poly members; a poly-only run skips them
-            derive = None if families != ("poly",) else False
-            _MEMO[key] = train(df, "y", key="p_partkey", strategy=strategy, families=families, derive=derive)
-        else:
-            ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"),
-                                                   "event_type", "value")
-            _MEMO[key] = train(ev, "value", key="event_id", strategy=strategy, families=families)
-    return _MEMO[key]
+    # derived recipes only feed the non-poly members; a poly-only run skips them
+    derive = None if families != ("poly",) else False
+    return train(part_frame(spark, sf), "y", key="p_partkey", strategy=strategy, families=families, derive=derive)
 
 
 def bundle_of(spark, sf, strategy="quick", families=None):
     from sparkreg.plans.train import save
     from sparkreg.sources.model_io import load_bundle
-    key = ("bundle", id(spark), sf, strategy, families)
-    if key not in _MEMO:
-        res = trained(spark, sf, strategy, families)
-        root = scratch_path(spark, "bundle")
-        save(res, root)
-        _MEMO[key] = (load_bundle(spark, root), root)
-    return _MEMO[key]
+    root = scratch_path(spark, "bundle")
+    save(trained(spark, sf, strategy, families), root)
+    return load_bundle(spark, root), root
 
 
 ALPHA_VALUES = ", ".join(f"({i}, {a})" for i, a in enumerate(ALPHAS_STD))
@@ -238,7 +233,7 @@ def q_screen_features(spark, sf):
 @query("split_importance")
 def q_split_importance(spark, sf):
     d, feats = part_numeric(spark, sf)
-    spec = fit_trees(d, feats, "y", "gbt")
+    spec = fit_trees(d, feats, "y", "gbt", params=replace(BOOST_QUICK, patience=0), key="p_partkey")
     return split_importance(spec, spark).select("feature", "importance", rnd("pct", 4).alias("pct"))
 
 
@@ -249,8 +244,7 @@ def q_derived_recipe_fit(spark, sf):
     d, _ = part_numeric(spark, sf)
 
     def probe(cand, names, rounds):
-        spec = fit_trees(cand, names, "y", "gbt", max_iter=rounds)
-        return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
+        return split_counts(fit_trees(cand, names, "y", "gbt", params=replace(PROBE, rounds=rounds)))
 
     recipe = fit_recipe(d, ["p_size", "name_len"], "y", probe)
     return spark.createDataFrame([(i, r["name"], r["op"], ",".join(r["cols"])) for i, r in enumerate(recipe)],
@@ -354,37 +348,27 @@ def q_score_linear_poly(spark, sf):
 
 
 # ---------------------------------------------------------------- M03 - M06 / D04
-def _tree_oof(spark, sf, kind, es=False):
-    from sparkreg.operators.folds import es_holdout
+def _tree_oof(spark, sf, kind):
     d, feats = part_numeric(spark, sf)
-    parts = []
-    for f in range(5):
-        tr = d.filter(F.col("fold") != f)
-        if es:
-            tr = es_holdout(tr, "p_partkey")
-        spec = fit_trees(tr, feats, "y", kind, es_col="is_es" if es else None)
-        parts.append(spec.transform(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    specs = fit_trees(d, feats, "y", kind, fold="fold", folds=FOLDS, key="p_partkey")
+    return by_fold(d, specs, lambda rows, spec: spec.transform(rows, "pred"))
 
 
 @query("gbt_fit")
 def q_gbt_fit(spark, sf):
+    """500 rounds of up to 31 leaves, stopped by a holdout, one ensemble
+    per fold, all folds in one job."""
     return _tree_oof(spark, sf, "gbt")
 
 
 @query("gbt_early_stop")
 def q_gbt_early_stop(spark, sf):
-    from sparkreg.operators.folds import es_holdout
+    """The loss on the holdout after every round, and the round chosen."""
     d, feats = part_numeric(spark, sf)
-    tr = es_holdout(d.filter(F.col("fold") != 0), "p_partkey")
-    spec = fit_trees(tr, feats, "y", "gbt", es_col="is_es", max_iter=50)
-    gbt = spec.models[0].stages[-1]
-    n_es = tr.filter("is_es").count()
-    return spark.createDataFrame([(int(gbt.getNumTrees), 50, int(n_es))],
-                                 "trees_used int, max_trees int, es_rows long")
+    spec = fit_trees(d, feats, "y", "gbt", params=BOOST_THOROUGH, fold="fold", folds=FOLDS, key="p_partkey")
+    rows = [(f, i, float(v), i == spec[f].n_trees) for f in FOLDS for i, v in enumerate(spec[f].curve)]
+    return spark.createDataFrame(rows, "fold int, round int, loss double, chosen boolean").select(
+        "fold", "round", rnd("loss").alias("loss"), "chosen")
 
 
 @query("rf_bag_fit")
@@ -405,31 +389,24 @@ def q_score_trees(spark, sf):
 
 
 # ---------------------------------------------------------------- M07 / M15 / J05 / D05
-def _gp_specs(spark, sf):
-    key = ("gp", id(spark), sf)
-    if key not in _MEMO:
-        d, feats = part_numeric(spark, sf)
-        meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
-                for s in [0, 1, 2, 3, 4, "all"]}
-        _MEMO[key] = fit_gp(d, feats, "y", "p_partkey", meds, "fold", [0, 1, 2, 3, 4])
-    return _MEMO[key]
+def _medians(d, feats):
+    from sparkreg.plans.train import medians_by_set
+    return medians_by_set(d, {s: feats for s in [*FOLDS, "all"]}, "fold")
+
+
+def _gp_specs(d, feats):
+    return fit_gp(d, feats, "y", "p_partkey", _medians(d, feats), "fold", FOLDS)
 
 
 @query("gp_fit")
 def q_gp_fit(spark, sf):
-    d, _ = part_numeric(spark, sf)
-    specs = _gp_specs(spark, sf)
-    parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred"))
-             for f in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d, feats = part_numeric(spark, sf)
+    return by_fold(d, _gp_specs(d, feats), lambda rows, spec: spec.predict_column(rows, "pred"))
 
 
 @query("ard_importance")
 def q_ard_importance(spark, sf):
-    spec = _gp_specs(spark, sf)["all"]
+    spec = _gp_specs(*part_numeric(spark, sf))["all"]
     imp = spark.createDataFrame(list(spec.importance().items()), "feature string, importance double")
     return M.top_importance(imp)
 
@@ -457,26 +434,11 @@ def q_score_gp(spark, sf):
 
 
 # ---------------------------------------------------------------- M08 / M11 / M16 / D06
-def _mlp_specs(spark, sf):
-    key = ("mlp", id(spark), sf)
-    if key not in _MEMO:
-        d, feats = part_numeric(spark, sf)
-        meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
-                for s in [0, 1, 2, 3, 4, "all"]}
-        _MEMO[key] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4])
-    return _MEMO[key]
-
-
 @query("mlp_fit")
 def q_mlp_fit(spark, sf):
-    d, _ = part_numeric(spark, sf)
-    specs = _mlp_specs(spark, sf)
-    parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred").select("p_partkey", "fold", rnd("pred").alias("pred"))
-             for f in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d, feats = part_numeric(spark, sf)
+    specs = fit_mlp(d, feats, "y", _medians(d, feats), "fold", FOLDS)
+    return by_fold(d, specs, lambda rows, spec: spec.predict_column(rows, "pred"))
 
 
 @query("score_mlp")
@@ -490,7 +452,7 @@ def q_score_mlp(spark, sf):
 def q_permutation_importance(spark, sf):
     from sparkreg.operators.search import permutation_importance
     d, feats = part_numeric(spark, sf)
-    spec = _mlp_specs(spark, sf)["all"]
+    spec = fit_mlp(d, feats, "y", _medians(d, feats), cols_by_set={"all": feats})["all"]
     imp = permutation_importance(d.select("p_partkey", "y", *feats), "p_partkey", "y", feats,
                                  lambda x: spec.predict_column(x, "pred"))
     return imp.select("feature", rnd("mean_drop").alias("mean_drop"), rnd("importance").alias("importance"))
@@ -498,45 +460,26 @@ def q_permutation_importance(spark, sf):
 
 @query("gbt_search")
 def q_gbt_search(spark, sf):
-    from sparkreg.operators.search import GBT_FINALISTS, gbt_candidates, halving_search, r2_of
+    """Every candidate at full rounds with its own stop."""
+    from sparkreg.operators.search import GBT_CHOICES, gbt_candidates, search_trees
     d, feats = part_numeric(spark, sf)
-    n = d.count()
-    cands = gbt_candidates(n)
-
-    def evaluate(c, folds):
-        parts = []
-        for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "y", "gbt", params=c, max_iter=GBT_ITER_THOROUGH)
-            parts.append(spec.transform(d.filter(F.col("fold") == f), "pred"))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        return r2_of(u, "y", "pred")
-
-    return halving_search(spark, cands, [0, 1, 2, 3, 4], evaluate, GBT_FINALISTS).select(
-        "trial", "params", "stage", rnd("r2").alias("r2"))
+    table = TreeTable(d, feats, "y", "fold", "p_partkey", max(GBT_CHOICES["bins"]))
+    trials = search_trees(table, gbt_candidates(d.count()), FOLDS, dict.fromkeys(FOLDS, feats), _medians(d, feats))
+    return trials.select("trial", "params", "stage", rnd("r2").alias("r2"))
 
 
 @query("mlp_search")
 def q_mlp_search(spark, sf):
-    from sparkreg.operators.search import MLP_FINALISTS, halving_search, mlp_candidates, r2_of
+    """All networks of a stage in the same passes."""
+    from sparkreg.operators.search import MLP_FINALISTS, halving_search, mlp_candidates
     d, feats = part_numeric(spark, sf)
-    meds = {s: P.fit_medians(d if s == "all" else d.filter(F.col("fold") != s), feats)
-            for s in [0, 1, 2, 3, 4, "all"]}
-    cache = {}
-
-    def evaluate(c, folds):
-        k = str(c)
-        if k not in cache:
-            cache[k] = fit_mlp(d, feats, "y", meds, "fold", [0, 1, 2, 3, 4], **c)
-        specs = cache[k]
-        parts = [specs[f].predict_column(d.filter(F.col("fold") == f), "pred") for f in folds]
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        return r2_of(u, "y", "pred")
-
-    return halving_search(spark, mlp_candidates(), [0, 1, 2, 3, 4], evaluate, MLP_FINALISTS).select(
+    meds, cands = _medians(d, feats), mlp_candidates()
+
+    def run(pairs):
+        got = fit_networks(d, "y", {(i, f): NetWant(feats, meds[f], f, **cands[i]) for i, f in pairs}, "fold", held=True)
+        return {k: held for k, (_, held) in got.items()}
+
+    return halving_search(spark, cands, FOLDS, run, MLP_FINALISTS).select(
         "trial", "params", "stage", rnd("r2").alias("r2"))
 
 
@@ -593,7 +536,7 @@ def q_pick_best(spark, sf):
 def q_importance_merge(spark, sf):
     d, feats = part_numeric(spark, sf)
     lin = ridge_cv(d, feats, "y", "p_partkey", None, ALPHAS_STD).final
-    tree = fit_trees(d, feats, "y", "gbt")
+    tree = fit_trees(d, feats, "y", "gbt", key="p_partkey")
     tot = sum(abs(c) for c in lin.coef) or 1.0
     li = spark.createDataFrame([("linear", f, abs(c) / tot * 100.0) for f, c in zip(lin.feats, lin.coef)],
                                "member string, feature string, pct double")

@@ -11,6 +11,7 @@ round -> attach.  The caller's own columns are kept untouched.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,8 +163,8 @@ def _member_column(df: DataFrame, kind: str, spec, out: str) -> DataFrame:
     tmp_names = {c: f"__t_{i}" for i, c in enumerate(spec.feats)}
     view = df.select("*", *[F.col(f"`{ren[c]}`").alias(tmp_names[c]) for c in spec.feats])
     if isinstance(spec, TreeSpec):
-        s2 = TreeSpec(spec.kind, [tmp_names[c] for c in spec.feats],
-                      {tmp_names[c]: v for c, v in spec.medians.items() if c in tmp_names}, spec.models, spec.cuts)
+        s2 = replace(spec, feats=[tmp_names[c] for c in spec.feats],
+                     medians={tmp_names[c]: v for c, v in spec.medians.items() if c in tmp_names})
         res = s2.transform(view, out)
     elif isinstance(spec, GPSpec):
         s2 = GPSpec([tmp_names[c] for c in spec.feats], {tmp_names[c]: v for c, v in spec.medians.items()

@@ -5,8 +5,8 @@ Every step is a DataFrame job whose result is spec-sized:
   resolve target -> drop null targets -> coerce / encode categoricals ->
   select, constant and duplicate pruning -> stratified folds (bounded
   windows) -> y fences and transform (fold-0 train) -> x clip -> leak-safe
-  target encodings per fold -> candidate families (ridge from Grams, MLlib
-  trees, inducing-point GP, averaged MLP) scored out of fold -> blend ->
+  target encodings per fold -> candidate families (ridge from Grams,
+  histogram trees, inducing-point GP, MLP) scored out of fold -> blend ->
   choice -> post-process -> report + bundle.
 
 The prepared table is written once to the shared checkpoint folder, so
@@ -16,7 +16,7 @@ executor only re-reads its blocks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from threading import Lock
 
 import numpy as np
@@ -32,9 +32,11 @@ from sparkreg.operators import transform as TR
 from sparkreg.operators.blend import blend_weights, eligible_members
 from sparkreg.operators.gp import fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
-from sparkreg.operators.mlp import MLP_MIN_ROWS, fit_mlp
-from sparkreg.operators.trees import (GBT_ITER_QUICK, GBT_ITER_THOROUGH, PROBE_ITER, PROBE_ITER_RANK, SCREEN_MIN_FEATURES,
-                                     fit_trees, screen_features, split_importance)
+from sparkreg.operators.histogram import pooled_r2
+from sparkreg.operators.mlp import MLP_MIN_ROWS, NetWant, fit_networks
+from sparkreg.operators.search import GBT_CHOICES
+from sparkreg.operators.trees import (BOOST_QUICK, BOOST_THOROUGH, KINDS, PROBE, PROBE_ITER, PROBE_ITER_RANK,
+                                     SCREEN_MIN_FEATURES, TreeTable, Want, split_counts, used_columns)
 from sparkreg.plans.score import add_prediction
 from sparkreg.session import cut_lineage, remove
 
@@ -45,7 +47,6 @@ POLY_MAX_ROWS = 200
 POLY_MAX_FEATS = 8
 GP_MIN_ROWS = 10
 FAMILY_THREADS = 4             # concurrent family fits (the reference runs 4 threads in quick mode)
-FOREST_TREES = 40              # trees of a forest (a caller parameter)
 GBT_FINAL_FACTOR = 1.15        # the final booster: rounds the folds used, times this,
 GBT_FINAL_MIN = 50             # and at least so many
 QUICK_FAMILIES = ("linear", "gbt", "gp", "mlp")
@@ -93,73 +94,51 @@ def attach_row_id(df: DataFrame, key: str = "row_id", written: list | None = Non
     return cut_lineage(df.withColumn(key, F.monotonically_increasing_id()), written)
 
 
-def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds,
-                        probe_rounds: int = PROBE_ITER) -> tuple:
+def select_transform_cv(df: DataFrame, y: str, feats: list[str], y_min_all: float, folds, probe_rounds: int = PROBE_ITER,
+                        key: str | None = None, written: list | None = None) -> tuple:
     """M12 (thorough): none / log1p (only when every y >= 0) / Yeo-Johnson
     (lambda from fold-0 training rows), scored by a boosted model on two
-    folds, R2 measured on the original scale."""
+    folds, R2 measured on the original scale.  All probes are trained
+    together."""
     cands = ["none"] + (["log1p"] if y_min_all is not None and y_min_all >= 0 else []) + ["yeo_johnson"]
     lam = TR.fit_yj_lambda(df.filter(F.col("fold") != folds[0]), y)
-    def score_one(t):
-        lt = lam if t == "yeo_johnson" else None
-        d = df.withColumn("__t", _forward(F.col(y), t, lt))
-        parts = []
-        for f in folds:
-            spec = fit_trees(d.filter(F.col("fold") != f), feats, "__t", "gbt", max_iter=probe_rounds)
-            pr = spec.transform(d.filter(F.col("fold") == f).select(y, *feats), "__p")
-            parts.append(pr.select(F.col(y).alias("__y"), _invert(F.col("__p"), t, lt).alias("__p")))
-        u = parts[0]
-        for p_ in parts[1:]:
-            u = u.unionByName(p_)
-        r = u.agg(*M.r2_aggs("__y", "__p")).first()
-        return t, ((1 - r["sse"] / r["sst"]) if r["sst"] else 0.0)
-
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=len(cands)) as pool:      # candidates are independent jobs
-        scores = dict(pool.map(score_one, cands))
-    best = max(cands, key=lambda t: (scores[t], -cands.index(t)))
+    meds = medians_by_set(df, {f: feats for f in folds}, "fold")
+    params = replace(PROBE, rounds=probe_rounds)
+    got = TreeTable(df, feats, y, "fold", key, written=written).fit(
+        {(t, f): Want(feats, params, meds[f], f, t, lam if t == "yeo_johnson" else None) for t in cands for f in folds})
+    scores = {t: pooled_r2([got[t, f].held for f in folds]) for t in cands}
+    best = max((t for t in cands if np.isfinite(scores[t])), key=lambda t: (scores[t], -cands.index(t)), default="none")
     return best, (lam if best == "yeo_johnson" else None), scores
 
 
-def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict,
-                          probe_rounds: int = PROBE_ITER) -> tuple[DataFrame, dict]:
+def recipes_and_screening(prepared: DataFrame, st: dict, sets, cols_by_set: dict, medians,
+                          probe_rounds: int = PROBE_ITER) -> tuple[DataFrame, dict, dict]:
     """M17 + P11 per training set (thorough): each set proposes derived
     features from its own rows, keeps those a boosted probe splits on, then
     screens when more than 10 features remain.  Derived values are row-local,
-    so the union of all sets' recipes is added once as a projection."""
-    from sparkreg.operators.search import apply_recipe, fit_recipe
-    y = "__y_t"
-    spark = prepared.sparkSession
-    base = [c for c in st["numeric"]]
-    def probe(cand, names, rounds):
-        spec = fit_trees(cand, names, y, "gbt", max_iter=rounds)
-        return {r["feature"]: r["importance"] for r in split_importance(spec, spark).collect()}
-
-    def one_set(s):
-        tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
-        return s, (fit_recipe(tr, base, y, probe, rounds=probe_rounds, rank_rounds=min(probe_rounds, PROBE_ITER_RANK))
-                   if len(base) >= 2 else [])
-
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:      # one probe per training set
-        recipes = dict(pool.map(one_set, sets))
+    so the union of all sets' recipes is added once as a projection.  The
+    probes of all sets are trained together.  Returns the table, the columns
+    and the medians of every set."""
+    from sparkreg.operators.search import apply_recipe, fit_recipes
+    base, y, how = list(st["numeric"]), st["target"], {"transform": st["transform"], "lam": st["lambda"]}
+    recipes = fit_recipes(prepared, base, y, "fold", sets, st["key"], rounds=probe_rounds,
+                          rank_rounds=min(probe_rounds, PROBE_ITER_RANK), medians=medians(), written=st["written"], **how)
     union = {}
     for rs in recipes.values():
         for r in rs:
             union.setdefault(r["name"], r)
     if union:
         prepared = apply_recipe(prepared, list(union.values()))
-    def screen(s):
-        cols = list(cols_by_set[s]) + [r["name"] for r in recipes[s]]
-        if len(cols) > SCREEN_MIN_FEATURES:
-            tr = prepared if s == "all" else prepared.filter(F.col("fold") != s)
-            cols = screen_features(tr, cols, y, rounds=probe_rounds)
-        return s, cols
-
-    with ThreadPoolExecutor(max_workers=FAMILY_THREADS) as pool:
-        out = dict(pool.map(screen, sets))
+    out = {s: list(cols_by_set[s]) + [r["name"] for r in recipes[s]] for s in sets}
+    meds = medians_by_set(prepared, out, "fold")
+    long = [s for s in sets if len(out[s]) > SCREEN_MIN_FEATURES]
+    if long:
+        table = TreeTable(prepared, sorted({c for s in long for c in out[s]}), y, "fold", st["key"], written=st["written"])
+        got = table.fit({s: Want(out[s], replace(PROBE, rounds=probe_rounds), meds[s],
+                                 None if s == "all" else s, **how) for s in long})
+        out |= {s: used_columns(out[s], split_counts(got[s])) for s in long}
     st["recipes"] = {str(k): v for k, v in recipes.items()}
-    return prepared, out
+    return prepared, out, meds
 
 
 def check_key(df: DataFrame, key: str) -> None:
@@ -305,7 +284,7 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     st["transform"], st["lambda"] = rule["transform"], None
     if strategy == "thorough" and len(st["folds"]) >= 2 and num:
         st["transform"], st["lambda"], st["transform_scores"] = select_transform_cv(
-            df, y, num, y_min_all, st["folds"][:2], probe_rounds)
+            df, y, num, y_min_all, st["folds"][:2], probe_rounds, key, written)
     elif st["transform"] == "yeo_johnson":
         st["lambda"] = TR.fit_yj_lambda(tr_w, y)
     df = df.withColumn("__y_t", _forward(F.col(y), st["transform"], st["lambda"]))
@@ -368,10 +347,11 @@ def fit_poly(df: DataFrame, feats: list[str], y: str, key: str, max_feats: int =
             "alpha": res.final.alpha}
 
 
-def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key: str, medians,
-               rounds: int, trees: int, settings: dict) -> dict:
+def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key: str, medians, table,
+               boost, trees: int | None, settings: dict) -> dict:
     """{training set: fitted model} of one family; every set (the complement of
-    an evaluated fold, or all rows) is fitted on its own rows only."""
+    an evaluated fold, or all rows) is fitted on its own rows only, and all
+    sets share their jobs."""
     y, folds = "__y_t", st["folds"]
     if kind == "linear":
         res = ridge_cv(df, cols_by_set["all"], y, key, "fold" if folds else None, ALPHAS_STD, folds=folds,
@@ -382,69 +362,56 @@ def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key:
     if kind == "gp":
         return fit_gp(df, cols_by_set["all"], y, key, medians(), "fold" if folds else None, folds, cols_by_set)
     if kind == "mlp":
-        return fit_mlp(df, cols_by_set["all"], y, medians(), "fold" if folds else None, folds,
-                       cols_by_set=cols_by_set, **settings.get("mlp", {}))
-
-    def fit_set(s, n_rounds=rounds):
-        tr = _training_rows(df, s)
-        if kind == "gbt" and s != "all":
-            tr = W.es_holdout(tr, key)
-        es = "is_es" if "is_es" in tr.columns else None
-        return fit_trees(tr.select(*cols_by_set[s], y, *([es] if es else [])), cols_by_set[s], y, kind, medians()[s],
-                         max_iter=n_rounds, es_col=es, n_trees=trees,
-                         params=settings.get("gbt") if kind == "gbt" else None)
-
-    specs = _each(fit_set, [s for s in sets if s != "all"])
-    last = rounds
-    if kind == "gbt" and specs:       # all rows: a little longer than the folds needed before they stopped
-        used = [m.models[0].stages[-1].getNumTrees for m in specs.values()]
-        last = max(GBT_FINAL_MIN, int(round(GBT_FINAL_FACTOR * sum(used) / len(used))))
-    return {**specs, "all": fit_set("all", last)}
-
-
-def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, rounds: int, size: int,
-                    kinds) -> dict:
+        return fit_networks(df, y, {s: NetWant(cols_by_set[s], medians()[s], None if s == "all" else s,
+                                               **settings.get("mlp", {})) for s in sets}, "fold" if folds else None)
+
+    def want(s, params):
+        return Want(cols_by_set[s], params, medians()[s], None if s == "all" else s, st["transform"], st["lambda"], kind=kind)
+
+    if kind != "gbt":
+        params = replace(KINDS[kind], rounds=trees or KINDS[kind].rounds)
+        return table().fit({s: want(s, params) for s in sets})
+    params = replace(boost, **settings.get("gbt", {}))
+    got = table().fit({s: want(s, params) for s in sets if s != "all"})
+    last = params.rounds
+    if got:                           # all rows: a little longer than the folds needed before they stopped
+        last = max(GBT_FINAL_MIN, int(GBT_FINAL_FACTOR * sum(m.n_trees for m in got.values()) / len(got)))
+    return got | table().fit({"all": want("all", replace(params, rounds=last, patience=0))})
+
+
+def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, table, boost, size: int | None, kinds) -> dict:
     """The best settings of a halving search per family."""
-    from sparkreg.operators.search import (GBT_FINALISTS, MLP_FINALISTS, gbt_candidates, halving_search,
-                                           mlp_candidates, r2_of)
-    y, folds, out = "__y_t", st["folds"], {}
-
-    def scored(specs):
-        parts = [add_prediction(df.filter(F.col("fold") == f), m, "pred").select(y, "pred") for f, m in specs.items()]
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        return r2_of(u, y, "pred")
-
-    def gbt(c, some):
-        return scored({f: fit_trees(_training_rows(df, f), cols_by_set[f], y, "gbt", medians()[f], max_iter=rounds,
-                                    params=c) for f in some})
-
-    def mlp(c, some):
-        sets = {f: cols_by_set[f] for f in some}
-        return scored(fit_mlp(df, cols_by_set["all"], y, medians(), "fold", list(some), cols_by_set=sets, **c))
-
-    for kind, cands, fit, keep in (("gbt", gbt_candidates(st["n_rows"], size=size), gbt, GBT_FINALISTS),
-                                   ("mlp", mlp_candidates(size=size), mlp, MLP_FINALISTS)):
-        if kind in kinds:
-            trials = halving_search(df.sparkSession, cands, folds, fit, keep).filter("stage = 'final'")
-            best = trials.orderBy(F.desc("r2"), "trial").first()
-            out[kind] = cands[best["trial"]]
+    from sparkreg.operators.search import (MLP_CANDIDATES, MLP_FINALISTS, best_trial, gbt_candidates, halving_search,
+                                           mlp_candidates, search_trees)
+    folds, how, out = st["folds"], (st["transform"], st["lambda"]), {}
+    if "gbt" in kinds:
+        cands = gbt_candidates(st["n_rows"], size=size)
+        out["gbt"] = cands[best_trial(search_trees(table(), cands, folds, cols_by_set, medians(), boost, *how))]
+    if "mlp" in kinds:
+        cands = mlp_candidates(size=size or MLP_CANDIDATES)
+
+        def run(pairs):
+            got = fit_networks(df, "__y_t", {(i, f): NetWant(cols_by_set[f], medians()[f], f, **cands[i]) for i, f in pairs},
+                               "fold", transform=how[0], lam=how[1], held=True) if pairs else {}
+            return {k: held for k, (_, held) in got.items()}
+
+        out["mlp"] = cands[best_trial(halving_search(df.sparkSession, cands, folds, run, MLP_FINALISTS))]
     return out
 
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
-          families=None, derive: bool | None = None, rounds: int | None = None, trees: int = FOREST_TREES,
-          search: int = 0, probe_rounds: int = PROBE_ITER) -> TrainResult:
+          families=None, derive: bool | None = None, rounds: int | None = None, trees: int | None = None,
+          search: int | None = None, probe_rounds: int = PROBE_ITER) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached; a key that is not unique is refused.
 
-    ``rounds`` bounds the boosting rounds, ``trees`` sizes the forests, and
-    ``search`` > 0 lets a thorough run choose the settings of the boosted
-    trees and the network among that many candidates each.  ``probe_rounds``
-    bounds the boosted probes of a thorough run (screening, derived features,
-    target transform)."""
+    ``rounds`` bounds the boosting rounds (500 quick, 3,000 thorough; a
+    holdout stops them) and ``trees`` sizes the forests (300).  A thorough run
+    chooses the settings of the boosted trees and the network among
+    ``search`` candidates each (by table size when None, none when 0).
+    ``probe_rounds`` bounds the boosted probes of a thorough run (screening,
+    derived features, target transform)."""
     spark = df.sparkSession
     from sparkreg.session import tune_session
     tune_session(spark)
@@ -460,9 +427,19 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     cols_by_set = _cols_by_set(st["base_feats"], st["target_cols"], sets)
     if derive is None:
         derive = strategy == "thorough"
+    shared: dict = {}
+    guard = Lock()
+
+    def medians():                    # one pass for all families that fill by median
+        with guard:
+            if "medians" not in shared:
+                shared["medians"] = medians_by_set(prepared, cols_by_set, "fold")
+        return shared["medians"]
+
     if derive and st["n_rows"] >= 50 and folds:
         t1 = time.time()
-        prepared, cols_by_set = recipes_and_screening(prepared, st, sets, cols_by_set, probe_rounds)
+        prepared, cols_by_set, shared["medians"] = recipes_and_screening(prepared, st, sets, cols_by_set, medians,
+                                                                         probe_rounds)
         timings["recipes_screening"] = time.time() - t1
     families = families or (THOROUGH_FAMILIES if strategy == "thorough" else QUICK_FAMILIES)
     n = st["n_rows"]
@@ -477,23 +454,29 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
         if cols_by_set["all"]:
             runnable.append(kind)
 
-    shared: dict = {}
-    guard = Lock()
+    boost = BOOST_THOROUGH if strategy == "thorough" else BOOST_QUICK
+    boost = replace(boost, rounds=rounds or boost.rounds)
+    searched = strategy == "thorough" and len(folds) > 1 and search != 0
+    table_guard = Lock()
 
-    def medians():                    # one pass for all families that fill by median
-        with guard:
-            if not shared:
-                shared.update(medians_by_set(prepared, cols_by_set, "fold"))
-        return shared
+    def table():                      # the binned table of all tree models and candidates
+        with table_guard:
+            if "table" not in shared:
+                bins = max(GBT_CHOICES["bins"]) if searched else boost.bins
+                shared["table"] = TreeTable(prepared, sorted({c for cs in cols_by_set.values() for c in cs}), y, "fold", key,
+                                            bins, st["written"])
+        return shared["table"]
 
-    rounds = rounds or (GBT_ITER_THOROUGH if strategy == "thorough" else GBT_ITER_QUICK)
     settings = {}
-    if search > 0 and strategy == "thorough" and folds:
-        settings = search_settings(prepared, st, cols_by_set, medians, rounds, search, runnable)
-    models = _each(lambda k: fit_family(k, prepared, st, sets, cols_by_set, key, medians, rounds, trees, settings),
+    if searched:
+        t1 = time.time()
+        settings = search_settings(prepared, st, cols_by_set, medians, table, boost, search, runnable)
+        timings["search"] = time.time() - t1
+    models = _each(lambda k: fit_family(k, prepared, st, sets, cols_by_set, key, medians, table, boost, trees,
+                                        settings),
                    runnable)
     finals = {k: m["all"] for k, m in models.items()}
-    timings["fit_all_families"] = time.time() - t0 - timings["prepare"] - timings.get("recipes_screening", 0.0)
+    timings["fit_all_families"] = time.time() - t0 - sum(timings.values())
 
     # A fold's rows get the prediction of every family's model for
     # that fold as columns, so the members are aligned without a shuffle
@@ -607,7 +590,7 @@ def _importance(spark, best: str, finals: dict, weights: dict, prepared: DataFra
             feats, coef = (m["feats"], m["coef"]) if kind == "poly" else (m.feats, m.coef)
             return shares({c: abs(v) for c, v in zip(feats, coef)})
         if kind in ("gbt", "rf", "xt"):
-            return shares({r["feature"]: r["pct"] for r in split_importance(m, spark).collect()})
+            return shares(split_counts(m))
         if kind == "gp":
             return shares(m.importance())
         from sparkreg.operators.search import permutation_importance

@@ -3,7 +3,7 @@
 A bundle is a folder: ``meta.json`` (spec-sized: feature list, encoder
 plan, clip bounds, medians, transform, post-process, linear / GP / MLP
 parameters), one Parquet table per target encoder (written by Spark, never
-through the driver), and MLlib ``PipelineModel`` folders for tree models.
+through the driver), and one of nodes per tree model.
 Writes go to a fresh version folder; the ``CURRENT`` pointer is replaced
 last, so a reader never sees a half-written bundle.
 """
@@ -16,16 +16,15 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreg.operators.gp import GPSpec
 from sparkreg.operators.linear import LinearSpec
 from sparkreg.operators.mlp import MLPSpec
-from sparkreg.operators.trees import TreeSpec, node_table
+from sparkreg.operators.trees import TreeSpec, node_table, spec_from_nodes
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 def _local(path: str) -> str:
@@ -48,18 +47,14 @@ def _jsonable(o):
     return o
 
 
-def spec_to_json(kind: str, spec, models_dir: str) -> dict:
+def spec_to_json(kind: str, spec, models_dir: str, spark: SparkSession) -> dict:
     if isinstance(spec, LinearSpec):
         return {"type": "linear", "feats": spec.feats, "coef": spec.coef, "intercept": spec.intercept,
                 "medians": spec.medians, "alpha": spec.alpha}
     if isinstance(spec, TreeSpec):
-        paths = []
-        for j, m in enumerate(spec.models):
-            p = os.path.join(models_dir, f"{kind}_{j}")
-            m.write().overwrite().save(p)
-            paths.append(os.path.basename(p))
-        return {"type": "trees", "kind": spec.kind, "feats": spec.feats, "medians": spec.medians,
-                "models": paths, "cuts": spec.cuts}
+        node_table(spec, spark).write.parquet(os.path.join(models_dir, kind))
+        return {"type": "trees", "kind": spec.kind, "feats": spec.feats, "medians": spec.medians, "init": spec.init,
+                "mean": spec.mean, "nodes": kind}
     if isinstance(spec, GPSpec):
         return {"type": "gp", "feats": spec.feats, "medians": spec.medians, "x_mean": spec.x_mean,
                 "x_std": spec.x_std, "y_mean": spec.y_mean, "y_std": spec.y_std, "ls": spec.ls, "sv": spec.sv,
@@ -73,13 +68,13 @@ def spec_to_json(kind: str, spec, models_dir: str) -> dict:
     raise TypeError(type(spec))
 
 
-def spec_from_json(d: dict, models_dir: str):
+def spec_from_json(d: dict, models_dir: str, spark: SparkSession):
     t = d["type"]
     if t == "linear":
         return LinearSpec(d["feats"], d["coef"], d["intercept"], d["medians"], d["alpha"])
     if t == "trees":
-        ms = [PipelineModel.load(os.path.join(models_dir, p)) for p in d["models"]]
-        return TreeSpec(d["kind"], d["feats"], d["medians"], ms, d.get("cuts") or [])
+        nodes = spark.read.parquet(os.path.join(models_dir, d["nodes"])).toPandas()
+        return spec_from_nodes(nodes, **{k: d[k] for k in ("kind", "feats", "medians", "init", "mean")})
     if t == "gp":
         return GPSpec(d["feats"], d["medians"], np.array(d["x_mean"]), np.array(d["x_std"]), d["y_mean"],
                       d["y_std"], np.array(d["ls"]), d["sv"], d["nv"], np.array(d["Z"]), np.array(d["alpha"]))
@@ -108,7 +103,7 @@ def save_bundle(spark: SparkSession, root: str, meta: dict, members: dict, encod
     mdir = os.path.join(vdir, "models")
     meta = dict(meta)
     meta["format_version"] = FORMAT_VERSION
-    meta["members"] = {k: spec_to_json(k, s, mdir) for k, s in members.items()}
+    meta["members"] = {k: spec_to_json(k, s, mdir, spark) for k, s in members.items()}
     meta["encoders"] = {}
     for c, (frame, default, n_classes) in encoders.items():
         p = os.path.join(vdir, "encoders", c)
@@ -127,7 +122,7 @@ def load_bundle(spark: SparkSession, root: str) -> Bundle:
     vdir = os.path.join(root, read_text(spark, os.path.join(root, "CURRENT")).strip())
     meta = json.loads(read_text(spark, os.path.join(vdir, "meta.json")))
     mdir = os.path.join(vdir, "models")
-    members = {k: spec_from_json(d, mdir) for k, d in meta["members"].items()}
+    members = {k: spec_from_json(d, mdir, spark) for k, d in meta["members"].items()}
     enc = {c: spark.read.parquet(os.path.join(vdir, e["path"])) for c, e in meta.get("encoders", {}).items()}
     return Bundle(meta, members, enc, vdir)
 

@@ -170,41 +170,33 @@ def test_search_chooses_settings(spark):
     assert res.bundle["settings"]["mlp"]["alpha_l2"] in (1e-4, 1e-2)
 
 
-def test_search_trials_are_full_fits(spark, sf_small, monkeypatch):
-    """gbt_search and mlp_search judge their trials at the rounds and passes
-    of a training run."""
-    from pyspark.sql import functions as F
-
-    from sparkreg.operators.mlp import PASSES
-    from sparkreg.operators.trees import GBT_ITER_THOROUGH
-    from sparkreg.plans import q_models
+def test_search_trials_are_full_fits(spark, sf_small):
+    """Trials of a search keep the rounds, the stop and the passes of a
+    training run; finalists are judged on every fold."""
+    from sparkreg.operators import search as so
+    from sparkreg.operators.trees import BOOST_THOROUGH
     asked = []
 
-    class Fit:
-        def transform(self, df, out):
-            return df.withColumn(out, F.lit(0.0))
-        predict_column = transform
+    class Table:
+        spark = None
 
-    def trees(*a, max_iter, **k):
-        asked.append(max_iter)
-        return Fit()
+        def fit(self, wanted):
+            asked.append(dict(wanted))
+            return {k: type("Fitted", (), {"held": (10.0, 0.0, 10.0, 5.0 + k[0])}) for k in wanted}
 
-    def network(*a, passes=PASSES, **k):
-        asked.append(passes)
-        return dict.fromkeys(range(5), Fit())
-
-    def search(spark, cands, folds, evaluate, keep):
-        evaluate(cands[0], folds)
-        return spark.createDataFrame([(0, "", "final", 0.0)], "trial int, params string, stage string, r2 double")
-
-    monkeypatch.setattr(q_models, "fit_trees", trees)
-    monkeypatch.setattr(q_models, "fit_mlp", network)
-    monkeypatch.setattr("sparkreg.operators.search.halving_search", search)
-    q_models.q_gbt_search(spark, sf_small)
-    assert set(asked) == {GBT_ITER_THOROUGH}
-    asked.clear()
-    q_models.q_mlp_search(spark, sf_small)
-    assert set(asked) == {PASSES}
+    table = Table()
+    table.spark = spark
+    cands = so.gbt_candidates(100, size=6)
+    assert cands == so.gbt_candidates(100)[:6] and len(so.gbt_candidates(100)) == 24
+    folds = [0, 1, 2, 3, 4]
+    trials = so.search_trees(table, cands, folds, dict.fromkeys(folds, ["a"]), dict.fromkeys(folds, {}))
+    assert all(w.params.rounds == BOOST_THOROUGH.rounds and w.params.patience == BOOST_THOROUGH.patience
+               for some in asked for w in some.values())
+    assert {f for _, f in asked[0]} == {0, 1} and len(asked[0]) == 12
+    assert sorted({i for i, _ in asked[1]}) == [0, 1, 2] and {f for _, f in asked[1]} == {2, 3, 4}
+    assert so.best_trial(trials) == 0
+    rows = trials.collect()
+    assert [r["r2"] for r in rows if r["stage"] == "final"] == [pytest.approx(0.5 - 0.1 * i) for i in range(3)]
 
 
 def test_screening_keeps_weak_columns(spark):
@@ -223,22 +215,41 @@ def test_screening_keeps_weak_columns(spark):
 def test_probe_rounds_reach_all_probes(spark, monkeypatch):
     from sparkreg.operators import trees
     from sparkreg.operators.search import fit_recipe
-    from sparkreg.plans import train as plan
     asked = []
+    real = trees.TreeTable.fit
 
-    def fit(*a, max_iter, **k):
-        asked.append(max_iter)
-        raise RuntimeError("probe")
+    def fit(self, wanted):
+        asked.extend(w.params.rounds for w in wanted.values() if not w.params.patience)
+        return real(self, wanted)
 
-    monkeypatch.setattr(plan, "fit_trees", fit)
-    for rounds in (7, None):
-        with pytest.raises(RuntimeError, match="probe"):
-            train(_parcels(spark, 80), "y", key="id", strategy="thorough", families=("linear",),
-                  **({"probe_rounds": rounds} if rounds else {}))
-    assert set(asked) == {7, trees.PROBE_ITER} and (trees.PROBE_ITER, trees.PROBE_ITER_RANK) == (200, 150)
+    monkeypatch.setattr(trees.TreeTable, "fit", fit)
+    train(_parcels(spark, 80), "y", key="id", strategy="thorough", families=("linear",), probe_rounds=7)
+    assert set(asked) == {7}
+    assert (trees.PROBE_ITER, trees.PROBE_ITER_RANK) == (200, 150)
     seen = []
     feats = [f"x{i}" for i in range(13)]
     df = spark.range(60).select(*[((F.col("id") * (i + 3)) % 11).cast("double").alias(c) for i, c in enumerate(feats)],
                                 F.col("id").cast("double").alias("y"))
     fit_recipe(df, feats, "y", lambda d, names, rounds: seen.append(rounds) or {})
     assert seen == [150, 200]
+
+
+def test_recipes_of_all_sets_equal_those_of_each(spark):
+    """The shared probes choose what a probe of one set alone chooses."""
+    from dataclasses import replace
+
+    from sparkreg.operators.search import fit_recipe, fit_recipes
+    from sparkreg.operators.trees import PROBE, fit_trees, split_counts
+    rng = np.random.RandomState(3)
+    x = rng.uniform(-2, 3, (150, 3)).round(1)
+    y = x[:, 0] * x[:, 1] + x[:, 2]
+    df = spark.createDataFrame([(i, i % 3, *map(float, x[i]), float(y[i])) for i in range(150)],
+                               "id long, fold int, a double, b double, c double, y double")
+    both = fit_recipes(df, ["a", "b", "c"], "y", "fold", [0, "all"], "id", rounds=30)
+
+    def probe(d, names, rounds):
+        return split_counts(fit_trees(d, names, "y", params=replace(PROBE, rounds=30)))
+
+    one = fit_recipe(df.select("a", "b", "c", "y"), ["a", "b", "c"], "y", probe)
+    assert [r["name"] for r in both["all"]] == [r["name"] for r in one] and one[0]["name"] == "a*b"
+    assert both[0][0]["name"] == "a*b"
