@@ -7,9 +7,9 @@ ways lead from there to the same trees:
 * a table whose blocks are large is trained by one job a level.  A job
   brings every fit the histograms it asks for, added up over the blocks in
   the tasks and then over the tasks;
-* a table whose blocks together stay below ``LOCAL_BYTES`` (the size at
-  which Spark would broadcast it too) is sent whole to each fit's group, and
-  the groups are trained side by side, a job for all of them.
+* a table whose blocks together stay below ``LOCAL_BYTES`` is sent whole to
+  each fit's group, and the groups are trained side by side, a job for all of
+  them: its size is checked as that of a broadcast side would be.
 
 What a task remembers of a block between jobs (scores, the leaf a row is in)
 follows from the block and the trees and is made anew where it is missing.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.operators.histogram import Ask, Block, BlockWork, Ensemble, Fit, Params, Told, Tree, local_ask, run
-from sparkreg.session import cut_lineage, ship_package
+from sparkreg.session import cut_lineage, ship_package, spread_rows
 
 # The settings of each kind of model.
 BOOST_QUICK = Params(rounds=500, patience=30)
@@ -47,7 +47,7 @@ PROBE_ITER_RANK = 150          # of the probe that ranks a recipe's base feature
 
 #: Rows of a block; binned bytes up to which a table goes to each fit whole;
 #: trees that a forest grows in one sequence.
-BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 16 << 20, 38
+BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 64 << 20, 38
 #: Bytes of histograms that one task holds for all fits it serves at once,
 #: tasks whose sums are collected without a second step, finished trees that
 #: are shipped together, and bytes that a worker remembers between jobs.
@@ -80,6 +80,13 @@ class TreeSpec:
     def n_trees(self) -> int:
         return len(self.starts) - 1
 
+    def first(self, k: int) -> TreeSpec:
+        """The ensemble as it was after ``k`` trees."""
+        k = min(k, self.n_trees)
+        end = self.starts[k]
+        return replace(self, starts=self.starts[:k + 1], **{c: getattr(self, c)[:end] for c in (
+            "feature", "threshold", "left", "right", "value", "rows")})
+
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """The prediction as one more column."""
         spec = self
@@ -288,6 +295,11 @@ class TreeTable:
                 names.append(name)
         return fits, names
 
+    @property
+    def local(self) -> bool:
+        """Small enough that fits run side by side, each in a group."""
+        return self.bytes <= self.local_bytes
+
     def _fill(self, w: Want, c: str) -> float:
         """What stands for a missing value: the training set's median, or that
         of all rows where the fit names none."""
@@ -298,7 +310,7 @@ class TreeTable:
         """{name: fitted ensemble} of all ``wanted``, trained together."""
         fits, names = self._fits(wanted)
         usable = [i for i, f in enumerate(fits) if f.cols]
-        done = (self._fit_local if self.bytes <= self.local_bytes else self._fit_spread)({i: fits[i] for i in usable})
+        done = (self._fit_local if self.local else self._fit_spread)({i: fits[i] for i in usable})
         out = {}
         for name, w in wanted.items():
             parts = [done[i] for i in usable if names[i] == name]
@@ -364,7 +376,7 @@ class TreeTable:
         most = max(len(f.cols) * min(f.params.leaves, 64) for f in fits.values()) * self.width * 16
         wave = max(1, WAVE_BYTES // most)
         ids, out = list(fits), {}
-        blocks = self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = spread_rows(self.blocks).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for a in range(0, len(ids), wave):
                 some = self._ensembles({i: fits[i] for i in ids[a:a + wave]})
@@ -398,13 +410,13 @@ class _Jobs:
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, Told] = {}
             for batch in batches:
-                for row in batch.to_pylist():
-                    number, block = row.pop("id"), None
+                for i, number in enumerate(batch.column("id").to_pylist()):
+                    block = None
                     for a in asks:
                         key = (name, a.fit, number)
                         work = _WORKS.pop(key, None)
                         if work is None:
-                            block = block or read(**row)
+                            block = block or read(*[batch.column(c)[i].as_py() for c in ("codes", "y", "fold", "hash")])
                             work = BlockWork(block, fits[a.fit])
                         _WORKS[key] = work
                         t = work.answer(a, width)

@@ -372,10 +372,17 @@ def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key:
         params = replace(KINDS[kind], rounds=trees or KINDS[kind].rounds)
         return table().fit({s: want(s, params) for s in sets})
     params = replace(boost, **settings.get("gbt", {}))
-    got = table().fit({s: want(s, params) for s in sets if s != "all"})
-    last = params.rounds
-    if got:                           # all rows: a little longer than the folds needed before they stopped
-        last = max(GBT_FINAL_MIN, int(GBT_FINAL_FACTOR * sum(m.n_trees for m in got.values()) / len(got)))
+
+    def longer(rounds):               # all rows: a little longer than the folds needed before they stopped
+        return max(GBT_FINAL_MIN, int(GBT_FINAL_FACTOR * rounds))
+
+    wants = {s: want(s, params) for s in sets if s != "all"}
+    if len(wants) == 1 and table().local:
+        # the only other fit: grown beside it for as long as it may need, cut when that is known
+        got = table().fit(wants | {"all": want("all", replace(params, rounds=longer(params.rounds), patience=0))})
+        return got | {"all": got["all"].first(longer(got[next(iter(wants))].n_trees))}
+    got = table().fit(wants)
+    last = longer(sum(m.n_trees for m in got.values()) / len(got)) if got else params.rounds
     return got | table().fit({"all": want("all", replace(params, rounds=last, patience=0))})
 
 

@@ -172,6 +172,13 @@ def cut_lineage(df: DataFrame, written: list | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for tables of
+    few but large rows that many jobs go through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def remove(spark: SparkSession, paths: list) -> None:
     """Delete intermediate folders that nothing reads any more."""
     for path in paths:

@@ -201,3 +201,9 @@ def test_networks_train_alike(spark):
         assert np.allclose(one[k][0].w, two[k][0].w, atol=1e-6) and np.allclose(one[k][1], two[k][1], rtol=1e-6)
     gap = one["x"][0].predict_column(df.where("fold = 1"), "p").agg(F.sum((F.col("y") - F.col("p")) ** 2)).first()[0]
     assert gap == pytest.approx(one["x"][1][3], rel=1e-6)
+
+
+def test_an_ensemble_is_its_first_trees_and_more(spark):
+    df, feats = frame(spark), ["a", "b.c", "d"]
+    long, short = (T.fit_trees(df, feats, "y", params=replace(T.BOOST_QUICK, rounds=k, patience=0), key="id") for k in (9, 4))
+    assert same(long.first(4), short) and long.first(99).n_trees == 9
