@@ -37,6 +37,8 @@ EPOCHS, BATCH = 9, 48
 TRAIN_BLOCKS = 256
 #: Blocks of a padded batch when labelling.
 BATCH_BLOCKS = 20_000
+#: Longer pages are scored in parts of so many blocks.
+LONG_PART = 4_096
 #: Elements and names that mark parts of the sample pages that are not main text.
 ASIDE = frozenset("nav footer aside form header menu .ad .ads .advert .sidebar .comments .comment .cookie .notice "
                   ".menu .nav .footer .header".split())
@@ -133,8 +135,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(bs: list[Block]) -> np.ndarray:
-    """(blocks, features) of a page."""
+def vectors(bs: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, features) of a page, or of the part of a page of ``total``
+    blocks that starts at its block ``first``."""
     x = np.zeros((len(bs), PATH_DIM + WORD_DIM + SHAPE_DIM), dtype=np.float32)
     for i, b in enumerate(bs):
         x[i, :PATH_DIM] = _path_vector(b.path)
@@ -143,7 +146,7 @@ def vectors(bs: list[Block]) -> np.ndarray:
         x[i, PATH_DIM:PATH_DIM + WORD_DIM] = counts / (len(words) + 4.0)
         n = len(b.text)
         x[i, -SHAPE_DIM:] = (np.log1p(n) / 6, b.link_chars / n, b.text.count(". ") / (n / 40 + 1),
-                             b.text[-1] in ".!?", i / len(bs))
+                             b.text[-1] in ".!?", (first + i) / (total or len(bs)))
     return x
 
 
@@ -169,12 +172,12 @@ class Labeller:
         p["v0"] = np.zeros(1, dtype=np.float32)
         return cls(p)
 
-    def _direction(self, x, mask, s):
-        """States (T, B, H) of one direction; with what the gradient needs."""
+    def _direction(self, x, mask, s, tape=False, start=None):
+        """States (T, B, H) of one direction, with what the gradient needs if
+        ``tape``, and the last state, which ``start`` may go on from."""
         t_n, b_n, _ = x.shape
         pre = x @ self.p["W" + s] + self.p["c" + s]
-        h = np.zeros((b_n, HIDDEN), np.float32)
-        c = np.zeros_like(h)
+        h, c = start or (np.zeros((b_n, HIDDEN), np.float32), np.zeros((b_n, HIDDEN), np.float32))
         hs, kept = np.zeros((t_n, b_n, HIDDEN), np.float32), [None] * t_n
         for t in range(t_n) if s == "f" else range(t_n - 1, -1, -1):
             z = pre[t] + h @ self.p["U" + s]
@@ -184,20 +187,21 @@ class Labeller:
             m = mask[t][:, None]
             c_new = f * c + i * u
             th = np.tanh(c_new)
-            kept[t] = (h, c, i, f, o, u, th, m)
+            if tape:
+                kept[t] = (h, c, i, f, o, u, th, m)
             c = np.where(m, c_new, c)
             h = np.where(m, o * th, h)
             hs[t] = h
-        return hs, kept
+        return hs, kept, (h, c)
 
-    def scores(self, x, mask):
-        f, kf = self._direction(x, mask, "f")
-        b, kb = self._direction(x, mask, "b")
+    def scores(self, x, mask, tape=False):
+        f, kf, _ = self._direction(x, mask, "f", tape)
+        b, kb, _ = self._direction(x, mask, "b", tape)
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["V"] + self.p["v0"], (both, kf, kb)
 
     def gradients(self, x, mask, y):
-        z, (both, kf, kb) = self.scores(x, mask)
+        z, (both, kf, kb) = self.scores(x, mask, tape=True)
         prob = _sigmoid(z)
         w = np.where(mask, 1.0, 0.0).astype(np.float32)
         dz = (prob - y) * w / w.sum()
@@ -240,10 +244,26 @@ class Labeller:
                     lr = rate * (1 - 0.95 * step / total)
                     self.p[k] = self.p[k] - lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
 
+    def score_long(self, page: list[Block]) -> np.ndarray:
+        """The scores of one page, part by part: the states pass from a part
+        to the next, so they are those of the whole page."""
+        z = np.full(len(page), self.p["v0"][0], np.float32)
+        starts = list(range(0, len(page), LONG_PART))
+        for s, order, v in (("f", starts, self.p["V"][:HIDDEN]), ("b", starts[::-1], self.p["V"][HIDDEN:])):
+            state = None
+            for a in order:
+                x = vectors(page[a:a + LONG_PART], a, len(page))[:, None, :]
+                hs, _, state = self._direction(x, np.ones(x.shape[:2], bool), s, start=state)
+                z[a:a + LONG_PART] += hs[:, 0] @ v
+        return z
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """True per block of main text, for each page."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
+        while order and len(pages[order[-1]]) > LONG_PART:
+            i = order.pop()
+            out[i] = self.score_long(pages[i]) > 0
         at = 0
         while at < len(order):
             end = at + 1

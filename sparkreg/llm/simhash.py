@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.llm.common import as_row, connected_components, text_or_empty, write_table
@@ -92,13 +92,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return sum(1 << int(b) for b in bits)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
+                 beside: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp) and the columns ``beside``: fp is the fingerprint as a
+    signed long."""
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), fp(text_or_empty(F.col(f"`{text_col}`"))).alias("fp"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), fp(text_or_empty(F.col(f"`{text_col}`"))).alias("fp"),
+                       *[c.alias(name) for name, c in (beside or {}).items()])
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -137,6 +140,26 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return near.select("u", "v").unionByName(stars).distinct()
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bucket: int) -> DataFrame:
+    """(doc_id, fp, t0, t1, component_id, one) for every row: t0 and t1 hash
+    the text, and ``one`` is whether the row's id and text are those that its
+    component is named by."""
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    table = write_table(fingerprints(docs, id_col, text_col, shingle, {"t0": F.xxhash64(text), "t1": F.xxhash64(F.lit(1), text)}),
+                        "simhash-fp")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "t0", "t1"))
+    reps = write_table(table.groupBy("fp").agg(F.min(named).alias("rep")), "simhash-reps")
+    roots = connected_components(links(reps.select("fp"), bucket))
+    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
+                 .select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = write_table(rooted, "simhash-roots")
+    ids = rooted.groupBy("root").agg(F.min("rep").alias("best"))
+    best = rooted.join(ids, "root").select("fp", "best")
+    same = [F.col(c) == F.col(f"best.{c}") for c in ("doc_id", "t0", "t1")]
+    return table.join(best, "fp").select("doc_id", "fp", "t0", "t1", F.col("best.doc_id").alias("component_id"),
+                                         F.coalesce(same[0] & same[1] & same[2], F.lit(False)).alias("one"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits),
@@ -149,24 +172,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id of its component, null if there is none.  Repeated rows and
     equal texts share a fingerprint, so they are never joined pair by pair.
     """
-    table = write_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    reps = table.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = write_table(reps, "simhash-reps")
-    roots = connected_components(links(reps.select("fp"), bucket))
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-                 .select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted = write_table(rooted, "simhash-roots")
-    ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return table.join(named, "fp").select(
+    return _classed(docs, id_col, text_col, shingle, bucket).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` of which each component keeps the document with
-    the smallest doc_id; rows without a doc_id, which no component can name,
-    stay."""
-    gone = near_duplicates(docs, id_col, text_col, shingle).where("doc_id <> component_id") \
-        .select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").alias("__id"))
-    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("row.*")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` of which each component keeps one document: that
+    with the smallest doc_id, and of different texts under that id the one
+    whose fingerprint, then hash, is smallest.
+
+    A row goes by its id and text, not by its id alone: another text under a
+    repeated id is judged in its own component.  Rows that repeat both the id
+    and the text of the document that stays, stay with it; rows without a
+    doc_id, which no component can name, stay.
+    """
+    gone = _classed(docs, id_col, text_col, shingle, bucket).where("doc_id is not null and not one") \
+        .select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "t0", "t1")]).distinct()
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    rows = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__a"),
+                       F.xxhash64(F.lit(1), text).alias("__b"))
+    same = (F.col("__id") == F.col("__doc_id")) & (F.col("__a") == F.col("__t0")) & (F.col("__b") == F.col("__t1"))
+    return rows.join(gone, same, "left_anti").select("row.*")
