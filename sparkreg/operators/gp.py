@@ -9,9 +9,14 @@ mean is K_*m alpha with
 K_mn K_nm and K_mn y are accumulated over ALL training rows by
 ``mapInPandas`` (one m x m block per partition, summed by Spark's vector
 aggregate); only the m x m solve happens on the driver.  With every row an
-inducing point this equals the exact GP posterior mean.  Hyper-parameters
-(ARD length scales, signal and noise variance) maximise the exact marginal
-likelihood on the inducing subset by coordinate search.
+inducing point this equals the exact GP posterior mean.
+
+Hyper-parameters (ARD length scales, signal and noise variance) maximise the
+variational lower bound of the marginal likelihood (Titsias, 2009) of ALL
+training rows, which is the likelihood itself when every row is a point.
+The bound and its gradient need K_mn K_nm, K_mn y and a sum over the rows'
+distances to the points: two passes a trial, shared by all training sets and
+restarts; quasi-Newton steps on the log parameters.
 """
 
 from __future__ import annotations
@@ -21,16 +26,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.operators.folds import sample_rows
+from sparkreg.operators.mlp import Descent, add_up, float_blocks
+from sparkreg.session import spread_rows
 
-GP_MAX_POINTS = 300            # fixed: inducing / hyper-parameter subset size
-NOISE_JITTER = 1e-4
-SEARCH_FACTORS = [0.25, 0.5, 2.0, 4.0]
+GP_MAX_POINTS = 300            # fixed: inducing points
+SEARCH_POINTS = 100            # of them, those that the bound of a search uses
+SEARCH_PASSES = 40             # trials of a search
+RESTARTS_THOROUGH = 3
+THETA_RANGE = (-6.0, 6.0)      # of the logarithms of the hyper-parameters
+NOISE_JITTER, POINT_JITTER = 1e-4, 1e-6
+LOCAL_BYTES = 4 << 20          # prepared bytes up to which a table goes to each search whole
 
 
 def rbf(A: np.ndarray, B: np.ndarray, ls: np.ndarray, sv: float) -> np.ndarray:
@@ -39,34 +52,146 @@ def rbf(A: np.ndarray, B: np.ndarray, ls: np.ndarray, sv: float) -> np.ndarray:
     return sv * np.exp(-0.5 * np.maximum(d2, 0.0))
 
 
-def log_marginal(X: np.ndarray, y: np.ndarray, ls, sv, nv) -> float:
-    K = rbf(X, X, ls, sv) + (nv + NOISE_JITTER) * np.eye(len(y))
-    try:
-        L = np.linalg.cholesky(K)
-    except np.linalg.LinAlgError:
-        return -np.inf
-    a = np.linalg.solve(L.T, np.linalg.solve(L, y))
-    return float(-0.5 * y @ a - np.log(np.diag(L)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
-
-
-def fit_hyper(X: np.ndarray, y: np.ndarray, passes: int = 2) -> tuple[np.ndarray, float, float]:
-    d = X.shape[1]
-    ls, sv, nv = np.ones(d), 1.0, 0.1
-    best = log_marginal(X, y, ls, sv, nv)
-    for _ in range(passes):
-        for p in range(d + 2):
-            for f in SEARCH_FACTORS:
-                ls2, sv2, nv2 = ls.copy(), sv, nv
-                if p < d:
-                    ls2[p] *= f
-                elif p == d:
-                    sv2 *= f
-                else:
-                    nv2 *= f
-                v = log_marginal(X, y, ls2, sv2, nv2)
-                if v > best:
-                    best, ls, sv, nv = v, ls2, sv2, nv2
-    return ls, sv, nv
+def bound(theta: np.ndarray, Z: np.ndarray, n: float, yy: float, b: np.ndarray, Phi: np.ndarray):
+    """(lower bound of the log marginal likelihood, its slope in K_mn K_nm and
+    in K_mn y, its slope in ``theta`` apart from those two).  ``theta`` holds
+    the logarithms of the length scales, the signal and the noise variance."""
+    d = Z.shape[1]
+    ls, sv, s2 = np.exp(theta[:d]), np.exp(theta[d]), np.exp(theta[d + 1]) + NOISE_JITTER
+    plain = rbf(Z, Z, ls, sv)
+    Kmm = plain + POINT_JITTER * sv * np.eye(len(Z))
+    A = Kmm + Phi / s2
+    La, Lk = np.linalg.cholesky(A), np.linalg.cholesky(Kmm)
+    Ai, Ki = np.linalg.inv(A), np.linalg.inv(Kmm)
+    a, inside = Ai @ b, float((Ki * Phi).sum())
+    value = -0.5 * (n * np.log(2 * np.pi * s2) + 2 * np.log(np.diag(La)).sum() - 2 * np.log(np.diag(Lk)).sum()
+                    + yy / s2 - b @ a / s2 ** 2 + (n * sv - inside) / s2)
+    gA = -0.5 * (Ai + np.outer(a, a) / s2 ** 2)
+    gPhi, gb = gA / s2 + 0.5 * Ki / s2, a / s2 ** 2
+    gK = gA + 0.5 * Ki - 0.5 * Ki @ Phi @ Ki / s2
+    slope = np.empty(d + 2)
+    for j in range(d):
+        slope[j] = (gK * plain * ((Z[:, j][:, None] - Z[:, j][None, :]) / ls[j]) ** 2).sum()
+    slope[d] = (gK * Kmm).sum() + 2 * (gPhi * Phi).sum() + gb @ b - 0.5 * n * sv / s2
+    by_noise = -(gA * Phi).sum() / s2 ** 2 - 0.5 * (n / s2 - yy / s2 ** 2 + 2 * (b @ a) / s2 ** 3 - (n * sv - inside) / s2 ** 2)
+    slope[d + 1] = by_noise * np.exp(theta[d + 1])
+    return float(value), gPhi, gb, slope
+
+
+class _Search:
+    """The searches of one call by number: a training set from one start."""
+
+    def __init__(self, specs: list, folds: list, points: int, columns: list[str]):
+        at = {c: i for i, c in enumerate(columns)}
+        self.specs, self.folds, self.d = specs, folds, len(columns)
+        self.spots = [np.array([at[c] for c in s.feats], dtype=np.int64) for s in specs]
+        self.fills = [np.array([s.medians[c] for c in s.feats]) for s in specs]
+        self.Z = [s.Z[:points] for s in specs]
+
+    def read(self, x: bytes, y: bytes, fold: bytes):
+        return np.frombuffer(x).reshape(-1, self.d), np.frombuffer(y), np.frombuffer(fold, dtype=np.int32)
+
+    def _rows(self, i: int, x, y, folds):
+        s, mine = self.specs[i], slice(None) if self.folds[i] is None else folds != self.folds[i]
+        v = x[mine][:, self.spots[i]]
+        return (np.where(np.isnan(v), self.fills[i], v) - s.x_mean) / s.x_std, (y[mine] - s.y_mean) / s.y_std
+
+    def sums(self, at: dict[int, np.ndarray], x, y, folds):
+        """(number, [rows, y y, K_mn y, K_mn K_nm])."""
+        for i, theta in at.items():
+            rows, t = self._rows(i, x, y, folds)
+            K = rbf(rows, self.Z[i], np.exp(theta[:-2]), np.exp(theta[-2]))
+            yield i, np.concatenate([[len(t), t @ t], K.T @ t, (K.T @ K).ravel()])
+
+    def slopes(self, at: dict[int, tuple], x, y, folds):
+        """(number, what the rows add to the slope in the log length scales)."""
+        for i, (theta, gPhi, gb) in at.items():
+            rows, t = self._rows(i, x, y, folds)
+            ls, Z = np.exp(theta[:-2]), self.Z[i]
+            K = rbf(rows, Z, ls, np.exp(theta[-2]))
+            M = (2 * K @ gPhi + t[:, None] * gb) * K
+            yield i, ((rows ** 2).T @ M.sum(1) - 2 * ((rows.T @ M) * Z.T).sum(1) + (Z ** 2).T @ M.sum(0)) / ls ** 2
+
+    def run(self, starts: dict[int, np.ndarray], added, passes: int) -> dict[int, tuple[float, np.ndarray]]:
+        """{number: (loss a row, theta)}; ``added`` adds up over all rows."""
+        walk = {i: Descent(v.copy()) for i, v in starts.items()}
+        for _ in range(passes):
+            at = {i: np.clip(w.trial(), *THETA_RANGE) for i, w in walk.items() if not w.done}
+            if not at:
+                break
+            total, judged = added(lambda *r, at=at: self.sums(at, *r)), {}
+            for i, theta in at.items():
+                m, v = len(self.Z[i]), total.get(i)
+                try:
+                    judged[i] = (bound(theta, self.Z[i], v[0], v[1], v[2:2 + m], v[2 + m:].reshape(m, m)), v[0])
+                except (np.linalg.LinAlgError, TypeError):
+                    walk[i].told(np.inf, np.zeros(len(theta)))
+            far = added(lambda *r: self.slopes({i: (at[i], j[0][1], j[0][2]) for i, j in judged.items()}, *r)) if judged else {}
+            for i, ((value, _, _, slope), n) in judged.items():
+                slope = slope.copy()
+                slope[:-2] += far.get(i, 0.0)
+                walk[i].told(-value / n, -slope / n)
+        return {i: (np.inf if w.loss is None else w.loss, np.clip(w.here, *THETA_RANGE)) for i, w in walk.items()}
+
+
+def fit_hyper(df: DataFrame, specs: dict, y: str, fold: str | None, restarts: int = 1, points: int = SEARCH_POINTS,
+              passes: int = SEARCH_PASSES, local_bytes: int = LOCAL_BYTES, seed: int = 42) -> dict:
+    """{training set: (length scales, signal, noise)} of the best restart, by
+    the bound over all its rows."""
+    names = [(s, r) for s in specs for r in range(restarts)]
+    union = sorted({c for sp in specs.values() for c in sp.feats})
+    base = df.select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in union],
+                     (F.col(f"`{fold}`") if fold else F.lit(-1)).cast("int").alias("__fold"))
+    work = _Search([specs[s] for s, _ in names], [None if s == "all" else s for s, _ in names], points, union)
+    rng = np.random.RandomState(seed)
+    starts = {i: np.concatenate([np.zeros(len(specs[s].feats)) if r == 0 else rng.uniform(-1, 2, len(specs[s].feats)),
+                                 [0.0, np.log(0.1)]]) for i, (s, r) in enumerate(names)}
+    blocks = float_blocks(base, union)
+    size = blocks.agg(F.sum(F.octet_length("x") + F.octet_length("y")).alias("b")).first()["b"] or 0
+    if size <= local_bytes:                          # a group a search, each with all blocks
+        def search(group: pa.Table) -> pa.Table:
+            i = group["name"][0].as_py()
+            rows = [work.read(**r) for r in group.sort_by("id").select(["x", "y", "fold"]).to_pylist()]
+
+            def added(part):
+                total: dict = {}
+                for r in rows:
+                    add_up(total, part(*r))
+                return total
+
+            loss, theta = work.run({i: starts[i]}, added, passes)[i]
+            return pa.table({"name": pa.array([i], pa.int32()), "loss": [loss], "theta": [theta.tobytes()]})
+
+        each = blocks.withColumn("name", F.explode(F.array(*[F.lit(i) for i in starts])))
+        got = (each.repartition(4 * len(starts), "name").groupBy("name")
+               .applyInArrow(search, "name int, loss double, theta binary").collect())
+        found = {r["name"]: (r["loss"], np.frombuffer(r["theta"])) for r in got}
+    else:
+        blocks = spread_rows(blocks.select("x", "y", "fold")).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def added(part) -> dict:
+            def sums(batches):
+                total: dict = {}
+                for batch in batches:
+                    for r in batch.to_pylist():
+                        add_up(total, part(*work.read(**r)))
+                if total:
+                    yield pa.RecordBatch.from_pydict({
+                        "name": pa.array(list(total), pa.int32()),
+                        "v": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
+            rows = (blocks.mapInArrow(sums, "name int, v array<double>").groupBy("name")
+                    .agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect())
+            return {r["name"]: r["v"].toArray() for r in rows}
+
+        try:
+            found = work.run(starts, added, passes)
+        finally:
+            blocks.unpersist()
+    out = {}
+    for s in specs:
+        theta = min((found.get(i, (np.inf, starts[i])) for i, (t, _) in enumerate(names) if t == s), key=lambda v: v[0])[1]
+        out[s] = (np.exp(theta[:-2]), float(np.exp(theta[-2])), float(np.exp(theta[-1])))
+    return out
 
 
 @dataclass
@@ -105,8 +230,7 @@ class GPSpec:
 def prepare_specs(df: DataFrame, y: str, key: str, medians_by_set: dict, fold: str | None,
                   cols_by_set: dict) -> dict:
     """Per training set (fold complement or all): standardisation (all sets
-    from ONE FILTERed aggregate), the seeded 300-row subset, and
-    hyper-parameters fitted on that subset."""
+    from ONE FILTERed aggregate) and the seeded 300 points."""
     sets = list(cols_by_set)
     aggs = []
     for si, s in enumerate(sets):
@@ -128,14 +252,12 @@ def prepare_specs(df: DataFrame, y: str, key: str, medians_by_set: dict, fold: s
         xsd = np.array([max(st[f"s{si}_{i}"] or 0.0, 1e-8) for i in range(d)])
         ym, ysd = float(st[f"my{si}"] or 0.0), max(float(st[f"sy{si}"] or 0.0), 1e-8)
         tr_rows = df if s == "all" else df.filter(F.col(fold) != s)
-        base = tr_rows.select(key, F.col(y).alias("__y"),
+        base = tr_rows.select(key,
                               *[F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c, 0.0)))).alias(f"__x{i}")
                                 for i, c in enumerate(cols)])
         sub = sample_rows(base, key, GP_MAX_POINTS).toPandas()     # <= 300 rows: spec-sized
         Z = (sub[[f"__x{i}" for i in range(d)]].to_numpy(dtype=float) - xm) / xsd
-        yz = (sub["__y"].to_numpy(dtype=float) - ym) / ysd
-        ls, sv, nv = fit_hyper(Z, yz)
-        specs[s] = GPSpec(list(cols), {c: float(med.get(c, 0.0)) for c in cols}, xm, xsd, ym, ysd, ls, sv, nv, Z)
+        specs[s] = GPSpec(list(cols), {c: float(med.get(c, 0.0)) for c in cols}, xm, xsd, ym, ysd, np.ones(d), 1.0, 0.1, Z)
     return specs
 
 
@@ -189,11 +311,13 @@ def solve_alpha(spec: GPSpec, KK: np.ndarray, Ky: np.ndarray) -> np.ndarray:
 
 
 def fit_gp(df: DataFrame, feats: Sequence[str], y: str, key: str, medians_by_set: dict,
-           fold: str | None = None, folds: Sequence[int] = (), cols_by_set: dict | None = None) -> dict:
+           fold: str | None = None, folds: Sequence[int] = (), cols_by_set: dict | None = None, restarts: int = 1) -> dict:
     """GP specs for each evaluated fold's complement and for all rows."""
     if cols_by_set is None:
         cols_by_set = {s: list(feats) for s in list(folds) + ["all"]}
     specs = prepare_specs(df, y, key, medians_by_set, fold, cols_by_set)
+    for s, (ls, sv, nv) in fit_hyper(df, specs, y, fold, restarts).items():
+        specs[s].ls, specs[s].sv, specs[s].nv = ls, sv, nv
     acc = accumulate(df, specs, y, fold)
     for s, sp in specs.items():
         KK, Ky = acc[s]

@@ -30,7 +30,7 @@ from sparkreg.operators import metrics as M
 from sparkreg.operators import profile as P
 from sparkreg.operators import transform as TR
 from sparkreg.operators.blend import blend_weights, eligible_members
-from sparkreg.operators.gp import fit_gp
+from sparkreg.operators.gp import RESTARTS_THOROUGH, fit_gp
 from sparkreg.operators.linear import ALPHAS_POLY, ALPHAS_STD, poly_columns, ridge_cv
 from sparkreg.operators.histogram import pooled_r2
 from sparkreg.operators.mlp import MLP_MIN_ROWS, NetWant, fit_networks
@@ -360,7 +360,8 @@ def fit_family(kind: str, df: DataFrame, st: dict, sets, cols_by_set: dict, key:
     if kind == "poly":
         return _each(lambda s: fit_poly(_training_rows(df, s), st["base_feats"], y, key), sets)
     if kind == "gp":
-        return fit_gp(df, cols_by_set["all"], y, key, medians(), "fold" if folds else None, folds, cols_by_set)
+        return fit_gp(df, cols_by_set["all"], y, key, medians(), "fold" if folds else None, folds, cols_by_set,
+                      RESTARTS_THOROUGH if st["strategy"] == "thorough" else 1)
     if kind == "mlp":
         return fit_networks(df, y, {s: NetWant(cols_by_set[s], medians()[s], None if s == "all" else s,
                                                **settings.get("mlp", {})) for s in sets}, "fold" if folds else None)
