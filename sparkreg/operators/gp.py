@@ -228,9 +228,9 @@ class GPSpec:
 
 
 def prepare_specs(df: DataFrame, y: str, key: str, medians_by_set: dict, fold: str | None,
-                  cols_by_set: dict) -> dict:
+                  cols_by_set: dict, points: int = GP_MAX_POINTS) -> dict:
     """Per training set (fold complement or all): standardisation (all sets
-    from ONE FILTERed aggregate) and the seeded 300 points."""
+    from ONE FILTERed aggregate) and the seeded points."""
     sets = list(cols_by_set)
     aggs = []
     for si, s in enumerate(sets):
@@ -255,7 +255,7 @@ def prepare_specs(df: DataFrame, y: str, key: str, medians_by_set: dict, fold: s
         base = tr_rows.select(key,
                               *[F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c, 0.0)))).alias(f"__x{i}")
                                 for i, c in enumerate(cols)])
-        sub = sample_rows(base, key, GP_MAX_POINTS).toPandas()     # <= 300 rows: spec-sized
+        sub = sample_rows(base, key, points).toPandas()     # <= 300 rows: spec-sized
         Z = (sub[[f"__x{i}" for i in range(d)]].to_numpy(dtype=float) - xm) / xsd
         specs[s] = GPSpec(list(cols), {c: float(med.get(c, 0.0)) for c in cols}, xm, xsd, ym, ysd, np.ones(d), 1.0, 0.1, Z)
     return specs

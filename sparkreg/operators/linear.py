@@ -170,6 +170,10 @@ class LinearSpec:
     alpha: float
     scale: dict[str, float] = field(default_factory=dict)
 
+    def scaled(self) -> list[float]:
+        """The coefficients of the scaled columns, which can be compared."""
+        return [w * self.scale.get(c, 1.0) for c, w in zip(self.feats, self.coef)]
+
     def predict(self) -> Column:
         e = F.lit(self.intercept)
         for c, w in zip(self.feats, self.coef):

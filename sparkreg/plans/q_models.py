@@ -22,8 +22,9 @@ from sparkreg.operators.folds import sample_rows, stratified_folds
 from sparkreg.operators.gp import fit_gp, kernel_sum
 from sparkreg.operators.linear import ALPHAS_STD, ridge_cv
 from sparkreg.operators.mlp import NetWant, fit_mlp, fit_networks
-from sparkreg.operators.trees import (BOOST_QUICK, BOOST_THOROUGH, PROBE, TreeTable, fit_trees, screen_features,
-                                      split_counts, split_importance)
+from sparkreg.operators.histogram import Params
+from sparkreg.operators.trees import (BOOST_QUICK, BOOST_THOROUGH, PROBE, TreeTable, fit_trees, node_table,
+                                      screen_features, spec_from_nodes, split_counts, split_importance)
 from sparkreg.plans.catalog import query
 from sparkreg.plans.q_folds import R2_SQL, _candidates, _cand_sql, _oof_events, folds_cte, oof_te_sql
 from sparkreg.session import cut_lineage, scratch_path
@@ -119,6 +120,11 @@ pr AS (SELECT cf.f, b.p_partkey, b.fold, b.x, b.y, b.y_raw, cf.my - cf.beta * cf
        FROM b, cf, rg)"""
 
 
+# the same with the wider fences of a quick run replaced and every fold evaluated
+LINEAR_ALL = LINEAR_ONE.replace("4.5 *", "3.0 *").replace(
+    "fs AS (SELECT 0 AS f UNION ALL SELECT -1)", "fs AS (SELECT DISTINCT fold AS f FROM b UNION ALL SELECT -1)")
+
+
 def one_feature(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("x"),
                                            F.col("p_retailprice").alias("y"))
@@ -320,10 +326,46 @@ def q_poly_ridge_cv(spark, sf):
 def q_coef_importance(spark, sf):
     d, feats = part_numeric(spark, sf)
     res = ridge_cv(d, feats, "y", "p_partkey", None, ALPHAS_STD)
-    imp = M.coef_importance(res.final.feats, res.final.coef, spark)
+    imp = M.coef_importance(res.final.feats, res.final.scaled(), spark)
     return M.top_importance(imp)
 
 
+# Ridge on two columns u, v of ``two`` (k, u, v, y) in closed form; s is what the penalty is scaled by.
+TWO_SQL = """
+m AS (SELECT avg(u) AS mu, avg(v) AS mv, avg(y) AS my, count(*) AS n FROM two),
+g AS (SELECT var_pop(u) * n + pu AS uu, var_pop(v) * n + pv AS vv, covar_pop(u, v) * n AS uv, covar_pop(u, y) * n AS uy,
+             covar_pop(v, y) * n AS vy FROM two, m, pen GROUP BY n, pu, pv),
+w AS (SELECT (vv * uy - uv * vy) / (uu * vv - uv * uv) AS wu, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS wv FROM g)"""
+IQR = "greatest(quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25), 1e-8)"
+
+
+@query("coef_importance_exact", f"""
+WITH two AS (SELECT p_size AS u, length(p_name) AS v, p_retailprice AS y FROM part),
+pen AS (SELECT power({IQR.format('u')}, 2) AS pu, power({IQR.format('v')}, 2) AS pv FROM two), {TWO_SQL},
+c AS (SELECT 'p_size' AS feature, abs(wu * sqrt(pu)) AS a FROM w, pen UNION ALL SELECT 'name_len', abs(wv * sqrt(pv)) FROM w, pen)
+SELECT feature, round(a * 100 / sum(a) OVER (), 1) AS pct FROM c""")
+def q_coef_importance_exact(spark, sf):
+    """M14 of a ridge on two columns with one penalty: shares of the
+    coefficients of the scaled columns."""
+    pt = part_frame(spark, sf).select("p_partkey", "p_size", "name_len", "y")
+    spec = ridge_cv(pt, ["p_size", "name_len"], "y", "p_partkey", None, [1.0]).final
+    return M.top_importance(M.coef_importance(spec.feats, spec.scaled(), spark))
+
+
+@query("score_poly_exact", f"""
+WITH q AS (SELECT quantile_cont(p_size, 0.5) AS c, {IQR.format('p_size')} AS s FROM part),
+two AS (SELECT p_partkey AS k, (p_size - c) / s AS u, power((p_size - c) / s, 2) AS v, p_retailprice AS y FROM part, q),
+pen AS (SELECT 1.0 AS pu, 1.0 AS pv), {TWO_SQL}
+SELECT k AS p_partkey, round(my + wu * (u - mu) + wv * (v - mv), 6) AS pred FROM two, m, w""")
+def q_score_poly_exact(spark, sf):
+    """One column, its square, one penalty."""
+    from sparkreg.plans.score import add_poly
+    from sparkreg.plans.train import fit_poly
+    pt = part_frame(spark, sf).select("p_partkey", "p_size", "y")
+    return add_poly(pt, fit_poly(pt, ["p_size"], "y", "p_partkey", alphas=[1.0]), "pred").select(
+        "p_partkey", rnd("pred").alias("pred"))
+
+
 @query("score_linear", """
 WITH b AS (SELECT p_partkey, CAST(nullif(p_size, 1) AS DOUBLE) AS x, p_retailprice AS y FROM part),
 m AS (SELECT quantile_cont(x, 0.5) AS med FROM b),
@@ -354,6 +396,76 @@ def _tree_oof(spark, sf, kind):
     return by_fold(d, specs, lambda rows, spec: spec.transform(rows, "pred"))
 
 
+# Two boosted trees of three leaves on two columns, in SQL: cumulated rows and gradients by value, the split of
+# largest gain, then that of the better child, leaves shrunk by the two penalties.
+EXACT = Params(rounds=2, leaves=3, rate=0.5, min_leaf=20, rows=1.0, cols=1.0)
+
+
+def _split_sql(name, rows):
+    """Best split (node, j, x, gain) of every node of ``rows`` (node, x0, x1, y, f)."""
+    gain = " ".join(f"{sign} power(greatest(abs({g}) - 0.1, 0), 2) / ({c} + 1.0)"
+                    for sign, g, c in (("", "gl", "cl"), ("+", "gt - gl", "ct - cl"), ("-", "gt", "ct")))
+    return f"""{name}_h AS (SELECT node, j, x, count(*) AS c, sum(f - y) AS g
+  FROM (SELECT node, unnest([0, 1]) AS j, unnest([x0, x1]) AS x, f, y FROM {rows}) GROUP BY node, j, x),
+{name}_c AS (SELECT node, j, x, sum(c) OVER w AS cl, sum(g) OVER w AS gl, sum(c) OVER v AS ct, sum(g) OVER v AS gt
+  FROM {name}_h WINDOW w AS (PARTITION BY node, j ORDER BY x), v AS (PARTITION BY node, j)),
+{name} AS (SELECT node, j, x, {gain} AS gain FROM {name}_c WHERE cl >= 20 AND ct - cl >= 20
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, x) = 1)"""
+
+
+def _tree_sql(t, rows):
+    return f"""t{t}_r AS (SELECT *, 1 AS node FROM {rows}), {_split_sql(f't{t}_a', f't{t}_r')},
+t{t}_s AS (SELECT r.* EXCLUDE (node), CASE WHEN (CASE j WHEN 0 THEN x0 ELSE x1 END) <= x THEN 2 ELSE 3 END AS node
+  FROM t{t}_r r, t{t}_a), {_split_sql(f't{t}_b', f't{t}_s')},
+t{t}_p AS (SELECT * FROM t{t}_b ORDER BY gain DESC LIMIT 1),
+t{t}_l AS (SELECT s.* EXCLUDE (node), CASE WHEN s.node <> p.node THEN s.node
+  WHEN (CASE j WHEN 0 THEN x0 ELSE x1 END) <= x THEN 4 ELSE 5 END AS node FROM t{t}_s s, t{t}_p p),
+t{t}_v AS (SELECT node, count(*) AS n, -0.5 * sign(sum(f - y)) * greatest(abs(sum(f - y)) - 0.1, 0) / (count(*) + 1.0) AS value
+  FROM t{t}_l GROUP BY node),
+t{t} AS (SELECT k, x0, x1, y, f + value AS f FROM t{t}_l JOIN t{t}_v USING (node))"""
+
+
+TREES_SQL = f"""WITH t_in AS (SELECT p_partkey AS k, p_size AS x0, length(p_type) AS x1, p_retailprice AS y,
+  avg(p_retailprice) OVER () AS f FROM part),
+{_tree_sql(1, 't_in')},
+{_tree_sql(2, 't1')}"""
+
+
+def _exact_trees(spark, sf):
+    d = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x0"),
+                                        F.length("p_type").cast("double").alias("x1"), F.col("p_retailprice").alias("y"))
+    return d, fit_trees(d, ["x0", "x1"], "y", params=EXACT, key="p_partkey")
+
+
+@query("score_trees_exact", f"{TREES_SQL} SELECT k AS p_partkey, round(f, 6) AS pred FROM t2")
+def q_score_trees_exact(spark, sf):
+    """Two trees, written as a node table and read back."""
+    d, spec = _exact_trees(spark, sf)
+    nodes = cut_lineage(node_table(spec, spark)).toPandas()
+    back = spec_from_nodes(nodes, kind="gbt", feats=spec.feats, medians=spec.medians, init=spec.init)
+    return back.transform(d, "pred").select("p_partkey", rnd("pred").alias("pred"))
+
+
+@query("tree_leaves_exact", f"""{TREES_SQL}
+SELECT 0 AS tree, n AS n_rows, round(value, 6) AS value FROM t1_v
+UNION ALL SELECT 1, n, round(value, 6) FROM t2_v""")
+def q_tree_leaves_exact(spark, sf):
+    """The leaves of the node table."""
+    _, spec = _exact_trees(spark, sf)
+    return node_table(spec, spark).where("feature IS NULL").select(
+        "tree", F.col("rows").cast("bigint").alias("n_rows"), rnd("value").alias("value"))
+
+
+@query("split_importance_exact", f"""{TREES_SQL},
+s AS (SELECT j FROM t1_a UNION ALL SELECT j FROM t1_p UNION ALL SELECT j FROM t2_a UNION ALL SELECT j FROM t2_p)
+SELECT 'x' || i AS feature, count(j)::DOUBLE AS importance, round(count(j) * 100.0 / 4, 4) AS pct
+FROM (SELECT unnest([0, 1]) AS i) LEFT JOIN s ON j = i GROUP BY i""")
+def q_split_importance_exact(spark, sf):
+    """M13 of the two trees."""
+    _, spec = _exact_trees(spark, sf)
+    return split_importance(spec, spark).select("feature", "importance", rnd("pct", 4).alias("pct"))
+
+
 @query("gbt_fit")
 def q_gbt_fit(spark, sf):
     """500 rounds of up to 31 leaves, stopped by a holdout, one ensemble
@@ -426,6 +538,27 @@ def q_rbf_cross(spark, sf):
     return out.select("p_partkey", rnd("ksum").alias("ksum"))
 
 
+@query("score_gp_exact", """
+WITH st AS (SELECT avg(p_size) AS xm, stddev_pop(p_size) AS xs, avg(p_retailprice) AS ym, stddev_pop(p_retailprice) AS ys FROM part),
+r AS (SELECT p_partkey, (p_size - xm) / xs AS x, (p_retailprice - ym) / ys AS y,
+             row_number() OVER (ORDER BY md5(concat('42|', CAST(p_partkey AS VARCHAR)))) AS nr FROM part, st),
+z AS (SELECT max(CASE WHEN nr = 1 THEN x END) AS z1, max(CASE WHEN nr = 2 THEN x END) AS z2 FROM r),
+k AS (SELECT p_partkey, y, 1.5 * exp(-0.5 * power((x - z1) / 0.7, 2)) AS k1, 1.5 * exp(-0.5 * power((x - z2) / 0.7, 2)) AS k2 FROM r, z),
+a AS (SELECT sum(k1 * k1) + 0.2001 * 1.5 AS a11, sum(k1 * k2) + 0.2001 * 1.5 * exp(-0.5 * power((z1 - z2) / 0.7, 2)) AS a12,
+             sum(k2 * k2) + 0.2001 * 1.5 AS a22, sum(k1 * y) AS b1, sum(k2 * y) AS b2 FROM k, z GROUP BY z1, z2)
+SELECT p_partkey, round(((a22 * b1 - a12 * b2) * k1 + (a11 * b2 - a12 * b1) * k2) / (a11 * a22 - a12 * a12) * ys + ym, 4) AS pred
+FROM k, a, st""")
+def q_score_gp_exact(spark, sf):
+    """D05 and the posterior of M07 with two points and given
+    hyper-parameters."""
+    from sparkreg.operators.gp import accumulate, prepare_specs, solve_alpha
+    pt = part_frame(spark, sf).select("p_partkey", "p_size", "y")
+    spec = prepare_specs(pt, "y", "p_partkey", {"all": {}}, None, {"all": ["p_size"]}, points=2)["all"]
+    spec.ls, spec.sv, spec.nv = np.array([0.7]), 1.5, 0.2
+    spec.alpha = solve_alpha(spec, *accumulate(pt, {"all": spec}, "y", None)["all"])
+    return spec.predict_column(pt, "pred").select("p_partkey", rnd("pred", 4).alias("pred"))
+
+
 @query("score_gp")
 def q_score_gp(spark, sf):
     from sparkreg.plans.score import score
@@ -537,8 +670,8 @@ def q_importance_merge(spark, sf):
     d, feats = part_numeric(spark, sf)
     lin = ridge_cv(d, feats, "y", "p_partkey", None, ALPHAS_STD).final
     tree = fit_trees(d, feats, "y", "gbt", key="p_partkey")
-    tot = sum(abs(c) for c in lin.coef) or 1.0
-    li = spark.createDataFrame([("linear", f, abs(c) / tot * 100.0) for f, c in zip(lin.feats, lin.coef)],
+    tot = sum(abs(c) for c in lin.scaled()) or 1.0
+    li = spark.createDataFrame([("linear", f, abs(c) / tot * 100.0) for f, c in zip(lin.feats, lin.scaled())],
                                "member string, feature string, pct double")
     tr = split_importance(tree, spark).select(F.lit("gbt").alias("member"), "feature", "pct")
     wide = d.select("p_partkey", "y", lin.predict().alias("linear"))
@@ -548,6 +681,26 @@ def q_importance_merge(spark, sf):
     return M.importance_merge(li.unionByName(tr), weights).select("feature", rnd("pct", 4).alias("pct"))
 
 
+@query("importance_merge_exact", f"""{TREES_SQL},
+s AS (SELECT j FROM t1_a UNION ALL SELECT j FROM t1_p UNION ALL SELECT j FROM t2_a UNION ALL SELECT j FROM t2_p),
+ti AS (SELECT 'x' || i AS feature, count(j) / 4.0 AS p FROM (SELECT unnest([0, 1]) AS i) LEFT JOIN s ON j = i GROUP BY i),
+two AS (SELECT x0 AS u, x1 AS v, y FROM t_in),
+pen AS (SELECT power({IQR.format('u')}, 2) AS pu, power({IQR.format('v')}, 2) AS pv FROM two), {TWO_SQL},
+li AS (SELECT 'x0' AS feature, abs(wu * sqrt(pu)) / (abs(wu * sqrt(pu)) + abs(wv * sqrt(pv))) AS p FROM w, pen
+       UNION ALL SELECT 'x1', abs(wv * sqrt(pv)) / (abs(wu * sqrt(pu)) + abs(wv * sqrt(pv))) FROM w, pen),
+a AS (SELECT ti.feature, 0.7 * ti.p + 0.3 * li.p AS v FROM ti JOIN li USING (feature))
+SELECT feature, round(v * 100 / sum(v) OVER (), 4) AS pct FROM a""")
+def q_importance_merge_exact(spark, sf):
+    """A20 of a ridge and a boosted model with weights 0.3 and 0.7."""
+    d, spec = _exact_trees(spark, sf)
+    lin = ridge_cv(d, ["x0", "x1"], "y", "p_partkey", None, [1.0]).final
+    li = M.coef_importance(lin.feats, lin.scaled(), spark).select(
+        F.lit("linear").alias("member"), "feature", (F.col("importance") * 100).alias("pct"))
+    tr = split_importance(spec, spark).select(F.lit("gbt").alias("member"), "feature", "pct")
+    weights = spark.createDataFrame([("linear", 0.3), ("gbt", 0.7)], "member string, weight double")
+    return M.importance_merge(li.unionByName(tr), weights).select("feature", rnd("pct", 4).alias("pct"))
+
+
 # ---------------------------------------------------------------- M12
 @query("y_transform_select", f"""
 WITH {folds_cte('events', 'event_id', 'value')},
@@ -676,6 +829,14 @@ def q_oof_evaluate(spark, sf):
     return res.oof.select("p_partkey", "fold", rnd("linear").alias("linear"))
 
 
+@query("oof_evaluate_linear", f"WITH {LINEAR_ALL} SELECT p_partkey, fold, round(lin, 6) AS linear FROM pr WHERE f = fold")
+def q_oof_evaluate_linear(spark, sf):
+    """M18 over all folds: every row predicted by the model of its fold."""
+    from sparkreg.plans.train import train
+    res = train(one_feature(spark, sf), "y", key="p_partkey", strategy="thorough", families=("linear",), transform="none")
+    return res.oof.select("p_partkey", "fold", rnd("linear").alias("linear"))
+
+
 @query("oof_evaluate_all_folds")
 def q_oof_evaluate_all_folds(spark, sf):
     res = trained(spark, sf, "thorough", ("linear", "gbt"))

@@ -150,7 +150,7 @@ def check_key(df: DataFrame, key: str) -> None:
 
 
 def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str = "quick",
-            probe_rounds: int = PROBE_ITER) -> tuple[DataFrame, dict]:
+            probe_rounds: int = PROBE_ITER, transform: str | None = None) -> tuple[DataFrame, dict]:
     """Cleaning, encoding plan, folds, fences, transform and clip.  Returns
     the prepared frame (written as Parquet) and the spec-sized preparation
     state."""
@@ -282,7 +282,10 @@ def prepare(df: DataFrame, target: str | None, key: str | None, strategy: str =
     df = df.select(*[S.clip(c, *st["clip"][c]).alias(c) if c in st["clip"] else F.col(c) for c in df.columns])
     rule = TR.quick_transform_rule(tr_w, y, y_min_all).first()
     st["transform"], st["lambda"] = rule["transform"], None
-    if strategy == "thorough" and len(st["folds"]) >= 2 and num:
+    if transform is not None:
+        st["transform"] = transform
+        st["lambda"] = TR.fit_yj_lambda(tr_w, y) if transform == "yeo_johnson" else None
+    elif strategy == "thorough" and len(st["folds"]) >= 2 and num:
         st["transform"], st["lambda"], st["transform_scores"] = select_transform_cv(
             df, y, num, y_min_all, st["folds"][:2], probe_rounds, key, written)
     elif st["transform"] == "yeo_johnson":
@@ -332,7 +335,7 @@ def _each(fn, items, threads: int = FAMILY_THREADS) -> dict:
         return dict(zip(items, pool.map(fn, items)))
 
 
-def fit_poly(df: DataFrame, feats: list[str], y: str, key: str, max_feats: int = POLY_MAX_FEATS) -> dict:
+def fit_poly(df: DataFrame, feats: list[str], y: str, key: str, max_feats: int = POLY_MAX_FEATS, alphas=ALPHAS_POLY) -> dict:
     """M02 on one training set: its own medians, robust scales and most
     correlated columns, then ridge on their squares and products."""
     med = P.fit_medians(df, feats)
@@ -341,7 +344,7 @@ def fit_poly(df: DataFrame, feats: list[str], y: str, key: str, max_feats: int =
     center, scl = {c: rob[c]["center"] or 0.0 for c in top}, {c: rob[c]["scale"] or 1.0 for c in top}
     src = df.select(key, y, *[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in top])
     src = src.select(key, y, *poly_columns(top, center, scl))
-    res = ridge_cv(src, [c for c in src.columns if c not in (key, y)], y, key, None, ALPHAS_POLY, robust=False)
+    res = ridge_cv(src, [c for c in src.columns if c not in (key, y)], y, key, None, alphas, robust=False)
     return {"type": "poly", "top": top, "center": center, "scale": scl, "medians": {c: med[c] for c in top},
             "feats": res.final.feats, "coef": res.final.coef, "intercept": res.final.intercept,
             "alpha": res.final.alpha}
@@ -409,7 +412,7 @@ def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, table,
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
           families=None, derive: bool | None = None, rounds: int | None = None, trees: int | None = None,
-          search: int | None = None, probe_rounds: int = PROBE_ITER) -> TrainResult:
+          search: int | None = None, probe_rounds: int = PROBE_ITER, transform: str | None = None) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached; a key that is not unique is refused.
@@ -419,14 +422,15 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     chooses the settings of the boosted trees and the network among
     ``search`` candidates each (by table size when None, none when 0).
     ``probe_rounds`` bounds the boosted probes of a thorough run (screening,
-    derived features, target transform)."""
+    derived features, target transform).  ``transform`` (none, log1p,
+    yeo_johnson) fixes that of the target instead of choosing it."""
     spark = df.sparkSession
     from sparkreg.session import tune_session
     tune_session(spark)
     import time
     t0 = time.time()
     timings: dict = {}
-    prepared, st = prepare(df, target, key, strategy, probe_rounds)
+    prepared, st = prepare(df, target, key, strategy, probe_rounds, transform)
     timings["prepare"] = time.time() - t0
     key = st["key"]
     y = st["target"]
@@ -595,7 +599,7 @@ def _importance(spark, best: str, finals: dict, weights: dict, prepared: DataFra
     def one(kind):
         m = finals[kind]
         if kind in ("linear", "poly"):
-            feats, coef = (m["feats"], m["coef"]) if kind == "poly" else (m.feats, m.coef)
+            feats, coef = (m["feats"], m["coef"]) if kind == "poly" else (m.feats, m.scaled())
             return shares({c: abs(v) for c, v in zip(feats, coef)})
         if kind in ("gbt", "rf", "xt"):
             return shares(split_counts(m))
