@@ -215,14 +215,11 @@ def q_oof_assemble(spark, sf):
     from sparkreg.operators.blend import oof_assemble
     f = spark_folds(spark, sf, "part", "p_partkey", "p_retailprice")
 
-    def fit(train):        # per-type mean fitted on the complement (k x 6 numbers)
-        return {r["p_type"]: r["m"] for r in train.groupBy("p_type").agg(F.avg("p_retailprice").alias("m")).collect()}
-
-    def score(rows, spec):
-        e = F.lit(None).cast("double")
-        for k_, v in spec.items():
-            e = F.when(F.col("p_type") == k_, F.lit(v)).otherwise(e)
-        return rows.select("p_partkey", "fold", e.alias("pred"))
+    def fit(train):        # per-type mean on the complement, as a table
+        return train.groupBy("p_type").agg(F.avg("p_retailprice").alias("pred"))
+
+    def score(rows, means):
+        return rows.join(means, "p_type", "left").select("p_partkey", "fold", "pred")
 
     out = oof_assemble(f, "fold", fit, score)
     return out.select("p_partkey", "fold", rnd("pred").alias("pred"))
