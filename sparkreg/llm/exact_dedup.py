@@ -23,10 +23,12 @@ from sparkreg.llm.common import as_row, ascii_lower, text_or_empty
 
 #: Characters of the text that take part in the splitters.
 KEY_CHARS = 64
-#: A sort key is hot when it holds more than this share of all rows (so there
-#: are at most 1 / HOT_SHARE hot keys) and more than HOT_ROWS rows.
+#: A sort key is hot when it holds more than this share of all rows and more
+#: than HOT_ROWS rows, or more than HOT_MOST rows whatever the share (so there
+#: are at most 1 / HOT_SHARE or rows / HOT_MOST hot keys).
 HOT_SHARE = 1e-3
-HOT_ROWS = 50
+HOT_ROWS, HOT_MOST = 50, 100_000
+#: Parts of a hot key at least; about HOT_MOST rows fall to a part.
 SALTS = 64
 
 
@@ -47,11 +49,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the keys need a bounded part of the text only; equal texts have equal keys
     src = (src.withColumn("k", ascii_lower(F.substring("raw", 1, KEY_CHARS)))
            .withColumn("hk", F.xxhash64(F.octet_length("raw"), ascii_lower(F.substring("raw", 1, 4 * KEY_CHARS)))))
-    bound = max(hot_rows, math.ceil(docs.count() * hot_share))
-    hot = src.groupBy("hk").agg(F.count("*").alias("c")).where(F.col("c") > bound).select("hk", F.lit(True).alias("hot"))
+    bound = max(hot_rows, min(math.ceil(docs.count() * hot_share), HOT_MOST))
+    hot = (src.groupBy("hk").agg(F.count("*").alias("c")).where(F.col("c") > bound)
+           .select("hk", F.lit(True).alias("hot"), F.greatest(F.lit(salts), F.ceil(F.col("c") / HOT_MOST)).alias("parts")))
     src = src.join(F.broadcast(hot), "hk", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    src = src.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0)
-                         .cast("int"))
+    # rows without an id are told apart by their place
+    some = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string")))
+    src = src.withColumn("salt", F.when(F.col("hot"), F.pmod(some, F.col("parts"))).otherwise(0).cast("int")).drop("parts")
 
     ranged = src.repartitionByRange("k", "hk", "salt").withColumn("t", ascii_lower(F.col("raw")))
     run = Window.partitionBy("hot", "k", "hk", "salt", "t")   # equals are neighbours in the sorted range

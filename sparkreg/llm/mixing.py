@@ -3,8 +3,12 @@
 Tokens are summed per source, the weights are turned into targets by water
 filling under a cap on repetition, and each document is emitted
 ``floor(rate)`` times plus one copy drawn with probability ``rate -
-floor(rate)`` from a hash of its id.  Only the per-source table (one row per
-source) is ever joined back; documents are neither moved nor gathered.
+floor(rate)`` from a hash of its id and its source's seed.  The draws of a
+source are independent, so one long document can carry it far from its
+target: of ``SEEDS`` seeds each source takes the one whose total comes
+nearest, found by one aggregate over (id, source, size).  Only the per-source
+table (one row per source) is ever joined back; documents are neither moved
+nor gathered.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreg.llm.common import WORD_RE, as_row, text_or_empty
+from sparkreg.llm.common import WORD_RE, as_row, text_or_empty, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEAT = 2.0
 SEED = "mix-1"
+SEEDS = 64
+STEPS = 1 << 24                # resolution of a draw
 #: Up to this many sources the rate table is broadcast, beyond it joined.
 BROADCAST_SOURCES = 100_000
 
@@ -28,12 +34,17 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD_RE)).cast("long")
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the md5 of the seed and a key; SQL engines
-    agree on it."""
-    head = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))
-                             .cast("binary")), 1, 12)
-    return F.conv(head, 16, 10).cast("double") / F.lit(float(16 ** 12))
+def hashes(key: Column, seed: str) -> tuple[Column, Column]:
+    """Two numbers below ``STEPS`` from the md5 of the seed and a key; SQL
+    engines agree on them."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return tuple(F.conv(F.substring(digest, at, 6), 16, 10).cast("long") for at in (1, 7))
+
+
+def drawn(a: Column, b: Column, k: Column, rate: Column) -> Column:
+    """Copies of a document by its source's seed ``k``."""
+    whole = F.floor(rate)
+    return whole + F.when(F.pmod(a + k * b, F.lit(STEPS)) < (rate - whole) * STEPS, 1).otherwise(0)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total_share: float = TOTAL_SHARE,
@@ -77,18 +88,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     doc_id draw alike.  Sources without words get target 0 and no copies.
     The same table always gives the same mix.
     """
-    d = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
-                    F.col(f"`{source_col}`").cast("string").alias("src"),
-                    word_count(F.col(f"`{text_col}`")).alias("size"))
-    per = docs.select(F.col(f"`{source_col}`").cast("string").alias("src"),
-                      word_count(F.col(f"`{text_col}`")).alias("size")) \
-              .groupBy("src").agg(F.sum("size").cast("long").alias("source_size"))
-    t = targets(per, weights, total_share, max_repeat).withColumnRenamed("src", "tsrc")
-    small = docs.agg(F.approx_count_distinct(F.col(f"`{source_col}`").cast("string")).alias("n")).first()["n"]
-    t = F.broadcast(t) if small <= BROADCAST_SOURCES else t
-    j = d.join(t, F.col("src").eqNullSafe(F.col("tsrc")), "left")
-    whole = F.floor("rate")
-    copies = whole + F.when(uniform(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    key, src = F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string")
+    size, (a, b) = word_count(F.col(f"`{text_col}`")), hashes(key, seed)
+    sized = write_table(docs.select(src.alias("src"), size.alias("size"), a.alias("a"), b.alias("b")), "mix-sizes")
+    per = sized.groupBy("src").agg(F.sum("size").cast("long").alias("source_size"))
+    t = write_table(targets(per, weights, total_share, max_repeat).withColumnRenamed("src", "tsrc"), "mix-rates")
+
+    def hinted(table):
+        return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+    same = F.col("src").eqNullSafe(F.col("tsrc"))
+    totals = (sized.join(hinted(t), same).groupBy("tsrc", "target")
+              .agg(*[F.sum(drawn(F.col("a"), F.col("b"), F.lit(k), F.col("rate")) * F.col("size")).alias(f"s{k}")
+                     for k in range(SEEDS)]))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("target")).alias("gap"), F.lit(k).alias("k"))
+                                 for k in range(SEEDS)]))
+    best = write_table(totals.select("tsrc", near["k"].alias("k")), "mix-seeds")
+    t = t.join(best.withColumnRenamed("tsrc", "bsrc"), F.col("tsrc").eqNullSafe(F.col("bsrc"))).drop("bsrc")
+    d = docs.select(as_row(docs).alias("row"), key.alias("doc_id"), src.alias("src"), size.alias("size"), a.alias("a"),
+                    b.alias("b"))
+    j = d.join(hinted(t), same, "left")
+    copies = drawn(F.col("a"), F.col("b"), F.col("k"), F.col("rate"))
     return j.select("row", "doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"),
                     (copies * F.col("size")).cast("long").alias("taken"))
 

@@ -51,13 +51,20 @@ t AS (
   FROM lvl LEFT JOIN pick ON true),
 rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0 END AS rate FROM t),
+hashed AS (
+  SELECT doc_id, size, source_size, target, rate, rates.source AS source, ('0x' || substr(h, 1, 6))::UBIGINT::BIGINT AS a,
+         ('0x' || substr(h, 7, 6))::UBIGINT::BIGINT AS b
+  FROM (SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM sized) s
+  JOIN rates ON s.source IS NOT DISTINCT FROM rates.source),
 drawn AS (
-  SELECT doc_id, size, source_size, target, floor(rate) + CASE WHEN
-      ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0
-      < rate - floor(rate) THEN 1 ELSE 0 END AS copies
-  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source)
+  SELECT *, floor(rate) + CASE WHEN (a + k * b) % 16777216 < (rate - floor(rate)) * 16777216 THEN 1 ELSE 0 END AS copies
+  FROM hashed, (SELECT unnest(range(64)) AS k)),
+seeds AS (
+  SELECT source, k FROM drawn GROUP BY source, k
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(copies * size) - any_value(target)), k) = 1)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (copies * size)::BIGINT AS taken FROM drawn
+       (copies * size)::BIGINT AS taken
+FROM drawn JOIN seeds ON drawn.k = seeds.k AND drawn.source IS NOT DISTINCT FROM seeds.source
 """)
 def op4(spark, sf_dir):
     from sparkreg.llm.mixing import mix
