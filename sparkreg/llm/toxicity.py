@@ -1,11 +1,12 @@
 """Toxicity classifier: character n-grams scaled by naive Bayes log-count
 ratios, under a linear (logistic) model.
 
-Which n-grams (of bytes, 3 to 5 long, hashed) a text holds is a set of
+Which n-grams (of characters, 3 to 5 long, hashed) a text holds is a set of
 indices.  From the labelled rows come the log-count ratio r of every index,
 and a logistic regression on the features x * r.  Fitting reads at most
-``max_rows`` labelled rows, those with the smallest hash of their id; that
-bound is the only one.  Scoring is one projection over all documents; the
+``max_rows`` labelled rows, those with the smallest hash of their id, as far
+as their texts together stay within ``max_bytes``; these bounds are the only
+ones.  Scoring is one projection over all documents; the
 weights (one float per hash bucket, 1 MB) are broadcast.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.llm.common import as_row, text_or_empty, write_table
@@ -24,6 +25,8 @@ BITS = 18
 SIZES = (3, 4, 5)
 #: Most labelled rows that a fit reads.
 MAX_TRAIN_ROWS = 10_000
+#: Most bytes of their texts, so that one task holds what it fits on.
+MAX_TRAIN_BYTES = 32 << 20
 THRESHOLD = 0.3
 SMOOTH = 0.5
 #: Log-count ratios nearer to zero than this leave the model.
@@ -42,10 +45,14 @@ def held_out(id_col: Column) -> Column:
 
 def ngram_ids(text: str) -> np.ndarray:
     """The distinct hashed n-grams of the lower-cased text, all of it."""
-    raw = b" " + " ".join(text.lower().split()).encode("utf-8", "surrogatepass") + b" "
+    plain = " " + " ".join(text.lower().split()) + " "
+    if plain.isascii():                                    # a byte a character, of the same number
+        raw = np.frombuffer(plain.encode(), dtype=np.uint8)
+    else:
+        raw = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     flags = np.zeros(1 << BITS, dtype=bool)
     for lo in range(0, len(raw), _CHUNK):                  # bounded memory for very long texts
-        x = np.frombuffer(raw[lo:lo + _CHUNK + max(SIZES) - 1], dtype=np.uint8).astype(np.uint32)
+        x = raw[lo:lo + _CHUNK + max(SIZES) - 1].astype(np.uint32)
         h = np.zeros(len(x), dtype=np.uint32)
         for n in range(1, max(SIZES) + 1):
             if len(x) < n:
@@ -93,7 +100,8 @@ def fit_weights(texts: list[str], y: np.ndarray, l2: float = L2, rounds: int = R
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
+        label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS,
+        max_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, float]:
     """Fit on the labelled rows that are not held out.  Rows with a null id or
     label are no training rows; an id that is labelled or stored twice
     counts once, with its smallest label and text."""
@@ -103,7 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = lab.orderBy(F.md5(F.col("i").cast("string").cast("binary")), "i").limit(max_rows)
     lab = write_table(lab, "tox-labels")                    # at most max_rows ids
     text = docs.select(F.col(f"`{id_col}`").alias("i"), text_or_empty(F.col(f"`{text_col}`")).alias("t"))
-    train = text.join(F.broadcast(lab), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    train = text.join(F.broadcast(lab), "i").groupBy("i", "y").agg(F.min("t").alias("t")) \
+        .where(F.octet_length("t") <= max_bytes)
+    in_turn = Window.orderBy(F.md5(F.col("i").cast("string").cast("binary")), "i")       # of at most max_rows rows
+    train = train.withColumn("upto", F.sum(F.octet_length("t").cast("long")).over(in_turn)) \
+        .where(F.col("upto") <= max_bytes).drop("upto")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"i": [], "t": [], "y": []})]).sort_values("i")
@@ -130,7 +142,8 @@ def scorer(spark, weights: np.ndarray, bias: float):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+                   threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS,
+                   max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """One row per input row: ``row`` (the input as a struct), doc_id,
     held_out, score, predicted.
 
@@ -139,7 +152,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     crc32 of the empty text.  Without labelled rows of both classes every
     text gets the base rate.  Repeated rows score alike.
     """
-    w, b = fit(docs, labels, id_col, text_col, max_rows=max_rows)
+    w, b = fit(docs, labels, id_col, text_col, max_rows=max_rows, max_bytes=max_bytes)
     score = scorer(docs.sparkSession, w, b)
     out = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                       held_out(F.col(f"`{id_col}`")).alias("held_out"),
