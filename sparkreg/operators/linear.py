@@ -138,6 +138,22 @@ def imputed_moments(s: dict, phi: np.ndarray) -> tuple[float, np.ndarray, float,
     return s["n"], Sx, s["sy"], Sxx, Sxy, s["yy"]
 
 
+def _solve(M: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric system, after its diagonal is brought to one.
+    Directions that the system does not determine (all classes of a one-hot
+    column, whose scale leaves next to no penalty) get no weight."""
+    t = 1.0 / np.sqrt(np.maximum(np.diag(M), 1e-300))
+    B = M * np.outer(t, t)
+    try:
+        if np.diag(np.linalg.cholesky(B)).min() > 1e-5:
+            return t * np.linalg.solve(B, t * b)
+    except np.linalg.LinAlgError:
+        pass
+    value, vector = np.linalg.eigh(B)
+    keep = value > 1e-10 * max(value.max(), 1e-300)
+    return t * (vector[:, keep] @ ((vector[:, keep].T @ (t * b)) / value[keep]))
+
+
 def ridge_solve(mom, scale: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
     """Centred ridge on x/scale with an unpenalised intercept.  Returns
     (beta in shifted units, intercept in shifted units)."""
@@ -145,11 +161,7 @@ def ridge_solve(mom, scale: np.ndarray, alpha: float) -> tuple[np.ndarray, float
     mx, my = Sx / n, Sy / n
     C = (Sxx - n * np.outer(mx, mx)) / np.outer(scale, scale)
     b = (Sxy - n * mx * my) / scale
-    d = len(scale)
-    try:
-        w = np.linalg.solve(C + alpha * np.eye(d), b)
-    except np.linalg.LinAlgError:
-        w = np.linalg.lstsq(C + alpha * np.eye(d), b, rcond=None)[0]
+    w = _solve(C + alpha * np.eye(len(scale)), b)
     beta = w / scale
     return beta, float(my - mx @ beta)
 

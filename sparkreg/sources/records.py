@@ -119,20 +119,24 @@ def records(spark: SparkSession, path: str, charset: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole records, and fragments: (part 1) what belongs to a record of
         an earlier split, (part 2) the record that is open at the end."""
-        key, inside, held, part, out = None, False, [], 0, []
+        key, inside, held, part, out, titled = None, False, [], 0, [], True
 
         def close(kind):
-            nonlocal held, part
+            nonlocal held, part, titled
             if held:
-                out.append((*key, len(out), kind, b"\n".join(held)))
+                value = b"\n".join(held)
+                title = not titled and bool(value.rstrip(b"\r"))        # the first record of a file that is not blank
+                titled |= title
+                out.append((*key, len(out), kind, value, title))
             held, part = [], 0
 
         def flush():
-            cols = list(zip(*out)) or [[]] * 5
+            cols = list(zip(*out)) or [[]] * 6
             out.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["file", "start", "nr", "part", "value"])
+                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.bool_())],
+                names=["file", "start", "nr", "part", "value", "header"])
 
         number = 0
         for batch in batches:
@@ -140,7 +144,7 @@ def records(spark: SparkSession, path: str, charset: str) -> DataFrame:
                 if (file, start) != key:
                     close(2 if part == 0 else 3)
                     key, inside = (file, start), state_of(file, start)
-                    part = 1 if inside else 0
+                    part, titled = 1 if inside else 0, start > 0
                     if start == 0 and line.startswith(BOM):
                         line = line[len(BOM):]
                 held.append(line)
@@ -157,8 +161,9 @@ def records(spark: SparkSession, path: str, charset: str) -> DataFrame:
             done = flush()
             yield done.set_column(2, "nr", pa.array(range(number, number + len(done)), pa.int64()))
 
-    pieces = file_lines(spark, path).mapInArrow(join, "file string, start long, nr long, part int, value binary")
-    whole = pieces.where("part = 0").select("file", "start", "nr", "value")
+    pieces = file_lines(spark, path).mapInArrow(
+        join, "file string, start long, nr long, part int, value binary, header boolean")
+    whole = pieces.where("part = 0").select("file", "start", "nr", "value", "header")
 
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         """Fragments of a file in order: an open end (2), whole splits inside
@@ -168,24 +173,23 @@ def records(spark: SparkSession, path: str, charset: str) -> DataFrame:
             if r.part == 2:
                 if open_ is not None:
                     out.append(open_)
-                open_ = (r.file, r.start, r.nr, r.value)
+                open_ = (r.file, r.start, r.nr, r.value, r.header)
             elif open_ is not None:
-                open_ = (*open_[:3], open_[3] + b"\n" + r.value)
+                open_ = (*open_[:3], open_[3] + b"\n" + r.value, open_[4])
                 if r.part == 1:
                     out.append(open_)
                     open_ = None
         if open_ is not None:
             out.append(open_)                        # the file ends inside a quoted field
-        return pd.DataFrame(out, columns=["file", "start", "nr", "value"])
+        return pd.DataFrame(out, columns=["file", "start", "nr", "value", "header"])
 
-    crossing = pieces.where("part > 0").groupBy("file").applyInPandas(stitch, "file string, start long, nr long, value binary")
+    crossing = pieces.where("part > 0").groupBy("file").applyInPandas(
+        stitch, "file string, start long, nr long, value binary, header boolean")
     rows = whole.unionByName(crossing)
 
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: v.rstrip(b"\r").decode(charset, "replace"))
 
-    first = rows.groupBy("file").agg(F.min(F.struct("start", "nr")).alias("h"))
-    rows = rows.join(first, "file").select("file", "start", "nr", (F.struct("start", "nr") == F.col("h")).alias("header"),
-                                           decode("value").alias("value"))
+    rows = rows.select("file", "start", "nr", "header", decode("value").alias("value"))
     return rows.where("header or value <> ''")

@@ -70,3 +70,19 @@ def test_ridge_recovers_signal(spark):
     res = ridge_cv(df, ["a", "b", "c"], "y", "id", None, ALPHAS_STD)
     assert abs(res.final.coef[0] - 1.5) < 0.05 and abs(res.final.coef[1] + 0.8) < 0.05
     assert abs(res.final.coef[2]) < 0.05
+
+
+def test_one_hot_classes_that_sum_to_one():
+    """The null direction of a full one-hot set gets no weight, whatever the
+    scale of the target."""
+    import numpy as np
+
+    from sparkreg.operators.linear import ridge_solve
+    rng = np.random.RandomState(0)
+    for _ in range(20):
+        k = rng.randint(0, 6, 160)
+        x = np.column_stack([rng.rand(160) * 50, *[(k == j).astype(float) for j in range(6)]])
+        y = 6.8 + 0.01 * x[:, 0] / 50 + 0.02 * (k == 2) + 0.001 * rng.randn(160)
+        mom = (160.0, x.sum(0), y.sum(), x.T @ x, x.T @ y, y @ y)
+        beta, icp = ridge_solve(mom, np.array([25.0] + [1e-8] * 6), 0.1)
+        assert np.abs(beta).max() < 10 and np.abs(icp + x @ beta - y).max() < 0.02
