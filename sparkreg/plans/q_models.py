@@ -719,6 +719,21 @@ def q_y_transform_select(spark, sf):
     return r.select(rnd("skew").alias("skew"), "transform")
 
 
+@query("y_transform_probe")
+def q_y_transform_probe(spark, sf):
+    """M12 of a thorough run: R2 of each transform's boosted probes on two
+    folds, on the target's own scale, and the choice."""
+    from sparkreg.plans.train import select_transform_cv
+    ev = table(spark, sf, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
+                                           (F.col("event_type") == "purchase").cast("double").alias("bought"),
+                                           F.length("event_type").cast("double").alias("kind"))
+    d = cut_lineage(stratified_folds(ev, "event_id", "value"))
+    ymin = d.agg(F.min("value")).first()[0]
+    best, lam, scores = select_transform_cv(d, "value", ["hour", "bought", "kind"], ymin, [0, 1], key="event_id")
+    return spark.createDataFrame([(t, float(v), t == best) for t, v in scores.items()],
+                                 "transform string, r2 double, chosen boolean").withColumn("r2", rnd("r2"))
+
+
 # ---------------------------------------------------------------- M18 / M20 / M21 / M22 / A22
 RIDGE_ONE = f"""
 {folds_cte('part', 'p_partkey', 'p_retailprice')},
@@ -777,6 +792,13 @@ def q_train(spark, sf):
     return trained(spark, sf).report
 
 
+@query("train_thorough")
+def q_train_thorough(spark, sf):
+    """M21 in full: out-of-fold evaluation of all seven families, with the
+    searches, the forests of 300 trees, the recipes and the blend."""
+    return trained(spark, sf, "thorough").leaderboard
+
+
 @query("choose_deployed")
 def q_choose_deployed(spark, sf):
     """The chosen model, else the next by R2 that can be saved."""

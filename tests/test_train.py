@@ -253,3 +253,34 @@ def test_recipes_of_all_sets_equal_those_of_each(spark):
     one = fit_recipe(df.select("a", "b", "c", "y"), ["a", "b", "c"], "y", probe)
     assert [r["name"] for r in both["all"]] == [r["name"] for r in one] and one[0]["name"] == "a*b"
     assert both[0][0]["name"] == "a*b"
+
+
+def test_transform_is_chosen_by_held_out_rows(spark):
+    """The transform of largest held-out R2 is taken; scores are those of
+    plain probes."""
+    from dataclasses import replace
+
+    from sparkreg.operators.trees import PROBE, fit_trees
+    from sparkreg.plans.train import select_transform_cv
+    rng = np.random.RandomState(4)
+    x = rng.uniform(0, 5, (900, 2))
+    wide = np.exp(1.3 * x[:, 0] + 0.8 * rng.randn(900))
+    flat = 40 + 3 * x[:, 0] - 2 * x[:, 1] + 0.3 * rng.randn(900)
+    df = spark.createDataFrame([(i, i % 3, *map(float, x[i]), float(wide[i]), float(flat[i])) for i in range(900)],
+                               "id long, fold int, a double, b double, wide double, flat double")
+    best, lam, scores = select_transform_cv(df, "wide", ["a", "b"], float(wide.min()), [0, 1], 60, "id")
+    assert set(scores) == {"none", "log1p", "yeo_johnson"} and scores[best] == max(scores.values())
+    assert (lam is not None) == (best == "yeo_johnson")
+    _, _, scores = select_transform_cv(df, "flat", ["a", "b"], float(flat.min()), [0, 1], 60, "id")
+    plain = fit_trees(df, ["a", "b"], "flat", params=replace(PROBE, rounds=60), fold="fold", folds=[0, 1], key="id")
+    rows = None
+    for f in (0, 1):
+        part = plain[f].transform(df.where(F.col("fold") == f), "p")
+        rows = part if rows is None else rows.unionByName(part)
+    want = rows.agg(1 - F.sum((F.col("flat") - F.col("p")) ** 2) / (F.var_pop("flat") * F.count("flat"))).first()[0]
+    assert scores["none"] == pytest.approx(want)
+
+
+def test_a_given_transform_is_kept(spark):
+    res = train(_parcels(spark, 90), "y", key="id", families=("linear",), transform="log1p")
+    assert res.report.first()["y_transform"] == "log1p" and res.report.first()["r2"] > 0.5
