@@ -197,7 +197,7 @@ class BlockWork:
             self.codes = np.asfortranarray(
                 np.where(gap, np.asarray(fit.fill, dtype=block.codes.dtype)[None, :], block.codes[:, self.cols]))
             self.cols = np.arange(len(self.cols))
-        self.raw, self.hash = block.y, spread(block.hash, _salt(fit.seed, 5))
+        self.raw, self.hash = block.y, spread(block.hash, _salt(fit.seed, 5)) if p.rows < 1 else None
         self.y = forward_target(block.y, fit.transform, fit.lam)
         seen = np.ones(len(self.y), bool) if fit.fold is None else block.fold != fit.fold
         self.es = seen & (mix(block.hash, _salt(fit.seed, 7, -1 if fit.fold is None else fit.fold)) < ES_SHARE) \
@@ -211,7 +211,7 @@ class BlockWork:
         for node, f, cut, left, right in splits:
             mine = self.rows.pop(node)
             low = self.codes[mine, self.cols[f]] <= cut
-            self.rows[left], self.rows[right] = mine[low], mine[~low]
+            self.rows[left], self.rows[right] = mine.compress(low), mine.compress(~low)
 
     def _begin(self, ask: Ask) -> None:
         """The rows at the root of the next tree, with the scores so far."""
@@ -230,7 +230,7 @@ class BlockWork:
             self.trees = len(ask.done)
         self.miss = self.score - self.y
         self.number, self.known, self.rows = ask.number, 0, {0: np.arange(len(self.y))}
-        self.drawn = self.train
+        self.drawn, self.all_drawn = self.train, bool(self.train.all()) and p.rows >= 1
         if p.rows < 1:
             self.drawn = self.train & (draw(self.hash, _salt(self.fit.seed, 11, self.fit.first + ask.number)) < p.rows)
 
@@ -267,13 +267,15 @@ class BlockWork:
         parts = []
         for node in ask.nodes:
             mine = self.rows[node]
-            parts.append(mine[self.drawn[mine]])
-        rows = np.concatenate(parts)
+            parts.append(mine if self.all_drawn else mine.compress(self.drawn[mine]))
+        rows = np.concatenate(parts) if len(parts) > 1 else parts[0]
         k, miss = len(ask.nodes), self.miss[rows]
-        place = np.repeat(np.arange(k) * width, [len(x) for x in parts]) if k > 1 else 0
+        place = np.repeat(np.arange(k) * width, [len(x) for x in parts]) if k > 1 else None
         told.hist = np.empty((k, len(ask.columns), width, 2))
         for j, c in enumerate(self.cols[ask.columns]):
-            spot = self.codes[:, c][rows] + place
+            spot = self.codes[:, c][rows].astype(np.intp)
+            if k > 1:
+                spot += place
             told.hist[:, j, :, 0] = np.bincount(spot, minlength=k * width).reshape(k, width)
             told.hist[:, j, :, 1] = np.bincount(spot, weights=miss, minlength=k * width).reshape(k, width)
         return told

@@ -45,9 +45,10 @@ SCREEN_MIN_FEATURES = 10
 PROBE_ITER = PROBE.rounds      # boosting rounds of a probe model (screening, recipes, transform choice)
 PROBE_ITER_RANK = 150          # of the probe that ranks a recipe's base features
 
-#: Rows of a block; binned bytes up to which a table goes to each fit whole;
-#: trees that a forest grows in one sequence.
-BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 64 << 20, 38
+#: Rows of a block; binned bytes up to which a table goes to each fit whole
+#: (a task then holds about three times as much, see ``_at_hand``); trees that
+#: a forest grows in one sequence.
+BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 256 << 20, 38
 #: Bytes of histograms that one task holds for all fits it serves at once,
 #: tasks whose sums are collected without a second step, finished trees that
 #: are shipped together, and bytes that a worker remembers between jobs.
@@ -359,9 +360,8 @@ class TreeTable:
 
         def train(group: pa.Table) -> pa.Table:
             i = group["fit"][0].as_py()
-            rows = group.sort_by("id").select(["codes", "y", "fold", "hash"]).to_pylist()
             e = ensembles[i]
-            run([e], local_ask({i: [BlockWork(read(**r), e.fit) for r in rows]}, width))
+            run([e], local_ask({i: [BlockWork(read(*r), e.fit) for r in _at_hand(group)]}, width))
             return pa.table({"fit": pa.array([i], pa.int32()), "model": [pickle.dumps(result(e))]})
 
         each = self.blocks.withColumn("fit", F.explode(F.array(*[F.lit(i) for i in fits])))
@@ -436,6 +436,14 @@ class _Jobs:
         return {i: total.get(i, Told(None)) for i in fits}
 
 
+def _at_hand(group: pa.Table) -> Iterator[tuple]:
+    """(codes, y, fold, hash) of every block by id, as views of the group."""
+    parts = [b.columns for b in group.select(["id", "codes", "y", "fold", "hash"]).to_batches()]
+    spots = sorted((v, p, i) for p, part in enumerate(parts) for i, v in enumerate(part[0].to_pylist()))
+    for _, p, i in spots:
+        yield tuple(c[i].as_buffer() for c in parts[p][1:])
+
+
 def _packed(total: dict[int, Told]) -> Iterator[pa.RecordBatch]:
     if total:
         yield pa.RecordBatch.from_pydict({"fit": pa.array(list(total), pa.int32()),

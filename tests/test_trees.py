@@ -6,6 +6,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,19 @@ def test_large_and_small_tables_train_alike(spark, monkeypatch):
     assert got == pytest.approx(small[0].held[3]) and pooled_r2([small[0].held]) > 0.4
 
 
+def test_a_group_reads_its_blocks_in_place():
+    """By id over all batches, and as views: no copy of a table that may be
+    large."""
+    rows = [(7, b"g"), (2, b"b"), (9, b"i"), (1, b"a")]
+    group = pa.Table.from_batches([pa.RecordBatch.from_pydict({
+        "id": [i for i, _ in part], **{c: [v * 3 for _, v in part] for c in ("codes", "y", "fold", "hash")},
+        "fit": pa.array([0] * len(part), pa.int32())}) for part in (rows[:2], rows[2:])])
+    got = list(T._at_hand(group))
+    assert [bytes(r[0]) for r in got] == [b"aaa", b"bbb", b"ggg", b"iii"]
+    base = group["codes"].chunk(1).buffers()[2].address
+    assert got[0][0].address == base + 3
+
+
 def test_scores_follow_the_node_table(spark):
     df = frame(spark)
     feats = ["a", "b.c", "d"]
