@@ -441,7 +441,15 @@ def _at_hand(group: pa.Table) -> Iterator[tuple]:
     parts = [b.columns for b in group.select(["id", "codes", "y", "fold", "hash"]).to_batches()]
     spots = sorted((v, p, i) for p, part in enumerate(parts) for i, v in enumerate(part[0].to_pylist()))
     for _, p, i in spots:
-        yield tuple(c[i].as_buffer() for c in parts[p][1:])
+        yield tuple(_view(c, i) for c in parts[p][1:])
+
+
+def _view(column: pa.Array, i: int) -> pa.Buffer:
+    """A binary value without a copy."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    a, b = np.frombuffer(offsets, dtype=kind)[column.offset + i:column.offset + i + 2]
+    return data.slice(int(a), int(b - a))
 
 
 def _packed(total: dict[int, Told]) -> Iterator[pa.RecordBatch]:
