@@ -221,3 +221,31 @@ def test_an_ensemble_is_its_first_trees_and_more(spark):
     df, feats = frame(spark), ["a", "b.c", "d"]
     long, short = (T.fit_trees(df, feats, "y", params=replace(T.BOOST_QUICK, rounds=k, patience=0), key="id") for k in (9, 4))
     assert same(long.first(4), short) and long.first(99).n_trees == 9
+
+
+def test_columns_of_few_codes_are_counted_together_with_the_same_sums():
+    rng = np.random.RandomState(3)
+    n, kinds = 6000, (2, 40, 2, 6, 2, 2, 3, 2, 2)
+    for dtype in (np.uint8, np.uint16):
+        codes = np.asfortranarray(np.column_stack([rng.randint(0, k, n) for k in kinds]).astype(dtype))
+        y = rng.randn(n)
+        block = Block(codes, y, np.arange(n) % 5, np.arange(n).astype(np.uint64), np.iinfo(dtype).max)
+        fit = Fit(tuple(range(len(kinds))), (0,) * len(kinds), Params(rounds=2, min_leaf=20), fold=1)
+        work = BlockWork(block, fit)
+        assert [list(first) for first, _, _ in work.joint] == [[0, 2, 4, 5, 7, 8, 6], [3, 1]]
+        ensemble, asks = Ensemble(0, fit, np.array([k - 1 for k in kinds]), WIDTH), []
+
+        def ask(some):
+            asks.append(some[0])
+            told = work.answer(some[0], WIDTH)
+            if told.hist is not None:
+                for i, node in enumerate(some[0].nodes):
+                    rows = work.rows[node][0]
+                    for j, c in enumerate(some[0].columns):
+                        assert (told.hist[i, j, :, 0] == np.bincount(codes[rows, c], minlength=WIDTH)).all()
+                        assert (told.hist[i, j, :, 1] == np.bincount(codes[rows, c], weights=work.miss[rows],
+                                                                     minlength=WIDTH)).all()
+            return {0: told}
+
+        run([ensemble], ask)
+        assert len(ensemble.trees) == 2 and any(len(a.nodes) > 1 for a in asks)
