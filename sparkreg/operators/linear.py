@@ -58,6 +58,20 @@ def inner_fold(key: str, k: int = INNER_FOLDS, seed: int = INNER_SEED) -> Column
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int")
 
 
+def cells_of(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, list[tuple]]:
+    """(number of every row's cell, the cells), the cells in order of their
+    first rows."""
+    import pandas as pd
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        own, values = pd.factorize(c, use_na_sentinel=False)
+        code = code * max(len(values), 1) + own
+    codes, some = pd.factorize(code)
+    first = np.full(len(some), len(code))
+    np.minimum.at(first, codes, np.arange(len(code)))
+    return codes, [tuple(c[i] for c in columns) for i in first]
+
+
 def null_aware_gram(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequence[str],
                     shift: dict[str, float]) -> dict[tuple, dict[str, np.ndarray]]:
     """One aggregation pass: the null-aware Gram system per cell.  Each task
@@ -77,15 +91,18 @@ def null_aware_gram(df: DataFrame, feats: Sequence[str], y: str, cell_cols: Sequ
         for pdf in it:
             X = np.column_stack([pdf[f"__x{i}"].to_numpy(dtype=float, na_value=np.nan) for i in range(d)]) - sh
             yv = pdf["__y"].to_numpy(dtype=float)
-            keys = list(zip(*[pdf[f"__c{j}"].to_numpy() for j in range(ncell)]))
-            codes, uniq = pd.factorize(pd.Series(keys))
+            codes, uniq = cells_of([pdf[f"__c{j}"].to_numpy() for j in range(ncell)])
             for ci, key in enumerate(uniq):
                 m = codes == ci
                 Xm, ym = X[m], yv[m]
-                M_ = np.isnan(Xm).astype(float)
-                Z = np.where(np.isnan(Xm), 0.0, Xm)
-                v = np.concatenate([[m.sum(), ym.sum(), ym @ ym], Z.sum(0), M_.sum(0), Z.T @ ym, M_.T @ ym,
-                                    (Z.T @ Z).ravel(), (Z.T @ M_).ravel(), (M_.T @ M_).ravel()])
+                gap = np.isnan(Xm)
+                if gap.any():
+                    M_, Z = gap.astype(float), np.where(gap, 0.0, Xm)
+                    of_gaps = M_.sum(0), M_.T @ ym, (Z.T @ M_).ravel(), (M_.T @ M_).ravel()
+                else:                                # nothing is missing: what M adds up to is zero
+                    Z, of_gaps = Xm, (np.zeros(d), np.zeros(d), np.zeros(d * d), np.zeros(d * d))
+                v = np.concatenate([[m.sum(), ym.sum(), ym @ ym], Z.sum(0), of_gaps[0], Z.T @ ym, of_gaps[1],
+                                    (Z.T @ Z).ravel(), *of_gaps[2:]])
                 acc[key] = v if key not in acc else acc[key] + v
         if acc:
             yield pd.DataFrame({**{f"__c{j}": [k[j] for k in acc] for j in range(ncell)},

@@ -86,3 +86,27 @@ def test_one_hot_classes_that_sum_to_one():
         mom = (160.0, x.sum(0), y.sum(), x.T @ x, x.T @ y, y @ y)
         beta, icp = ridge_solve(mom, np.array([25.0] + [1e-8] * 6), 0.1)
         assert np.abs(beta).max() < 10 and np.abs(icp + x @ beta - y).max() < 0.02
+
+
+def test_cells_are_numbered_in_the_order_of_their_rows():
+    from sparkreg.operators.linear import cells_of
+    fold, inner = np.array([3, 1, 3, 1, 0]), np.array([2, 4, 2, 0, 2])
+    codes, cells = cells_of([fold, inner])
+    assert codes.tolist() == [0, 1, 0, 2, 3] and cells == [(3, 2), (1, 4), (1, 0), (0, 2)]
+    codes, cells = cells_of([np.array([1.0, np.nan, 1.0, np.nan])])
+    assert codes.tolist() == [0, 1, 0, 1] and len(cells) == 2
+
+
+def test_gram_of_cells_with_and_without_missing_values(spark):
+    from sparkreg.operators.linear import null_aware_gram
+    rows = [(i % 2, float(i), None if i % 6 == 1 else float(i * i % 7), float(3 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "cell int, a double, b double, y double")
+    got = null_aware_gram(df, ["a", "b"], "y", ["cell"], {"a": 1.0, "b": 2.0})
+    for cell in (0, 1):
+        x = np.array([[r[1] - 1.0, np.nan if r[2] is None else r[2] - 2.0] for r in rows if r[0] == cell])
+        y = np.array([r[3] for r in rows if r[0] == cell])
+        z, m = np.nan_to_num(x), np.isnan(x).astype(float)
+        want = {"n": len(y), "sy": y.sum(), "yy": y @ y, "z1": z.sum(0), "m1": m.sum(0), "zy": z.T @ y, "my": m.T @ y,
+                "G": z.T @ z, "H": z.T @ m, "Q": m.T @ m}
+        for k, v in want.items():
+            np.testing.assert_allclose(got[cell,][k], v, rtol=1e-12)
