@@ -69,3 +69,28 @@ def test_search_reads_all_rows_whatever_the_partitions(spark):
         start = {s: (np.ones(3), 1.0, 0.1)}
         assert reached(s, one) > reached(s, start) + 0.3
         assert one[s][0][2] > 3 * one[s][0][0]       # the column that plays no part has the longest scale
+
+
+def test_a_search_makes_the_kernel_a_few_rows_at_a_time(monkeypatch):
+    from sparkreg.operators import gp
+    rng, d, n = np.random.RandomState(5), 3, 2 * gp.KERNEL_ROWS + 77
+    x, y, fold = rng.randn(n, d), rng.randn(n), np.arange(n, dtype=np.int32) % 5
+    cols = list("abc")
+    spec = gp.GPSpec(cols, dict.fromkeys(cols, 0.0), np.zeros(d), np.ones(d), 0.0, 1.0, np.ones(d), 1.0, 0.1, x[:9].copy())
+    work, theta = gp._Search([spec], [2], 9, cols), np.array([0.1, -0.2, 0.3, 0.2, -2.0])
+    plain, sizes = gp.rbf, []
+    monkeypatch.setattr(gp, "rbf", lambda a, *rest: sizes.append(len(a)) or plain(a, *rest))
+    (_, v), = work.sums({0: theta}, x, y, fold)
+    r, t = x[fold != 2], y[fold != 2]
+    K = plain(r, spec.Z, np.exp(theta[:3]), np.exp(theta[3]))
+    np.testing.assert_allclose(v, np.concatenate([[len(t), t @ t], K.T @ t, (K.T @ K).ravel()]), rtol=1e-10)
+    G, g = rng.randn(9, 9), rng.randn(9)
+    (_, s), = work.slopes({0: (theta, G, g)}, x, y, fold)
+    M = (K @ (2 * G) + np.outer(t, g)) * K
+    want = [(M * (r[:, [j]] - spec.Z[:, j]) ** 2).sum() / np.exp(2 * theta[j]) for j in range(d)]
+    np.testing.assert_allclose(s, want, rtol=1e-8)
+    assert max(sizes) <= gp.KERNEL_ROWS
+    (_, none), = work.sums({0: theta}, x[:0], y[:0], fold[:0])
+    assert none.tolist() == [0.0] * len(v)
+    (_, none), = work.slopes({0: (theta, G, g)}, x[:0], y[:0], fold[:0])
+    assert none.tolist() == [0.0] * d
