@@ -31,7 +31,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.operators.histogram import Ask, Block, BlockWork, Ensemble, Fit, Params, Told, Tree, local_ask, run
+from sparkreg.operators.histogram import (Ask, Block, BlockWork, Ensemble, Fit, Params, Told, Tree, local_ask, run,
+                                           works_of)
 from sparkreg.session import cut_lineage, ship_package, spread_rows
 
 # The settings of each kind of model.
@@ -361,7 +362,7 @@ class TreeTable:
         def train(group: pa.Table) -> pa.Table:
             i = group["fit"][0].as_py()
             e = ensembles[i]
-            run([e], local_ask({i: [BlockWork(read(*r), e.fit) for r in _at_hand(group)]}, width))
+            run([e], local_ask({i: works_of((read(*r) for r in _at_hand(group)), e.fit)}, width))
             return pa.table({"fit": pa.array([i], pa.int32()), "model": [pickle.dumps(result(e))]})
 
         each = self.blocks.withColumn("fit", F.explode(F.array(*[F.lit(i) for i in fits])))

@@ -249,3 +249,34 @@ def test_columns_of_few_codes_are_counted_together_with_the_same_sums():
 
         run([ensemble], ask)
         assert len(ensemble.trees) == 2 and any(len(a.nodes) > 1 for a in asks)
+
+
+@pytest.mark.parametrize("fold,how", [(0, {"params": Params(rounds=12, patience=30)}), (1, {
+    "params": replace(T.PROBE, rounds=12), "transform": "yeo_johnson", "lam": 0.4}), (None, {"params": replace(T.FOREST, rounds=4)})])
+def test_rows_that_share_their_codes_are_summed_by_cell(fold, how, monkeypatch):
+    """Rows of equal codes enter a tree as one; the trees are those of all rows, missing values included."""
+    from sparkreg.operators import histogram as H
+    rng = np.random.default_rng(3)
+    n, cuts = 40_000, np.array([39, 7, 1, 3])
+    codes = np.stack([rng.integers(0, k + 1, n) for k in cuts] + [rng.integers(0, 4, n)]).astype(np.uint8)
+    codes[0][rng.random(n) < 0.05] = 255
+    y = np.abs(codes[0] * 0.3 + codes[1] * codes[2] + rng.normal(0, 3, n)) + 1
+    folds, hashes = rng.integers(0, 5, n).astype(np.int32), rng.integers(0, 2 ** 62, n).astype(np.uint64)
+    blocks = [H.Block(codes[:, a:a + 8_192].T, y[a:a + 8_192], folds[a:a + 8_192], hashes[a:a + 8_192], 255)
+              for a in range(0, n, 8_192)]
+    fit = H.Fit((0, 1, 2, 3), (20, 0, 0, 0), fold=fold, **how)
+    assert len(H.works_of(blocks, fit)) == len(blocks)             # few rows are summed row by row
+    monkeypatch.setattr(H, "CELL_ROWS", 1)
+    cells = H.works_of(blocks, fit)
+    assert len(cells) == 1 and len(cells[0].codes) <= 40 * 8 * 2 * 4 + 64
+    got = []
+    for works in ([H.BlockWork(b, fit) for b in blocks], cells):
+        e = H.Ensemble(0, fit, cuts, 41)
+        H.run([e], H.local_ask({0: works}, 41))
+        got.append(e)
+    a, b = got
+    assert len(a.trees) == len(b.trees) and np.allclose(a.curve, b.curve, rtol=1e-9)
+    assert np.allclose(a.held_sums(), b.held_sums(), rtol=1e-9)
+    assert all(np.allclose(np.sort(s.value), np.sort(t.value)) for s, t in zip(a.trees, b.trees))
+    wide = H.Block(rng.integers(0, 250, (n, 4)).astype(np.uint8), y, folds, hashes, 255)
+    assert type(H.works_of([wide], replace(fit, params=Params()))[0]) is H.BlockWork      # no rows in common
