@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.operators.folds import sample_rows
-from sparkreg.operators.mlp import Descent, add_up, float_blocks
+from sparkreg.operators.mlp import Descent, add_up, float_blocks, like_rows
 from sparkreg.session import spread_rows
 
 GP_MAX_POINTS = 300            # fixed: inducing points
@@ -103,28 +103,41 @@ class _Search:
         self.fills = [np.array([s.medians[c] for c in s.feats]) for s in specs]
         self.Z = [s.Z[:points] for s in specs]
 
-    def read(self, x: bytes, y: bytes, fold: bytes):
-        return np.frombuffer(x).reshape(-1, self.d), np.frombuffer(y), np.frombuffer(fold, dtype=np.int32)
+    def read(self, x: bytes, y: bytes, fold: bytes, n: bytes | None = None, rest: bytes | None = None):
+        return (np.frombuffer(x).reshape(-1, self.d), np.frombuffer(y), np.frombuffer(fold, dtype=np.int32),
+                *([] if n is None else [np.frombuffer(n), np.frombuffer(rest)]))
 
     def _rows(self, i: int, x, y, folds):
         s, mine = self.specs[i], slice(None) if self.folds[i] is None else folds != self.folds[i]
         v = x[mine][:, self.spots[i]]
         return (np.where(np.isnan(v), self.fills[i], v) - s.x_mean) / s.x_std, (y[mine] - s.y_mean) / s.y_std
 
-    def sums(self, at: dict[int, np.ndarray], x, y, folds):
+    def _like(self, i: int, folds, n, rest):
+        """How many rows each one stands for (None: itself), and the squares
+        of their targets about its own."""
+        if n is None:
+            return None, 0.0
+        mine = slice(None) if self.folds[i] is None else folds != self.folds[i]
+        return n[mine], rest[mine].sum() / self.specs[i].y_std ** 2
+
+    def sums(self, at: dict[int, np.ndarray], x, y, folds, n=None, rest=None):
         """(number, [rows, y y, K_mn y, K_mn K_nm])."""
         for i, theta in at.items():
             rows, t = self._rows(i, x, y, folds)
+            like, more = self._like(i, folds, n, rest)
+            many = t if like is None else like * t
             by_y, by_k = 0.0, 0.0
             for some in _spans(len(t)):              # kernel and products of a few rows, while they are in the cache
                 K = rbf(rows[some], self.Z[i], np.exp(theta[:-2]), np.exp(theta[-2]))
-                by_y, by_k = by_y + K.T @ t[some], by_k + K.T @ K
-            yield i, np.concatenate([[len(t), t @ t], by_y, by_k.ravel()])
+                by_y = by_y + K.T @ many[some]
+                by_k = by_k + K.T @ (K if like is None else like[some][:, None] * K)
+            yield i, np.concatenate([[len(t) if like is None else like.sum(), many @ t + more], by_y, by_k.ravel()])
 
-    def slopes(self, at: dict[int, tuple], x, y, folds):
+    def slopes(self, at: dict[int, tuple], x, y, folds, n=None, rest=None):
         """(number, what the rows add to the slope in the log length scales)."""
         for i, (theta, gPhi, gb) in at.items():
             rows, t = self._rows(i, x, y, folds)
+            like, _ = self._like(i, folds, n, rest)
             ls, Z, total = np.exp(theta[:-2]), self.Z[i], 0.0
             for some in _spans(len(t)):
                 r = rows[some]
@@ -132,6 +145,8 @@ class _Search:
                 M = K @ (2 * gPhi)
                 M += t[some][:, None] * gb
                 M *= K
+                if like is not None:
+                    M *= like[some][:, None]
                 total = total + ((r ** 2).T @ M.sum(1) - 2 * ((r.T @ M) * Z.T).sum(1) + (Z ** 2).T @ M.sum(0)) / ls ** 2
             yield i, total
 
@@ -190,8 +205,8 @@ def fit_hyper(df: DataFrame, specs: dict, y: str, fold: str | None, restarts: in
         got = (each.repartition(4 * len(starts), "name").groupBy("name")
                .applyInArrow(search, "name int, loss double, theta binary").collect())
         found = {r["name"]: (r["loss"], np.frombuffer(r["theta"])) for r in got}
-    else:
-        blocks = spread_rows(blocks.select("x", "y", "fold")).persist(StorageLevel.MEMORY_AND_DISK)
+    else:                                            # rows that agree in every column are passed as one
+        blocks = spread_rows(float_blocks(like_rows(base, union), union).drop("id")).persist(StorageLevel.MEMORY_AND_DISK)
 
         def added(part) -> dict:
             def sums(batches):
