@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.operators.folds import sample_rows
-from sparkreg.operators.mlp import Descent, add_up, float_blocks, like_rows
+from sparkreg.operators.mlp import Descent, add_up, block_bytes, float_blocks, like_rows
 from sparkreg.session import spread_rows
 
 GP_MAX_POINTS = 300            # fixed: inducing points
@@ -186,11 +186,13 @@ def fit_hyper(df: DataFrame, specs: dict, y: str, fold: str | None, restarts: in
     starts = {i: np.concatenate([np.zeros(len(specs[s].feats)) if r == 0 else rng.uniform(-1, 2, len(specs[s].feats)),
                                  [0.0, np.log(0.1)]]) for i, (s, r) in enumerate(names)}
     blocks = float_blocks(base, union)
-    size = blocks.agg(F.sum(F.octet_length("x") + F.octet_length("y")).alias("b")).first()["b"] or 0
+    if (size := block_bytes(blocks)) > local_bytes:  # rows that agree in every column are passed as one
+        blocks = float_blocks(like_rows(base, union, [s for s in specs if s != "all"]), union)
+        size = block_bytes(blocks)
     if size <= local_bytes:                          # a group a search, each with all blocks
         def search(group: pa.Table) -> pa.Table:
             i = group["name"][0].as_py()
-            rows = [work.read(**r) for r in group.sort_by("id").select(["x", "y", "fold"]).to_pylist()]
+            rows = [work.read(**r) for r in group.sort_by("id").drop_columns(["id", "name"]).to_pylist()]
 
             def added(part):
                 total: dict = {}
@@ -205,8 +207,8 @@ def fit_hyper(df: DataFrame, specs: dict, y: str, fold: str | None, restarts: in
         got = (each.repartition(4 * len(starts), "name").groupBy("name")
                .applyInArrow(search, "name int, loss double, theta binary").collect())
         found = {r["name"]: (r["loss"], np.frombuffer(r["theta"])) for r in got}
-    else:                                            # rows that agree in every column are passed as one
-        blocks = spread_rows(float_blocks(like_rows(base, union), union).drop("id")).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        blocks = spread_rows(blocks.drop("id")).persist(StorageLevel.MEMORY_AND_DISK)
 
         def added(part) -> dict:
             def sums(batches):

@@ -19,8 +19,8 @@ def rows(spark):
 
 
 def test_like_rows_keep_count_mean_and_squares(rows):
-    got = N.like_rows(rows.select(F.col("y").alias("__y"), "a", "b", F.col("fold").alias("__fold")), ["a", "b"])
-    assert got.count() == 3 * 7 * 5
+    got = N.like_rows(rows.select(F.col("y").alias("__y"), "a", "b", F.col("fold").alias("__fold")), ["a", "b"], [0])
+    assert got.count() == 2 * 7 * 5
     one = got.agg(F.sum("__n"), F.sum(F.col("__n") * F.col("__y")), F.sum("__rest") + F.sum(F.col("__n") * F.col("__y") ** 2)).first()
     want = rows.agg(F.count("y"), F.sum("y"), F.sum(F.col("y") ** 2)).first()
     assert np.allclose(list(one), list(want), rtol=1e-12)
@@ -31,10 +31,11 @@ def test_networks_of_like_rows(rows, monkeypatch):
     made = N.float_blocks
     monkeypatch.setattr(N, "float_blocks", lambda d, c: sizes.append(d.count()) or made(d, c))
     want = {s: N.NetWant(["a", "b"], {"a": 2.0, "b": 2.0}, s) for s in (0, None)}
-    whole, like = (N.fit_networks(rows, "y", want, "fold", passes=8, local_bytes=size) for size in (1 << 30, 0))
-    assert min(sizes) == 3 * 7 * 5 and max(sizes) == 4_000
+    whole, jobs, group = (N.fit_networks(rows, "y", want, "fold", passes=8, local_bytes=size) for size in (1 << 30, 0, 10_000))
+    assert sizes == [4_000] + 2 * [4_000, 2 * 7 * 5]
     for s in want:
-        assert np.allclose(whole[s].w, like[s].w, rtol=1e-6, atol=1e-9)
+        assert np.allclose(whole[s].w, jobs[s].w, rtol=1e-6, atol=1e-9)
+        assert np.allclose(whole[s].w, group[s].w, rtol=1e-6, atol=1e-9)
 
 
 def test_process_sums_and_slopes_of_like_rows(rows):
@@ -46,7 +47,7 @@ def test_process_sums_and_slopes_of_like_rows(rows):
     rng = np.random.RandomState(1)
     at, slope_at = {i: theta for i in (0, 1)}, {i: (theta, rng.randn(m, m), rng.randn(m)) for i in (0, 1)}
     got = []
-    for d in (base, N.like_rows(base, ["a", "b"])):
+    for d in (base, N.like_rows(base, ["a", "b"], [0])):
         sums, slopes = {}, {}
         for r in N.float_blocks(d, ["a", "b"]).drop("id").collect():
             block = work.read(**r.asDict())
@@ -63,5 +64,6 @@ def test_process_search_passes_like_rows_once(rows, monkeypatch):
     monkeypatch.setattr(G, "float_blocks", lambda d, c: sizes.append(d.count()) or made(d, c))
     cols = {"all": ["a", "b"]}
     specs = G.prepare_specs(rows, "y", "k", {"all": {"a": 2.0, "b": 2.0}}, None, cols, points=20)
-    G.fit_hyper(rows, specs, "y", None, points=20, passes=1, local_bytes=0)
-    assert sizes == [4_000, 7 * 5]
+    for size in (0, 10_000):
+        G.fit_hyper(rows, specs, "y", None, points=20, passes=1, local_bytes=size)
+    assert sizes == 2 * [4_000, 7 * 5]
