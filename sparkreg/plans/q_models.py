@@ -886,12 +886,23 @@ def q_score_best(spark, sf):
 
 @query("score_dispatch")
 def q_score_dispatch(spark, sf):
+    """D01 by each type of model, trained on one prepared table side by side."""
     from sparkreg.plans.score import score
+    from sparkreg.plans.train import _each, prepare, save, train
+    from sparkreg.session import tune_session
+    from sparkreg.sources.model_io import load_bundle
+    tune_session(spark)
+    ready = prepare(part_frame(spark, sf), "y", "p_partkey", "quick")
+
+    def bundle(fam):
+        root = scratch_path(spark, "bundle")
+        save(train(part_frame(spark, sf), "y", key="p_partkey", strategy="quick", families=(fam,), ready=ready), root)
+        return load_bundle(spark, root)
+
     rows = None
-    for fam in (("linear",), ("gbt",), ("gp",), ("mlp",)):
-        b, _ = bundle_of(spark, sf, "quick", fam)
+    for fam, b in _each(bundle, ("linear", "gbt", "gp", "mlp")).items():
         s = score(part_frame(spark, sf), b).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("y")).alias("mean_pred"))
-        s = s.select(F.lit(fam[0]).alias("type"), "n", "mean_pred")
+        s = s.select(F.lit(fam).alias("type"), "n", "mean_pred")
         rows = s if rows is None else rows.unionByName(s)
     return rows
 

@@ -412,7 +412,8 @@ def search_settings(df: DataFrame, st: dict, cols_by_set: dict, medians, table,
 
 def train(df: DataFrame, target: str | None = None, key: str | None = None, strategy: str = "quick",
           families=None, derive: bool | None = None, rounds: int | None = None, trees: int | None = None,
-          search: int | None = None, probe_rounds: int = PROBE_ITER, transform: str | None = None) -> TrainResult:
+          search: int | None = None, probe_rounds: int = PROBE_ITER, transform: str | None = None,
+          ready: tuple[DataFrame, dict] | None = None) -> TrainResult:
     """quick = one validation fold (OOF below 50 rows); thorough = full
     OOF with more families and a non-negative blend.  Without ``key`` a
     stable row id is attached; a key that is not unique is refused.
@@ -423,14 +424,17 @@ def train(df: DataFrame, target: str | None = None, key: str | None = None, stra
     ``search`` candidates each (by table size when None, none when 0).
     ``probe_rounds`` bounds the boosted probes of a thorough run (screening,
     derived features, target transform).  ``transform`` (none, log1p,
-    yeo_johnson) fixes that of the target instead of choosing it."""
+    yeo_johnson) fixes that of the target instead of choosing it.  ``ready`` is
+    what ``prepare`` gave for the same table and settings, shared by several
+    runs."""
     spark = df.sparkSession
     from sparkreg.session import tune_session
     tune_session(spark)
     import time
     t0 = time.time()
     timings: dict = {}
-    prepared, st = prepare(df, target, key, strategy, probe_rounds, transform)
+    prepared, st = ready or prepare(df, target, key, strategy, probe_rounds, transform)
+    st = dict(st)                     # a run adds to it
     timings["prepare"] = time.time() - t0
     key = st["key"]
     y = st["target"]
