@@ -419,6 +419,7 @@ class CellWork(BlockWork):
         self.hash = spread(hashes[train], _salt(fit.seed, 5)) if p.rows < 1 else None
         self.have, self.first = np.unique(spot[train], return_index=True)
         cuts = np.unique(np.searchsorted(self.first, np.arange(0, len(train), CHUNK_ROWS)))
+        cuts = cuts[cuts < len(self.have)]           # no cell begins after a chunk's start in the last one
         self.chunks = list(zip(cuts, [*cuts[1:], len(self.have)]))
         self.every = self._summed(None)
         self.score, self.trees, self.number, self.rows, self.known = None, 0, None, {}, 0

@@ -280,3 +280,26 @@ def test_rows_that_share_their_codes_are_summed_by_cell(fold, how, monkeypatch):
     assert all(np.allclose(np.sort(s.value), np.sort(t.value)) for s, t in zip(a.trees, b.trees))
     wide = H.Block(rng.integers(0, 250, (n, 4)).astype(np.uint8), y, folds, hashes, 255)
     assert type(H.works_of([wide], replace(fit, params=Params()))[0]) is H.BlockWork      # no rows in common
+
+
+def test_a_cell_may_hold_more_rows_than_a_chunk(monkeypatch):
+    """The last cell spans several chunks, so the later ones begin no cell."""
+    from sparkreg.operators import histogram as H
+    n = 5_000
+    rng = np.random.default_rng(4)
+    code = np.where(np.arange(n) < 600, np.arange(n) % 2, 2).astype(np.uint8)
+    y = code * 2.0 + rng.normal(0, 1, n)
+    block = H.Block(code[:, None], y, np.zeros(n, np.int32), rng.integers(0, 2 ** 62, n).astype(np.uint64), 255)
+    fit = H.Fit((0,), (0,), Params(rounds=3))
+    monkeypatch.setattr(H, "CELL_ROWS", 1)
+    monkeypatch.setattr(H, "CHUNK_ROWS", 500)
+    work, = H.works_of([block], fit)
+    assert type(work) is H.CellWork
+    assert np.array_equal(work.every[0], np.bincount(code)) and np.allclose(work.every[1], np.bincount(code, weights=y))
+    got = []
+    for works in ([H.BlockWork(block, fit)], [work]):
+        e = H.Ensemble(0, fit, np.array([2]), 3)
+        H.run([e], H.local_ask({0: works}, 3))
+        got.append(e)
+    assert len(got[0].trees) == len(got[1].trees) == 3
+    assert all(np.allclose(a.value, b.value) and np.array_equal(a.rows, b.rows) for a, b in zip(got[0].trees, got[1].trees))
