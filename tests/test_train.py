@@ -199,6 +199,14 @@ def test_search_trials_are_full_fits(spark, sf_small):
     assert [r["r2"] for r in rows if r["stage"] == "final"] == [pytest.approx(0.5 - 0.1 * i) for i in range(3)]
 
 
+def test_a_search_tries_as_many_candidates_on_large_tables():
+    from sparkreg.operators import search as so
+    whole = so.gbt_candidates(5_000)
+    assert len(whole) == 24
+    assert all(so.gbt_candidates(n) == whole for n in (0, 5_001, 20_000, 20_001, 10 ** 9))
+    assert so.gbt_candidates(10 ** 9, size=6) == whole[:6]
+
+
 def test_screening_keeps_weak_columns(spark):
     """Binary columns of small but exact effect beside strong ones survive;
     ten rounds of a probe do not reach all of them."""
