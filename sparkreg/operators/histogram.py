@@ -221,12 +221,28 @@ class BlockWork:
         self.score, self.trees = None, 0
         self.number, self.rows = None, {}
         self.known = 0                               # splits of the tree that the rows have followed
+        self.moved = 0                               # rows that have followed one since the work was made or taken up
         self.joint, self.packed = self._joint(), self._pack()
 
-    def held_bytes(self) -> int:
-        """What it holds beyond the block: scores, errors, hashes, places and
-        codes of every row."""
-        return len(self.raw) * (40 + 8 * len(self.packed) + 2 * len(self.joint))
+    def scores(self) -> tuple:
+        """What changes with every tree."""
+        return self.number, self.score, self.trees
+
+    def places(self) -> tuple:
+        """What changes with every level."""
+        return self.number, self.rows, self.known
+
+    def resume(self, scores: tuple, places: tuple | None) -> None:
+        """Go on from what ``scores`` and ``places`` gave; without places of
+        the same tree the rows start at its root again."""
+        number, self.score, self.trees = scores
+        if places and places[0] == number:
+            self.number, self.rows, self.known = places
+            self.miss = None
+
+    def _gap(self, rows: np.ndarray) -> np.ndarray:
+        """Score less target of some rows."""
+        return self.score[rows] - self.y[rows] if self.miss is None else self.miss[rows]
 
     def _joint(self) -> list[tuple]:
         """Columns of few codes whose combinations are counted instead of each
@@ -269,6 +285,7 @@ class BlockWork:
         for node, f, cut, left, right in splits:
             code, kids = self.codes[:, self.cols[f]], []
             for mine in self.rows.pop(node):
+                self.moved += len(mine)
                 low = code[mine] <= cut
                 kids.append((mine.compress(low), mine.compress(~low)))
             self.rows[left], self.rows[right] = zip(*kids)
@@ -327,7 +344,7 @@ class BlockWork:
         self._follow(ask.splits[self.known:])
         self.known = len(ask.splits)
         if ask.nodes == [0]:                         # a new tree: how good are the last ones
-            miss = self.miss[self.es]
+            miss = self._gap(self.es)
             told.es = (float(len(miss)), float(miss @ miss))
             if len(self.held):
                 y = self.raw[self.held]
@@ -336,7 +353,7 @@ class BlockWork:
                 told.held = (float(len(y)), float(y.sum()), float(y @ y), float(gap @ gap))
         parts = [self.rows[node][0] for node in ask.nodes]
         rows = np.concatenate(parts) if len(parts) > 1 else parts[0]
-        k, miss = len(ask.nodes), self.miss[rows]
+        k, miss = len(ask.nodes), self._gap(rows)
         node = np.repeat(np.arange(k), [len(x) for x in parts]) if k > 1 else None
         told.hist = np.empty((k, len(ask.columns), width, 2))
         counted = self._counts(ask.columns, rows, node, k, told.hist)
@@ -422,7 +439,7 @@ class CellWork(BlockWork):
         cuts = cuts[cuts < len(self.have)]           # no cell begins after a chunk's start in the last one
         self.chunks = list(zip(cuts, [*cuts[1:], len(self.have)]))
         self.every = self._summed(None)
-        self.score, self.trees, self.number, self.rows, self.known = None, 0, None, {}, 0
+        self.score, self.trees, self.number, self.rows, self.known, self.moved = None, 0, None, {}, 0, 0
 
     def _summed(self, salt: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and sum of targets of every cell, over the training rows that
@@ -439,9 +456,6 @@ class CellWork(BlockWork):
             total[cells] = np.add.reduceat(drawn, at)
         return n, total
 
-    def held_bytes(self) -> int:
-        return 16 * len(self.y) + 80 * len(self.codes)
-
     def _begin(self, ask: Ask) -> None:
         self._advance(ask)
         self.n, total = self.every if self.fit.params.rows >= 1 else self._summed(self._draw_salt(ask))

@@ -11,16 +11,20 @@ ways lead from there to the same trees:
   each fit's group, and the groups are trained side by side, a job for all of
   them: its size is checked as that of a broadcast side would be.
 
-What a task remembers of a block between jobs (scores, the leaf a row is in)
-follows from the block and the trees and is made anew where it is missing.
+What tasks remember of a block between jobs (scores, the leaf a row is in)
+follows from the block and the trees and is made anew where it is missing; it
+lies in files that the workers of an executor share.
 """
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import itertools
 import math
+import os
 import pickle
 import uuid
-from collections import OrderedDict
 from collections.abc import Hashable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -31,9 +35,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreg.operators import kept
 from sparkreg.operators.histogram import (Ask, Block, BlockWork, Ensemble, Fit, Params, Told, Tree, local_ask, run,
                                            works_of)
-from sparkreg.session import cut_lineage, ship_package, spread_rows
+from sparkreg.session import cut_lineage, ship_package
 
 # The settings of each kind of model.
 BOOST_QUICK = Params(rounds=500, patience=30)
@@ -51,9 +56,15 @@ PROBE_ITER_RANK = 150          # of the probe that ranks a recipe's base feature
 #: a forest grows in one sequence.
 BLOCK_ROWS, LOCAL_BYTES, PART_TREES = 32_768, 256 << 20, 38
 #: Bytes of histograms that one task holds for all fits it serves at once,
-#: tasks whose sums are collected without a second step, finished trees that
-#: are shipped together, and bytes that a worker remembers between jobs.
-WAVE_BYTES, DIRECT_TASKS, SHIPPED_TREES, KEPT_BYTES = 64 << 20, 32, 64, 512 << 20
+#: tasks whose sums are collected without a second step, and finished trees
+#: that are shipped together.
+WAVE_BYTES, DIRECT_TASKS, SHIPPED_TREES = 64 << 20, 32, 64
+#: Blocks whose works are remembered together, how many times the table's
+#: bytes what is remembered may take, and the bytes of a row beside its codes
+#: in a block and in what a fit remembers; where less than a ``MOVED_SHARE``th of
+#: the rows has moved, places are not written again.  ``MISSING`` stands for a
+#: fit where works are not found.
+KEPT_BLOCKS, KEPT_SHARE, BLOCK_EXTRA, KEPT_EXTRA, MOVED_SHARE, MISSING = 8, 12, 20, 60, 4, -1
 BIN_ACCURACY = 20_000
 
 
@@ -206,10 +217,6 @@ class Want:
     kind: str = "gbt"
 
 
-#: What this worker remembers of the blocks it has served, oldest first.
-_WORKS: OrderedDict = OrderedDict()
-
-
 class _Done:
     """Finished trees, the older ones in broadcast pieces that a task reads
     only when it has to catch up with them."""
@@ -373,29 +380,59 @@ class TreeTable:
         return {i: found.get(i, empty) for i in fits}
 
     def _fit_spread(self, fits: dict[int, Fit]) -> dict[int, dict]:
-        """One job a level for as many fits as a task may hold histograms of."""
+        """One job a level for as many fits as a task may hold histograms of
+        and as the executors have room to remember."""
+        if not fits:
+            return {}
         most = max(len(f.cols) * min(f.params.leaves, 64) for f in fits.values()) * self.width * 16
-        wave = max(1, WAVE_BYTES // most)
+        row = len(self.feats) * np.dtype(self.kind).itemsize
+        wave = max(1, min(WAVE_BYTES // most, KEPT_SHARE * (row + BLOCK_EXTRA) // (2 * row + KEPT_EXTRA)))
         ids, out = list(fits), {}
-        blocks = spread_rows(self.blocks).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for a in range(0, len(ids), wave):
-                some = self._ensembles({i: fits[i] for i in ids[a:a + wave]})
-                run(some.values(), _Jobs(blocks, self._reader(), {i: fits[i] for i in some}, self.width))
-                out |= {i: self._result(e) for i, e in some.items()}
-        finally:
-            blocks.unpersist()
+        for a in range(0, len(ids), wave):
+            some = self._ensembles({i: fits[i] for i in ids[a:a + wave]})
+            jobs = _Jobs(self.blocks, self._reader(), {i: fits[i] for i in some}, self.width)
+            try:
+                run(some.values(), jobs)
+            finally:
+                jobs.close()
+            out |= {i: self._result(e) for i, e in some.items()}
         return out
 
 
 class _Jobs:
-    """``ask`` by a Spark job over the blocks."""
+    """``ask`` by a Spark job over the blocks.  The blocks are dealt once to as
+    many tasks as there are cores; what the fits know of them stays in files
+    of the executor (``kept``), and ``parts`` names these: a job reads a name
+    where Spark remembers it, which is where its files are."""
 
     def __init__(self, blocks: DataFrame, read, fits: dict[int, Fit], width: int):
         self.blocks, self.read, self.fits, self.width = blocks, read, fits, width
         self.run = uuid.uuid4().hex
-        self.tasks = blocks.rdd.getNumPartitions()
+        self.tasks = blocks.sparkSession.sparkContext.defaultParallelism
         self.shipped: dict[int, list] = {i: [] for i in fits}
+        name = self.run
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, works in _grouped(_works(batches, read, fits)):
+                part = hashlib.md5(str(sorted(ids)).encode()).hexdigest()
+                for i in fits:
+                    _remember(name, part, i, [w[i] for w in works])
+                yield pa.RecordBatch.from_pydict({"part": [part], "ids": pa.array([ids], pa.list_(pa.int64()))})
+
+        self.parts = (blocks.repartition(self.tasks).mapInArrow(keep, "part string, ids array<bigint>")
+                      .persist(StorageLevel.MEMORY_AND_DISK))
+
+    def close(self) -> None:
+        """Remove what was kept, as far as the executors are still there."""
+        name = self.run
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept.drop(name)
+            yield from ()
+
+        with contextlib.suppress(Exception):
+            self.parts.mapInArrow(drop, "part string").collect()
+        self.parts.unpersist()
 
     def _ship(self, a: Ask) -> Ask:
         pieces = self.shipped[a.fit]
@@ -409,32 +446,85 @@ class _Jobs:
         read, fits, width, name = self.read, self.fits, self.width, self.run
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, Told] = {}
-            for batch in batches:
-                for i, number in enumerate(batch.column("id").to_pylist()):
-                    block = None
-                    for a in asks:
-                        key = (name, a.fit, number)
-                        work = _WORKS.pop(key, None)
-                        if work is None:
-                            block = block or read(*[batch.column(c)[i].as_py() for c in ("codes", "y", "fold", "hash")])
-                            work = BlockWork(block, fits[a.fit])
-                        _WORKS[key] = work
-                        t = work.answer(a, width)
-                        total[a.fit] = total[a.fit] + t if a.fit in total else t
-            held = sum(w.held_bytes() for w in _WORKS.values())
-            while held > KEPT_BYTES:
-                held -= _WORKS.popitem(last=False)[1].held_bytes()
+            total: dict = {}
+            for row in (r for batch in batches for r in batch.to_pylist()):
+                told = {a.fit: _recall(name, row["part"], a, width) for a in asks}
+                if None in told.values():
+                    told = {MISSING: row["ids"]}
+                _add(total, told)
             yield from _packed(total)
 
-        sums = self.blocks.mapInArrow(answer, "fit int, told binary")
+        def answer_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict = {}
+            for _, works in _works(batches, read, {a.fit: fits[a.fit] for a in asks}):
+                for a in asks:
+                    _add(total, {a.fit: works[a.fit].answer(a, width)})
+            yield from _packed(total)
+
+        total = self._collect(self.parts.mapInArrow(answer, "fit int, told binary"))
+        if missed := total.pop(MISSING, None):           # run elsewhere than where its files are
+            rest = self.blocks.where(F.col("id").isin(missed))
+            _add(total, self._collect(rest.mapInArrow(answer_anew, "fit int, told binary")))
+        return {i: total.get(i, Told(None)) for i in fits}
+
+    def _collect(self, sums: DataFrame) -> dict:
         if self.tasks > DIRECT_TASKS:                # as a tree: the square root of the tasks adds up first
             sums = sums.repartition(math.isqrt(self.tasks)).mapInArrow(_added, "fit int, told binary")
-        total: dict[int, Told] = {}
+        total: dict = {}
         for r in sums.collect():
-            t = pickle.loads(r["told"])
-            total[r["fit"]] = total[r["fit"]] + t if r["fit"] in total else t
-        return {i: total.get(i, Told(None)) for i in fits}
+            _add(total, {r["fit"]: pickle.loads(r["told"])})
+        return total
+
+
+def _works(batches: Iterator[pa.RecordBatch], read, fits: Mapping[int, Fit]) -> Iterator[tuple[int, dict[int, BlockWork]]]:
+    """(id, work of every fit) of each block."""
+    for batch in batches:
+        for i, number in enumerate(batch.column("id").to_pylist()):
+            block = read(*[batch.column(c)[i].as_py() for c in ("codes", "y", "fold", "hash")])
+            yield number, {k: BlockWork(block, fit) for k, fit in fits.items()}
+
+
+def _grouped(works: Iterator[tuple]) -> Iterator[tuple[list, list]]:
+    """``KEPT_BLOCKS`` blocks at a time."""
+    while some := list(itertools.islice(works, KEPT_BLOCKS)):
+        ids, each = zip(*some)
+        yield list(ids), list(each)
+
+
+def _remember(run: str, part: str, fit: int, works: list[BlockWork]) -> None:
+    """A new part: its works, without what another attempt left of them."""
+    for kind in ("trees", "rows"):
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(kept.place(run, f"{part}-{fit}.{kind}"))
+    kept.write(kept.place(run, f"{part}-{fit}.works"), works)
+
+
+def _recall(run: str, part: str, ask: Ask, width: int) -> Told | None:
+    """What the works of a part answer, None where they are not found."""
+    at = {kind: kept.place(run, f"{part}-{ask.fit}.{kind}") for kind in ("works", "trees", "rows")}
+    works = kept.read(at["works"])
+    if works is None:
+        return None
+    before = None
+    if scores := kept.read(at["trees"]):
+        before = scores[0][0]
+        for work, s, p in zip(works, scores, kept.read(at["rows"]) or itertools.repeat(None)):
+            work.resume(s, p)
+    total = None
+    for work in works:
+        t = work.answer(ask, width)
+        total = t if total is None else total + t
+    begun = works[0].number is not None and works[0].number != before
+    if begun:
+        kept.write(at["trees"], [w.scores() for w in works])
+    if begun or sum(w.moved for w in works) > sum(len(w.y) for w in works) // MOVED_SHARE:
+        kept.write(at["rows"], [w.places() for w in works])        # few moved rows follow their splits again instead
+    return total
+
+
+def _add(total: dict, more: Mapping) -> None:
+    for i, t in more.items():
+        total[i] = total[i] + t if i in total else t
 
 
 def _at_hand(group: pa.Table) -> Iterator[tuple]:
@@ -453,18 +543,16 @@ def _view(column: pa.Array, i: int) -> pa.Buffer:
     return data.slice(int(a), int(b - a))
 
 
-def _packed(total: dict[int, Told]) -> Iterator[pa.RecordBatch]:
+def _packed(total: dict) -> Iterator[pa.RecordBatch]:
     if total:
         yield pa.RecordBatch.from_pydict({"fit": pa.array(list(total), pa.int32()),
                                           "told": [pickle.dumps(t) for t in total.values()]})
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, Told] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            t = pickle.loads(row["told"])
-            total[row["fit"]] = total[row["fit"]] + t if row["fit"] in total else t
+    total: dict = {}
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        _add(total, {row["fit"]: pickle.loads(row["told"])})
     yield from _packed(total)
 
 

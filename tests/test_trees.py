@@ -303,3 +303,70 @@ def test_a_cell_may_hold_more_rows_than_a_chunk(monkeypatch):
         got.append(e)
     assert len(got[0].trees) == len(got[1].trees) == 3
     assert all(np.allclose(a.value, b.value) and np.array_equal(a.rows, b.rows) for a, b in zip(got[0].trees, got[1].trees))
+
+
+@pytest.mark.parametrize("how", [{}, {"bag": True, "rate": 1.0}])
+def test_works_are_taken_up_from_files(tmp_path, monkeypatch, how):
+    """Any worker goes on where another left a part, also from older files."""
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}/a,{tmp_path}/b")
+    codes, y, cuts = binned()
+    fit = Fit((0, 1, 2, 3), (0,) * 4, Params(rounds=8, leaves=12, min_leaf=5, **how), fold=1)
+    sure = Ensemble(0, fit, np.array(cuts), WIDTH)
+    run([sure], local_ask({0: [BlockWork(b, fit) for b in blocks_of(codes, y, 300)]}, WIDTH))
+    parts = {"p": blocks_of(codes[:600], y[:600], 300), "q": blocks_of(codes[600:], y[600:], 300)}
+    folds = {"p": np.arange(600) % 5, "q": np.arange(600, 900) % 5}
+    for part, blocks in parts.items():
+        for b, f, a in zip(blocks, np.split(folds[part], len(blocks)), range(0, 900, 300)):
+            b.fold, b.hash = f, (np.arange(300) + a + (600 if part == "q" else 0)).astype(np.uint64)
+        T._remember("run", part, 0, [BlockWork(b, fit) for b in blocks])
+    rng, jobs, lost = random.Random(2), [], 0
+
+    def ask(asks):
+        nonlocal lost
+        jobs.append(1)
+        for part in parts:
+            if rng.random() < 0.3:
+                path = T.kept.place("run", f"{part}-0.{rng.choice(['rows', 'trees'])}")
+                lost += T.os.path.exists(path)
+                T.os.path.exists(path) and T.os.remove(path)
+        return {0: T._recall("run", "p", asks[0], WIDTH) + T._recall("run", "q", asks[0], WIDTH)}
+
+    e = Ensemble(0, fit, np.array(cuts), WIDTH)
+    run([e], ask)
+    assert lost > 3 and len(e.trees) == len(sure.trees) == 8
+    assert all(np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value, rtol=1e-9) for a, b in zip(e.trees, sure.trees))
+    T.kept.drop("run")
+    assert T._recall("run", "p", e.ask(), WIDTH) is None and not list(tmp_path.glob("*/*"))
+
+
+def test_a_job_sends_no_blocks_again_unless_works_are_lost(spark, monkeypatch):
+    df = frame(spark)
+    want = {0: T.Want(["a", "b.c"], replace(T.BOOST_QUICK, rounds=4), {}, 0)}
+    table = T.TreeTable(df, ["a", "b.c"], "y", "fold", "id", bins=20, local_bytes=0)
+    call, collect, asked, lose = T._Jobs.__call__, T._Jobs._collect, [], [None]
+
+    def traced(self, asks):
+        asked.append([])
+        got = call(self, asks)
+        if len(asked) == lose[0]:                    # as if the executor had lost its folder
+            self.parts.mapInArrow(lambda batches, name=self.run: (T.kept.drop(name), iter(()))[1], "part string").collect()
+        return got
+
+    def plan(self, sums):                            # does the job read the blocks, or only the names of what is kept
+        asked[-1].append("InMemoryRelation" not in sums._jdf.queryExecution().withCachedData().toString())
+        return collect(self, sums)
+
+    monkeypatch.setattr(T._Jobs, "__call__", traced)
+    monkeypatch.setattr(T._Jobs, "_collect", plan)
+    whole = table.fit(want)[0]
+    assert len(asked) > 8 and all(a == [False] for a in asked)
+    asked.clear()
+    lose[0] = 5
+    assert same(whole, table.fit(want)[0])
+    assert asked[:5] == 5 * [[False]] and len(asked) > 8 and all(a == [False, True] for a in asked[5:])
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(d.startswith("kept-") for r in T.kept._roots() for d in T.os.listdir(r))]})
+
+    assert spark.range(1).mapInArrow(left, "n bigint").collect()[0]["n"] == 0
